@@ -19,6 +19,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # the characters before such a space do not change what follows it.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict = {}
+# Below this character (ASCII and Latin) every Unicode version agrees on what a letter,
+# a number and a space is, and so do the two regular-expression engines.
+_STABLE = "\u0250"
 
 
 def tokenizer_path(name: str) -> str:
@@ -101,7 +104,7 @@ class ByteEncoder:
     """Encodes texts with a byte-level tokenizer through a bounded chunk table.
 
     New chunks are encoded many at a time: joined again, the table of byte lengths tells where
-    each ends. Chunks of ASCII letters take the faster core where its ids are the same;
+    each ends. Chunks of Latin characters take the faster core where its ids are the same;
     others, and what may hold a special token, take the library itself. ``limit`` bounds the
     table's entries; when it is passed the table starts anew, which changes speed only.
     """
@@ -131,7 +134,7 @@ class ByteEncoder:
             if not k or k[0].isspace() or k[-1].isspace():
                 alone.append(k)
             else:
-                (plain if self.core and "<|" not in k and k.isascii() else other).append(k)
+                (plain if self.core and "<|" not in k and max(k) < _STABLE else other).append(k)
         for part, call in ((plain, lambda x: self.core.encode_to_numpy(x)), (other, lambda x: np.array(self.tok.encode(x, add_special_tokens=False).ids, np.uint32))):
             for at in range(0, len(part), 1000):
                 step = part[at : at + 1000]

@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrasieve.llm import bpe, packing, token_counts
+from spectrasieve.llm import bpe, packing, token_counts, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of their decoding."""
+    done = word_codec.encode_decode(table(spark, sf_dir, "documents"), bpe.tokenizer_path("word_bpe_49k.json"), full=False)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document, a crossing token counted where it begins."""
     return token_counts.section_counts(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
@@ -24,7 +30,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_packing)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op6_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
