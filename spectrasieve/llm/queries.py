@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrasieve.llm import bpe, packing, token_counts, word_codec
+from spectrasieve.llm import bpe, packing, quality, token_counts, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learnt from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op6_packing)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op6_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
