@@ -51,85 +51,76 @@ def chunk_ends(buf: np.ndarray, edges: np.ndarray, mean: int, least: int, most:
 
 
 def recipes(docs: DataFrame, mean: int = 2048, least: int = 512, most: int = 16384) -> DataFrame:
-    """(doc_id, recipe, n_chunks, text_sha256) of (doc_id, text): recipe is the hash of the ordered
-    list of (digest, length) of a text's chunks."""
+    """(doc_id, chunks, strong, text_sha256) of (doc_id, text).
+
+    ``chunks`` is the ordered list of the chunks' identifiers, a 64-bit hash and the length one after the
+    other; ``strong`` holds 128 bits of each chunk's SHA-256, by which identifiers are verified.
+    """
 
     def task(batches):
         import pyarrow as pa
         import xxhash
 
+        longs = pa.list_(pa.int64())
         for b in batches:
             for at, part in hashing.slices(b.column(1)):
                 buf, edges = hashing.raw(part)
                 view = memoryview(buf)
                 cols = [b.column(0).slice(at, len(part)).to_pylist(), [], [], []]
                 for begin, end, ends in zip(edges[:-1].tolist(), edges[1:].tolist(), chunk_ends(buf, edges, mean, least, most), strict=True):
-                    listed, last = bytearray(), begin
+                    chunks, strong, last = [], bytearray(), begin
                     for e in (ends + begin).tolist():
-                        listed += xxhash.xxh3_128_digest(view[last:e]) + (e - last).to_bytes(8, "little")
+                        chunks += (xxhash.xxh3_64_intdigest(view[last:e]) - (1 << 63), e - last)
+                        strong += hashlib.sha256(view[last:e]).digest()[:16]
                         last = e
-                    cols[1].append(hashlib.blake2b(listed, digest_size=16).digest())
-                    cols[2].append(len(ends))
+                    cols[1].append(chunks)
+                    cols[2].append(np.frombuffer(bytes(strong), "<i8"))
                     cols[3].append(hashlib.sha256(view[begin:end]).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.string()), strict=True)], ["doc_id", "recipe", "n_chunks", "text_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, longs, pa.string()), strict=True)], ["doc_id", "chunks", "strong", "text_sha256"])
 
-    return docs.mapInArrow(task, "doc_id long, recipe binary, n_chunks long, text_sha256 string")
+    return docs.mapInArrow(task, "doc_id long, chunks array<long>, strong array<long>, text_sha256 string")
 
 
-def _chunks(docs: DataFrame, mean: int, least: int, most: int) -> DataFrame:
-    """(recipe, doc_id, pos, digest, content) of (recipe, doc_id, text)."""
-
-    def task(batches):
-        import pyarrow as pa
-        import xxhash
+def unverified(made: DataFrame) -> DataFrame:
+    """Chunk identifiers that stand for more than one content, over all chunks of all texts.
 
-        for b in batches:
-            for at, part in hashing.slices(b.column("text")):
-                buf, edges = hashing.raw(part)
-                cols = [[] for _ in range(4)]
-                rows = b.slice(at, len(part))
-                for r, (begin, ends) in enumerate(zip(edges[:-1].tolist(), chunk_ends(buf, edges, mean, least, most), strict=True)):
-                    last = begin
-                    for k, e in enumerate((ends + begin).tolist()):
-                        piece = buf[last:e].tobytes()
-                        for c, v in zip(cols, (r, k, xxhash.xxh3_128_digest(piece), piece), strict=True):
-                            c.append(v)
-                        last = e
-                of = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("row_key").take(of), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["row_key", "pos", "digest", "content"])
-
-    return docs.select("row_key", "text").mapInArrow(task, "row_key string, pos long, digest binary, content binary")
-
-
-def collisions(docs: DataFrame, repeated: DataFrame, made: DataFrame, mean: int, least: int, most: int) -> DataFrame:
-    """Digests that stand for different contents among the chunks of repeated recipes.
-
-    Each distinct chunk of a task crosses the network once: partial aggregation by (digest, content)
-    merges copies before the shuffle, so a group of copies of any size sends its chunks once a task.
+    Chunks are deduplicated before the shuffle by partial aggregation, so a chunk that a
+    third of all texts hold crosses the network once a task.
     """
-    repeats = made.join(repeated.select("recipe"), "recipe", "left_semi").select(F.col("text_sha256").alias("row_key")).distinct()
-    keyed = docs.withColumn("row_key", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    wanted = keyed.join(repeats, "row_key", "left_semi")
-    distinct = _chunks(wanted, mean, least, most).groupBy("digest", "content").agg(F.lit(1).alias("one"))
-    return distinct.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    each = F.transform(F.sequence(F.lit(0), F.expr("size(chunks) div 2 - 1")), lambda i: F.struct(*[F.element_at(c, (i * 2 + k).cast("int")).alias(n) for n, c, k in (("hash", F.col("chunks"), 1), ("length", F.col("chunks"), 2), ("high", F.col("strong"), 1), ("low", F.col("strong"), 2))]))
+    chunks = made.where("size(chunks) > 0").select(F.inline(each))
+    seen = chunks.groupBy("hash", "length").agg(*[f(c).alias(f"{n}_{c}") for c in ("high", "low") for n, f in (("least", F.min), ("most", F.max))])
+    return seen.where("least_high <> most_high or least_low <> most_low").select("hash", "length")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = 2048, least: int = 512, most: int = 16384) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as empty. Each text is cut into
-    content-defined chunks; its recipe is the ordered list of its chunks' identifiers (digest and
-    length). Texts with different recipes differ. For equal recipes, identifiers are verified by
-    the chunks' SHA-256 chained over the text: two texts with equal recipes but different
-    text_sha256 hold chunks that share an identifier without being equal, and are told apart.
-    Only recipes and digests are shuffled, never texts.
-
-    Of equal texts the largest doc_id stays; rows that repeat its id and text stay with it. Null ids
-    stay only where a group has no other id. Groups are aggregated before the shuffle; the join
-    back may have a hot key, whose large side AQE splits.
+    content-defined chunks and becomes the ordered list of its chunks' identifiers. All chunks are
+    deduplicated and their identifiers verified by SHA-256; should one stand for two
+    contents, the verified digests take the identifiers' place. Then whole lists are compared.
+    Texts never move: only identifiers are shuffled.
+
+    Of equal texts the largest doc_id stays; rows that repeat its id and text stay with it. A null id
+    stays only where its group has no other id. An empty table gives no rows; other columns are
+    ignored. Groups are aggregated before the shuffle; in the join back AQE splits a hot group.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = common.cut(recipes(d, mean, least, most))
-    groups = made.groupBy("recipe", "n_chunks", "text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    got = made.join(groups.hint("merge"), ["recipe", "n_chunks", "text_sha256"])
+    if not unverified(made).isEmpty():
+        made = made.withColumn("chunks", F.col("strong"))
+    made = made.drop("strong")
+    groups = made.groupBy("chunks").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    repeated = common.cut(groups.where("group_size > 1"))
+    got = made.join(repeated.hint("merge"), "chunks", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    got = got.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
     return got.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns they came with; of rows that repeat an id and a text, all stay."""
+    gone = deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)) == F.col("__sha"))
+    return docs.join(common.cut(gone), same, "left_anti")

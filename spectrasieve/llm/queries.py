@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrasieve.llm import bpe, packing, quality, token_counts, word_codec
+from spectrasieve.llm import bpe, exact_dedup, packing, quality, token_counts, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
@@ -36,8 +41,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op4_exact_dedup, op6_packing, op10_quality)}
+
+
+OP4_SQL = """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+  count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": OP4_SQL}
