@@ -95,6 +95,27 @@ class _Pieces:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
+def _packed(known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, the number of ids of each and all their ids, packed by tasks."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = pc.binary_length(b.column("ids")).to_numpy().astype(np.int64) // 4
+            ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")
+            blobs = (b.column("hash").to_numpy().tobytes(), n.astype("<u4").tobytes(), ids.tobytes())
+            least = b.column("hash")[0].as_py() if len(b) else 0
+            yield pa.RecordBatch.from_arrays([pa.array([least]), *[pa.array([x], pa.binary()) for x in blobs]], ["least", "hash", "n", "ids"])
+
+    parts = max(1, rows // 200_000)
+    got = known.select("hash", "ids").repartitionByRange(parts, "hash").sortWithinPartitions("hash").mapInArrow(task, "least long, hash binary, n binary, ids binary").toArrow()
+    got = got.sort_by("least")
+    hashed, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in got.column(c))]) for c, t in (("hash", np.int64), ("n", "<u4"), ("ids", "<u4")))
+    # Signed order: the hashes are compared as signed numbers here and in the lookup.
+    return hashed, n.astype(np.min_scalar_type(n.max(initial=0))), ids.astype(np.min_scalar_type(ids.max(initial=0)))
+
+
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, broadcast_bytes: int = 256 << 20, block_rows: int = 20_000) -> DataFrame:
     """Ids of every whole text and their decoding, through a table of distinct words.
 
@@ -113,30 +134,25 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     rows, size, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0)), F.countDistinct("hash")).first()
     piece = pieces(tokenizer)
     if 16 * rows + size <= broadcast_bytes and rows == hashes:
-        got = known.select("hash", "ids").toArrow()
-        hashed = got.column("hash").to_numpy().view(np.uint64)
-        lengths = pc.binary_length(got.column("ids")).to_numpy().astype(np.int64) // 4
-        flat = np.frombuffer(b"".join(x for c in got.column("ids").chunks for x in c.to_pylist()), "<u4")
-        del got
-        order = np.argsort(hashed)
-        start = np.cumsum(lengths) - lengths
+        packed = _packed(known, rows)
         slot = uuid.uuid4().hex
-        table = docs.sparkSession.sparkContext.broadcast((hashed[order], start[order].astype(np.uint32), lengths[order].astype(np.uint32), flat, piece))
+        table = docs.sparkSession.sparkContext.broadcast((*packed, piece))
+        del packed
 
         def task(batches):
             if slot not in _TABLES:
                 _TABLES.clear()
-                *packed, piece_of = table.value
-                _TABLES[slot] = (*packed, _Pieces(piece_of))
+                word, count, ids, piece_of = table.value
+                _TABLES[slot] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, _Pieces(piece_of))
             word, begin, count, ids, decode = _TABLES[slot]
             for b in batches:
                 for at, part in hashing.slices(b.column(1)):
                     h, _, _, edges = hashing.word_hashes(*hashing.raw(part), _SPACE)
-                    w = np.searchsorted(word, h)
+                    w = np.searchsorted(word, h.view(np.int64))
                     n = count[w].astype(np.int64)
                     ends = np.concatenate([[0], np.cumsum(n)])
                     take = np.arange(ends[-1]) + np.repeat(begin[w] - ends[:-1], n)
-                    yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), ids[take], ends[edges], full)
+                    yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), ids[take].astype(np.uint32), ends[edges], full)
 
         return d.mapInArrow(task, SCHEMA)
 
