@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrasieve.llm import bpe, exact_dedup, packing, quality, token_counts, word_codec
+from spectrasieve.llm import bpe, exact_dedup, packing, quality, token_counts, url_filter, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
+URL_BLOCK = ["net/", "example.com/de/"]
+URL_ALLOW = ["example.net/en/", "org/fr/"]
+URL_GLOBS = ["**/login**", "**/cart/**", "**.exe"]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_BLOCK, URL_ALLOW, URL_GLOBS).drop("url")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
@@ -41,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op4_exact_dedup, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op10_quality)}
 
 
 OP4_SQL = """
@@ -52,6 +62,28 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
 FROM documents
 """
 
+OP5_SQL = """
+WITH u AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host,
+    regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+    regexp_extract(coalesce(url, ''), '^.*?://[^?#]*([^#]*)', 1, 's') AS tail
+  FROM pages
+), r AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN regexp_matches('.' || host || path || tail, '/login|/cart/|[.]exe$') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL}
