@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectrasieve.llm import bpe, exact_dedup, packing, quality, token_counts, url_filter, word_codec
+from spectrasieve.llm import bpe, exact_dedup, html_extract, packing, quality, token_counts, url_filter, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page, by templates deduced per host."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of their decoding."""
     done = word_codec.encode_decode(table(spark, sf_dir, "documents"), bpe.tokenizer_path("word_bpe_49k.json"), full=False)
@@ -51,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op10_quality)}
 
 
 OP4_SQL = """
