@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import bpe, exact_dedup, html_extract, packing, quality, token_counts, url_filter, vector_search, word_codec
+from spectrasieve.llm import bpe, exact_dedup, html_extract, packing, quality, token_counts, url_filter, vector_search, warc_audit, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit of all pages against a replica in which set records are damaged or lost."""
+    pages = table(spark, sf_dir, "pages")
+    at = F.lit(1) + F.pmod(F.col("page_id"), F.greatest(F.length("html"), F.lit(1)))
+    damaged = F.concat(F.expr("left(html, at - 1)"), F.lit("#"), F.expr("substring(html, at + 1)"))
+    replica = pages.where("not coalesce(page_id % 211 = 5, false)").withColumn("at", at.cast("int")).withColumn("html", F.when(F.col("page_id") % 101 == 7, damaged).otherwise(F.col("html")))
+    return warc_audit.audit(pages, replica)
+
+
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 highest inner products of each row whose id is divisible by 50."""
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -62,7 +71,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op9_vector_search, op10_quality)}
+    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op8_warc_audit, op9_vector_search, op10_quality)}
 
 
 OP4_SQL = """
@@ -106,6 +115,22 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP8_SQL = """
+WITH w AS (
+  SELECT page_id, page_id // 1024 AS segment, html, 'WARC/1.0\\r\\nWARC-Type: response\\r\\nWARC-Record-ID: <urn:page:' || page_id || '>\\r\\nWARC-Target-URI: ' || url || '\\r\\nContent-Length: ' AS head,
+    CASE WHEN page_id % 101 = 7 THEN left(html, page_id % length(html)) || '#' || substr(html, page_id % length(html) + 2) ELSE html END AS body
+  FROM pages
+), r AS (
+  SELECT *, head || strlen(html) || '\\r\\n\\r\\n' || html || '\\r\\n\\r\\n' AS a, head || strlen(body) || '\\r\\n\\r\\n' || body || '\\r\\n\\r\\n' AS b FROM w
+), o AS (
+  SELECT page_id, segment, strlen(a) AS length, CAST(sum(strlen(a)) OVER (PARTITION BY segment ORDER BY page_id) - strlen(a) AS BIGINT) AS start, sha256(a) AS digest, sha256(b) AS other
+  FROM r
+)
+SELECT page_id, segment, start, length, CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'changed' END AS kind, digest,
+  CASE WHEN page_id % 211 = 5 THEN NULL ELSE other END AS replica_digest
+FROM o WHERE page_id % 211 = 5 OR digest <> other
+""".replace("\\r", "' || chr(13) || '").replace("\\n", "' || chr(10) || '")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op9_vector_search": OP9_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_warc_audit": OP8_SQL, "op9_vector_search": OP9_SQL}
