@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import bpe, exact_dedup, html_extract, packing, quality, token_counts, url_filter, vector_search, warc_audit, word_codec
+from spectrasieve.llm import bpe, exact_dedup, html_extract, ngram_join, packing, quality, token_counts, url_filter, vector_search, warc_audit, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates on shingles of five words at a Jaccard similarity of 0.75."""
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An audit of all pages against a replica in which set records are damaged or lost."""
     pages = table(spark, sf_dir, "pages")
@@ -71,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op8_warc_audit, op9_vector_search, op10_quality)}
+    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op7_ngram_join, op8_warc_audit, op9_vector_search, op10_quality)}
 
 
 OP4_SQL = """
