@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,3 +43,13 @@ def drop_cut(spark: SparkSession, *frames: DataFrame) -> None:
             if "/cut-" in f:
                 path = spark._jvm.org.apache.hadoop.fs.Path(f)
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counting stops there."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` hinted for a join: broadcast if it has at most ``rows`` (narrow) rows, else a merge join."""
+    return F.broadcast(df) if few(df, rows) else df.hint("merge")

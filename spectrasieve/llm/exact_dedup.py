@@ -120,7 +120,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they came with; of rows that repeat an id and a text, all stay."""
-    gone = deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.unhex("text_sha256").alias("__sha")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)) == F.col("__sha"))
-    return docs.join(common.cut(gone), same, "left_anti")
+    """The rows of ``docs`` that stay, with the columns they came with; rows that repeat an id and a text stay together."""
+    gone = common.cut(deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct())
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    return docs.join(common.sized(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")

@@ -16,7 +16,6 @@ _STEP = np.uint64(0xA0761D6478BD642F)
 _BITS = 20  # log2 of the counters of a sketch row
 _PART = 1 << 14  # counters of a sketch row that travel together
 _SEEDS = [np.uint64(0x2545F4914F6CDD1D * (2 * i + 1) & (1 << 64) - 1) for i in range(16)]
-BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(column, words: int) -> list[np.ndarray]:
@@ -138,8 +137,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
 
 def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` with an id of ``ids``: by broadcast while ids are few, else by a join."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
+    return docs.join(common.sized(ids), "doc_id", "left_semi")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -293,9 +291,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     # What a document's row does not carry: whether it stands for its set, and its label so far.
     copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
     marks = common.cut(copies.distinct().unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
-    few = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    marked = marks.withColumn("marked", F.lit(True))
-    kept = d.where("doc_id is not null").join(F.broadcast(marked) if few else marked.hint("merge"), "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+    marked = common.sized(marks.withColumn("marked", F.lit(True)))
+    kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-tokens * (100 - percent) // 100 // 2_000_000))
     pairs = _candidates(_postings(kept, sketch, words, percent, parts), parts, percent)
@@ -313,3 +310,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     got = rows.select("doc_id", "n", "key").join(of.hint("merge"), ["n", "key"], "left")
     got = got.join(final.hint("merge"), got.doc_id == final.node, "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of", "label", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each component, that of the least id, and the columns they came with."""
+    found = link(docs, words, percent, id_col=id_col, text_col=text_col)
+    gone = common.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(common.sized(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
