@@ -171,10 +171,28 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return got
 
 
+def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
+    """(doc_id, score): the mean logarithm of the counts of a document's tokens, as a whole number.
+
+    Among near copies the one whose tokens most others share has the highest score.
+    """
+
+    def task(batches):
+        import pyarrow as pa
+
+        row = sketch.value[0]
+        for b in batches:
+            for at, part in hashing.slices(b.column("text")):
+                score = [int(1000 * np.log2(1.0 + row[mix(s ^ _SEEDS[0]) >> np.uint64(64 - _BITS)]).mean()) if len(s) else 0 for s in shingle_sets(part, words)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(score, pa.int64())], ["doc_id", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score long")
+
+
 def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) -> DataFrame:
     """Prefix tokens of (doc_id, label, text) under each order, packed by part of the token space.
 
-    A row holds (part, tokens, docs, labels, sizes) as arrays; within a part 32 bits stand for a token,
+    A row holds (part, tokens, docs, labels, sizes, places in the order) as arrays; within a part 32 bits stand for a token,
     so different tokens may meet, which adds candidates but loses none.
     """
 
@@ -185,12 +203,12 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) ->
         held, size = [], 0
 
         def flush():
-            part, token, doc, label, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            part, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.argsort(part, kind="stable")
             part = part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
-            cols = [[int(p) for p in part[np.concatenate([[0], cuts])]]] + [[x.tobytes() for x in np.split(c[order], cuts)] for c in (token, doc, label, n)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 4), strict=True)], ["part", "tokens", "docs", "labels", "sizes"])
+            cols = [[int(p) for p in part[np.concatenate([[0], cuts])]]] + [[x.tobytes() for x in np.split(c[order], cuts)] for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "tokens", "docs", "labels", "sizes", "places"])
 
         for b in batches:
             ids, labels = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
@@ -204,17 +222,18 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) ->
                             continue
                         p = prefix_length(len(s), percent)
                         r = ranks[edges[i] : edges[i + 1]]
-                        t = mix(s[np.argpartition(r, p - 1)[:p]] if p < len(s) else s)
+                        at_rank = np.argpartition(r, p - 1)[:p] if p < len(s) else np.arange(p)
+                        t = mix(s[at_rank[np.argsort(r[at_rank])]])
                         part = k * parts + ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4")))
+                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), np.arange(p, dtype="<u4")))
                         size += p
-                if size > 1_500_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("doc_id", "label", "text").mapInArrow(task, "part long, tokens binary, docs binary, labels binary, sizes binary")
+    return docs.select("doc_id", "label", "text").mapInArrow(task, "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
 
 
 def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -224,16 +243,15 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         k = table.column("part")[0].as_py() // parts if len(table) else 0
-        token, doc, label, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()] or [np.zeros(0, t)]) for c, t in (("tokens", "<u4"), ("docs", "<i8"), ("labels", "<i8"), ("sizes", "<u4")))
+        token, doc, label, n, place = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)] or [np.zeros(0, t)]) for c, t in (("tokens", "<u4"), ("docs", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("places", "<u4")))
         order = np.argsort(token, kind="stable")
-        token, label = token[order], label[order]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        by, of = token[order], label[order]
+        begin = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
         if len(begin):  # lists whose documents all have one label are settled
-            mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
-            order = order[np.repeat(mixed, np.diff(np.append(begin, len(token))))]
-        token, doc, label, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()] or [np.zeros(0, t)])[order] for c, t in (("tokens", "<u4"), ("docs", "<i8"), ("labels", "<i8"), ("sizes", "<u4")))
-        order = np.lexsort((doc, n, token))
-        token, doc, label, n = token[order], doc[order], label[order], n[order].astype(np.int64)
+            mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+            order = order[np.repeat(mixed, np.diff(np.append(begin, len(by))))]
+        order = order[np.lexsort((doc[order], n[order], token[order]))]
+        token, doc, label, n, place = token[order], doc[order], label[order], n[order].astype(np.int64), place[order].astype(np.int64)
         left = np.arange(len(token))
         found, size, d = [], 0, 0
         done = []
@@ -241,7 +259,11 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
             d += 1
             left = left[left + d < len(token)]
             left = left[(token[left] == token[left + d]) & (100 * n[left] >= percent * n[left + d])]
-            hit = left[(label[left] != label[left + d])]
+            hit = left[label[left] != label[left + d]]
+            # The first token that a pair shares leaves room for the overlap that the threshold asks of both.
+            both = n[hit] + n[hit + d]
+            least = -(-percent * both // (100 + percent))
+            hit = hit[(n[hit] - place[hit] >= least) & (n[hit + d] - place[hit + d] >= least)]
             a, b = doc[hit], doc[hit + d]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             size += len(hit)
@@ -263,8 +285,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
 
     1. One scan gives each document's set key and counts all tokens in sketches of fixed size.
     2. Equal sets become one representative.
-    3. Representatives that share most of ``n_first`` least-token values are verified against
-       one of them, their hub; what links is contracted to a component. This only saves work.
+    3. Representatives that share several of ``n_first`` least-token values are verified against the
+       most central of them, their hub; what links is contracted to a component. This only saves work.
     4. Under each of ``n_orders`` global orders (rarest token first, ties and counters of their own),
        documents of different components that share a token of their prefixes are candidates; candidates of
        all orders are intersected, then verified on the whole texts.
@@ -282,9 +304,14 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("first").alias("first")).where("rep is not null"))
 
     shared = classes.select("rep", F.posexplode("first").alias("k", "token"))
-    hubs = shared.groupBy("k", "token").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    votes = shared.join(common.cut(hubs).hint("merge"), ["k", "token"]).where("hub <> rep").groupBy("rep", "hub").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", (-F.col("hub")).alias("h"))).alias("best")).where(f"best.votes >= {max(1, n_first * 3 // 8)}")
+    lists = common.cut(shared.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").select("k", "token"))
+    listed = common.cut(shared.join(lists.hint("merge"), ["k", "token"]))
+    scores = _centrality(_fetch(d, common.cut(listed.select(F.col("rep").alias("doc_id")).distinct())), sketch, words)
+    scores = common.cut(scores.groupBy(F.col("doc_id").alias("rep")).agg(F.max("score").alias("score")))
+    listed = listed.join(scores, "rep")
+    hubs = common.cut(listed.groupBy("k", "token").agg(F.max(F.struct("score", (-F.col("rep")).alias("h"))).alias("m")).select("k", "token", F.col("m.score").alias("hub_score"), (-F.col("m.h")).alias("hub")))
+    votes = listed.join(hubs.hint("merge"), ["k", "token"]).where("hub <> rep").groupBy("rep", "hub", "hub_score").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", "hub_score", (-F.col("hub")).alias("h"))).alias("best")).where(f"best.votes >= {max(1, n_first * 3 // 8)}")
     links = verified(d, common.cut(chosen.select((-F.col("best.h")).alias("a"), F.col("rep").alias("b"))), words, percent)
     first = components(links)
 
@@ -294,7 +321,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     marked = common.sized(marks.withColumn("marked", F.lit(True)))
     kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-tokens * (100 - percent) // 100 // 2_000_000))
+    parts = max(1, -(-tokens * (100 - percent) // 100 // 500_000))
     pairs = _candidates(_postings(kept, sketch, words, percent, parts), parts, percent)
     pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
     more = verified(d, pairs, words, percent)
