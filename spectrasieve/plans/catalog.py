@@ -1,11 +1,487 @@
-"""Registry of the spectral queries and their SQL."""
+"""Registry of the spectral queries and their DuckDB SQL.
+
+Each query takes (spark, sf_dir). SQL stands beside its query; common parts are the view's
+points ``p`` and, built on it, noise ``z``, regions ``r`` and so on, as common table expressions.
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import functions as F
+
+from spectrasieve import model
+from spectrasieve.functions import order_stats, peaks
+from spectrasieve.operators import basis, calibrate, centroid, noise, regions, report
+from spectrasieve.sources import views
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+SIGMA, SPACING = 0.34, 0.125
+
+
+def query(sql: str | None = None, **variants):
+    """Register a function, once for each view if it takes one: ``name_view``."""
+
+    def add(f):
+        if not variants:
+            QUERIES[f.__name__] = f
+            if sql:
+                SQL[f.__name__] = sql
+        for name, args in variants.items():
+            QUERIES[f"{f.__name__}_{name}"] = lambda spark, sf_dir, args=args: f(spark, sf_dir, **args)
+            if sql:
+                SQL[f"{f.__name__}_{name}"] = sql.replace("{points}", views.points_sql(args.get("view", name))).replace("{k}", str(args.get("k", 3)))
+        return f
+
+    return add
+
+
+def own(view: str, sql: str) -> str:
+    return sql.replace("{points}", views.points_sql(view)).replace("{k}", "3")
+
+
+EMB = {"emb": {"view": "emb"}}
+TWO = EMB | {"evt": {"view": "evt"}}
+ALL = TWO | {"li": {"view": "li"}}
+
+NOISE = """{points},
+l AS (SELECT spectrum_id, list_sort(list(intensity)) AS s, count(*) AS n FROM p GROUP BY 1),
+q AS (SELECT spectrum_id, n, greatest(s[n // 10 + 1], CAST(0 AS DOUBLE)) AS p10, s[n // 4 + 1] AS p25, s[n * 3 // 4 + 1] AS p75 FROM l),
+z AS (SELECT spectrum_id, n, p10 AS baseline, greatest((p75 - p25) / CAST(1.349 AS DOUBLE), p10 * CAST(0.1 AS DOUBLE), CAST(1 AS DOUBLE)) AS noise_sigma FROM q)"""
+SEGMENTS = NOISE + """,
+a AS (SELECT p.*, n, idx - row_number() OVER (PARTITION BY p.spectrum_id ORDER BY idx) AS run FROM p JOIN z USING (spectrum_id) WHERE intensity > baseline + {k} * noise_sigma),
+g AS (SELECT spectrum_id, n, min(idx) AS start_idx, max(idx) AS end_idx FROM a GROUP BY spectrum_id, n, run)"""
+MERGED = SEGMENTS + """,
+m0 AS (SELECT *, CASE WHEN start_idx > lag(end_idx) OVER w + 3 OR lag(end_idx) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM g WINDOW w AS (PARTITION BY spectrum_id ORDER BY start_idx)),
+m1 AS (SELECT *, sum(new) OVER (PARTITION BY spectrum_id ORDER BY start_idx) AS island FROM m0),
+m AS (SELECT spectrum_id, n, min(start_idx) AS start_idx, max(end_idx) AS end_idx FROM m1 GROUP BY spectrum_id, n, island)"""
+REGIONS = MERGED + """,
+e AS (SELECT spectrum_id, greatest(0, start_idx - 3) AS start_idx, least(n - 1, end_idx + 3) AS end_idx FROM m),
+r AS (SELECT spectrum_id, CAST(row_number() OVER (PARTITION BY spectrum_id ORDER BY start_idx, end_idx) - 1 AS INTEGER) AS region_idx, CAST(start_idx AS INTEGER) AS start_idx, CAST(end_idx AS INTEGER) AS end_idx,
+  200 + start_idx * CAST(0.125 AS DOUBLE) AS mz_start, 200 + end_idx * CAST(0.125 AS DOUBLE) AS mz_end FROM e WHERE end_idx - start_idx + 1 >= 3)"""
+
+
+@query(f"WITH {NOISE} SELECT spectrum_id, CAST(n AS INTEGER) AS n, baseline, noise_sigma FROM z", **ALL)
+def rough_noise(spark, sf_dir, view):
+    return regions.noise_table(views.spectra(spark, sf_dir, view))
+
+
+@query("""WITH {points}, d AS (SELECT spectrum_id, mz - lag(mz) OVER (PARTITION BY spectrum_id ORDER BY idx) AS gap FROM p),
+l AS (SELECT spectrum_id, list_sort(list(gap)) AS s, count(gap) AS n FROM d WHERE gap IS NOT NULL GROUP BY 1)
+SELECT spectrum_id, s[n // 2 + 1] AS spacing, (s[n * 9 // 10 + 1] - s[n // 10 + 1]) / s[n // 2 + 1] AS spread, (s[n * 9 // 10 + 1] - s[n // 10 + 1]) / s[n // 2 + 1] > 0.1 AS uneven FROM l""", **EMB)
+def grid_spacing(spark, sf_dir, view):
+    return views.spectra(spark, sf_dir, view).select("spectrum_id", order_stats.grid_spacing(F.col("mz")).alias("g")).select("spectrum_id", "g.*")
+
+
+INSPECT = """WITH {points}, d AS (SELECT *, mz - lag(mz) OVER (PARTITION BY spectrum_id ORDER BY idx) AS gap FROM p),
+i AS (SELECT spectrum_id, 2 AS ms_level, count(*) AS n_points, min(mz) AS mz_first, max(mz) AS mz_last, max(intensity) AS max_intensity, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL))[count(gap) // 2 + 1] AS median_gap FROM d GROUP BY 1)"""
+
+
+@query(f"{INSPECT} SELECT * FROM i", **TWO)
+def inspect(spark, sf_dir, view):
+    return report.inspect(views.spectra(spark, sf_dir, view))
+
+
+@query(f"{INSPECT} SELECT count(*) AS n_spectra, CAST(0 AS BIGINT) AS n_ms1, count(*) AS n_other, CAST(sum(n_points) AS BIGINT) AS n_points FROM i", **TWO)
+def inspect_summary(spark, sf_dir, view):
+    return report.summary(report.inspect(views.spectra(spark, sf_dir, view)))
+
+
+@query(f"WITH {SEGMENTS} SELECT spectrum_id, idx, mz, intensity FROM a", **TWO)
+def above_threshold(spark, sf_dir, view):
+    return regions.above(regions.with_noise(views.spectra(spark, sf_dir, view))).select("spectrum_id", "idx", "mz", "intensity")
+
+
+@query(f"WITH {SEGMENTS} SELECT spectrum_id, start_idx, end_idx FROM g", **TWO)
+def segments(spark, sf_dir, view):
+    return regions.segments(regions.with_noise(views.spectra(spark, sf_dir, view))).drop("n")
+
+
+@query(f"WITH {MERGED} SELECT spectrum_id, start_idx, end_idx FROM m", **TWO)
+def segments_merged(spark, sf_dir, view):
+    return regions.merged(regions.segments(regions.with_noise(views.spectra(spark, sf_dir, view)))).drop("n")
+
+
+@query(f"""WITH {REGIONS}, t AS (SELECT r.*, intensity, idx, row_number() OVER (PARTITION BY r.spectrum_id, region_idx ORDER BY intensity DESC, idx) AS k FROM r JOIN p ON p.spectrum_id = r.spectrum_id AND idx BETWEEN start_idx AND end_idx)
+SELECT spectrum_id, region_idx, start_idx, end_idx, mz_start, mz_end, intensity AS max_intensity, idx AS apex_idx FROM t WHERE k = 1""", **TWO, li={"view": "li", "k": 1.5})
+def signal_regions(spark, sf_dir, view, k=3.0):
+    return regions.detect(views.spectra(spark, sf_dir, view), k)
+
+
+@query(f"WITH {REGIONS} SELECT spectrum_id, region_idx, end_idx - start_idx + 1 AS width_points, mz_end - mz_start AS width_mz, (mz_start + mz_end) / 2 AS center_mz FROM r", **EMB)
+def region_shape(spark, sf_dir, view):
+    return regions.with_shape(regions.detect(views.spectra(spark, sf_dir, view))).select("spectrum_id", "region_idx", "width_points", "width_mz", "center_mz")
+
+
+@query(f"""WITH {REGIONS} SELECT a.spectrum_id, a.region_idx AS left_idx, b.region_idx AS right_idx, a.end_idx - b.start_idx + 1 AS shared
+FROM r a JOIN r b ON a.spectrum_id = b.spectrum_id AND b.region_idx = a.region_idx + 1 AND b.start_idx <= a.end_idx""", **TWO)
+def region_overlap_pairs(spark, sf_dir, view):
+    return regions.overlaps(regions.detect(views.spectra(spark, sf_dir, view)))
+
+
+@query(f"WITH {REGIONS} SELECT spectrum_id, idx, mz, intensity FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx)", **TWO)
+def gap_points(spark, sf_dir, view):
+    s = views.spectra(spark, sf_dir, view)
+    return regions.gap_points(s, regions.detect(s))
+
+
+@query(f"""WITH {REGIONS}, i AS (SELECT p.spectrum_id, idx, EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx) AS c FROM p)
+SELECT spectrum_id, CAST(count(*) AS INTEGER) AS n_points, count(*) FILTER (WHERE c) AS n_covered, count(*) FILTER (WHERE c) / count(*) AS share FROM i GROUP BY 1""", **EMB)
+def region_coverage(spark, sf_dir, view):
+    s = views.spectra(spark, sf_dir, view)
+    return regions.coverage(s, regions.detect(s))
+
+
+KNOTS = own("evt", REGIONS) + """,
+gp AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx)),
+ends AS (SELECT spectrum_id, min(mz) AS first, max(mz) AS last FROM p GROUP BY 1),
+cen AS (SELECT spectrum_id, w, first + CAST(1 AS DOUBLE) + w * CAST(0.5 AS DOUBLE) AS center, last FROM ends, range(0, 1000) t(w)),
+win AS (SELECT cen.spectrum_id, w, center, count(*) AS n, sqrt(avg(intensity * intensity)) AS rms FROM cen JOIN gp ON gp.spectrum_id = cen.spectrum_id AND mz BETWEEN center - 1 AND center + 1 WHERE center <= last - 1 GROUP BY ALL HAVING count(*) >= 5 AND sqrt(avg(intensity * intensity)) > 0),
+k AS (SELECT win.spectrum_id, w, center, greatest(rms, noise_sigma * CAST(0.1 AS DOUBLE)) AS noise FROM win JOIN z USING (spectrum_id)),
+s0 AS (SELECT *, list_sort(list(noise) OVER (PARTITION BY spectrum_id ORDER BY center ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS near, count(*) OVER (PARTITION BY spectrum_id) AS kn FROM k),
+s AS (SELECT spectrum_id, w, center, noise, CASE WHEN kn < 3 THEN noise ELSE near[len(near) // 2 + 1] END AS smooth FROM s0),
+v AS (SELECT r.spectrum_id, region_idx, (mz_start + mz_end) / 2 AS center_mz,
+  (SELECT arg_max(struct_pack(c := center, v := smooth), center) FROM s WHERE s.spectrum_id = r.spectrum_id AND center < (mz_start + mz_end) / 2) AS a,
+  (SELECT arg_min(struct_pack(c := center, v := smooth), center) FROM s WHERE s.spectrum_id = r.spectrum_id AND center >= (mz_start + mz_end) / 2) AS b FROM r),
+t AS (SELECT spectrum_id, region_idx, center_mz, CASE WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * ((center_mz - a.c) / (b.c - a.c)) END AS noise FROM v)"""
+
+
+def _evt(spark, sf_dir):
+    s = views.spectra(spark, sf_dir, "evt")
+    found = regions.detect(s)
+    win = noise.windows(s, regions.gap_points(s, found), 2.0, 0.5)
+    return s, found, win, noise.smoothed(noise.floored(win, regions.noise_table(s)))
+
+
+@query(f"WITH {KNOTS} SELECT spectrum_id, CAST(w AS BIGINT) AS w, center, n, round(rms, 6) AS rms FROM win")
+def gap_noise_windows(spark, sf_dir):
+    return _evt(spark, sf_dir)[2].withColumn("rms", F.round("rms", 6))
+
+
+@query(f"WITH {KNOTS} SELECT spectrum_id, CAST(w AS BIGINT) AS w, center, round(noise, 6) AS noise, round(smooth, 6) AS smooth FROM s")
+def noise_smoothed(spark, sf_dir):
+    return _evt(spark, sf_dir)[3].withColumns({"noise": F.round("noise", 6), "smooth": F.round("smooth", 6)})
+
+
+def _interpolated(spark, sf_dir):
+    s, found, _, smooth = _evt(spark, sf_dir)
+    rows = found.join(noise.knots(smooth), "spectrum_id", "left").withColumn("center_mz", (F.col("mz_start") + F.col("mz_end")) / 2)
+    return s, rows.select("spectrum_id", "region_idx", "center_mz", noise.at(F.col("knots"), F.col("center_mz")).alias("noise"))
+
+
+@query(f"WITH {KNOTS} SELECT spectrum_id, region_idx, center_mz, round(noise, 6) AS noise FROM t")
+def noise_interpolated(spark, sf_dir):
+    return _interpolated(spark, sf_dir)[1].withColumn("noise", F.round("noise", 6))
+
+
+@query(f"WITH {KNOTS} SELECT t.spectrum_id, region_idx, coalesce(abs(3 * noise - 3 * noise_sigma) / (3 * noise_sigma) > 0.2, false) AS refit FROM t JOIN z USING (spectrum_id)")
+def needs_refit(spark, sf_dir):
+    s, rows = _interpolated(spark, sf_dir)
+    rows = rows.join(regions.noise_table(s).select("spectrum_id", "noise_sigma"), "spectrum_id")
+    return rows.select("spectrum_id", "region_idx", noise.needs_refit(3 * F.col("noise_sigma"), 3 * F.col("noise")).alias("refit"))
+
+
+@query("""WITH RECURSIVE s(sigma, h) AS (VALUES (CAST(0.34 AS DOUBLE), CAST(0.125 AS DOUBLE)), (CAST(0.255 AS DOUBLE), CAST(1 AS DOUBLE) / 15), (CAST(0.212 AS DOUBLE), CAST(1 AS DOUBLE) / 30)),
+g AS (SELECT sigma, h, k, sigma * sqrt(pi()) / h * exp(-((k * h) ** 2) / (4 * sigma ** 2)) AS v, sigma * sqrt(pi()) / h AS g0 FROM s, range(0, 200) t(k))
+SELECT sigma, CAST(k AS INTEGER) AS k, round(v, 9) AS g FROM g x WHERE k <= (SELECT min(k) FROM g y WHERE y.sigma = x.sigma AND k > 0 AND v < g0 * 1e-6) - 1""")
+def gram_row(spark, sf_dir):
+    rows = [(s, peaks.gram_row(s, h).tolist()) for s, h in ((0.34, 0.125), (0.255, 1 / 15), (0.212, 1 / 30))]
+    df = spark.createDataFrame(rows, "sigma double, g array<double>")
+    return df.select("sigma", F.posexplode("g").alias("k", "g")).withColumn("g", F.round("g", 9))
+
+
+RATES = ", ".join(f"(CAST({r!r} AS DOUBLE), '{c}', '{w}', CAST({f!r} AS DOUBLE), CAST({s!r} AS DOUBLE), CAST({h if h is None else repr(h)} AS DOUBLE))".replace("None", "NULL") for r, c, w, f, s, h in model.SCAN_RATES)
+RATE_TABLE = f"rates AS (SELECT * FROM (VALUES {RATES}) t(rate, code, word, fwhm, sigma, grid_spacing))"
+
+
+@query(f"WITH {RATE_TABLE} SELECT *, sigma * 2.355::DOUBLE AS fwhm_of_sigma, sigma / grid_spacing AS points_a_sigma FROM rates")
+def scan_rate_table(spark, sf_dir):
+    return peaks.scan_rates(spark).withColumns({"fwhm_of_sigma": peaks.fwhm(F.col("sigma")), "points_a_sigma": F.col("sigma") / F.col("grid_spacing")})
+
+
+@query(f"""WITH {RATE_TABLE}, s AS (SELECT s_suppkey, s_acctbal / 10000 AS sigma FROM supplier)
+SELECT s_suppkey, arg_min(rate, abs(rates.sigma - s.sigma)) AS rate, arg_min(fwhm, abs(rates.sigma - s.sigma)) AS fwhm, arg_min(rates.sigma, abs(rates.sigma - s.sigma)) AS sigma FROM s, rates GROUP BY s_suppkey""")
+def nearest_scan_rate(spark, sf_dir):
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select("s_suppkey", peaks.nearest_scan_rate(F.col("s_acctbal") / 10000).alias("n")).select("s_suppkey", "n.*")
+
+
+FILTERS = """f AS (SELECT event_id, user_id, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 2 END AS ms_level,
+  'ITMS + p NSI ' || CASE event_type WHEN 'click' THEN 'n' WHEN 'view' THEN 'r' WHEN 'purchase' THEN 't' ELSE event_type END || ' Full ms' AS filter_string FROM events),
+c AS (SELECT *, CASE regexp_extract(filter_string, 'NSI (.)', 1) WHEN 'n' THEN CAST(0.212 AS DOUBLE) WHEN 'r' THEN CAST(0.255 AS DOUBLE) WHEN 't' THEN CAST(0.34 AS DOUBLE) WHEN 'u' THEN CAST(0.849 AS DOUBLE) END AS sigma FROM f)"""
+
+
+def _filters(spark, sf_dir):
+    t = F.col("event_type")
+    code = F.when(t == "click", "n").when(t == "view", "r").when(t == "purchase", "t").otherwise(t)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("filter_string", F.concat(F.lit("ITMS + p NSI "), code, F.lit(" Full ms")))
+    return e.select("event_id", "user_id", F.when(F.col("user_id") % 3 == 0, 1).otherwise(2).alias("ms_level"), "filter_string", peaks.filter_code_sigma(F.col("filter_string")).alias("sigma"))
+
+
+@query(f"WITH {FILTERS} SELECT event_id, filter_string, sigma FROM c")
+def filter_code_sigma(spark, sf_dir):
+    return _filters(spark, sf_dir).select("event_id", "filter_string", "sigma")
+
+
+@query(f"""WITH {FILTERS}, h AS (SELECT *, row_number() OVER (PARTITION BY ms_level ORDER BY event_id) AS k FROM c)
+SELECT ms_level, CASE WHEN max(sigma) - min(sigma) < 1e-6 THEN min(sigma) END AS sigma, count(sigma) AS n FROM h WHERE k <= 10 GROUP BY 1""")
+def filter_code_agreement(spark, sf_dir):
+    return calibrate.agreement(_filters(spark, sf_dir).withColumn("scan_number", F.col("event_id")))
+
+
+GRID = own("emb", REGIONS) + """,
+gr AS (SELECT spectrum_id, region_idx, start_idx, end_idx, mz_start, mz_end, unnest(range(CAST(floor(mz_start / 0.125::DOUBLE) AS BIGINT) - 1, CAST(ceil(mz_end / 0.125::DOUBLE) AS BIGINT) + 3)) AS i FROM r),
+grid AS (SELECT *, CAST(row_number() OVER (PARTITION BY spectrum_id, region_idx ORDER BY i) - 1 AS INTEGER) AS j, i * 0.125::DOUBLE AS grid_mz FROM gr WHERE i * 0.125::DOUBLE BETWEEN mz_start - 0.125::DOUBLE AND mz_end + 0.125::DOUBLE),
+dot AS (SELECT grid.spectrum_id, region_idx, j, grid_mz, sum(intensity * exp(-((mz - grid_mz) ** 2) / (2 * 0.34::DOUBLE ** 2))) AS aty FROM grid JOIN p ON p.spectrum_id = grid.spectrum_id AND idx BETWEEN start_idx AND end_idx GROUP BY ALL)"""
+
+
+@query(f"WITH {GRID} SELECT spectrum_id, region_idx, j, grid_mz FROM grid")
+def basis_grid(spark, sf_dir):
+    return basis.grid(regions.detect(views.spectra(spark, sf_dir, "emb")), SPACING)
+
+
+def _aty(spark, sf_dir):
+    s = views.spectra(spark, sf_dir, "emb")
+    return s, basis.aty(s, regions.detect(s), SIGMA, SPACING)
+
+
+@query(f"WITH {GRID} SELECT spectrum_id, region_idx, j, grid_mz, round(aty, 4) AS aty FROM dot")
+def aty(spark, sf_dir):
+    return _aty(spark, sf_dir)[1].withColumn("aty", F.round("aty", 4))
+
+
+@query(f"WITH {GRID} SELECT dot.spectrum_id, region_idx, j, round(greatest(aty - 3 * noise_sigma, 0) / (0.34::DOUBLE * sqrt(pi()) / 0.125::DOUBLE), 4) AS beta FROM dot JOIN z USING (spectrum_id)")
+def lasso_first_sweep(spark, sf_dir):
+    s, products = _aty(spark, sf_dir)
+    return basis.first_sweep(products, regions.noise_table(s), SIGMA, SPACING).select("spectrum_id", "region_idx", "j", F.round("beta", 4).alias("beta"))
+
+
+@query("WITH {points} SELECT spectrum_id, ms_level, level_class, sigma, g0 FROM (SELECT DISTINCT spectrum_id, CAST(2 AS SMALLINT) AS ms_level, CAST(2 AS INTEGER) AS level_class, 0.34::DOUBLE AS sigma, round(0.34::DOUBLE * sqrt(pi()) / 0.125::DOUBLE, 9) AS g0 FROM p)", **EMB)
+def level_basis(spark, sf_dir, view):
+    b = basis.level_basis(spark, (0.255, SIGMA), (1 / 15, SPACING))
+    return basis.with_basis(views.spectra(spark, sf_dir, view), b).select("spectrum_id", "ms_level", "level_class", "sigma", F.round("g0", 9).alias("g0"))
+
+
+NEIGHBOURS = """t AS (SELECT *, lag(mz) OVER w AS x0, lead(mz) OVER w AS x2, lag(intensity) OVER w AS y0, lead(intensity) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY spectrum_id ORDER BY idx)),
+mx AS (SELECT * FROM t WHERE intensity > y0 AND intensity > y2),
+pos AS (SELECT *, (ln(y0) - 2 * ln(intensity) + ln(y2)) / (2 * ((mz - x0 + x2 - mz) / 2) ** 2) AS a, (ln(y2) - ln(y0)) / (2 * ((mz - x0 + x2 - mz) / 2)) AS b, (mz - x0 + x2 - mz) / 2 AS h FROM (SELECT * FROM mx WHERE y0 > 0 AND y2 > 0))"""
+
+
+def _triples(spark, sf_dir, view):
+    s = views.spectra(spark, sf_dir, view)
+    m = report.local_maxima(s).drop("mz", "intensity").join(s.select("spectrum_id", "mz", "intensity"), "spectrum_id")
+    at = lambda c, k: F.get(c, F.col("idx") + k).cast("double")
+    return m.select("spectrum_id", "idx", *[at(c, k).alias(f"{n}{k + 1}") for n, c in (("x", "mz"), ("y", "intensity")) for k in (-1, 0, 1)])
+
+
+@query(f"WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, mz, intensity FROM mx", **TWO)
+def local_maxima(spark, sf_dir, view):
+    return report.local_maxima(views.spectra(spark, sf_dir, view))
+
+
+@query(f"WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, round(mz - b / (2 * a), 6) AS center, round(sqrt(-1 / (2 * a)), 6) AS sigma FROM pos WHERE a < 0 AND abs(b / (2 * a)) <= 2 * h", **EMB)
+def three_point_fit(spark, sf_dir, view):
+    t = _triples(spark, sf_dir, view)
+    fit = peaks.three_point_fit(*[F.col(c) for c in ("x0", "x1", "x2", "y0", "y1", "y2")])
+    return t.select("spectrum_id", "idx", fit.alias("f")).where("f is not null").select("spectrum_id", "idx", F.round("f.center", 6).alias("center"), F.round("f.sigma", 6).alias("sigma"))
+
+
+@query(f"""WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, round(CASE WHEN y0 > 0 AND y2 > 0 AND (ln(greatest(y0, 1e-300)) - 2 * ln(intensity) + ln(greatest(y2, 1e-300))) < 0
+  AND abs((ln(y2) - ln(y0)) / (2 * (ln(y0) - 2 * ln(intensity) + ln(y2))) * (mz - x0)) <= 0.5 * (mz - x0) THEN mz - (ln(y2) - ln(y0)) / (2 * (ln(y0) - 2 * ln(intensity) + ln(y2))) * (mz - x0) ELSE mz END, 6) AS vertex FROM mx""".replace("ln(y0)", "ln(nullif(y0, 0))").replace("ln(y2)", "ln(nullif(y2, 0))"), **EMB)
+def log_parabola(spark, sf_dir, view):
+    t = _triples(spark, sf_dir, view)
+    v = peaks.log_parabola(F.col("x1"), F.col("x1") - F.col("x0"), F.col("y0"), F.col("y1"), F.col("y2"))
+    return t.select("spectrum_id", "idx", F.round(v, 6).alias("vertex"))
+
+
+@query(f"""WITH {{points}}, {NEIGHBOURS}, o AS (SELECT *, idx - lag(idx) OVER w AS da, lead(idx) OVER w - idx AS db FROM mx WINDOW w AS (PARTITION BY spectrum_id ORDER BY idx))
+SELECT spectrum_id, idx, mz, intensity FROM o WHERE coalesce(da, 99) > 3 AND coalesce(db, 99) > 3""", **EMB)
+def isolated_maxima(spark, sf_dir, view):
+    return report.isolated(report.local_maxima(views.spectra(spark, sf_dir, view)), 3)
+
+
+SCALE_SQL = ", ".join(f"({i}, {s}::DOUBLE)" for i, s in enumerate(model.SCALES))
+RICKER = f"""sc AS (SELECT * FROM (VALUES {SCALE_SQL}) t(scale_idx, s)),
+k0 AS (SELECT scale_idx, s, unnest(range(-CAST(ceil(5 * s) AS BIGINT), CAST(ceil(5 * s) AS BIGINT) + 1)) AS i FROM sc),
+k1 AS (SELECT *, 2 / (sqrt(3 * s) * pi() ** 0.25) * (1 - (i / s) ** 2) * exp(-((i / s) ** 2) / 2) AS v FROM k0),
+ker AS (SELECT scale_idx, s, i, v - avg(v) OVER (PARTITION BY scale_idx) AS v FROM k1)"""
+
+
+@query(f"WITH {RICKER} SELECT CAST(scale_idx AS INTEGER) AS scale_idx, CAST(i + ceil(5 * s) AS INTEGER) AS i, round(v, 9) AS v FROM ker")
+def ricker_kernel(spark, sf_dir):
+    rows = [(k, peaks.ricker(s).tolist()) for k, s in enumerate(model.SCALES)]
+    return spark.createDataFrame(rows, "scale_idx int, v array<double>").select("scale_idx", F.posexplode("v").alias("i", "v")).withColumn("v", F.round("v", 9))
+
+
+def cwt(spectra, scales=model.SCALES):
+    """(spectrum_id, scale_idx, idx, response): the scalogram, a row a coefficient."""
+    import numpy as np
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for key, y in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                got = peaks.scalogram(np.asarray(y.values if y.is_valid else [], np.float64), scales)
+                m, n = got.shape
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m * n, key)), pa.array(np.repeat(np.arange(m, dtype=np.int32), n)), pa.array(np.tile(np.arange(n, dtype=np.int32), m)), pa.array(got.ravel())], ["spectrum_id", "scale_idx", "idx", "response"])
+
+    return spectra.select("spectrum_id", "intensity").mapInArrow(task, "spectrum_id long, scale_idx int, idx int, response double")
+
+
+CWT = f"""{RICKER}, {{points}},
+res AS (SELECT a.spectrum_id, scale_idx, a.idx, sum(b.intensity * v) AS response FROM p a JOIN p b ON a.spectrum_id = b.spectrum_id JOIN ker ON ker.i = b.idx - a.idx GROUP BY ALL)"""
+
+
+@query(f"WITH {CWT} SELECT spectrum_id, CAST(scale_idx AS INTEGER) AS scale_idx, idx, round(response, 3) AS response FROM res WHERE scale_idx = 2", **EMB)
+def cwt_response(spark, sf_dir, view):
+    return cwt(views.spectra(spark, sf_dir, view)).where("scale_idx = 2").withColumn("response", F.round("response", 3))
+
+
+ENVELOPE = f"""{CWT}, env AS (SELECT spectrum_id, idx, greatest(max(response), 0) AS best, arg_max(scale_idx, struct_pack(r := greatest(response, 0), k := -scale_idx)) AS scale_idx FROM res GROUP BY 1, 2),
+lim AS (SELECT spectrum_id, 0.1::DOUBLE * list_sort(list(best))[least(count(*) * 99 // 100, count(*) - 1) + 1] AS least FROM env GROUP BY 1),
+mm AS (SELECT env.*, lag(best) OVER w AS b0, lead(best) OVER w AS b2 FROM env WINDOW w AS (PARTITION BY spectrum_id ORDER BY idx)),
+lm AS (SELECT mm.* FROM mm JOIN lim USING (spectrum_id) WHERE least > 0 AND best > least AND best > b0 AND best > b2),
+iso0 AS (SELECT *, idx - lag(idx) OVER w AS da, lead(idx) OVER w - idx AS db FROM lm WINDOW w AS (PARTITION BY spectrum_id ORDER BY idx)),
+iso AS (SELECT spectrum_id, idx, [{', '.join(map(str, model.SCALES))}][scale_idx + 1]::DOUBLE * 0.447213595::DOUBLE * 0.125::DOUBLE AS sigma FROM iso0 WHERE coalesce(da, 99) > 8 AND coalesce(db, 99) > 8)"""
+
+
+@query(f"WITH {ENVELOPE} SELECT spectrum_id, idx, round(sigma, 9) AS sigma FROM iso", **EMB)
+def cwt_sigma_estimates(spark, sf_dir, view):
+    return calibrate.sigma_estimates(views.spectra(spark, sf_dir, view), SPACING).withColumn("sigma", F.round("sigma", 9))
+
+
+@query(f"""WITH {ENVELOPE}, md AS (SELECT list_sort(list(sigma))[count(*) // 2 + 1] AS median FROM iso),
+dv AS (SELECT median, list_sort(list(abs(sigma - median)))[count(*) // 2 + 1] AS mad FROM iso, md GROUP BY median)
+SELECT count(*) AS n, round(avg(sigma), 9) AS sigma FROM iso, dv WHERE abs(sigma - median) <= 2 * greatest(mad, 0.01 * median)""", **EMB)
+def sigma_mad_filtered(spark, sf_dir, view):
+    kept = calibrate.mad_filter(calibrate.sigma_estimates(views.spectra(spark, sf_dir, view), SPACING))
+    return kept.agg(F.count("*").alias("n"), F.round(F.avg("sigma"), 9).alias("sigma"))
+
+
+MAXIMA = own("emb", f"{{points}}, {NEIGHBOURS}")
+
+
+@query(f"""WITH RECURSIVE {MAXIMA}, o AS (SELECT spectrum_id, mz, intensity, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz) AS k FROM mx),
+f AS (SELECT spectrum_id, k, mz, intensity, CAST(0 AS BIGINT) AS c FROM o WHERE k = 1 UNION ALL
+  SELECT f.spectrum_id, o.k, CASE WHEN o.mz - f.mz < 0.34::DOUBLE AND f.intensity + o.intensity > 0 THEN (f.mz * f.intensity + o.mz * o.intensity) / (f.intensity + o.intensity) WHEN o.mz - f.mz < 0.34::DOUBLE THEN f.mz ELSE o.mz END,
+    CASE WHEN o.mz - f.mz < 0.34::DOUBLE AND f.intensity + o.intensity > 0 THEN f.intensity + o.intensity WHEN o.mz - f.mz < 0.34::DOUBLE THEN f.intensity ELSE o.intensity END,
+    CASE WHEN o.mz - f.mz < 0.34::DOUBLE THEN f.c ELSE f.c + 1 END FROM f JOIN o ON o.spectrum_id = f.spectrum_id AND o.k = f.k + 1)
+SELECT spectrum_id, CAST(c AS INTEGER) AS centroid_idx, round(arg_max(mz, k), 6) AS mz, round(arg_max(intensity, k), 3) AS intensity FROM f GROUP BY spectrum_id, c""")
+def greedy_merge(spark, sf_dir):
+    m = report.local_maxima(views.spectra(spark, sf_dir, "emb")).groupBy("spectrum_id").agg(F.collect_list(F.struct("mz", "intensity")).alias("c"))
+    rows = m.select("spectrum_id", F.posexplode(peaks.greedy_merge(F.col("c"), F.lit(SIGMA))).alias("centroid_idx", "c"))
+    return rows.select("spectrum_id", "centroid_idx", F.round("c.mz", 6).alias("mz"), F.round("c.intensity", 3).alias("intensity"))
+
+
+def _centroided(spark, sf_dir, view):
+    config = model.Config(noise_window_da=2.0, noise_step_da=0.5)
+    return centroid.centroid(views.spectra(spark, sf_dir, view), config, (SIGMA, SIGMA), (SPACING, SPACING))
+
+
+@query()
+def centroids(spark, sf_dir):
+    return centroid.rows(_centroided(spark, sf_dir, "emb"))
+
+
+@query(evt={"view": "evt"}, li={"view": "li"})
+def centroids_of(spark, sf_dir, view):
+    return centroid.rows(_centroided(spark, sf_dir, view))
+
+
+@query(**TWO)
+def spectrum_stats(spark, sf_dir, view):
+    return _centroided(spark, sf_dir, view).select("spectrum_id", "stats.*")
+
+
+@query(**EMB)
+def calibration(spark, sf_dir, view):
+    got = calibrate.calibrate(views.spectra(spark, sf_dir, view), order="spectrum_id")
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} {'long' if k[0] == 'n' else 'double'}" for k in got))
+
+
+TARGETS = (201.0, 202.5, 203.9, 205.25, 207.1)
+NEAREST = f"""{MAXIMA}, tg AS (SELECT unnest([{', '.join(map(str, TARGETS))}]::DOUBLE[]) AS target),
+nn AS (SELECT spectrum_id, target, mz, intensity, mz - target AS delta, row_number() OVER (PARTITION BY spectrum_id, target ORDER BY abs(mz - target), mz, intensity) AS k FROM mx JOIN tg ON abs(mz - target) <= 0.5),
+nt AS (SELECT spectrum_id, target, mz, intensity, delta FROM nn WHERE k = 1)"""
+
+
+def _nearest(spark, sf_dir):
+    targets = spark.createDataFrame([(t,) for t in TARGETS], "target double")
+    return report.nearest(report.local_maxima(views.spectra(spark, sf_dir, "emb")), targets)
+
+
+@query(f"WITH {NEAREST} SELECT * FROM nt")
+def nearest_target(spark, sf_dir):
+    return _nearest(spark, sf_dir)
+
+
+@query(f"""WITH {NEAREST}, g AS (SELECT spectrum_id % 3 AS rate, target, delta FROM nt)
+SELECT rate, target, count(*) AS n, round(avg(delta), 9) AS mean, median(delta) AS median, median(abs(delta)) AS median_abs FROM g GROUP BY ROLLUP (rate, target)""")
+def delta_summary(spark, sf_dir):
+    d = _nearest(spark, sf_dir).withColumn("rate", F.col("spectrum_id") % 3)
+    return report.delta_summary(d, ["rate", "target"]).withColumn("mean", F.round("mean", 9))
+
+
+@query(f"""WITH {NEAREST}, a AS (SELECT target, spectrum_id, delta FROM nt WHERE spectrum_id % 4 <> 0), b AS (SELECT target, spectrum_id, delta / 2 AS delta FROM nt WHERE spectrum_id % 5 <> 0)
+SELECT target, spectrum_id, a.delta AS delta_a, b.delta AS delta_b, abs(a.delta) - abs(b.delta) AS gain FROM a FULL JOIN b USING (target, spectrum_id)""")
+def method_deltas(spark, sf_dir):
+    d = _nearest(spark, sf_dir)
+    return report.compare_methods(d.where("spectrum_id % 4 <> 0"), d.where("spectrum_id % 5 <> 0").withColumn("delta", F.col("delta") / 2), ["target", "spectrum_id"])
+
+
+@query(f"""WITH {MAXIMA}, g AS (SELECT mz - lag(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) AS gap FROM mx)
+SELECT CASE WHEN gap < 0 THEN 0 WHEN gap >= 3 THEN 13 ELSE CAST(floor(gap / 3 * 12) + 1 AS BIGINT) END AS bucket, count(*) AS n, min(gap) AS least FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+def centroid_gaps(spark, sf_dir):
+    return report.centroid_gaps(report.local_maxima(views.spectra(spark, sf_dir, "emb")), (0.0, 3.0, 12))
+
+
+TOP = f"""{MAXIMA}, rk AS (SELECT spectrum_id, mz, intensity, row_number() OVER (PARTITION BY spectrum_id ORDER BY intensity DESC, mz) AS rank FROM mx),
+top AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY spectrum_id ORDER BY mz) <= 5 THEN 1 ELSE 2 END AS half FROM rk WHERE rank <= 10)"""
+
+
+@query(f"WITH {TOP} SELECT spectrum_id, mz, intensity, CAST(rank AS INTEGER) AS rank, half FROM top")
+def top_ions(spark, sf_dir):
+    return report.top_ions(report.local_maxima(views.spectra(spark, sf_dir, "emb")))
+
+
+@query(f"WITH {TOP} SELECT spectrum_id, mz FROM mx EXCEPT SELECT spectrum_id, mz FROM top")
+def dropped_ions(spark, sf_dir):
+    m = report.local_maxima(views.spectra(spark, sf_dir, "emb"))
+    return m.select("spectrum_id", "mz").exceptAll(report.top_ions(m).select("spectrum_id", "mz")).distinct()
+
+
+@query("WITH {points} SELECT spectrum_id, count(*) AS n, min(mz) AS lo, max(mz) AS hi, sum(intensity) AS total FROM (SELECT spectrum_id, mz, intensity FROM p WHERE mz BETWEEN 201 AND 204) GROUP BY 1", **EMB)
+def crop(spark, sf_dir, view):
+    s = views.points(report.crop(views.spectra(spark, sf_dir, view), 201.0, 204.0))
+    return s.groupBy("spectrum_id").agg(F.count("*").alias("n"), F.min("mz").alias("lo"), F.max("mz").alias("hi"), F.sum("intensity").alias("total"))
+
+
+@query(f"WITH {MAXIMA} SELECT p.spectrum_id, p.mz, round(sum(CASE WHEN abs(p.mz - mx.mz) <= 6 * 0.34::DOUBLE THEN mx.intensity * exp(-(((p.mz - mx.mz) / 0.34::DOUBLE) ** 2) / 2) ELSE 0 END), 3) AS value FROM p JOIN mx ON p.spectrum_id = mx.spectrum_id WHERE mx.mz BETWEEN p.mz - 2.1 AND p.mz + 2.1 GROUP BY ALL")
+def gaussian_reconstruction(spark, sf_dir):
+    s = views.spectra(spark, sf_dir, "emb")
+    got = basis.reconstruct(views.points(s), report.local_maxima(s), SIGMA)
+    return got.withColumn("value", F.round("value", 3))
+
+
+@query(f"""WITH {REGIONS}, kept AS (SELECT spectrum_id, mz, intensity FROM ({{maxima}})), rr AS (SELECT * FROM r WHERE region_idx % 2 = 0)
+SELECT spectrum_id, mz, intensity FROM kept WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.spectrum_id = kept.spectrum_id AND mz BETWEEN mz_start AND mz_end)
+UNION ALL SELECT spectrum_id, (mz_start + mz_end) / 2, CAST(1 AS DOUBLE) FROM rr""".replace("{maxima}", "SELECT *, lag(intensity) OVER w AS y0, lead(intensity) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY spectrum_id ORDER BY idx) QUALIFY intensity > y0 AND intensity > y2"), **EMB)
+def replaced_ranges(spark, sf_dir, view):
+    s = views.spectra(spark, sf_dir, view)
+    again = regions.detect(s).where("region_idx % 2 = 0")
+    redone = again.select("spectrum_id", ((F.col("mz_start") + F.col("mz_end")) / 2).alias("mz"), F.lit(1.0).alias("intensity"))
+    return report.replace_range(report.local_maxima(s).select("spectrum_id", "mz", "intensity"), redone, again.select("spectrum_id", "mz_start", "mz_end"))
+
 
 def queries() -> dict:
-    return {}
+    from spectrasieve.plans import documents  # noqa: F401  registers the document queries
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from spectrasieve.plans import documents  # noqa: F401
+
+    return dict(SQL)
