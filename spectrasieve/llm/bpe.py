@@ -51,6 +51,7 @@ class ChunkTable:
 
     def clear(self):
         self.index: dict[str, int] = {}
+        self._hits = np.zeros(1024, np.int64)
         self._start = np.zeros(1024, np.int64)
         self._flat = np.zeros(4096, np.uint32)
         self.used_start = self.used_flat = 0
@@ -62,12 +63,26 @@ class ChunkTable:
         ends, n = self.used_start + len(chunks), self.used_flat + len(ids)
         if ends >= len(self._start):
             self._start = np.concatenate([self._start, np.zeros(ends + 1024, np.int64)])
+            self._hits = np.concatenate([self._hits, np.zeros(ends + 1024, np.int64)])
         if n > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros(n + 4096, np.uint32)])
         self._start[self.used_start + 1 : ends + 1] = self.used_flat + np.cumsum(lengths)
         self._flat[self.used_flat : n] = ids
         self.used_start, self.used_flat = ends, n
 
+    def shrink(self) -> None:
+        """Keep the quarter of ``limit`` that was asked for most."""
+        names, n = list(self.index), len(self.index)
+        at = np.sort(np.argpartition(-self._hits[:n], self.limit // 4)[: self.limit // 4])
+        ids, lengths = self.gather(at)
+        hits = self._hits[at]
+        self.clear()
+        self.add([names[i] for i in at.tolist()], lengths, ids)
+        self._hits[: len(at)] = hits // 2
+
+    def count(self, at: np.ndarray) -> None:
+        self._hits[: len(self.index)] += np.bincount(at, minlength=len(self.index))
+
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks ``at``, one after the other, and each chunk's count."""
         lo = self._start[at]
@@ -106,10 +121,10 @@ class ByteEncoder:
     New chunks are encoded many at a time: joined again, the table of byte lengths tells where
     each ends. Chunks of Latin characters take the faster core where its ids are the same;
     others, and what may hold a special token, take the library itself. ``limit`` bounds the
-    table's entries; when it is passed the table starts anew, which changes speed only.
+    table's entries; when it is passed the chunks asked for least go, which changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tok = load(path)
         self.size = byte_lengths(path)
         self.core = _merge_core(self.tok)
@@ -122,7 +137,7 @@ class ByteEncoder:
         for t in texts:  # groups of texts of a few MB keep the key lists small
             step.append(t)
             size += len(t)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 out += self._encode(step)
                 step, size = [], 0
         return out + self._encode(step)
@@ -149,7 +164,7 @@ class ByteEncoder:
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.table.index) > self.table.limit:
-            self.table.clear()
+            self.table.shrink()
         keys: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -165,7 +180,9 @@ class ByteEncoder:
         if None in at:
             self._learn(list(dict.fromkeys(k for k, a in zip(keys, at, strict=True) if a is None)))
             at = list(map(get, keys))
-        ids, n = self.table.gather(np.array(at, np.int64))
+        at = np.array(at, np.int64)
+        self.table.count(at)
+        ids, n = self.table.gather(at)
         edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
         return [ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
 

@@ -34,7 +34,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _TABLES["pow"], _TABLES["inv"], _TABLES["byte"]
 
 
-def slices(column, most: int = 2 << 20) -> Iterator:
+def slices(column, most: int = 1 << 19) -> Iterator:
     """Parts of a string column of about ``most`` bytes, a row at least."""
     import pyarrow as pa
 

@@ -227,7 +227,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) ->
                         part = k * parts + ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                         held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), np.arange(p, dtype="<u4")))
                         size += p
-                if size > 500_000:
+                if size > 250_000:
                     yield flush()
                     held, size = [], 0
         if held:
