@@ -1 +1,192 @@
+"""Queries on documents: vocabulary rules, counts, offsets, ranges and mzML round trips."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from spectrasieve import model
+from spectrasieve.operators import centroid, repair, verify
+from spectrasieve.plans.catalog import query
+from spectrasieve.sources import mzml, mzml_sink, views
+from spectrasieve.streaming import stream
+
+ELEMENTS = """el AS (SELECT 'f' || l_linenumber % 3 AS file, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS element, 'run/spectrumList/spectrum' AS path,
+  CASE WHEN l_returnflag = 'A' THEN ['MS:1000580', 'MS:1000128'] WHEN l_returnflag = 'N' THEN ['MS:1000580'] ELSE ['MS:1000511'] END AS own,
+  CASE WHEN l_linestatus = 'O' THEN ['g1'] ELSE CAST([] AS VARCHAR[]) END AS refs FROM lineitem),
+gr AS (SELECT DISTINCT file, 'g1' AS id, CASE WHEN file = 'f1' THEN ['MS:1000128', 'MS:1000580'] ELSE ['MS:1000127'] END AS terms FROM el),
+ac AS (SELECT el.file, element, path, list_distinct(list_concat(own, coalesce(terms, CAST([] AS VARCHAR[])))) AS accessions FROM el LEFT JOIN gr ON gr.file = el.file AND list_contains(refs, gr.id))"""
+
+
+def _elements(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    own = F.when(F.col("l_returnflag") == "A", F.array(F.lit("MS:1000580"), F.lit("MS:1000128"))).when(F.col("l_returnflag") == "N", F.array(F.lit("MS:1000580"))).otherwise(F.array(F.lit("MS:1000511")))
+    refs = F.when(F.col("l_linestatus") == "O", F.array(F.lit("g1"))).otherwise(F.array().cast("array<string>"))
+    rows = li.select(F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("file"), F.xxhash64(*li.columns).alias("element"), F.lit("run/spectrumList/spectrum").alias("path"), own.alias("own"), refs.alias("refs"), "l_returnflag", "l_linestatus")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("element").orderBy("file"))).withColumn("element", F.concat_ws("-", "element", "copy"))
+    terms = F.when(F.col("file") == "f1", F.array(F.lit("MS:1000128"), F.lit("MS:1000580"))).otherwise(F.array(F.lit("MS:1000127")))
+    return rows, rows.select("file").distinct().select("file", F.lit("g1").alias("id"), terms.alias("terms"))
+
+
+@query(f"WITH {ELEMENTS} SELECT file, list_sort(accessions) AS accessions, count(*) AS n FROM ac GROUP BY ALL")
+def param_group_accessions(spark, sf_dir):
+    rows, groups = _elements(spark, sf_dir)
+    got = verify.accessions(rows, groups)
+    return got.groupBy("file", F.array_sort("accessions").alias("accessions")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {ELEMENTS}, ru AS (SELECT * FROM (VALUES ('MS:1000559', 'spectrum type', {verify.DESCENDANTS['MS:1000559'].split()}), ('MS:1000525', 'spectrum representation', {verify.DESCENDANTS['MS:1000525'].split()})) t(parent, label, allowed))
+SELECT file, parent, label, count(*) AS n FROM ac, ru WHERE NOT list_has_any(accessions, allowed) GROUP BY ALL""")
+def cv_rule_failures(spark, sf_dir):
+    rows, groups = _elements(spark, sf_dir)
+    failed = verify.rule_failures(verify.accessions(rows, groups), verify.rules(spark))
+    return failed.groupBy("file", "parent", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) FILTER (WHERE n_chars IS NOT NULL) AS declared, count(*) AS actual, count(DISTINCT doc_id) AS indexed, count(*) FILTER (WHERE n_chars IS NOT NULL) <> count(*) OR count(*) <> count(DISTINCT doc_id) AS mismatch FROM documents GROUP BY source")
+def count_mismatch(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("n_chars").alias("declared"), F.count("*").alias("actual"), F.countDistinct("doc_id").alias("indexed"))
+    return d.withColumn("mismatch", (F.col("declared") != F.col("actual")) | (F.col("actual") != F.col("indexed")))
+
+
+SHORT = "s AS (SELECT doc_id, source, n_chars, n_chars < 200 AS gone FROM documents)"
+
+
+@query("SELECT doc_id, source FROM documents WHERE coalesce(n_chars, 0) < 200")
+def empty_spectra(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.coalesce("n_chars", F.lit(0)) < 200).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS new_index FROM documents WHERE n_chars >= 200")
+def renumber(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars >= 200")
+    return d.select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("new_index"))
+
+
+@query("SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS byte_offset FROM documents")
+def byte_offsets(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("doc_id", "source", (F.sum("n_chars").over(w) - F.col("n_chars")).alias("byte_offset"))
+
+
+RANGES = "rg AS (SELECT l_suppkey AS file, l_orderkey AS begin, l_orderkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem)"
+
+
+def _ranges(spark, sf_dir):
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("begin"), (F.col("l_orderkey") + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query(f"""WITH {RANGES}, a AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY begin, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rg),
+b AS (SELECT *, sum(CASE WHEN begin > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY begin, "end" ROWS UNBOUNDED PRECEDING) AS island FROM a)
+SELECT file, min(begin) AS begin, max("end") AS "end" FROM b GROUP BY file, island""")
+def null_ranges_union(spark, sf_dir):
+    return verify.union_ranges(_ranges(spark, sf_dir))
+
+
+@query("""WITH sp AS (SELECT o_custkey AS file, o_orderkey AS begin, CAST(max(o_orderstatus) AS VARCHAR) AS id FROM orders GROUP BY 1, 2), pt AS (SELECT o_custkey AS file, o_orderkey + 7 AS "offset" FROM orders)
+SELECT pt.file, "offset", CASE WHEN "offset" - begin <= 100 THEN id END AS id FROM pt ASOF LEFT JOIN sp ON pt.file = sp.file AND sp.begin <= "offset" """)
+def null_enclosing_spectrum(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    spans = o.groupBy(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("begin")).agg(F.max("o_orderstatus").alias("id"))
+    return verify.enclosing(o.select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") + 7).alias("offset")), spans, lookback=100)
+
+
+@query("""WITH c AS (SELECT 'x/run' || c_custkey % 40 || CASE c_custkey % 3 WHEN 0 THEN '.centroid' WHEN 1 THEN '.peaks' ELSE '' END || '.mzML' AS file FROM customer),
+s AS (SELECT 'raw' || s_suppkey % 2 || '/run' || s_suppkey % 50 || '.mzML' AS source FROM supplier)
+SELECT c.file, (SELECT min(source) FROM s WHERE regexp_extract(source, '/(run[0-9]+)[.]', 1) = regexp_extract(c.file, '/(run[0-9]+)[.]', 1)) AS source FROM c""")
+def matched_sources(spark, sf_dir):
+    k = F.col("c_custkey")
+    tag = F.when(k % 3 == 0, ".centroid").when(k % 3 == 1, ".peaks").otherwise("")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("x/run"), k % 40, tag, F.lit(".mzML")).alias("file"))
+    s = F.col("s_suppkey")
+    return verify.match_sources(c, spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("raw"), s % 2, F.lit("/run"), s % 50, F.lit(".mzML")).alias("source")))
+
+
+def _folder(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and shared.startswith("file:"):
+        os.makedirs(base := shared.removeprefix("file://").removeprefix("file:"), exist_ok=True)
+        return tempfile.mkdtemp(dir=base)
+    return tempfile.mkdtemp(prefix="spectrasieve-mzml-")
+
+
+def _documents(spark, sf_dir) -> str:
+    """The embedding view as two mzML files in a new folder."""
+    folder = _folder(spark)
+    rows = views.spectra(spark, sf_dir, "emb")
+
+    def write(table):
+        import pyarrow as pa
+
+        part = table.column("part")[0].as_py()
+        records = ({"native_id": f"scan={r['spectrum_id']}", "ms_level": r["ms_level"], "retention_time_min": r["spectrum_id"] / 60, "filter_string": "ITMS + p NSI t Full ms2", "mz": r["mz"], "intensity": r["intensity"], "mode": "profile"} for r in sorted(table.to_pylist(), key=lambda r: r["spectrum_id"]))
+        target = f"{folder}/part{part}.mzML"
+        return pa.table({"file": [target], "n": pa.array([mzml_sink.write_clean(target, records, len(table))], pa.int64())})
+
+    rows.withColumn("part", F.col("spectrum_id") % 2).groupBy("part").applyInArrow(write, "file string, n long").collect()
+    return folder
+
+
+def _key(df):
+    return df.withColumn("spectrum_id", F.regexp_extract("native_id", "scan=(.*)", 1).cast("long"))
+
+
+CONFIG = model.Config(noise_window_da=2.0, noise_step_da=0.5)
+
+
+@query()
+def mzml_scan(spark, sf_dir):
+    """What was written as mzML, read again."""
+    got = _key(mzml.read(spark, _documents(spark, sf_dir), block=1 << 18))
+    return got.select("spectrum_id", "ms_level", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+
+
+@query()
+def mzml_round_trip(spark, sf_dir):
+    """Centroids written back over their documents and read again."""
+    folder = _documents(spark, sf_dir)
+    found = centroid.centroid(mzml.read(spark, folder), CONFIG, (0.34, 0.34), (0.125, 0.125), ("file", "scan_number"))
+    targets = [r.target for r in mzml_sink.write_centroided(found, _folder(spark)).collect()]
+    back = _key(mzml.read(spark, targets, mode="any"))
+    return back.select("spectrum_id", "mode", F.posexplode(F.arrays_zip("mz", "intensity")).alias("centroid_idx", "c")).select("spectrum_id", "mode", "centroid_idx", "c.mz", "c.intensity")
+
+
+@query()
+def mzml_verify(spark, sf_dir):
+    return verify.verify(spark, _documents(spark, sf_dir)).select("bytes", "ok", "null_offset", "null_length")
+
+
+@query()
+def mzml_validate(spark, sf_dir):
+    found = verify.validate(spark, _documents(spark, sf_dir), "strict")
+    return found.select("severity", "check", "message", "location")
+
+
+@query()
+def mzml_repair(spark, sf_dir):
+    """A damaged copy of each document, repaired from its source; what was done and the number of errors left."""
+    folder, work = _documents(spark, sf_dir), _folder(spark)
+    out = []
+    for path in mzml.files_of(folder):
+        broken = os.path.join(work, os.path.basename(path))
+        with open(path, "rb") as f:
+            data = bytearray(f.read())
+        at = data.index(b"<binary>", len(data) // 2) + 8
+        data[at : at + 80] = bytes(80)
+        with open(broken, "wb") as f:
+            f.write(data)
+        out.append(tuple(repair.repair(broken, path).values()))
+    return spark.createDataFrame(out, "runs long, restored long, removed long, declared long, actual long, errors long")
+
+
+@query()
+def stream_centroids(spark, sf_dir):
+    """The embedding view centroided as a stream of files."""
+    folder = _folder(spark)
+    views.spectra(spark, sf_dir, "emb").write.mode("overwrite").parquet(f"{folder}/in")
+    return stream.centroid_all(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", CONFIG, (0.34, 0.34), (0.125, 0.125))
