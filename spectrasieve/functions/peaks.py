@@ -41,7 +41,7 @@ def area_scale(sigma: Column, spacing: Column) -> Column:
     return sigma * F.sqrt(F.lit(2 * math.pi)) / spacing
 
 
-def gram_row(sigma: float, spacing: float, eps: float = 1e-6) -> np.ndarray:
+def gram_row(sigma: float, spacing: float, eps: float = 2.0**-52) -> np.ndarray:
     """Inner products of a Gaussian with its k-th neighbour on the grid, until they fall below eps of the first."""
     top = 64
     while True:

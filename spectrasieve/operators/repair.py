@@ -13,17 +13,24 @@ ANCHORS = (200, 100, 60)
 
 
 def _patch(damaged: bytes, at: int, n: int, source: bytes) -> bytes | None:
-    """The source's bytes between copies of what stands before and after a run, if they fit exactly."""
+    """The source's bytes between copies of what stands before and after a run.
+
+    The same offset is tried first, then every place that holds the bytes before it; places that disagree decide nothing.
+    """
     for size in ANCHORS:
         before = damaged[max(0, at - size) : at]
-        found = source.find(before) if len(before) == min(size, at) else -1
-        if found < 0 or source.find(before, found + 1) >= 0:
-            continue
-        begin = found + len(before)
         for tail in ANCHORS[:2]:
             after = damaged[at + n : at + n + tail]
-            if source[begin + n : begin + n + len(after)] == after:
-                return source[begin : begin + n]
+            fits = lambda begin, before=before, after=after: source[begin - len(before) : begin] == before and source[begin + n : begin + n + len(after)] == after
+            if fits(at):
+                return source[at : at + n]
+            made, found = set(), source.find(before)
+            while found >= 0 and len(made) < 2:
+                if fits(found + len(before)):
+                    made.add(source[found + len(before) : found + len(before) + n])
+                found = source.find(before, found + 1)
+            if len(made) == 1:
+                return made.pop()
     return None
 
 

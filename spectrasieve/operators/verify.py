@@ -196,6 +196,8 @@ def byte_findings(path: str) -> list[tuple]:
                 add(ERROR, "count-mismatch", f"{name} {c[name]}, found {c['actual']}")
     if sniffed["indexed"]:
         index, real = index_of(path), {}
+        if "spectrum" not in index:
+            add(ERROR, "index-offset", "there is no index where indexListOffset tells")
         for start, raw in mzml.elements(path, 0, os.path.getsize(path)):
             head = raw[: raw.index(b">")]
             m = re.search(rb'\bid="([^"]*)"', head)

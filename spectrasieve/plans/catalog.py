@@ -184,7 +184,7 @@ def needs_refit(spark, sf_dir):
 
 @query("""WITH RECURSIVE s(sigma, h) AS (VALUES (CAST(0.34 AS DOUBLE), CAST(0.125 AS DOUBLE)), (CAST(0.255 AS DOUBLE), CAST(1 AS DOUBLE) / 15), (CAST(0.212 AS DOUBLE), CAST(1 AS DOUBLE) / 30)),
 g AS (SELECT sigma, h, k, sigma * sqrt(pi()) / h * exp(-((k * h) ** 2) / (4 * sigma ** 2)) AS v, sigma * sqrt(pi()) / h AS g0 FROM s, range(0, 200) t(k))
-SELECT sigma, CAST(k AS INTEGER) AS k, round(v, 9) AS g FROM g x WHERE k <= (SELECT min(k) FROM g y WHERE y.sigma = x.sigma AND k > 0 AND v < g0 * 1e-6) - 1""")
+SELECT sigma, CAST(k AS INTEGER) AS k, round(v, 9) AS g FROM g x WHERE k <= (SELECT min(k) FROM g y WHERE y.sigma = x.sigma AND k > 0 AND v < g0 * 2.220446049250313e-16) - 1""")
 def gram_row(spark, sf_dir):
     rows = [(s, peaks.gram_row(s, h).tolist()) for s, h in ((0.34, 0.125), (0.255, 1 / 15), (0.212, 1 / 30))]
     df = spark.createDataFrame(rows, "sigma double, g array<double>")
