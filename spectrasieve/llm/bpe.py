@@ -18,6 +18,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # A byte-level piece never spans a lone space between two non-space characters, and
 # the characters before such a space do not change what follows it.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+# A space beside another white-space character: only then is a space not a lone one.
+_ALL_PAIRS = [p for c in map(chr, range(0x3001)) if c.isspace() for p in dict.fromkeys((c + " ", " " + c))]
+_PAIRS = [p for p in _ALL_PAIRS if p.isascii()]
 _LOADED: dict = {}
 # Below this character (ASCII and Latin) every Unicode version agrees on what a letter,
 # a number and a space is, and so do the two regular-expression engines.
@@ -124,7 +127,7 @@ class ByteEncoder:
     table's entries; when it is passed the chunks asked for least go, which changes speed only.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         self.tok = load(path)
         self.size = byte_lengths(path)
         self.core = _merge_core(self.tok)
@@ -169,9 +172,8 @@ class ByteEncoder:
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                parts = t.split(" ")
-                if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-                    parts = _LONE_SPACE.split(t)
+                edged = t[0].isspace() or t[-1].isspace() or any(p in t for p in (_PAIRS if t.isascii() else _ALL_PAIRS))
+                parts = _LONE_SPACE.split(t) if edged else t.split(" ")
                 parts[0] = "\n" + parts[0]
                 keys += parts
                 counts[i] = len(parts)
