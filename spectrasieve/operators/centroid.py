@@ -108,7 +108,7 @@ def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool)
     while at < len(batch):
         width = len(batch[at].grid)
         end = at
-        while end < len(batch) and len(batch[end].grid) <= width * 1.25 + 4 and (end - at) * len(batch[end].grid) < 2_000_000:
+        while end < len(batch) and len(batch[end].grid) <= width * 2 + 8 and (end - at) * len(batch[end].grid) < 4_000_000:
             end += 1
         part = batch[at:end]
         m = max(len(r.grid) for r in part)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 KKT_EVERY = 10
+BLOCK = 4_000_000  # entries of the active blocks that are swept together
 
 
 def solve(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarray, warm: np.ndarray | None = None, max_iter: int = 2000, tol: float = 1e-6):
@@ -15,70 +16,83 @@ def solve(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarr
 
     Each problem keeps its own ordered active set, so a sweep updates its coefficients in
     the order in which they became active; every tenth sweep first appends those that the
-    optimality condition admits, and a coefficient that is zero and not admitted leaves. The p-th
-    members of all problems are updated together, and problems that have converged leave the batch.
+    optimality condition admits, and a coefficient that is zero and not admitted leaves. Between two
+    admissions only the active block of the matrix counts; problems with active sets of like size
+    are swept together, the p-th members of all at once, in blocks that fit a cache.
     """
     many, width = aty.shape
-    beta = np.zeros((many, width)) if warm is None else np.maximum(warm.copy(), 0.0)
+    beta = np.zeros((many, width)) if warm is None else np.maximum(warm, 0.0)
     iterations, converged = np.zeros(many, np.int64), size == 0
-    if not many or not width:
+    live = np.flatnonzero(~converged)
+    if not width or not len(live):
         return beta, iterations, converged
     dist = np.abs(np.arange(width)[:, None] - np.arange(width))
     full = np.where(dist < len(gram), gram[np.minimum(dist, len(gram) - 1)], 0.0)
-    g0 = gram[0]
-    live = np.flatnonzero(~converged)
-    exists = np.arange(width) < size[:, None]
-    y, lam, b, real = aty[live], penalty[live], beta[live], exists[live]
-    active = real & ((b > 0) | (y > lam[:, None]))
-    order, count = _ordered(active)
-    for it in range(max_iter):
-        if it % KKT_EVERY == 0:
-            rho = y - b @ full + g0 * b
-            new = real & ~active & (rho > lam[:, None])
-            if new.any():
-                active |= new
-                order, count = _append(order, count, new)
-        moved = np.zeros(len(live))
-        keep = np.zeros_like(order, bool)
-        for p in range(int(count.max(initial=0))):
-            rows = np.flatnonzero(count > p)
-            j = order[rows, p]
-            old = b[rows, j]
-            rho = y[rows, j] - np.einsum("ij,ij->i", full[j], b[rows]) + g0 * old
-            value = np.maximum(rho - lam[rows], 0.0) / g0
-            np.maximum.at(moved, rows, np.abs(value - old))
-            b[rows, j] = value
-            stays = (value > 0) | (rho > lam[rows])
-            keep[rows, p] = stays
-            active[rows[~stays], j[~stays]] = False
-        order, count = _compact(order, keep)
-        done = moved < tol
-        iterations[live] = it + 1
-        if done.any():
-            beta[live] = b
-            converged[live[done]] = True
-            on = ~done
-            live, y, lam, b, real, active, order, count = live[on], y[on], lam[on], b[on], real[on], active[on], order[on], count[on]
-            if not len(live):
-                break
-    beta[live] = b
-    return np.maximum(beta, 0.0), iterations, converged
-
-
-def _ordered(active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Active coefficients of each problem in ascending order, packed to the left."""
-    return np.argsort(~active, axis=1, kind="stable"), active.sum(1)
-
-
-def _append(order: np.ndarray, count: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    row, col = np.nonzero(new)
-    order = order.copy()
-    order[row, count[row] + np.arange(len(row)) - np.searchsorted(row, row, "left")] = col
-    return order, count + new.sum(1)
-
-
-def _compact(order: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.take_along_axis(order, np.argsort(~keep, axis=1, kind="stable"), 1), keep.sum(1)
+    real = np.arange(width) < size[:, None]
+    active = real & ((beta > 0) | (aty > penalty[:, None]))
+    order, count = np.argsort(~active, axis=1, kind="stable"), active.sum(1)
+    it = 0
+    while it < max_iter and len(live):
+        rho = aty[live] - beta[live] @ full + gram[0] * beta[live]
+        new = real[live] & ~active[live] & (rho > penalty[live, None])
+        row, col = np.nonzero(new)
+        if len(row):
+            order[live[row], count[live[row]] + np.arange(len(row)) - np.searchsorted(row, row, "left")] = col
+            active[live[row], col] = True
+            count[live] += new.sum(1)
+        sweeps = min(KKT_EVERY, max_iter - it)
+        live = live[np.argsort(count[live], kind="stable")]
+        at = 0
+        while at < len(live):
+            k = max(1, int(count[live[at]] * 1.3) + 2)
+            end = min(int(np.searchsorted(count[live], k, "right")), at + max(16, BLOCK // (k * k)))
+            part = live[at:end]
+            k = int(count[part[-1]])
+            done = _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol)
+            converged[part] = done > 0
+            iterations[part] = it + np.where(done > 0, done, sweeps)
+            at = end
+        it += sweeps
+        live = live[~converged[live]]
+    return beta, iterations, converged
+
+
+def _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol) -> np.ndarray:
+    """Sweep the first k active coefficients of the problems ``part``; for each the sweep it converged in, or 0.
+
+    A problem that has converged is swept on with the others to the end of the cycle.
+    """
+    n = len(part)
+    done = np.zeros(n, np.int64)
+    if not k:
+        return done + 1
+    at = order[part, :k].T  # [place, problem]: the last axis is contiguous
+    here = np.arange(k)[:, None] < count[part]
+    g0 = full[0, 0]
+    b = np.where(here, beta[part, at], 0.0)
+    aim = np.where(here, (aty[part, at] - penalty[part]) / g0, -1.0)
+    g = full[at[:, None, :], at[None, :, :]] / g0
+    g[np.arange(k), np.arange(k)] = 0.0
+    on = here.astype(float)
+    for s in range(sweeps):
+        before = b.copy()
+        for p in range(k):
+            t = aim[p] - np.einsum("qr,qr->r", g[p], b)
+            np.maximum(t, 0.0, out=t)
+            t *= on[p]
+            b[p] = t
+            on[p] = t > 0
+        still = np.abs(b - before).max(0) < tol
+        done[still & (done == 0)] = s + 1
+        if done.all():
+            break
+    on = on > 0
+    p, r = np.nonzero(here)
+    beta[part[r], at[p, r]] = b[p, r]
+    active[part[r], at[p, r]] = on[p, r]
+    order[part, :k] = np.take_along_axis(at, np.argsort(~on, axis=0, kind="stable"), 0).T
+    count[part] = on.sum(0)
+    return done
 
 
 def refine(beta: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
