@@ -34,7 +34,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(_words(t))
-            if len(seen) > 500_000:
+            if len(seen) > 150_000:
                 yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
                 seen = set()
         seen.discard("")
@@ -166,7 +166,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for b in batches:
             for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seen.update((k, w) for w in _words(t or "") if w)
-            if len(seen) > 500_000:
+            if len(seen) > 150_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.int64(), pa.string()))], ["block", "word"])
                 seen = set()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.int64(), pa.string()))], ["block", "word"])
