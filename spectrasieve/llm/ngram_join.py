@@ -189,9 +189,25 @@ def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score long")
 
 
-def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) -> DataFrame:
+def _grid(excess: np.ndarray, doc: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which token, cell): the cells of each token's list that a document goes to.
+
+    A token that more than ``hot`` documents may hold has its documents dealt into s rows; a document of row r goes
+    to the cells (r, j) and (j, r) of a triangle, so that any two meet and no cell holds more than about 2 hot of them.
+    """
+    s = np.maximum(1, -(-excess // hot))
+    which = np.repeat(np.arange(len(s)), s)
+    j = np.arange(len(which)) - np.repeat(np.cumsum(s) - s, s)
+    r = (doc * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 20
+    r = np.repeat(r % s, s)
+    return which, (np.minimum(r, j) << 32) + np.maximum(r, j)
+
+
+def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot: int) -> DataFrame:
     """Prefix tokens of (doc_id, label, text) under each order, packed by part of the token space.
 
+    A very frequent token's list is split into cells, see :func:`_grid`.
+
     A row holds (part, tokens, docs, labels, sizes, places in the order) as arrays; within a part 32 bits stand for a token,
     so different tokens may meet, which adds candidates but loses none.
     """
@@ -200,6 +216,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) ->
         import pyarrow as pa
 
         rows = sketch.value
+        usual = [int(r.mean()) for r in rows]
         held, size = [], 0
 
         def flush():
@@ -223,9 +240,14 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int) ->
                         p = prefix_length(len(s), percent)
                         r = ranks[edges[i] : edges[i + 1]]
                         at_rank = np.argpartition(r, p - 1)[:p] if p < len(s) else np.arange(p)
-                        t = mix(s[at_rank[np.argsort(r[at_rank])]])
+                        at_rank = at_rank[np.argsort(r[at_rank])]
+                        t, place = mix(s[at_rank]), np.arange(p, dtype="<u4")
+                        excess = (r[at_rank] >> np.uint64(36)).astype(np.int64) - usual[k]
+                        if int(excess.max()) > hot:
+                            which, cell = _grid(excess, int(ids[at + i]), hot)
+                            t, place, p = mix(t[which] ^ mix(cell.astype(np.uint64))), place[which], len(which)
                         part = k * parts + ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), np.arange(p, dtype="<u4")))
+                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), place))
                         size += p
                 if size > 250_000:
                     yield flush()
@@ -276,7 +298,7 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
     return postings.groupBy("part").applyInArrow(task, "a long, b long, k long")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words over the whole text (fewer words: the whole sequence; no words
@@ -290,7 +312,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     4. Under each of ``n_orders`` global orders (rarest token first, ties and counters of their own),
        documents of different components that share a token of their prefixes are candidates; candidates of
        all orders are intersected, then verified on the whole texts.
-       A pair that links shares a prefix token under every order, so no link is lost.
+       A pair that links shares a prefix token under every order, so no link is lost. The list of a token that more
+       than ``hot`` documents may hold is dealt over a grid of cells.
     5. Components of all links are spread back to the documents.
 
     Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
@@ -322,7 +345,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-tokens * (100 - percent) // 100 // 500_000))
-    pairs = _candidates(_postings(kept, sketch, words, percent, parts), parts, percent)
+    pairs = _candidates(_postings(kept, sketch, words, percent, parts, hot), parts, percent)
     pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
     more = verified(d, pairs, words, percent)
 

@@ -213,6 +213,17 @@ def test_ngram_join_without_contraction(spark, monkeypatch):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs)).collect()} == brute(docs)
 
 
+def test_ngram_join_grid(spark):
+    """Lists that are dealt over a grid lose no link."""
+    docs = near_copies(4)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), hot=2, n_first=1).collect()} == brute(docs)
+    for a in range(40):
+        which, cell = ngram_join._grid(np.array([0, 9, 3]), a, 3)
+        assert which.tolist() == [0, 1, 1, 1, 2]
+        other = ngram_join._grid(np.array([9]), a * 31 + 7, 3)[1]
+        assert set(cell[1:4].tolist()) & set(other.tolist())
+
+
 def test_ngram_join_odd_rows(spark):
     docs = texts(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, "A B c d e f")])
     assert sorted((r.component_id is None, r.component_id) for r in ngram_join.link(docs).collect() if r.n_shingles) == [(False, 1)] * 4
