@@ -273,6 +273,14 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_roles():
+    role = html_extract.role
+    assert role("html/body.has.sidebar/div.content.sidebar.wrap/article.post") == 3 and role("html/body/main.no.header/p") == 2
+    assert role("html/body/div.entry.content/div.post.header") == 1 and role("html/body/div.post.header") == -1
+    for part in ("aside", "div.sidebar", "section.reader.comments", "form", "div.cookie.banner", "article.comment", "footer"):
+        assert role(f"html/body/article/{part}/p") == -1
+
+
 def test_equivalence_classes(spark):
     df = spark.createDataFrame([(str(i), "h", f"<body><main><p>{i}</p>{'<div class=x>once</div>' if i == 0 else ''}</main></body>") for i in range(4)], "key string, host string, html string")
     slots = {s.path for r in html_extract.templates(df).collect() for s in r.slots}
