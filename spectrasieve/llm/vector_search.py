@@ -104,16 +104,19 @@ def search_block(q_ids, q, ids, x, floor, rotate, k, step=2048, head=16):
 
     ``floor`` holds scores that k candidates of each query are known to reach. The rows of ``x`` come by
     descending length. A step of rows is skipped for a query if the product of lengths lies below
-    its floor; a row is skipped if its first ``head`` rotated components' sum and the product of the
-    residual lengths do. What remains is scored in integers. Bounds are widened by more than rounding
-    can move them, and equal scores are never pruned, so the result is exact.
+    its floor; a pair is pruned if the sum over the first ``head`` rotated components and the product of the
+    residual lengths do. What remains is scored by its whole vectors: pair by pair where few remain, else by one
+    matrix product, and then bounds are not tried again for the next few steps. Bounds are widened by more than rounding
+    can move them, and equal scores are never pruned, so the result is exact; sums of products are taken in
+    doubles only where these are exact.
     """
     qf, floor = q.astype(np.float64), floor.copy()
     qr = qf @ rotate
     q_norm, q_rest = np.sqrt((qr**2).sum(1)), np.sqrt((qr[:, head:] ** 2).sum(1))
     best = np.full((len(q), k), -np.inf)
-    exact_floats = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52
-    found = []
+    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2**52
+    wide = (lambda m: m.astype(np.float64)) if exact else (lambda m: m.astype(np.int64))
+    found, rest = [], 0
     for at in range(0, len(x), step):
         part = x[at : at + step]
         pf = part.astype(np.float64)
@@ -122,19 +125,28 @@ def search_block(q_ids, q, ids, x, floor, rotate, k, step=2048, head=16):
         live = np.flatnonzero(q_norm * norm.max(initial=0) + slack >= floor)
         if not len(live):
             continue
-        pr = pf @ rotate
-        bound = qr[live, :head] @ pr[:, :head].T
-        bound += np.outer(q_rest[live], np.sqrt((pr[:, head:] ** 2).sum(1)))
-        qi, ci = np.nonzero(bound + slack[live, None] >= floor[live, None])
-        own = q_ids[live[qi]] != ids[at + ci]
-        qi, ci = live[qi[own]], ci[own]
-        score = np.empty(len(qi), np.int64)
-        for lo in range(0, len(qi), 1 << 17):
-            s = slice(lo, lo + (1 << 17))
-            if exact_floats:
-                score[s] = np.einsum("ij,ij->i", qf[qi[s]], pf[ci[s]])
-            else:
-                score[s] = np.einsum("ij,ij->i", q[qi[s]].astype(np.int64), part[ci[s]].astype(np.int64))
+        few = False
+        if rest == 0 and np.isfinite(floor[live]).all():
+            pr = pf @ rotate
+            bound = qr[live, :head] @ pr[:, :head].T
+            bound += np.outer(q_rest[live], np.sqrt((pr[:, head:] ** 2).sum(1)))
+            left = bound + slack[live, None] >= floor[live, None]
+            few = left.mean() < 0.02
+        if few:
+            li, ci = np.nonzero(left)
+            score = np.einsum("ij,ij->i", wide(q[live[li]]), wide(part[ci]))
+        else:
+            rest = 8 if rest == 0 else rest - 1
+            dense = wide(q[live]) @ wide(part).T
+            other = q_ids[live][:, None] != ids[at : at + step][None, :]
+            limit = floor[live]
+            if dense.shape[1] > k:
+                seen = np.where(other, dense, -np.inf)
+                limit = np.maximum(limit, np.partition(seen, -k, axis=1)[:, -k])
+            li, ci = np.nonzero((dense >= limit[:, None]) & other)
+            score = dense[li, ci]
+        own = q_ids[live[li]] != ids[at + ci]
+        qi, ci, score = live[li[own]], ci[own], score[own].astype(np.int64)
         order = np.lexsort((ids[at + ci], -score, qi))
         qi, ci, score = qi[order], ci[order], score[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi, "left")

@@ -87,9 +87,17 @@ def test_vector_search(spark, n, dim, block):
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0 and vector_search.top_k(df, F.lit(False)).count() == 0
 
 
-def test_search_block_prunes_nothing_that_counts():
+@pytest.mark.parametrize("kind", ["long tail", "low rank", "alike", "huge"])
+def test_search_block_prunes_nothing_that_counts(kind):
     rng = np.random.default_rng(5)
-    x = (rng.normal(0, 100, (500, 12)) * np.linspace(5, 0.1, 500)[:, None]).astype("<i4")
+    x = rng.normal(0, 100, (500, 12))
+    if kind == "long tail":
+        x *= np.linspace(5, 0.01, 500)[:, None] ** 3
+    if kind == "low rank":
+        x = rng.normal(0, 100, (500, 2)) @ rng.normal(0, 1, (2, 12)) + rng.normal(0, 1, (500, 12))
+    if kind == "huge":
+        x *= 1e5
+    x = x.astype("<i4")
     x = x[np.argsort(-(x.astype(float) ** 2).sum(1))]
     q, ids = x[::25].copy(), np.arange(500)
     rotate = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1]
