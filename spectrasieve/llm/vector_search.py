@@ -143,6 +143,8 @@ def search_block(q_ids, q, ids, x, floor, rotate, k, step=2048, head=16):
             if dense.shape[1] > k:
                 seen = np.where(other, dense, -np.inf)
                 limit = np.maximum(limit, np.partition(seen, -k, axis=1)[:, -k])
+            if not exact:  # a limit in doubles may lie above the whole number it stands for
+                limit = limit - np.abs(limit) * 1e-12
             li, ci = np.nonzero((dense >= limit[:, None]) & other)
             score = dense[li, ci]
         own = q_ids[live[li]] != ids[at + ci]
@@ -171,7 +173,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
 
     The score is the inner product of the vectors of floor(scale * x). Ties go to the
     smaller vec_id; rows with the query's own vec_id are no candidates; with fewer candidates all are returned. Vectors that are null,
-    hold a null or a non-finite component, or one beyond 32 bits after scaling, and rows without an id take no part; shorter vectors count as if filled with 0. An empty table gives no rows.
+    hold a null or a non-finite component, or one beyond 32 bits after scaling, and rows without an id take no part (scores must fit 64 bits); shorter vectors count as if filled with 0. An empty table gives no rows.
 
     All rows are rotated by their singular vectors and packed into blocks by descending length. Each query first meets the block
     of the longest rows, which gives a score that k candidates reach; then blocks of
