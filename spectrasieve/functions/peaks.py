@@ -25,6 +25,14 @@ def filter_code_sigma(filter_string: Column) -> Column:
     return out
 
 
+def scan_rate_code(name: Column) -> Column:
+    """The code letter of a scan rate given as a letter or word in any case; null if unknown."""
+    out = F.lit(None).cast("string")
+    for _, letter, word, *_ in model.SCAN_RATES:
+        out = F.when(F.lower(name).isin(letter, word), F.lit(letter)).otherwise(out)
+    return out
+
+
 def nearest_scan_rate(sigma: Column) -> Column:
     """struct(rate, fwhm, sigma) of the scan rate with the nearest sigma, the first at equal distance."""
     best = F.array(*[F.struct(F.abs(F.lit(s) - sigma).alias("d"), F.lit(i).alias("i"), F.lit(r).alias("rate"), F.lit(f).alias("fwhm"), F.lit(s).alias("sigma")) for i, (r, _, _, f, s, _) in enumerate(model.SCAN_RATES)])

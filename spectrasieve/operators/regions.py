@@ -96,3 +96,8 @@ def coverage(spectra: DataFrame, regions: DataFrame) -> DataFrame:
     inside = regions.select(KEY, F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).distinct().groupBy(KEY).agg(F.count("*").alias("c"))
     n = spectra.select(KEY, F.size("intensity").alias("n_points"))
     return n.join(inside, KEY, "left").select(KEY, "n_points", F.coalesce("c", F.lit(0)).alias("n_covered"), (F.coalesce("c", F.lit(0)) / F.col("n_points")).alias("share"))
+
+
+def in_window(regions: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Regions that share any m/z with a window."""
+    return regions.where((F.col("mz_end") >= lo) & (F.col("mz_start") <= hi))

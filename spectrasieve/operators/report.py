@@ -96,3 +96,10 @@ def replace_range(kept: DataFrame, redone: DataFrame, ranges: DataFrame) -> Data
     per = ranges.groupBy(KEY).agg(F.collect_list(F.struct("mz_start", "mz_end")).alias("r"))
     rest = kept.join(per, KEY, "left").where(F.col("r").isNull() | ~F.exists("r", lambda x: F.col("mz").between(x.mz_start, x.mz_end)))
     return rest.drop("r").unionByName(redone)
+
+
+def in_scan_range(ions: DataFrame, spectra: DataFrame) -> DataFrame:
+    """(spectrum_id, target): theoretical ions that lie within a spectrum's own m/z range."""
+    ranges = spectra.where(F.size("mz") > 0).select(KEY, F.get("mz", F.lit(0)).alias("lo"), F.get("mz", F.size("mz") - 1).alias("hi"))
+    listed = ions.groupBy().agg(F.array_sort(F.collect_set("target")).alias("all"))
+    return ranges.join(F.broadcast(listed)).select(KEY, F.explode(F.filter("all", lambda t: (t >= F.col("lo")) & (t <= F.col("hi")))).alias("target"))

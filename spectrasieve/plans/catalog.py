@@ -126,6 +126,12 @@ def gap_points(spark, sf_dir, view):
     return regions.gap_points(s, regions.detect(s))
 
 
+@query(f"WITH {REGIONS} SELECT spectrum_id, region_idx, start_idx, end_idx FROM r WHERE mz_end >= 202 AND mz_start <= 204", **TWO)
+def regions_in_window(spark, sf_dir, view):
+    found = regions.in_window(regions.detect(views.spectra(spark, sf_dir, view)), 202.0, 204.0)
+    return found.select("spectrum_id", "region_idx", "start_idx", "end_idx")
+
+
 @query(f"""WITH {REGIONS}, i AS (SELECT p.spectrum_id, idx, EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx) AS c FROM p)
 SELECT spectrum_id, CAST(count(*) AS INTEGER) AS n_points, count(*) FILTER (WHERE c) AS n_covered, count(*) FILTER (WHERE c) / count(*) AS share FROM i GROUP BY 1""", **EMB)
 def region_coverage(spark, sf_dir, view):
@@ -207,6 +213,15 @@ def nearest_scan_rate(spark, sf_dir):
     return s.select("s_suppkey", peaks.nearest_scan_rate(F.col("s_acctbal") / 10000).alias("n")).select("s_suppkey", "n.*")
 
 
+@query("""WITH s AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'N' WHEN 1 THEN 'rapid' WHEN 2 THEN 'Turbo' WHEN 3 THEN 'ULTRA' WHEN 4 THEN 't' ELSE c_mktsegment END AS name FROM customer)
+SELECT c_custkey, name, CASE WHEN lower(name) IN ('n', 'normal') THEN 'n' WHEN lower(name) IN ('r', 'rapid') THEN 'r' WHEN lower(name) IN ('t', 'turbo') THEN 't' WHEN lower(name) IN ('u', 'ultra') THEN 'u' END AS code FROM s""")
+def scan_rate_parse(spark, sf_dir):
+    k = F.col("c_custkey") % 6
+    name = F.when(k == 0, "N").when(k == 1, "rapid").when(k == 2, "Turbo").when(k == 3, "ULTRA").when(k == 4, "t").otherwise(F.col("c_mktsegment"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", name.alias("name"))
+    return c.withColumn("code", peaks.scan_rate_code(F.col("name")))
+
+
 FILTERS = """f AS (SELECT event_id, user_id, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 2 END AS ms_level,
   'ITMS + p NSI ' || CASE event_type WHEN 'click' THEN 'n' WHEN 'view' THEN 'r' WHEN 'purchase' THEN 't' ELSE event_type END || ' Full ms' AS filter_string FROM events),
 c AS (SELECT *, CASE regexp_extract(filter_string, 'NSI (.)', 1) WHEN 'n' THEN CAST(0.212 AS DOUBLE) WHEN 'r' THEN CAST(0.255 AS DOUBLE) WHEN 't' THEN CAST(0.34 AS DOUBLE) WHEN 'u' THEN CAST(0.849 AS DOUBLE) END AS sigma FROM f)"""
@@ -407,6 +422,12 @@ nn AS (SELECT spectrum_id, target, mz, intensity, mz - target AS delta, row_numb
 nt AS (SELECT spectrum_id, target, mz, intensity, delta FROM nn WHERE k = 1)"""
 
 
+@query(own("evt", f"WITH {{points}}, tg AS (SELECT unnest([{', '.join(map(str, (*TARGETS, 208.5, 211.0)))}]::DOUBLE[]) AS target), e AS (SELECT spectrum_id, min(mz) AS lo, max(mz) AS hi FROM p GROUP BY 1) SELECT spectrum_id, target FROM e JOIN tg ON target BETWEEN lo AND hi"))
+def ions_in_scan_range(spark, sf_dir):
+    ions = spark.createDataFrame([(t,) for t in (*TARGETS, 208.5, 211.0)], "target double")
+    return report.in_scan_range(ions, views.spectra(spark, sf_dir, "evt"))
+
+
 def _nearest(spark, sf_dir):
     targets = spark.createDataFrame([(t,) for t in TARGETS], "target double")
     return report.nearest(report.local_maxima(views.spectra(spark, sf_dir, "emb")), targets)
