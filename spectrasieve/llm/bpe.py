@@ -147,19 +147,25 @@ class ByteEncoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Encode new keys: "\n" and a text's first chunk, or a later chunk without its space."""
-        plain, other, alone = [], [], []
-        for k in keys:
-            if not k or k[0].isspace() or k[-1].isspace():
-                alone.append(k)
+        alone = [k for k in keys if k[:1] == "\n"]
+        keys = [k for k in keys if k[:1] != "\n"]
+        for at in range(0, len(keys), 1000):
+            step = keys[at : at + 1000]
+            joined = " " + " ".join(step)
+            if joined.count(" ") != len(step) or joined[-1].isspace() or any(p in joined for p in _ALL_PAIRS):  # pick out what cannot be joined
+                alone += [k for k in step if not k or " " in k or k[0].isspace() or k[-1].isspace()]
+                step = [k for k in step if k and " " not in k and not k[0].isspace() and not k[-1].isspace()]
+                joined = " " + " ".join(step)
+            if not step:
+                continue
+            if self.core and "<|" not in joined and max(joined) < _STABLE:
+                ids = self.core.encode_to_numpy(joined).astype(np.uint32)
             else:
-                (plain if self.core and "<|" not in k and max(k) < _STABLE else other).append(k)
-        for part, call in ((plain, lambda x: self.core.encode_to_numpy(x)), (other, lambda x: np.array(self.tok.encode(x, add_special_tokens=False).ids, np.uint32))):
-            for at in range(0, len(part), 1000):
-                step = part[at : at + 1000]
-                ids = call(" " + " ".join(step)).astype(np.uint32)
-                ends = np.cumsum([1 + len(k.encode()) for k in step])
-                cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
-                self.table.add(step, np.diff(cuts, prepend=0), ids)
+                ids = np.array(self.tok.encode(joined, add_special_tokens=False).ids, np.uint32)
+            raw = np.frombuffer(joined.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
+            self.table.add(step, np.diff(cuts, prepend=0), ids)
         if alone:
             texts = [k[1:] if k[:1] == "\n" else " " + k for k in alone]
             found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
