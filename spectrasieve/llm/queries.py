@@ -37,7 +37,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 URL_BLOCK = ["net/", "example.com/de/"]
 URL_ALLOW = ["example.net/en/", "org/fr/"]
-URL_GLOBS = ["**/login**", "**/cart/**", "**.exe"]
+URL_WORDS = ["ads", "track", "tracker", "spam", "casino", "bets", "poker", "pills", "adult", "porn", "xxx"]
+URL_GLOBS = [*url_filter.host_word_globs(URL_WORDS), "**/login**", "**/cart/**", "**.exe"]
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +105,7 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches('.' || host || path || tail, '/login|/cart/|[.]exe$') THEN 'block'
+  WHEN regexp_matches('.' || host || path || tail, '^[^/]*[.-](ads|track|tracker|spam|casino|bets|poker|pills|adult|porn|xxx)[.-]|/login|/cart/|[.]exe$') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM r
 """

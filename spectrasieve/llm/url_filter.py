@@ -28,6 +28,11 @@ def rule_globs(rule: str) -> list[str]:
     return [f"*.{host}/{path}**"]
 
 
+def host_word_globs(words: list[str]) -> list[str]:
+    """Globs for hosts that hold one of the words between dots or hyphens."""
+    return [f"*{a}{w}{b}**" for w in words for a in ".-" for b in ".-"]
+
+
 class Automaton:
     """Multiword Shift-And over all globs at once.
 

@@ -34,6 +34,8 @@ def test_url_filter(spark):
         (5, "a.org", "/fr/", "org/fr/", "allow"), (6, "evil.com", "/x.net/y", None, "allow"), (7, "", "", None, "allow"), (8, "", "", None, "allow"), (9, "x.net", "", None, "allow"), (10, "x.net", "", None, "allow"),
         (11, "b.com", "/login", None, "block"), (12, "", "", None, "allow"), (None, "q.org", "/fr/a", "org/fr/", "allow"), (1, "notexample.com", "/de/", None, "allow"), (13, "é.com", "/日本", None, "allow"),
     ]
+    words = spark.createDataFrame([(1, "http://a.free-bets.example.com/x"), (2, "http://ads.example.org"), (3, "http://roads.example.com/ads-x."), (4, "http://x.com/a.ads.b")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(words, [], [], queries.URL_GLOBS).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
     assert url_filter.judge(df.limit(0), ["net/"], [], []).count() == 0
     assert {r.verdict for r in url_filter.judge(df, [], [], [], default="block").collect()} == {"block"}
     with pytest.raises(ValueError, match="twice"):
