@@ -50,15 +50,29 @@ def extended(islands: DataFrame, extension: int = 3, least_width: int = 3) -> Da
     return wide.where(F.col("end_idx") - F.col("start_idx") + 1 >= least_width)
 
 
+def with_regions(spectra: DataFrame, k: float = 3.0, gap: int = 2, extension: int = 3, least_width: int = 3) -> DataFrame:
+    """Spectra with ``regions array<struct<start_idx, end_idx>>``, found within the row: no shuffle.
+
+    Of the indices above the threshold, those more than gap + 1 after the one before begin an island, those as far before the
+    next end one. The generated row keeps the optimiser from copying the index list into each element's lambda.
+    """
+    noise = order_stats.rough_noise(F.col("intensity"))
+    rows = spectra.select("*", F.inline(F.array(F.struct(noise.baseline.alias("__b"), noise.sigma.alias("__s"), F.transform("intensity", lambda x: x.cast("double")).alias("__y")))))
+    limit = F.col("__b") + F.lit(k) * F.col("__s")
+    up = F.filter(F.transform("__y", lambda y, i: F.when(y > limit, i)), lambda i: i.isNotNull())
+    rows = rows.select(*spectra.columns, F.inline(F.array(F.struct(up.alias("__up")))))
+    begins = F.filter("__up", lambda x, i: F.coalesce(x - F.get("__up", i - 1) > gap + 1, F.lit(True)))
+    ends = F.filter("__up", lambda x, i: F.coalesce(F.get("__up", i + 1) - x > gap + 1, F.lit(True)))
+    wide = F.zip_with(begins, ends, lambda s, e: F.struct(F.greatest(F.lit(0), s - extension).alias("start_idx"), F.least(F.size("intensity") - 1, e + extension).alias("end_idx")))
+    return rows.withColumn("regions", F.filter(wide, lambda r: r.end_idx - r.start_idx + 1 >= least_width)).drop("__up")
+
+
 def detect(spectra: DataFrame, k: float = 3.0, gap: int = 2, extension: int = 3, least_width: int = 3) -> DataFrame:
     """Signal regions: spectrum_id, region_idx, start_idx, end_idx, mz_start, mz_end, max_intensity, apex_idx.
 
-    One shuffle by spectrum serves all windows; the apex (the first of the highest
-    points) comes from the spectrum's own array, so points are not joined back.
+    The same regions as segments, merged and extended give over points, without a shuffle; the apex is the first of the highest points.
     """
-    found = extended(merged(segments(with_noise(spectra), k), gap), extension, least_width)
-    per = found.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start_idx", "end_idx"))).alias("r"))
-    rows = spectra.select(KEY, "mz", "intensity").join(per, KEY).select(KEY, "mz", "intensity", F.posexplode("r").alias("region_idx", "r"))
+    rows = with_regions(spectra, k, gap, extension, least_width).select(KEY, "mz", "intensity", F.posexplode("regions").alias("region_idx", "r"))
     part = F.slice(F.col("intensity"), F.col("r.start_idx") + 1, F.col("r.end_idx") - F.col("r.start_idx") + 1)
     top = F.array_max(part)
     return rows.select(
@@ -91,6 +105,12 @@ def gap_points(spectra: DataFrame, regions: DataFrame) -> DataFrame:
     return views.points(spectra).join(inside, [KEY, "idx"], "left_anti")
 
 
+def gaps(spectra: DataFrame, **parameters) -> DataFrame:
+    """Points in no region of their own spectrum, found within the row."""
+    rows = with_regions(spectra, **parameters).select(KEY, "regions", F.posexplode(F.arrays_zip("mz", "intensity")).alias("idx", "p"))
+    return rows.where(~F.exists("regions", lambda r: F.col("idx").between(r.start_idx, r.end_idx))).select(KEY, "idx", "p.mz", F.col("p.intensity").cast("double").alias("intensity"))
+
+
 def coverage(spectra: DataFrame, regions: DataFrame) -> DataFrame:
     """(spectrum_id, n_points, n_covered, share): points in at least one region."""
     inside = regions.select(KEY, F.explode(F.sequence("start_idx", "end_idx")).alias("idx")).distinct().groupBy(KEY).agg(F.count("*").alias("c"))

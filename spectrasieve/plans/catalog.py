@@ -122,8 +122,7 @@ def region_overlap_pairs(spark, sf_dir, view):
 
 @query(f"WITH {REGIONS} SELECT spectrum_id, idx, mz, intensity FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx)", **TWO)
 def gap_points(spark, sf_dir, view):
-    s = views.spectra(spark, sf_dir, view)
-    return regions.gap_points(s, regions.detect(s))
+    return regions.gaps(views.spectra(spark, sf_dir, view))
 
 
 @query(f"WITH {REGIONS} SELECT spectrum_id, region_idx, start_idx, end_idx FROM r WHERE mz_end >= 202 AND mz_start <= 204", **TWO)
@@ -156,7 +155,7 @@ t AS (SELECT spectrum_id, region_idx, center_mz, CASE WHEN a IS NULL THEN b.v WH
 def _evt(spark, sf_dir):
     s = views.spectra(spark, sf_dir, "evt")
     found = regions.detect(s)
-    win = noise.windows(s, regions.gap_points(s, found), 2.0, 0.5)
+    win = noise.windows(s, regions.gaps(s), 2.0, 0.5)
     return s, found, win, noise.smoothed(noise.floored(win, regions.noise_table(s)))
 
 

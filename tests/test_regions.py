@@ -35,6 +35,10 @@ def test_array_and_exploded_agree(spark):
     got = {}
     for r in regions.detect(df).collect():
         got.setdefault(r.spectrum_id, []).append((r.start_idx, r.end_idx))
+    points = {}
+    for r in regions.extended(regions.merged(regions.segments(regions.with_noise(df)))).collect():
+        points.setdefault(r.spectrum_id, []).append((r.start_idx, r.end_idx))
+    assert {k: sorted(v) for k, v in points.items()} == {k: sorted(v) for k, v in got.items()}
     for k, _, y in rows:
         y = np.array(y)
         base, sigma = centroid.rough_noise(y)
@@ -49,6 +53,7 @@ def test_overlap_gaps_and_coverage(spark):
     assert [(r.start_idx, r.end_idx) for r in got] == [(7, 15), (13, 21)]
     found = regions.detect(df)
     assert regions.overlaps(found).collect()[0].shared == 3
+    assert sorted(map(tuple, regions.gaps(df).collect())) == sorted(map(tuple, regions.gap_points(df, found).collect()))
     assert regions.gap_points(df, found).count() == 25 and regions.coverage(df, found).first().n_covered == 15
 
 
