@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def at_rank(ordered: Column, numerator: int, denominator: int) -> Column:
     """The element at floor(n * numerator / denominator) of a sorted array, at most the last; null if empty."""
     n = F.size(ordered)
@@ -15,7 +20,7 @@ def at_rank(ordered: Column, numerator: int, denominator: int) -> Column:
 
 def upper_median(values: Column) -> Column:
     """The element at n / 2 of the sorted array."""
-    return at_rank(F.array_sort(values), 1, 2)
+    return once(F.array_sort(values), lambda s: at_rank(s, 1, 2))
 
 
 def rough_noise(intensity: Column) -> Column:
@@ -24,11 +29,13 @@ def rough_noise(intensity: Column) -> Column:
     Of the sorted values p10 = max(s[n / 10], 0), p25 = s[n / 4], p75 = s[3 n / 4];
     sigma is the largest of (p75 - p25) / 1.349, p10 / 10 and 1. An empty array gives (0, 1).
     """
-    s = F.array_sort(F.transform(intensity, lambda x: x.cast("double")))
-    p10 = F.greatest(at_rank(s, 1, 10), F.lit(0.0))
-    sigma = F.greatest((at_rank(s, 3, 4) - at_rank(s, 1, 4)) / F.lit(1.349), p10 * 0.1, F.lit(1.0))
-    empty = F.struct(F.lit(0.0).alias("baseline"), F.lit(1.0).alias("sigma"))
-    return F.when(F.size(intensity) > 0, F.struct(p10.alias("baseline"), sigma.alias("sigma"))).otherwise(empty)
+
+    def of(s: Column) -> Column:
+        p10 = F.greatest(at_rank(s, 1, 10), F.lit(0.0))
+        sigma = F.greatest((at_rank(s, 3, 4) - at_rank(s, 1, 4)) / F.lit(1.349), p10 * 0.1, F.lit(1.0))
+        return F.struct(F.when(F.size(s) > 0, p10).otherwise(0.0).alias("baseline"), F.when(F.size(s) > 0, sigma).otherwise(1.0).alias("sigma"))
+
+    return once(F.array_sort(F.transform(F.coalesce(intensity, F.array().cast("array<float>")), lambda x: x.cast("double"))), of)
 
 
 def gaps(axis: Column) -> Column:
@@ -39,7 +46,10 @@ def gaps(axis: Column) -> Column:
 
 def grid_spacing(axis: Column) -> Column:
     """struct(spacing, spread, uneven): the upper median gap (0.125 below two points), (q90 - q10) / median, and whether that passes 0.1."""
-    d = F.array_sort(gaps(axis))
-    median = F.coalesce(at_rank(d, 1, 2), F.lit(0.125))
-    spread = F.coalesce((at_rank(d, 9, 10) - at_rank(d, 1, 10)) / median, F.lit(0.0))
-    return F.struct(median.alias("spacing"), spread.alias("spread"), (spread > 0.1).alias("uneven"))
+
+    def of(d: Column) -> Column:
+        median = F.coalesce(at_rank(d, 1, 2), F.lit(0.125))
+        spread = F.coalesce((at_rank(d, 9, 10) - at_rank(d, 1, 10)) / median, F.lit(0.0))
+        return F.struct(median.alias("spacing"), spread.alias("spread"), (spread > 0.1).alias("uneven"))
+
+    return once(F.array_sort(gaps(axis)), of)

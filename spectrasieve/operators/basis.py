@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrasieve.functions import peaks
+from spectrasieve.operators import regions
 
 KEY = "spectrum_id"
 
@@ -24,21 +25,21 @@ def with_basis(spectra: DataFrame, basis: DataFrame) -> DataFrame:
     return spectra.withColumn("level_class", level).join(F.broadcast(basis), "level_class")
 
 
-def grid(regions: DataFrame, spacing: float, offset: float = 0.0) -> DataFrame:
+def grid(found: DataFrame, spacing: float, offset: float = 0.0) -> DataFrame:
     """(spectrum_id, region_idx, j, grid_mz): grid points of each region."""
     g = peaks.grid_column(F.col("mz_start"), F.col("mz_end"), spacing, offset)
-    return regions.select(KEY, "region_idx", F.posexplode(g).alias("j", "grid_mz"))
+    return found.select(KEY, "region_idx", F.posexplode(g).alias("j", "grid_mz"))
 
 
-def aty(spectra: DataFrame, regions: DataFrame, sigma: float, spacing: float, offset: float = 0.0) -> DataFrame:
-    """(spectrum_id, region_idx, j, grid_mz, aty): inner products of each grid Gaussian with the region's points.
+def aty(spectra: DataFrame, sigma: float, spacing: float, offset: float = 0.0, **parameters) -> DataFrame:
+    """(spectrum_id, region_idx, j, grid_mz, aty): inner products of each grid Gaussian with its region's points.
 
-    Each region keeps its slice of the arrays beside its grid, so the dot products are array folds within a row.
+    Regions, their slices of the arrays and their grids stay in the spectrum's row, so nothing is joined or shuffled.
     """
-    part = lambda c: F.slice(F.col(c), F.col("start_idx") + 1, F.col("end_idx") - F.col("start_idx") + 1)
-    r = spectra.select(KEY, "mz", "intensity").join(regions.select(KEY, "region_idx", "start_idx", "end_idx", "mz_start", "mz_end"), KEY)
-    g = peaks.grid_column(F.col("mz_start"), F.col("mz_end"), spacing, offset)
-    rows = r.select(KEY, "region_idx", F.arrays_zip(part("mz").alias("x"), part("intensity").alias("y")).alias("p"), F.posexplode(g).alias("j", "grid_mz"))
+    found = regions.exploded(regions.with_regions(spectra, **parameters), KEY, "mz", "intensity")
+    part = lambda c: F.slice(F.col(c), F.col("r.start_idx") + 1, F.col("r.end_idx") - F.col("r.start_idx") + 1)
+    ends = [F.get("mz", F.col(f"r.{e}_idx")) for e in ("start", "end")]
+    rows = found.select(KEY, "region_idx", F.arrays_zip(part("mz").alias("x"), part("intensity").alias("y")).alias("p"), F.posexplode_outer(peaks.grid_column(*ends, spacing, offset)).alias("j", "grid_mz")).where("j is not null")
     scale = F.lit(-1 / (2 * sigma * sigma))
     dot = F.aggregate("p", F.lit(0.0), lambda a, p: a + p.y.cast("double") * F.exp((p.x - F.col("grid_mz")) * (p.x - F.col("grid_mz")) * scale))
     return rows.select(KEY, "region_idx", "j", "grid_mz", dot.alias("aty"))

@@ -54,17 +54,25 @@ def with_regions(spectra: DataFrame, k: float = 3.0, gap: int = 2, extension: in
     """Spectra with ``regions array<struct<start_idx, end_idx>>``, found within the row: no shuffle.
 
     Of the indices above the threshold, those more than gap + 1 after the one before begin an island, those as far before the
-    next end one. The generated row keeps the optimiser from copying the index list into each element's lambda.
+    next end one.
     """
-    noise = order_stats.rough_noise(F.col("intensity"))
-    rows = spectra.select("*", F.inline(F.array(F.struct(noise.baseline.alias("__b"), noise.sigma.alias("__s"), F.transform("intensity", lambda x: x.cast("double")).alias("__y")))))
-    limit = F.col("__b") + F.lit(k) * F.col("__s")
-    up = F.filter(F.transform("__y", lambda y, i: F.when(y > limit, i)), lambda i: i.isNotNull())
-    rows = rows.select(*spectra.columns, F.inline(F.array(F.struct(up.alias("__up")))))
-    begins = F.filter("__up", lambda x, i: F.coalesce(x - F.get("__up", i - 1) > gap + 1, F.lit(True)))
-    ends = F.filter("__up", lambda x, i: F.coalesce(F.get("__up", i + 1) - x > gap + 1, F.lit(True)))
-    wide = F.zip_with(begins, ends, lambda s, e: F.struct(F.greatest(F.lit(0), s - extension).alias("start_idx"), F.least(F.size("intensity") - 1, e + extension).alias("end_idx")))
-    return rows.withColumn("regions", F.filter(wide, lambda r: r.end_idx - r.start_idx + 1 >= least_width)).drop("__up")
+
+    def islands(up):
+        begins = F.filter(up, lambda x, i: F.coalesce(x - F.get(up, i - 1) > gap + 1, F.lit(True)))
+        ends = F.filter(up, lambda x, i: F.coalesce(F.get(up, i + 1) - x > gap + 1, F.lit(True)))
+        wide = F.zip_with(begins, ends, lambda s, e: F.struct(F.greatest(F.lit(0), s - extension).alias("start_idx"), F.least(F.size("intensity") - 1, e + extension).alias("end_idx")))
+        return F.filter(wide, lambda r: r.end_idx - r.start_idx + 1 >= least_width)
+
+    def above(noise):
+        limit = noise.baseline + F.lit(k) * noise.sigma
+        return F.filter(F.transform("intensity", lambda y, i: F.when(y.cast("double") > limit, i)), lambda i: i.isNotNull())
+
+    return spectra.withColumn("regions", order_stats.once(order_stats.once(order_stats.rough_noise(F.col("intensity")), above), islands))
+
+
+def exploded(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row a region: the columns, region_idx and r. (The outer form keeps Spark from finding all regions twice, to filter empty lists.)"""
+    return rows.select(*columns, F.posexplode_outer("regions").alias("region_idx", "r")).where("region_idx is not null")
 
 
 def detect(spectra: DataFrame, k: float = 3.0, gap: int = 2, extension: int = 3, least_width: int = 3) -> DataFrame:
@@ -72,7 +80,7 @@ def detect(spectra: DataFrame, k: float = 3.0, gap: int = 2, extension: int = 3,
 
     The same regions as segments, merged and extended give over points, without a shuffle; the apex is the first of the highest points.
     """
-    rows = with_regions(spectra, k, gap, extension, least_width).select(KEY, "mz", "intensity", F.posexplode("regions").alias("region_idx", "r"))
+    rows = exploded(with_regions(spectra, k, gap, extension, least_width), KEY, "mz", "intensity")
     part = F.slice(F.col("intensity"), F.col("r.start_idx") + 1, F.col("r.end_idx") - F.col("r.start_idx") + 1)
     top = F.array_max(part)
     return rows.select(

@@ -29,12 +29,21 @@ def summary(inspected: DataFrame) -> DataFrame:
     return inspected.agg(F.count("*").alias("n_spectra"), F.count_if(F.col("ms_level") == 1).alias("n_ms1"), F.count_if(F.col("ms_level") != 1).alias("n_other"), F.sum("n_points").alias("n_points"))
 
 
-def local_maxima(spectra: DataFrame) -> DataFrame:
-    """(spectrum_id, idx, mz, intensity): points above both neighbours, from the arrays alone."""
+def _maxima(spectra: DataFrame) -> DataFrame:
     y = F.col("intensity")
     inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(y) - 2, F.lit(1))), lambda i: (i < F.size(y) - 1) & (F.get(y, i) > F.get(y, i - 1)) & (F.get(y, i) > F.get(y, i + 1)))
-    rows = spectra.where(F.size("intensity") >= 3).select(KEY, "mz", "intensity", F.explode(inner).alias("idx"))
-    return rows.select(KEY, "idx", F.get("mz", F.col("idx")).alias("mz"), F.get("intensity", F.col("idx")).cast("double").alias("intensity"))
+    return spectra.where(F.size("intensity") >= 3).select(KEY, "mz", "intensity", F.explode_outer(inner).alias("idx")).where("idx is not null")
+
+
+def local_maxima(spectra: DataFrame) -> DataFrame:
+    """(spectrum_id, idx, mz, intensity): points above both neighbours, from the arrays alone."""
+    return _maxima(spectra).select(KEY, "idx", F.get("mz", F.col("idx")).alias("mz"), F.get("intensity", F.col("idx")).cast("double").alias("intensity"))
+
+
+def triples(spectra: DataFrame) -> DataFrame:
+    """(spectrum_id, idx, x0, x1, x2, y0, y1, y2): local maxima with both neighbours' m/z and intensity."""
+    at = lambda c, k: F.get(c, F.col("idx") + k).cast("double")
+    return _maxima(spectra).select(KEY, "idx", *[at(c, k).alias(f"{n}{k + 1}") for n, c in (("x", "mz"), ("y", "intensity")) for k in (-1, 0, 1)])
 
 
 def isolated(maxima: DataFrame, radius: int) -> DataFrame:

@@ -257,7 +257,7 @@ def basis_grid(spark, sf_dir):
 
 def _aty(spark, sf_dir):
     s = views.spectra(spark, sf_dir, "emb")
-    return s, basis.aty(s, regions.detect(s), SIGMA, SPACING)
+    return s, basis.aty(s, SIGMA, SPACING)
 
 
 @query(f"WITH {GRID} SELECT spectrum_id, region_idx, j, grid_mz, round(aty, 4) AS aty FROM dot")
@@ -282,13 +282,6 @@ mx AS (SELECT * FROM t WHERE intensity > y0 AND intensity > y2),
 pos AS (SELECT *, (ln(y0) - 2 * ln(intensity) + ln(y2)) / (2 * ((mz - x0 + x2 - mz) / 2) ** 2) AS a, (ln(y2) - ln(y0)) / (2 * ((mz - x0 + x2 - mz) / 2)) AS b, (mz - x0 + x2 - mz) / 2 AS h FROM (SELECT * FROM mx WHERE y0 > 0 AND y2 > 0))"""
 
 
-def _triples(spark, sf_dir, view):
-    s = views.spectra(spark, sf_dir, view)
-    m = report.local_maxima(s).drop("mz", "intensity").join(s.select("spectrum_id", "mz", "intensity"), "spectrum_id")
-    at = lambda c, k: F.get(c, F.col("idx") + k).cast("double")
-    return m.select("spectrum_id", "idx", *[at(c, k).alias(f"{n}{k + 1}") for n, c in (("x", "mz"), ("y", "intensity")) for k in (-1, 0, 1)])
-
-
 @query(f"WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, mz, intensity FROM mx", **TWO)
 def local_maxima(spark, sf_dir, view):
     return report.local_maxima(views.spectra(spark, sf_dir, view))
@@ -296,7 +289,7 @@ def local_maxima(spark, sf_dir, view):
 
 @query(f"WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, round(mz - b / (2 * a), 6) AS center, round(sqrt(-1 / (2 * a)), 6) AS sigma FROM pos WHERE a < 0 AND abs(b / (2 * a)) <= 2 * h", **EMB)
 def three_point_fit(spark, sf_dir, view):
-    t = _triples(spark, sf_dir, view)
+    t = report.triples(views.spectra(spark, sf_dir, view))
     fit = peaks.three_point_fit(*[F.col(c) for c in ("x0", "x1", "x2", "y0", "y1", "y2")])
     return t.select("spectrum_id", "idx", fit.alias("f")).where("f is not null").select("spectrum_id", "idx", F.round("f.center", 6).alias("center"), F.round("f.sigma", 6).alias("sigma"))
 
@@ -304,7 +297,7 @@ def three_point_fit(spark, sf_dir, view):
 @query(f"""WITH {{points}}, {NEIGHBOURS} SELECT spectrum_id, idx, round(CASE WHEN y0 > 0 AND y2 > 0 AND (ln(greatest(y0, 1e-300)) - 2 * ln(intensity) + ln(greatest(y2, 1e-300))) < 0
   AND abs((ln(y2) - ln(y0)) / (2 * (ln(y0) - 2 * ln(intensity) + ln(y2))) * (mz - x0)) <= 0.5 * (mz - x0) THEN mz - (ln(y2) - ln(y0)) / (2 * (ln(y0) - 2 * ln(intensity) + ln(y2))) * (mz - x0) ELSE mz END, 6) AS vertex FROM mx""".replace("ln(y0)", "ln(nullif(y0, 0))").replace("ln(y2)", "ln(nullif(y2, 0))"), **EMB)
 def log_parabola(spark, sf_dir, view):
-    t = _triples(spark, sf_dir, view)
+    t = report.triples(views.spectra(spark, sf_dir, view))
     v = peaks.log_parabola(F.col("x1"), F.col("x1") - F.col("x0"), F.col("y0"), F.col("y1"), F.col("y2"))
     return t.select("spectrum_id", "idx", F.round(v, 6).alias("vertex"))
 
