@@ -245,7 +245,8 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
                         excess = (r[at_rank] >> np.uint64(36)).astype(np.int64) - usual[k]
                         if int(excess.max()) > hot:
                             which, cell = _grid(excess, int(ids[at + i]), hot)
-                            t, place, p = mix(t[which] ^ mix(cell.astype(np.uint64))), place[which], len(which)
+                            dealt = excess[which] > hot  # others keep the key that documents without a frequent token give them
+                            t, place, p = np.where(dealt, mix(t[which] ^ mix(cell.astype(np.uint64))), t[which]), place[which], len(which)
                         part = k * parts + ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
                         held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), place))
                         size += p

@@ -224,6 +224,17 @@ def test_ngram_join_grid(spark):
         assert set(cell[1:4].tolist()) & set(other.tolist())
 
 
+def test_ngram_join_grid_where_one_prefix_holds_the_token(spark, monkeypatch):
+    """Ordinary tokens keep their key in a document whose prefix holds a dealt token too."""
+    monkeypatch.setattr(ngram_join, "_centrality", lambda docs, *a: docs.select("doc_id", F.lit(0).cast("long").alias("score")).where("false"))
+    passage = [f"p{i}" for i in range(35)]
+    short = passage + [f"s{i}" for i in range(9)]  # 9 rare shingles in a prefix of 11; the longer copy has 14 for its 12
+    docs = [(1, " ".join(short)), (2, " ".join(short + [f"x{i}" for i in range(5)]))]
+    docs += [(d, " ".join(passage + [f"d{d}w{i}" for i in range(200)])) for d in range(3, 9)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), hot=2).collect()}
+    assert got == brute(docs) and (2, 45, 1) in got
+
+
 def test_ngram_join_odd_rows(spark):
     docs = texts(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, "A B c d e f")])
     assert sorted((r.component_id is None, r.component_id) for r in ngram_join.link(docs).collect() if r.n_shingles) == [(False, 1)] * 4
