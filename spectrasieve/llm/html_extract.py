@@ -165,7 +165,7 @@ def choose(found: list[tuple[str, int, int]]) -> str:
     found = [f for f in found if role(f[0]) >= 0 and f[1]]
     named = [f for f in found if role(f[0]) > 0]
     if named:
-        return min(named, key=lambda f: (-role(f[0]), 2 * f[2] - f[1], f[0].count("/"), f[0]))[0]
+        return min(named, key=lambda f: (-role(f[0]), f[2] - f[1], f[0].count("/"), f[0]))[0]
     most = max((f[1] - f[2] for f in found), default=0)
     rest = [f for f in found if f[1] - f[2] >= 0.6 * most]
     return min(rest, key=lambda f: (-f[0].count("/"), f[2] - f[1], f[0]))[0] if rest else ""

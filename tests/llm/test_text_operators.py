@@ -292,6 +292,14 @@ def test_roles():
         assert role(f"html/body/article/{part}/p") == -1
 
 
+def test_choose_keeps_an_article_with_many_links():
+    """Links inside an article don't make one of its paragraphs beat it."""
+    head, said, link = "h" * 50, "p" * 200, "l" * 100
+    page = html_extract.Page(f"<body><article><h1>{head}</h1><p>{said}</p><ul><li><a href=x>{link}</a></li></ul></article></body>")
+    assert html_extract.choose([(p, c, n) for p, (_, c, n) in html_extract.token_rows(page).items()]) == "body/article"
+    assert html_extract.main_text(page, []) == "\n".join([head, said, link])
+
+
 def test_equivalence_classes(spark):
     df = spark.createDataFrame([(str(i), "h", f"<body><main><p>{i}</p>{'<div class=x>once</div>' if i == 0 else ''}</main></body>") for i in range(4)], "key string, host string, html string")
     slots = {s.path for r in html_extract.templates(df).collect() for s in r.slots}
