@@ -34,10 +34,51 @@ def _patch(damaged: bytes, at: int, n: int, source: bytes) -> bytes | None:
     return None
 
 
+def _rebuild(damaged: bytes, at: int, n: int, source: bytes) -> bytes | None:
+    """The same spectrum's XML in the source in place of a run that begins in a spectrum's XML.
+
+    The source is found by the spectrum's id, so offsets and arrays may differ. A run that reaches into an array gets the XML,
+    ``<binary>`` and base64 of nothing; its encodedLength, if lost, is that of the array as it stands then. The bytes
+    are as many as the run's unless the source has other XML.
+    """
+    begin = damaged.rfind(b"<spectrum ", 0, at)
+    held = damaged[begin:at] if begin >= 0 else b""
+    named = re.match(rb'<spectrum\b[^>]*?(\sid="[^"\0]*")', held)
+    there = named and b"</spectrum>" not in held and re.search(rb"<spectrum\b[^>]*?" + re.escape(named[1]) + rb"[\s/>]", source)
+    if not there:
+        return None
+    # The XML before the array that the run is in or before, in the source and as far as it is left.
+    parts = source[there.start() : source.find(b"</spectrum>", there.start())].split(b"</binary>")
+    own = held.split(b"</binary>")
+    header, tag, _ = parts[len(own) - 1].partition(b"<binary>") if len(own) <= len(parts) else (b"", b"", b"")
+    if not tag or b"<binary>" in own[-1]:
+        return None
+    before = next((x for x in (own[-1][-size:] for size in (*ANCHORS, 30)) if header.count(x) == 1), None)
+    if before is None:
+        return None
+    made = header[header.index(before) + len(before) :] + tag
+    end = at + n
+    stop = damaged.find(b"<", end)
+    if damaged[stop : stop + 9] == b"</binary>" and re.fullmatch(rb"[A-Za-z0-9+/=\s]*", damaged[end:stop]):
+        if m := re.search(rb'\bencodedLength="(\d+)"', made):
+            for digits in range(1, 12):
+                length = stop - at - (len(made) - len(m[1]) + digits)
+                if len(b"%d" % max(0, length)) == digits:
+                    made = made[: m.start(1)] + b"%d" % max(0, length) + made[m.end(1) :]
+                    break
+        return made + b"A" * (n - len(made))
+    for tail in ANCHORS[:2]:
+        after = damaged[end : end + tail].partition(b"<binary>")
+        after = after[0] + after[1]
+        if b"\0" not in after and made.count(after) == 1:
+            return made[: made.index(after)]
+    return None
+
+
 def restore_nulls(path: str, source: str | None = None, least: int = 64) -> int:
     """Fill runs of null bytes from the undamaged source, else with base64 of nothing inside a binary element.
 
-    Lengths never change, so offsets stay true. Returns the number of runs that were filled.
+    Lengths change, and offsets with them, only where the source has other XML. Returns the number of runs that were filled.
     """
     runs = verify.null_runs(path, least)
     if not runs:
@@ -48,13 +89,15 @@ def restore_nulls(path: str, source: str | None = None, least: int = 64) -> int:
     if source:
         with open(source, "rb") as f:
             clean = f.read()
-    done = 0
+    done = shift = 0
     for at, n in runs:
-        made = _patch(bytes(data), at, n, clean) if clean else None
+        at += shift
+        made = _patch(bytes(data), at, n, clean) or _rebuild(bytes(data), at, n, clean) if clean else None
         if made is None and data.rfind(b"<binary>", 0, at) > data.rfind(b"</binary>", 0, at):
             made = b"A" * n
         if made is not None:
             data[at : at + n] = made
+            shift += len(made) - n
             done += 1
     _replace(path, bytes(data))
     return done

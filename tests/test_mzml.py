@@ -141,6 +141,27 @@ def test_repair(tmp_path, doc):
     assert mzml_sink.rewrite_clean(broken, clean) == 5 and mzml_sink.rewrite_clean(broken, clean, keep_empty=True) == 6
 
 
+@pytest.mark.parametrize("array", [0, 1])
+def test_repair_across_header_and_array(tmp_path, doc, array):
+    """A run from the XML into base64 that the source doesn't hold keeps its spectrum, by the source's XML."""
+    broken = str(tmp_path / "c.mzML")
+    mzml_sink.write_clean(broken, ({**r, "mz": r["mz"][40:90], "intensity": r["intensity"][40:90]} for r in records()), 6)
+    with open(broken, "rb") as f:
+        whole = f.read()
+    begin = whole.index(b'id="scan=4"')
+    for _ in range(array + 1):
+        begin = whole.index(b"<binary>", begin + 1)
+    data = bytearray(whole)
+    data[begin - 70 : begin + 30] = bytes(100)
+    with open(broken, "wb") as f:
+        f.write(data)
+    got = repair.repair(broken, doc)
+    assert got["runs"] == got["restored"] == 1 and got["removed"] == 0
+    assert mzml.count_hint(broken) == 6 and checksum_holds(broken) and offsets_hold(broken) and not verify.null_runs(broken)
+    with open(broken, "rb") as f:
+        assert f.read()[: begin + 8] == whole[: begin + 8]
+
+
 def test_cli(spark, tmp_path, doc, capsys):
     stats = str(tmp_path / "stats")
     assert cli.main(["run", "--input", doc, "--output", str(tmp_path), "--stats-output", stats, "--no-quiet"]) == 0
