@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectrasieve import model
+from spectrasieve.llm import common
 from spectrasieve.operators import centroid, repair, verify
 from spectrasieve.plans.catalog import query
 from spectrasieve.sources import mzml, mzml_sink, views
@@ -107,16 +108,22 @@ def matched_sources(spark, sf_dir):
     return verify.match_sources(c, spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("raw"), s % 2, F.lit("/run"), s % 50, F.lit(".mzML")).alias("source")))
 
 
+SPECTRA = 500  # consecutive ids a document
+
+
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and shared.startswith("file:"):
+    """A new folder that the executors see as plain files; only a local session may do without a shared one."""
+    shared = common.shared_folder(spark)
+    if shared.startswith(("file:", "/")):
         os.makedirs(base := shared.removeprefix("file://").removeprefix("file:"), exist_ok=True)
         return tempfile.mkdtemp(dir=base)
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("mzML documents need a spark.checkpoint.dir of plain files (file:...) that all executors mount")
     return tempfile.mkdtemp(prefix="spectrasieve-mzml-")
 
 
 def _documents(spark, sf_dir) -> str:
-    """The embedding view as two mzML files in a new folder."""
+    """The embedding view as mzML files of at most ``SPECTRA`` consecutive ids each in a new folder."""
     folder = _folder(spark)
     rows = views.spectra(spark, sf_dir, "emb")
 
@@ -128,7 +135,7 @@ def _documents(spark, sf_dir) -> str:
         target = f"{folder}/part{part}.mzML"
         return pa.table({"file": [target], "n": pa.array([mzml_sink.write_clean(target, records, len(table))], pa.int64())})
 
-    rows.withColumn("part", F.col("spectrum_id") % 2).groupBy("part").applyInArrow(write, "file string, n long").collect()
+    rows.withColumn("part", F.floor(F.col("spectrum_id") / SPECTRA)).groupBy("part").applyInArrow(write, "file string, n long").collect()
     return folder
 
 
@@ -167,21 +174,31 @@ def mzml_validate(spark, sf_dir):
     return found.select("severity", "check", "message", "location")
 
 
+REPAIRED = ("runs", "restored", "removed", "declared", "actual", "errors")
+
+
 @query()
 def mzml_repair(spark, sf_dir):
-    """A damaged copy of each document, repaired from its source; what was done and the number of errors left."""
+    """A damaged copy of each document, repaired from its source, a task a document; what was done and the number of errors left."""
     folder, work = _documents(spark, sf_dir), _folder(spark)
-    out = []
-    for path in mzml.files_of(folder):
-        broken = os.path.join(work, os.path.basename(path))
-        with open(path, "rb") as f:
-            data = bytearray(f.read())
-        at = data.index(b"<binary>", len(data) // 2) + 8
-        data[at : at + 80] = bytes(80)
-        with open(broken, "wb") as f:
-            f.write(data)
-        out.append(tuple(repair.repair(broken, path).values()))
-    return spark.createDataFrame(out, "runs long, restored long, removed long, declared long, actual long, errors long")
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                broken = os.path.join(work, os.path.basename(path))
+                with open(path, "rb") as f:
+                    data = bytearray(f.read())
+                at = max(data.find(b"<binary>", len(data) // 2), data.rfind(b"<binary>", 0, len(data) // 2)) + 8
+                data[at : at + 80] = bytes(80)
+                with open(broken, "wb") as f:
+                    f.write(data)
+                yield pa.RecordBatch.from_pylist([repair.repair(broken, path)], schema=pa.schema([(c, pa.int64()) for c in REPAIRED]))
+
+    paths = mzml.files_of(folder)
+    each = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
+    return each.mapInArrow(task, ", ".join(f"{c} long" for c in REPAIRED))
 
 
 @query()

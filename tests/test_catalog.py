@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from spectrasieve.plans import catalog
+from spectrasieve.plans import catalog, documents
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -37,3 +37,12 @@ def test_round_trip_and_stream_equal_the_table(spark, data):
     want = key(catalog.queries()["centroids"](spark, data))
     assert key(catalog.queries()["stream_centroids"](spark, data)) == want
     assert [k[:3] for k in key(catalog.queries()["mzml_round_trip"](spark, data))] == [k[:3] for k in want]
+
+
+def test_documents_grow_in_number(spark, data, monkeypatch):
+    """Files hold a fixed number of ids, so more rows make more files, and each is repaired."""
+    monkeypatch.setattr(documents, "SPECTRA", 50)
+    ids = {r[0] // 50 for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()}
+    assert len(ids) > 2 and documents.mzml_verify(spark, data).count() == len(ids)
+    got = documents.mzml_repair(spark, data).collect()
+    assert len(got) == len(ids) and all((r.restored, r.removed, r.errors) == (1, 0, 0) for r in got)
