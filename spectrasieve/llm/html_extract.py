@@ -189,9 +189,9 @@ def templates(pages: DataFrame) -> DataFrame:
     A token is an element path. Its occurrence vector over the host's pages is kept as a
     fingerprint: the exclusive or, over its pages, of a hash of page and count, beside the number of pages and
     of occurrences, so it can be aggregated in any order and before the shuffle. Tokens of a host with equal
-    vectors form an equivalence class. A class is valid if it occurs on two pages (or the host has only one),
-    and nests in the class of its tokens' nearest enclosing path; tokens of no valid class, such as
-    an element that one page alone has, are part of the slot around them.
+    vectors form an equivalence class. A class is valid if it occurs on two pages (or the host has only one); tokens of no
+    valid class, such as an element that one page alone has, are part of the slot around them. A class's size and nesting
+    are not tested, and words are no tokens: text that all pages of a host repeat within the article's slot stays.
     """
 
     def task(batches):
