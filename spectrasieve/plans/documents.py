@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spectrasieve import model
-from spectrasieve.llm import common
+from spectrasieve import model, shared
 from spectrasieve.operators import centroid, repair, verify
 from spectrasieve.plans.catalog import query
 from spectrasieve.sources import mzml, mzml_sink, views
@@ -111,20 +109,9 @@ def matched_sources(spark, sf_dir):
 SPECTRA = 500  # consecutive ids a document
 
 
-def _folder(spark) -> str:
-    """A new folder that the executors see as plain files; only a local session may do without a shared one."""
-    shared = common.shared_folder(spark)
-    if shared.startswith(("file:", "/")):
-        os.makedirs(base := shared.removeprefix("file://").removeprefix("file:"), exist_ok=True)
-        return tempfile.mkdtemp(dir=base)
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("mzML documents need a spark.checkpoint.dir of plain files (file:...) that all executors mount")
-    return tempfile.mkdtemp(prefix="spectrasieve-mzml-")
-
-
 def _documents(spark, sf_dir) -> str:
     """The embedding view as mzML files of at most ``SPECTRA`` consecutive ids each in a new folder."""
-    folder = _folder(spark)
+    folder = shared.new_files(spark)
     rows = views.spectra(spark, sf_dir, "emb")
 
     def write(table):
@@ -158,7 +145,7 @@ def mzml_round_trip(spark, sf_dir):
     """Centroids written back over their documents and read again."""
     folder = _documents(spark, sf_dir)
     found = centroid.centroid(mzml.read(spark, folder), CONFIG, (0.34, 0.34), (0.125, 0.125), ("file", "scan_number"))
-    targets = [r.target for r in mzml_sink.write_centroided(found, _folder(spark)).collect()]
+    targets = [r.target for r in mzml_sink.write_centroided(found, shared.new_files(spark)).collect()]
     back = _key(mzml.read(spark, targets, mode="any"))
     return back.select("spectrum_id", "mode", F.posexplode(F.arrays_zip("mz", "intensity")).alias("centroid_idx", "c")).select("spectrum_id", "mode", "centroid_idx", "c.mz", "c.intensity")
 
@@ -180,7 +167,7 @@ REPAIRED = ("runs", "restored", "removed", "declared", "actual", "errors")
 @query()
 def mzml_repair(spark, sf_dir):
     """A damaged copy of each document, repaired from its source, a task a document; what was done and the number of errors left."""
-    folder, work = _documents(spark, sf_dir), _folder(spark)
+    folder, work = _documents(spark, sf_dir), shared.new_files(spark)
 
     def task(batches):
         import pyarrow as pa
@@ -204,6 +191,6 @@ def mzml_repair(spark, sf_dir):
 @query()
 def stream_centroids(spark, sf_dir):
     """The embedding view centroided as a stream of files."""
-    folder = _folder(spark)
+    folder = shared.new_files(spark)
     views.spectra(spark, sf_dir, "emb").write.mode("overwrite").parquet(f"{folder}/in")
     return stream.centroid_all(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", CONFIG, (0.34, 0.34), (0.125, 0.125))
