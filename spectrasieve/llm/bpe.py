@@ -7,9 +7,11 @@ by position with numpy. The result equals encoding the whole text.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+from collections import defaultdict
 
 import numpy as np
 
@@ -18,13 +20,22 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # A byte-level piece never spans a lone space between two non-space characters, and
 # the characters before such a space do not change what follows it.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-# A space beside another white-space character: only then is a space not a lone one.
-_ALL_PAIRS = [p for c in map(chr, range(0x3001)) if c.isspace() for p in dict.fromkeys((c + " ", " " + c))]
-_PAIRS = [p for p in _ALL_PAIRS if p.isascii()]
+_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_ASCII_WHITE = [c for c in _WHITE if c.isascii()]
 _LOADED: dict = {}
-# Below this character (ASCII and Latin) every Unicode version agrees on what a letter,
+# Below these characters (ASCII and Latin) every Unicode version agrees on what a letter,
 # a number and a space is, and so do the two regular-expression engines.
-_STABLE = "\u0250"
+_UNSTABLE = re.compile("[^\0-\u024f]")
+
+
+def _edged(text: str) -> bool:
+    """Whether a text begins or ends with white space or has a space beside other white space, so that a space may not be a lone one."""
+    if text[0].isspace() or text[-1].isspace():
+        return True
+    for c in _ASCII_WHITE if text.isascii() else _WHITE:
+        if c in text and (c + " " in text or " " + c in text):
+            return True
+    return False
 
 
 def tokenizer_path(name: str) -> str:
@@ -46,32 +57,40 @@ def load(path: str):
 
 
 class ChunkTable:
-    """Distinct chunks and their ids, flattened: chunk k has flat[start[k]:start[k + 1]]."""
+    """Distinct chunks and their ids, flattened: chunk k has the n[k] ids from start[k] on.
+
+    Looking an unknown chunk up gives it the next number; its ids follow by :meth:`add`.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
         self.clear()
 
     def clear(self):
-        self.index: dict[str, int] = {}
-        self._hits = np.zeros(1024, np.int64)
-        self._start = np.zeros(1024, np.int64)
+        self.index: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self._hits, self._start, self._n = (np.zeros(1024, np.int64) for _ in range(3))
         self._flat = np.zeros(4096, np.uint32)
-        self.used_start = self.used_flat = 0
-
-    def add(self, chunks: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """New chunks, the number of ids of each, and all their ids."""
-        base = len(self.index)
-        self.index.update(zip(chunks, range(base, base + len(chunks)), strict=True))
-        ends, n = self.used_start + len(chunks), self.used_flat + len(ids)
-        if ends >= len(self._start):
-            self._start = np.concatenate([self._start, np.zeros(ends + 1024, np.int64)])
-            self._hits = np.concatenate([self._hits, np.zeros(ends + 1024, np.int64)])
-        if n > len(self._flat):
-            self._flat = np.concatenate([self._flat, np.zeros(n + 4096, np.uint32)])
-        self._start[self.used_start + 1 : ends + 1] = self.used_flat + np.cumsum(lengths)
-        self._flat[self.used_flat : n] = ids
-        self.used_start, self.used_flat = ends, n
+        self.used = 0
+
+    def places(self, chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The number of each chunk, and the chunks that were unknown, in order of their numbers."""
+        before = len(self.index)
+        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        new = list(itertools.islice(reversed(self.index), len(self.index) - before))
+        return at, new[::-1]
+
+    def add(self, at: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Ids of the chunks numbered ``at``: the number of ids of each, and all of them."""
+        end = self.used + len(ids)
+        if len(self.index) > len(self._start):
+            more = np.zeros(len(self.index) + 1024, np.int64)
+            self._hits, self._start, self._n = (np.concatenate([x, more]) for x in (self._hits, self._start, self._n))
+        if end > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros(end + 4096, np.uint32)])
+        self._start[at] = self.used + np.cumsum(lengths) - lengths
+        self._n[at] = lengths
+        self._flat[self.used : end] = ids
+        self.used = end
 
     def shrink(self) -> None:
         """Keep the quarter of ``limit`` that was asked for most."""
@@ -80,7 +99,7 @@ class ChunkTable:
         ids, lengths = self.gather(at)
         hits = self._hits[at]
         self.clear()
-        self.add([names[i] for i in at.tolist()], lengths, ids)
+        self.add(self.places([names[i] for i in at.tolist()])[0], lengths, ids)
         self._hits[: len(at)] = hits // 2
 
     def count(self, at: np.ndarray) -> None:
@@ -88,12 +107,10 @@ class ChunkTable:
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks ``at``, one after the other, and each chunk's count."""
-        lo = self._start[at]
-        n = self._start[at + 1] - lo
+        n = self._n[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) - np.repeat(ends - n, n) + np.repeat(lo, n)
-        return self._flat[take], n
+        return self._flat[np.arange(total) + np.repeat(self._start[at] - ends + n, n)], n
 
 
 def _byte_of() -> dict[str, int]:
@@ -145,54 +162,56 @@ class ByteEncoder:
                 step, size = [], 0
         return out + self._encode(step)
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encode new keys: "\n" and a text's first chunk, or a later chunk without its space."""
-        alone = [k for k in keys if k[:1] == "\n"]
-        keys = [k for k in keys if k[:1] != "\n"]
-        for at in range(0, len(keys), 1000):
-            step = keys[at : at + 1000]
-            joined = " " + " ".join(step)
-            if joined.count(" ") != len(step) or joined[-1].isspace() or any(p in joined for p in _ALL_PAIRS):  # pick out what cannot be joined
-                alone += [k for k in step if not k or " " in k or k[0].isspace() or k[-1].isspace()]
-                step = [k for k in step if k and " " not in k and not k[0].isspace() and not k[-1].isspace()]
-                joined = " " + " ".join(step)
-            if not step:
-                continue
-            if self.core and "<|" not in joined and max(joined) < _STABLE:
+    def _learn(self, keys: list[str], base: int, edged: bool) -> None:
+        """Encode new keys, numbered from ``base`` on: "\n" and a text's first chunk, or a later chunk without its space.
+
+        Keys of texts that are not edged hold no space and neither begin nor end with white space, but for the mark.
+        """
+        alone = [i for i, k in enumerate(keys) if k[:1] == "\n" or edged and (not k or " " in k or k[0].isspace() or k[-1].isspace())]
+        rest = np.delete(np.arange(len(keys)), alone)
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            joined = " " + " ".join([keys[i] for i in part.tolist()])
+            if self.core and "<|" not in joined and (joined.isascii() or not _UNSTABLE.search(joined)):
                 ids = self.core.encode_to_numpy(joined).astype(np.uint32)
             else:
                 ids = np.array(self.tok.encode(joined, add_special_tokens=False).ids, np.uint32)
             raw = np.frombuffer(joined.encode(), np.uint8)
             ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
             cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
-            self.table.add(step, np.diff(cuts, prepend=0), ids)
+            self.table.add(base + part, np.diff(cuts, prepend=0), ids)
         if alone:
-            texts = [k[1:] if k[:1] == "\n" else " " + k for k in alone]
+            texts = [k[1:] if k[:1] == "\n" else " " + k for k in (keys[i] for i in alone)]
             found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-            self.table.add(alone, np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for e in found for i in e), np.uint32))
+            self.table.add(base + np.array(alone), np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for e in found for i in e), np.uint32))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.table.index) > self.table.limit:
             self.table.shrink()
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        edged = [bool(t) and _edged(t) for t in texts]
+        for kind in (False, True):
+            own = [i for i, t in enumerate(texts) if t and edged[i] == kind]
+            for i, ids in zip(own, self._encode_kind([texts[i] for i in own], kind), strict=True):
+                out[i] = ids
+        return out
+
+    def _encode_kind(self, texts: list[str], edged: bool) -> list[np.ndarray]:
+        """Texts that all are edged or all are not."""
         keys: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            if t:
-                edged = t[0].isspace() or t[-1].isspace() or any(p in t for p in (_PAIRS if t.isascii() else _ALL_PAIRS))
-                parts = _LONE_SPACE.split(t) if edged else t.split(" ")
-                parts[0] = "\n" + parts[0]
-                keys += parts
-                counts[i] = len(parts)
-        get = self.table.index.get
-        at = list(map(get, keys))
-        if None in at:
-            self._learn(list(dict.fromkeys(k for k, a in zip(keys, at, strict=True) if a is None)))
-            at = list(map(get, keys))
-        at = np.array(at, np.int64)
+            parts = _LONE_SPACE.split(t) if edged else t.split(" ")
+            parts[0] = "\n" + parts[0]
+            keys += parts
+            counts[i] = len(parts)
+        at, new = self.table.places(keys)
+        if new:
+            self._learn(new, len(self.table.index) - len(new), edged)
         self.table.count(at)
         ids, n = self.table.gather(at)
-        edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
-        return [ids[edges[i] : edges[i + 1]] for i in range(len(texts))]
+        edges = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(edges)]
 
 
 def byte_encoder(path: str) -> ByteEncoder:

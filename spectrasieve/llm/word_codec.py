@@ -178,7 +178,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
         words, found = right.column("word").to_pylist(), right.column("ids").to_pylist()
         table = bpe.ChunkTable(0)
-        table.add(["", *words], np.array([0, *(len(x) // 4 for x in found)], np.int64), np.frombuffer(b"".join(found), "<u4"))
+        table.add(table.places(["", *words])[0], np.array([0, *(len(x) // 4 for x in found)], np.int64), np.frombuffer(b"".join(found), "<u4"))
         decode = _Pieces(piece)
         out = []
         for part in left.select(["doc_id", "text"]).to_batches(max_chunksize=500):
