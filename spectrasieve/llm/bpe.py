@@ -15,6 +15,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from spectrasieve.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # A byte-level piece never spans a lone space between two non-space characters, and
@@ -22,7 +24,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = [c for c in map(chr, range(0x3001)) if c.isspace()]
 _ASCII_WHITE = [c for c in _WHITE if c.isascii()]
-_LOADED: dict = {}
 # Below these characters (ASCII and Latin) every Unicode version agrees on what a letter,
 # a number and a space is, and so do the two regular-expression engines.
 _UNSTABLE = re.compile("[^\0-\u024f]")
@@ -44,16 +45,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def owner(path: str) -> str:
+    """Under which a worker keeps what belongs to a tokenizer, see :func:`common.held`."""
+    return f"bpe {path}"
+
+
 def load(path: str):
-    """The tokenizer of a file, without truncation and padding, once per process."""
-    if ("tok", path) not in _LOADED:
+    """The tokenizer of a file, without truncation and padding, once while a process works with that file."""
+    loaded = common.held(owner(path))
+    if "tok" not in loaded:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation()
         tok.no_padding()
-        _LOADED["tok", path] = tok
-    return _LOADED["tok", path]
+        loaded["tok"] = tok
+    return loaded["tok"]
 
 
 class ChunkTable:
@@ -216,18 +223,20 @@ class ByteEncoder:
 
 def byte_encoder(path: str) -> ByteEncoder:
     """One encoder per process and file, so that its table outlives a task."""
-    if ("enc", path) not in _LOADED:
-        _LOADED["enc", path] = ByteEncoder(path)
-    return _LOADED["enc", path]
+    loaded = common.held(owner(path))
+    if "enc" not in loaded:
+        loaded["enc"] = ByteEncoder(path)
+    return loaded["enc"]
 
 
 def byte_lengths(path: str) -> np.ndarray:
     """Bytes of text that each id of a byte-level tokenizer stands for."""
-    if ("len", path) not in _LOADED:
+    loaded = common.held(owner(path))
+    if "len" not in loaded:
         tok = load(path)
         special = {k: v.content for k, v in tok.get_added_tokens_decoder().items()}
         size = np.zeros(max(tok.get_vocab_size(), *special, 0) + 1, np.int64)
         for piece, i in tok.get_vocab().items():
             size[i] = len(special[i].encode()) if i in special else len(piece)
-        _LOADED["len", path] = size
-    return _LOADED["len", path]
+        loaded["len"] = size
+    return loaded["len"]

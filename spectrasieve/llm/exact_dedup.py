@@ -20,11 +20,10 @@ def chunk_ends(buf: np.ndarray, edges: np.ndarray, mean: int, least: int, most:
     least ``least`` and at most ``most`` bytes after it began, and at the row's end. Ends
     depend on content alone, so equal texts have equal chunks.
     """
-    _, _, byte = hashing._powers(1)
-    h, span = byte[buf], 1
+    h, span = hashing.byte_values()[buf], 1
     while span < WINDOW:  # doubling: hash of 2 s bytes from two hashes of s bytes
         h = h.copy()
-        h[span:] += h[:-span] * np.uint64(pow(0xD1342543DE82EF95, span, 1 << 64))
+        h[span:] += h[:-span] * np.uint64(pow(hashing.BASE, span, 1 << 64))
         span *= 2
     marks = np.flatnonzero((h >> np.uint64(40)) % np.uint64(mean) == 0) + 1
     out = []
@@ -78,7 +77,7 @@ def recipes(docs: DataFrame, mean: int = 2048, least: int = 512, most: int = 163
                     cols[3].append(hashlib.sha256(view[begin:end]).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, longs, pa.string()), strict=True)], ["doc_id", "chunks", "strong", "text_sha256"])
 
-    return docs.mapInArrow(task, "doc_id long, chunks array<long>, strong array<long>, text_sha256 string")
+    return docs.mapInArrow(common.lean(task), "doc_id long, chunks array<long>, strong array<long>, text_sha256 string")
 
 
 def unverified(made: DataFrame) -> DataFrame:
@@ -121,6 +120,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they came with; rows that repeat an id and a text stay together."""
-    gone = common.cut(deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct())
+    with common.scratch(docs.sparkSession):
+        gone = common.keep(common.cut(deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()))
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     return docs.join(common.sized(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
+BASE = 0xD1342543DE82EF95
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SPAN = 1 << 18  # bytes that are hashed by one running sum
+_LONG = 64  # longer words are hashed alone; periodic ones could collide as polynomials
 _TABLES: dict = {}
 
 
@@ -17,23 +21,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, and a random value for each byte."""
-    if len(_TABLES.get("pow", ())) < n:
-        size = max(n, 1 << 16)
-        base = 0xD1342543DE82EF95
-        inverse = pow(base, -1, 1 << 64)
-        for name, b in (("pow", base), ("inv", inverse)):
-            out = np.ones(size, np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, up to _SPAN, and a random value for each byte."""
+    if not _TABLES:
+        inverse = pow(BASE, -1, 1 << 64)
+        for name, b in (("pow", BASE), ("inv", inverse)):
+            out = np.ones(_SPAN + 1, np.uint64)
             k = 1
-            while k < size:  # doubling: out[k:2k] = out[:k] * b^k
-                out[k : 2 * k] = out[: min(k, size - k)] * np.uint64(pow(b, k, 1 << 64))
+            while k < len(out):  # doubling: out[k:2k] = out[:k] * b^k
+                out[k : 2 * k] = out[: min(k, len(out) - k)] * np.uint64(pow(b, k, 1 << 64))
                 k *= 2
             _TABLES[name] = out
         _TABLES["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
     return _TABLES["pow"], _TABLES["inv"], _TABLES["byte"]
 
 
+def byte_values() -> np.ndarray:
+    """A random value for each byte."""
+    return _powers()[2]
+
+
 def slices(column, most: int = 1 << 19) -> Iterator:
     """Parts of a string column of about ``most`` bytes, a row at least."""
     import pyarrow as pa
@@ -77,13 +84,31 @@ def word_hashes(buf: np.ndarray, edges: np.ndarray, space: np.ndarray) -> tuple[
     stop[:-1] &= gap[1:]
     stop[inner - 1] = ~gap[inner - 1]
     ends = np.flatnonzero(stop) + 1
-    power, inverse, byte = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(byte[buf] * power[:n], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    h = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # words of a bounded span at a time, a word at least
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _SPAN, "right")))
+        h[at:to] = _hashes(buf[starts[at] : ends[to - 1]], starts[at:to] - starts[at], ends[at:to] - starts[at])
+        at = to
     return h, starts, ends, np.searchsorted(starts, edges, "left")
 
 
+def _hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words from starts to ends: polynomials of short ones, taken from running sums; long ones by xxh3."""
+    out = np.empty(len(starts), np.uint64)
+    n = ends - starts
+    for i in np.flatnonzero(n > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(memoryview(buf[starts[i] : ends[i]]))
+    short = n <= _LONG
+    if short.any():
+        power, inverse, byte = _powers()
+        total = np.zeros(min(len(buf), _SPAN) + 1, np.uint64)
+        np.cumsum(byte[buf[:_SPAN]] * power[: len(total) - 1], out=total[1:])
+        lo, hi = starts[short], ends[short]
+        out[short] = mix((total[hi] - total[lo]) * inverse[lo] + n[short].astype(np.uint64) * _ODD)
+    return out
+
+
 def spaces(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars)] = True

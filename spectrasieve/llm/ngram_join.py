@@ -45,13 +45,18 @@ def shingle_sets(column, words: int) -> list[np.ndarray]:
     return out
 
 
-def orders(sketch: np.ndarray, s: np.ndarray) -> list[np.ndarray]:
-    """For each order the rank of the tokens ``s``: rarest first by that order's own row of counters, then by its own hash."""
+def orders(sketch: np.ndarray, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order the rank of the tokens ``s`` and their counts by that order's own row of counters.
+
+    Even orders put the rarest token first. Odd ones know only how many bits the count has, so that
+    within such a class the order's own hash decides; ties of the others fall to it too.
+    """
     out = []
     for k, row in enumerate(sketch):
         own = mix(s ^ _SEEDS[k])
         count = np.minimum(row[own >> np.uint64(64 - _BITS)], (1 << 28) - 1).astype(np.uint64)
-        out.append(count << np.uint64(36) | (own & np.uint64((1 << 36) - 1)))
+        by = count if k % 2 == 0 else np.frexp(count.astype(np.float64))[1].astype(np.uint64)
+        out.append((by << np.uint64(36) | (own & np.uint64((1 << 36) - 1)), count.astype(np.int64)))
     return out
 
 
@@ -89,7 +94,7 @@ def _scan(docs: DataFrame, words: int, n_orders: int, n_first: int) -> DataFrame
                     blob = bytes([kind := np.min_scalar_type(c.max()).itemsize]) + c.astype(f"<u{kind}").tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((1, None, None, None, None, k * (1 << _BITS) + p * _PART, blob), types, strict=True)], fields)
 
-    return docs.mapInArrow(task, "kind int, doc_id long, n long, key binary, first array<long>, part long, counts binary")
+    return docs.mapInArrow(common.lean(task), "kind int, doc_id long, n long, key binary, first array<long>, part long, counts binary")
 
 
 def _sketch(scanned: DataFrame, n_orders: int) -> np.ndarray:
@@ -118,7 +123,6 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
     edges = common.cut(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v").distinct())
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = common.cut(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")))
-    spark = edges.sparkSession
     while True:
         near = both.join(labels, both.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         # A node also hands its least label to the node it is labelled by, so that trees hook together.
@@ -128,10 +132,10 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         jump = new.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
         new = common.cut(new.join(jump, new.label == jump["at"], "left").select("node", F.least("label", "beyond").alias("label")))
         changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
-        common.drop_cut(spark, labels)
+        common.drop_cut(labels)
         labels = new
         if changed:
-            common.drop_cut(spark, edges)
+            common.drop_cut(edges)
             return labels
 
 
@@ -140,35 +144,49 @@ def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(common.sized(ids), "doc_id", "left_semi")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts' shingle sets reach the threshold."""
-    ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = common.cut(_fetch(docs, ids))
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets' Jaccard similarity is ``percent`` or more."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
+        return False
+    at = np.searchsorted(x, y)
+    same = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
 
-    def task(batches):
-        import pyarrow as pa
 
-        last, own = None, None
-        for b in batches:
-            a, of = b.column("a").to_pylist(), b.column("b").to_pylist()
-            keep = []
-            for at, part in hashing.slices(b.column("text_b")):
-                for i, y in enumerate(shingle_sets(part, words), at):
-                    if a[i] != last:
-                        last, own = a[i], shingle_sets(b.column("text_a").slice(i, 1).cast(pa.large_string()), words)[0]
-                    if 100 * min(len(own), len(y)) < percent * max(len(own), len(y)):
-                        continue
-                    both = np.searchsorted(own, y)
-                    same = int((own[np.minimum(both, len(own) - 1)] == y).sum()) if len(own) else 0
-                    if same and 100 * same >= percent * (len(own) + len(y) - same):
-                        keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, of)], ["a", "b"])
-
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    got = common.cut(both.mapInArrow(task, "a long, b long"))
-    common.drop_cut(docs.sparkSession, texts, ids)
-    return got
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, group: int = 512) -> DataFrame:
+    """The pairs (a, b) whose whole texts' shingle sets reach the threshold.
+
+    Pairs of one ``a`` meet one copy of its text for about ``group`` partners, which stream past it.
+    """
+    with common.scratch(docs.sparkSession):
+        ids = common.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = common.cut(_fetch(docs, ids))
+        many = pairs.groupBy("a").agg(F.count("*").alias("c"))
+        dealt = common.cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / group)).alias("deal")))
+
+        def task(batches):
+            import pyarrow as pa
+
+            last, own, opening = None, [], False
+            for b in batches:
+                keep = []
+                of, deal = b.column("a").to_pylist(), b.column("deal").to_pylist()
+                first = b.column("b").is_null().to_pylist()
+                for at, part in hashing.slices(b.column("text")):
+                    for i, y in enumerate(shingle_sets(part, words), at):
+                        if first[i]:  # rows that repeat an id are one node with several texts
+                            own = [*own, y] if opening and (of[i], deal[i]) == last else [y]
+                            last, opening = (of[i], deal[i]), True
+                            continue
+                        opening = False
+                        if (of[i], deal[i]) == last and any(_reaches(x, y, percent) for x in own):
+                            keep.append(i)
+                yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        left = dealt.select("a", "deal").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
+        right = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "deal", "b", "text")
+        rows = left.unionByName(right).repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
+        return common.keep(common.cut(rows.mapInArrow(common.lean(task), "a long, b long")))
 
 
 def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
@@ -186,7 +204,7 @@ def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
                 score = [int(1000 * np.log2(1.0 + row[mix(s ^ _SEEDS[0]) >> np.uint64(64 - _BITS)]).mean()) if len(s) else 0 for s in shingle_sets(part, words)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(score, pa.int64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, score long")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(task), "doc_id long, score long")
 
 
 def _grid(excess: np.ndarray, doc: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +251,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
                 sets = shingle_sets(text, words)
                 all_ranks = orders(rows, np.concatenate(sets)) if sets else []
                 edges = np.cumsum([0, *map(len, sets)]).tolist()
-                for k, ranks in enumerate(all_ranks):
+                for k, (ranks, counts) in enumerate(all_ranks):
                     for i, s in enumerate(sets):
                         if not len(s):
                             continue
@@ -242,7 +260,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
                         at_rank = np.argpartition(r, p - 1)[:p] if p < len(s) else np.arange(p)
                         at_rank = at_rank[np.argsort(r[at_rank])]
                         t, place = mix(s[at_rank]), np.arange(p, dtype="<u4")
-                        excess = (r[at_rank] >> np.uint64(36)).astype(np.int64) - usual[k]
+                        excess = counts[edges[i] : edges[i + 1]][at_rank] - usual[k]
                         if int(excess.max()) > hot:
                             which, cell = _grid(excess, int(ids[at + i]), hot)
                             dealt = excess[which] > hot  # others keep the key that documents without a frequent token give them
@@ -256,7 +274,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
         if held:
             yield flush()
 
-    return docs.select("doc_id", "label", "text").mapInArrow(task, "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
+    return docs.select("doc_id", "label", "text").mapInArrow(common.lean(task), "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
 
 
 def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -294,12 +312,27 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
                 done = [np.unique(np.concatenate(done + found), axis=0)]
                 found, size = [], 0
         pairs = np.unique(np.concatenate(done + found), axis=0) if done or found else np.zeros((0, 2), np.int64)
+        common.trim()
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "k": pa.array(np.full(len(pairs), k), pa.int64())})
 
     return postings.groupBy("part").applyInArrow(task, "a long, b long, k long")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _hub_links(docs: DataFrame, classes: DataFrame, sketch, words: int, percent: int, n_first: int) -> DataFrame:
+    """Verified links of representatives with the hub that most of their least-token values name."""
+    shared = classes.select("rep", F.posexplode("first").alias("k", "token"))
+    lists = common.cut(shared.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").select("k", "token"))
+    listed = common.cut(shared.join(lists.hint("merge"), ["k", "token"]))
+    scores = _centrality(_fetch(docs, common.cut(listed.select(F.col("rep").alias("doc_id")).distinct())), sketch, words)
+    scores = common.cut(scores.groupBy(F.col("doc_id").alias("rep")).agg(F.max("score").alias("score")))
+    listed = listed.join(scores, "rep")
+    hubs = common.cut(listed.groupBy("k", "token").agg(F.max(F.struct("score", (-F.col("rep")).alias("h"))).alias("m")).select("k", "token", F.col("m.score").alias("hub_score"), (-F.col("m.h")).alias("hub")))
+    votes = listed.join(hubs.hint("merge"), ["k", "token"]).where("hub <> rep").groupBy("rep", "hub", "hub_score").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", "hub_score", (-F.col("hub")).alias("h"))).alias("best")).where(f"best.votes >= {max(1, n_first * 3 // 8)}")
+    return verified(docs, common.cut(chosen.select((-F.col("best.h")).alias("a"), F.col("rep").alias("b"))), words, percent)
+
+
+def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 50_000, per_part: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words over the whole text (fewer words: the whole sequence; no words
@@ -310,7 +343,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     2. Equal sets become one representative.
     3. Representatives that share several of ``n_first`` least-token values are verified against the
        most central of them, their hub; what links is contracted to a component. This only saves work.
-    4. Under each of ``n_orders`` global orders (rarest token first, ties and counters of their own),
+    4. Under each of ``n_orders`` global orders (rarest token first, or classes of frequency with a random order
+       within each; counters of their own),
        documents of different components that share a token of their prefixes are candidates; candidates of
        all orders are intersected, then verified on the whole texts.
        A pair that links shares a prefix token under every order, so no link is lost. The list of a token that more
@@ -322,42 +356,33 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = common.cut(_scan(d, words, n_orders, n_first))
-    sketch = spark.sparkContext.broadcast(_sketch(scanned, n_orders))
-    rows = scanned.where("kind = 0")
-    classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("first").alias("first")).where("rep is not null"))
-
-    shared = classes.select("rep", F.posexplode("first").alias("k", "token"))
-    lists = common.cut(shared.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").select("k", "token"))
-    listed = common.cut(shared.join(lists.hint("merge"), ["k", "token"]))
-    scores = _centrality(_fetch(d, common.cut(listed.select(F.col("rep").alias("doc_id")).distinct())), sketch, words)
-    scores = common.cut(scores.groupBy(F.col("doc_id").alias("rep")).agg(F.max("score").alias("score")))
-    listed = listed.join(scores, "rep")
-    hubs = common.cut(listed.groupBy("k", "token").agg(F.max(F.struct("score", (-F.col("rep")).alias("h"))).alias("m")).select("k", "token", F.col("m.score").alias("hub_score"), (-F.col("m.h")).alias("hub")))
-    votes = listed.join(hubs.hint("merge"), ["k", "token"]).where("hub <> rep").groupBy("rep", "hub", "hub_score").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", "hub_score", (-F.col("hub")).alias("h"))).alias("best")).where(f"best.votes >= {max(1, n_first * 3 // 8)}")
-    links = verified(d, common.cut(chosen.select((-F.col("best.h")).alias("a"), F.col("rep").alias("b"))), words, percent)
-    first = components(links)
-
-    # What a document's row does not carry: whether it stands for its set, and its label so far.
-    copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
-    marks = common.cut(copies.distinct().unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
-    marked = common.sized(marks.withColumn("marked", F.lit(True)))
-    kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
-    tokens = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-tokens * (100 - percent) // 100 // 500_000))
-    pairs = _candidates(_postings(kept, sketch, words, percent, parts, hot), parts, percent)
-    pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
-    more = verified(d, pairs, words, percent)
-
-    label = first.select(F.col("node").alias("x"), "label")
-    named = more.join(label, more.a == label.x, "left").select(F.coalesce("label", "a").alias("a"), "b")
-    named = named.join(label, named.b == label.x, "left").select("a", F.coalesce("label", "b").alias("b"))
-    second = components(named).withColumnRenamed("label", "root")
-    final = first.join(second, first.label == second.node, "full").select(F.coalesce(first.node, second.node).alias("node"), F.coalesce("root", "label").alias("label"))
-    final = common.cut(final.unionByName(second.select("node", F.col("root").alias("label"))).groupBy("node").agg(F.min("label").alias("label")))
-
-    of = common.cut(classes.where("copies > 1").join(final, classes.rep == final.node, "left").select("n", "key", F.coalesce("label", "rep").alias("of")))
+    with common.scratch(spark):
+        scanned = common.keep(common.cut(_scan(d, words, n_orders, n_first)))
+        sketch = spark.sparkContext.broadcast(_sketch(scanned, n_orders))
+        rows = scanned.where("kind = 0")
+        classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("first").alias("first")).where("rep is not null"))
+        links = _hub_links(d, classes, sketch, words, percent, n_first)
+        first = components(links)
+
+        # What a document's row does not carry: whether it stands for its set, and its label so far.
+        copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
+        marks = common.cut(copies.distinct().unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
+        marked = common.sized(marks.withColumn("marked", F.lit(True)))
+        kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+        tokens = classes.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, -(-tokens * (100 - percent) // 100 // per_part))
+        pairs = _candidates(_postings(kept, sketch, words, percent, parts, hot), parts, percent)
+        pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
+        sketch.destroy()
+        more = verified(d, pairs, words, percent)
+
+        label = first.select(F.col("node").alias("x"), "label")
+        named = more.join(label, more.a == label.x, "left").select(F.coalesce("label", "a").alias("a"), "b")
+        named = named.join(label, named.b == label.x, "left").select("a", F.coalesce("label", "b").alias("b"))
+        second = components(named).withColumnRenamed("label", "root")
+        final = first.join(second, first.label == second.node, "full").select(F.coalesce(first.node, second.node).alias("node"), F.coalesce("root", "label").alias("label"))
+        final = common.keep(common.cut(final.unionByName(second.select("node", F.col("root").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))))
+        of = common.keep(common.cut(classes.where("copies > 1").join(final, classes.rep == final.node, "left").select("n", "key", F.coalesce("label", "rep").alias("of"))))
     got = rows.select("doc_id", "n", "key").join(of.hint("merge"), ["n", "key"], "left")
     got = got.join(final.hint("merge"), got.doc_id == final.node, "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of", "label", "doc_id").alias("component_id"))
@@ -365,6 +390,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each component, that of the least id, and the columns they came with."""
-    found = link(docs, words, percent, id_col=id_col, text_col=text_col)
-    gone = common.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    with common.scratch(docs.sparkSession):
+        found = link(docs, words, percent, id_col=id_col, text_col=text_col)
+        gone = common.keep(common.cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()))
     return docs.join(common.sized(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -8,7 +8,7 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame
 
-from spectrasieve.llm import bpe
+from spectrasieve.llm import bpe, common
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -132,4 +132,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, eos: int = 0, id_c
         packer.finish()
         yield flush()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(task, SCHEMA)
+    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(common.lean(task, bpe.owner(tokenizer)), SCHEMA)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 
@@ -349,4 +350,7 @@ def test_rule_column_equals_rules(spark, labelled):
 def test_shared_folder(spark):
     df = common.cut(spark.range(5))
     assert df.count() == 5 and common.few(df, 5) and not common.few(df, 4)
-    common.drop_cut(spark, df)
+    common.drop_cut(df)
+    with common.scratch(spark):
+        gone, stays = common.cut(spark.range(3)), common.keep(common.cut(spark.range(4)))
+    assert stays.count() == 4 and not os.path.exists(gone.cut_at.removeprefix("file://")) and os.path.exists(stays.cut_at.removeprefix("file://"))
