@@ -37,8 +37,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's rows are written and read again, and what it wrote besides is deleted."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        with common.scratch(spark):
+            docs = common.keep(common.cut(stage(spark, docs, sf_dir)))
+        if last:
+            common.drop_cut(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
