@@ -90,8 +90,15 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(task, owner: str = ""):
-    """A task over batches that lets go what other operators hold in its worker and gives free memory back when it ends."""
+def by_batch(df: DataFrame, task, schema: str, owner: str = "") -> DataFrame:
+    """``df.mapInArrow(task, schema)`` with bounded memory.
+
+    Batches hold at most 4 MB (and a row) unless the session sets its own ``maxBytesPerBatch``. A task
+    lets go what other operators hold in its worker and gives free memory back when it ends.
+    """
+    conf, default = df.sparkSession.conf, "67108864b"
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == default:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
     def run(batches):
         held(owner)
@@ -100,4 +107,4 @@ def lean(task, owner: str = ""):
         finally:
             trim()
 
-    return run
+    return df.mapInArrow(run, schema)

@@ -77,7 +77,7 @@ def recipes(docs: DataFrame, mean: int = 2048, least: int = 512, most: int = 163
                     cols[3].append(hashlib.sha256(view[begin:end]).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), longs, longs, pa.string()), strict=True)], ["doc_id", "chunks", "strong", "text_sha256"])
 
-    return docs.mapInArrow(common.lean(task), "doc_id long, chunks array<long>, strong array<long>, text_sha256 string")
+    return common.by_batch(docs, task, "doc_id long, chunks array<long>, strong array<long>, text_sha256 string")
 
 
 def unverified(made: DataFrame) -> DataFrame:

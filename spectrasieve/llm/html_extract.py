@@ -216,7 +216,7 @@ def templates(pages: DataFrame) -> DataFrame:
                     yield rows()
         yield rows()
 
-    made = pages.mapInArrow(task, "host string, path string, n_pages long, total long, vector long, chars long, links long")
+    made = common.by_batch(pages, task, "host string, path string, n_pages long, total long, vector long, chars long, links long")
     tokens = made.groupBy("host", "path").agg(F.sum("n_pages").alias("n_pages"), F.sum("total").alias("total"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
     size = pages.groupBy("host").agg(F.count("*").alias("of"))
     classes = tokens.groupBy("host", "n_pages", "total", "vector").agg(F.count("*").alias("size"), F.collect_list(F.struct("path", "chars", "links")).alias("tokens"))
@@ -247,4 +247,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(Page(h or ""), [(s["path"], s["chars"], s["links"]) for s in slots or ()]) for h, slots in zip(part.column("html").to_pylist(), part.column("slots").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "slots").mapInArrow(task, "page_id long, url string, text string, n_chars long")
+    return common.by_batch(joined.select("page_id", "url", "html", "slots"), task, "page_id long, url string, text string, n_chars long")

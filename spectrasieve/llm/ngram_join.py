@@ -46,17 +46,12 @@ def shingle_sets(column, words: int) -> list[np.ndarray]:
 
 
 def orders(sketch: np.ndarray, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the rank of the tokens ``s`` and their counts by that order's own row of counters.
-
-    Even orders put the rarest token first. Odd ones know only how many bits the count has, so that
-    within such a class the order's own hash decides; ties of the others fall to it too.
-    """
+    """For each order the rank of the tokens ``s`` and their counts: rarest first by that order's own row of counters, then by its own hash."""
     out = []
     for k, row in enumerate(sketch):
         own = mix(s ^ _SEEDS[k])
         count = np.minimum(row[own >> np.uint64(64 - _BITS)], (1 << 28) - 1).astype(np.uint64)
-        by = count if k % 2 == 0 else np.frexp(count.astype(np.float64))[1].astype(np.uint64)
-        out.append((by << np.uint64(36) | (own & np.uint64((1 << 36) - 1)), count.astype(np.int64)))
+        out.append((count << np.uint64(36) | (own & np.uint64((1 << 36) - 1)), count.astype(np.int64)))
     return out
 
 
@@ -94,7 +89,7 @@ def _scan(docs: DataFrame, words: int, n_orders: int, n_first: int) -> DataFrame
                     blob = bytes([kind := np.min_scalar_type(c.max()).itemsize]) + c.astype(f"<u{kind}").tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((1, None, None, None, None, k * (1 << _BITS) + p * _PART, blob), types, strict=True)], fields)
 
-    return docs.mapInArrow(common.lean(task), "kind int, doc_id long, n long, key binary, first array<long>, part long, counts binary")
+    return common.by_batch(docs, task, "kind int, doc_id long, n long, key binary, first array<long>, part long, counts binary")
 
 
 def _sketch(scanned: DataFrame, n_orders: int) -> np.ndarray:
@@ -186,7 +181,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, group:
         left = dealt.select("a", "deal").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
         right = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "deal", "b", "text")
         rows = left.unionByName(right).repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
-        return common.keep(common.cut(rows.mapInArrow(common.lean(task), "a long, b long")))
+        return common.keep(common.cut(common.by_batch(rows, task, "a long, b long")))
 
 
 def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
@@ -204,7 +199,7 @@ def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
                 score = [int(1000 * np.log2(1.0 + row[mix(s ^ _SEEDS[0]) >> np.uint64(64 - _BITS)]).mean()) if len(s) else 0 for s in shingle_sets(part, words)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(score, pa.int64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(common.lean(task), "doc_id long, score long")
+    return common.by_batch(docs.select("doc_id", "text"), task, "doc_id long, score long")
 
 
 def _grid(excess: np.ndarray, doc: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +269,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
         if held:
             yield flush()
 
-    return docs.select("doc_id", "label", "text").mapInArrow(common.lean(task), "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
+    return common.by_batch(docs.select("doc_id", "label", "text"), task, "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
 
 
 def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -343,8 +338,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     2. Equal sets become one representative.
     3. Representatives that share several of ``n_first`` least-token values are verified against the
        most central of them, their hub; what links is contracted to a component. This only saves work.
-    4. Under each of ``n_orders`` global orders (rarest token first, or classes of frequency with a random order
-       within each; counters of their own),
+    4. Under each of ``n_orders`` global orders (rarest token first, ties and counters of their own),
        documents of different components that share a token of their prefixes are candidates; candidates of
        all orders are intersected, then verified on the whole texts.
        A pair that links shares a prefix token under every order, so no link is lost. The list of a token that more

@@ -132,4 +132,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, eos: int = 0, id_c
         packer.finish()
         yield flush()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(common.lean(task, bpe.owner(tokenizer)), SCHEMA)
+    return common.by_batch(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), task, SCHEMA, bpe.owner(tokenizer))

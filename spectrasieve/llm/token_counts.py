@@ -72,4 +72,4 @@ def section_counts(docs: DataFrame, tokenizer: str, separator: str = "\n", rule:
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(common.lean(task, bpe.owner(tokenizer)), SCHEMA)
+    return common.by_batch(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), task, SCHEMA, bpe.owner(tokenizer))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spectrasieve.llm import common
+
 SCHEMA = "page_id long, url string, host string, path string, rule string, verdict string"
 
 
@@ -137,4 +139,4 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], block_globs: lis
     url = F.col("url")
     tail = F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^?#]*([^#]*)", 1)
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    return d.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), tail.alias("tail")).mapInArrow(task, SCHEMA)
+    return common.by_batch(d.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), tail.alias("tail")), task, SCHEMA)
