@@ -327,7 +327,7 @@ def _hub_links(docs: DataFrame, classes: DataFrame, sketch, words: int, percent:
     return verified(docs, common.cut(chosen.select((-F.col("best.h")).alias("a"), F.col("rep").alias("b"))), words, percent)
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 50_000, per_part: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 50_000, per_part: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words over the whole text (fewer words: the whole sequence; no words
