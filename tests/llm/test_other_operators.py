@@ -66,13 +66,15 @@ def test_audit(spark, fan, size):
 
 
 def plain_top(rows, k):
-    v = {i: np.floor(256 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x)}
-    width = max(map(len, v.values()))
-    v = {i: np.pad(x, (0, width - len(x))) for i, x in v.items()}
+    v = {}
+    for i, x in rows:
+        if i is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
+            v.setdefault(i, []).append([int(np.floor(256 * np.float64(np.float32(c)))) for c in x])
     out = []
     for q in v:
         if q % 10 == 0:
-            best = sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:k]
+            score = lambda c, q=q: max(max(1 - 2**63, min(2**63 - 1, sum(m * n for m, n in zip(a, b)))) for a in v[q] for b in v[c])  # noqa: E731, B905
+            best = sorted((-score(c), c) for c in v if c != q)[:k]
             out += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
     return sorted(out)
 
@@ -80,12 +82,17 @@ def plain_top(rows, k):
 @pytest.mark.parametrize(("n", "dim", "block"), [(300, 16, 64), (40, 3, 16384), (3, 4, 2)])
 def test_vector_search(spark, n, dim, block):
     rng = np.random.default_rng(n)
-    rows = [(i, rng.normal(0, 1, dim).astype(np.float32).tolist()) for i in range(n)]
+    rows = [(i, (rng.normal(0, 1, dim) * (1 if i % 3 else 50)).astype(np.float32).tolist()) for i in range(n)]
     rows += [(1000 + i, rows[0][1]) for i in range(0, 20)]  # ties
+    rows += [(1500, [1e7] * dim), (1501, [-1e7, 9e6] + [0.0] * (dim - 2)), (1510, [3e9] + [1.0] * (dim - 1))]  # beyond 32 bits
+    rows += [(0, rows[0][1]), (1500, [1e7] * dim), (1, rows[1][1]), (1, rows[2][1]), (1010, rows[2][1]), (1501, rows[1][1])]  # repeated ids, equal and not
     rows += [(2000, None), (2010, [None] * dim), (2020, [float("nan")] * dim), (2030, [float("inf")] + [0.0] * (dim - 1)), (None, rows[1][1]), (2040, [1e30] * dim), (2050, [1.0]), (2060, [0.0] * dim), (2070, [])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k(df, F.col("vec_id") % 10 == 0, block=block, query_block=7).collect())
-    assert got == plain_top([r for r in rows if r[0] != 2040], 5)
+    assert got == plain_top(rows, 5)
+    clean = df.where("vec_id < 1000")  # no row is odd, so vectors are read as one array
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.top_k(clean, F.col("vec_id") % 10 == 0, block=block, query_block=7).collect())
+    assert got == plain_top([r for r in rows if r[0] is not None and r[0] < 1000], 5)
     assert vector_search.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0 and vector_search.top_k(df, F.lit(False)).count() == 0
 
 
@@ -101,14 +108,20 @@ def test_search_block_prunes_nothing_that_counts(kind):
         x *= 1e5
     x = x.astype("<i4")
     x = x[np.argsort(-(x.astype(float) ** 2).sum(1))]
-    q, ids = x[::25].copy(), np.arange(500)
+    q, ids, sole = x[::25].copy(), np.arange(500), np.arange(500) % 50 != 7
     rotate = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1]
-    qi, ci, score, _ = vector_search.search_block(ids[::25], q, ids, x, np.full(len(q), -np.inf), rotate, 5, step=32, head=3)
+    counts = np.zeros(5, np.int64)
+    qi, ci, score, best = vector_search.search_block(ids[::25], q, ids, sole, x, np.full(len(q), -np.inf), rotate, 5, step=32, counts=counts)
     for k in range(len(q)):
         s = q[k].astype(np.int64) @ x.T.astype(np.int64)
         s[25 * k] = -(10**15)
-        assert score[qi == k].tolist() == np.sort(s)[::-1][:5].tolist()
+        top = np.sort(s[sole])[::-1][:5]
+        assert best[k].tolist() == top.tolist()
+        assert sorted(score[(qi == k) & sole[ci]], reverse=True) == top.tolist()
+        assert set(np.flatnonzero(~sole & (s >= top[-1]))) <= set(ci[qi == k])
     assert (q[qi].astype(np.int64) * x[ci]).sum(1).tolist() == score.tolist()
+    assert counts[0] == len(q) * 500 and (np.diff(counts) <= 0).all()
+    assert kind not in ("long tail", "low rank") or counts[-1] < 0.7 * counts[0]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
