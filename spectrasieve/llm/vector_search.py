@@ -262,12 +262,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
         known = common.cut(common.by_batch(met.select("q_block", "q_n", "q_ids", "q", "n", "ids", "sole", "v"), floors, "q_block long, floor binary, least double"))
         asks = common.cut(asks.join(known, "q_block"))
 
-        # Pairs of blocks, from numbers and lengths alone: they meet in classes of length, dealt 64 ways.
+        # Pairs of blocks, from numbers and lengths alone: they meet in classes of length, each dealt
+        # so that one holds about 256 blocks.
+        deals = max(1, -(-count // block) // 256)
         class_of = lambda c: F.floor(8 * F.log2(c))
         least = (F.col("least") - 1e-3) / (1 + 1e-9) / F.greatest("q_most", F.lit(1e-9))
         reach = F.when(least > 1, F.least(class_of(least), class_of(F.lit(max(longest, 1.0))))).otherwise(0)
-        wanted = asks.select("q_block", least.alias("reach"), F.explode(F.sequence(reach, class_of(F.lit(max(longest, 1.0))))).alias("class")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        there = cand.select("block", "most", class_of(F.greatest("most", F.lit(1.0))).alias("class"), F.pmod(F.xxhash64("block"), F.lit(64)).cast("int").alias("deal"))
+        wanted = asks.select("q_block", least.alias("reach"), F.explode(F.sequence(reach, class_of(F.lit(max(longest, 1.0))))).alias("class")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        there = cand.select("block", "most", class_of(F.greatest("most", F.lit(1.0))).alias("class"), F.pmod(F.xxhash64("block"), F.lit(deals)).cast("int").alias("deal"))
         pairs = wanted.join(there, ["class", "deal"]).where((F.col("most") >= F.col("reach")) | (F.col("reach") <= 1)).select("q_block", "block")
         pairs = common.cut(pairs.join(pairs.groupBy("block").agg(F.count("*").alias("c")), "block").select("q_block", "block", F.pmod(F.xxhash64("q_block"), F.ceil(F.col("c") / 64)).alias("deal")))
 
