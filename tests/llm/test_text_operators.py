@@ -298,13 +298,39 @@ def test_choose_keeps_an_article_with_many_links():
     head, said, link = "h" * 50, "p" * 200, "l" * 100
     page = html_extract.Page(f"<body><article><h1>{head}</h1><p>{said}</p><ul><li><a href=x>{link}</a></li></ul></article></body>")
     assert html_extract.choose([(p, c, n) for p, (_, c, n) in html_extract.token_rows(page).items()]) == "body/article"
-    assert html_extract.main_text(page, []) == "\n".join([head, said, link])
+    assert html_extract.main_text(page, html_extract.Template()) == "\n".join([head, said, link])
 
 
 def test_equivalence_classes(spark):
-    df = spark.createDataFrame([(str(i), "h", f"<body><main><p>{i}</p>{'<div class=x>once</div>' if i == 0 else ''}</main></body>") for i in range(4)], "key string, host string, html string")
+    df = spark.createDataFrame([("h", f"<body><main><p>{i}</p>{'<div class=x>once</div>' if i == 0 else ''}</main></body>") for i in range(4)], "host string, html string")
     slots = {s.path for r in html_extract.templates(df).collect() for s in r.slots}
-    assert slots == {"body", "body/main", "body/main/p"}  # one page's own element is in no valid class
+    assert slots == {"", "body", "body/main", "body/main/p"}  # one page's own element is in no valid class
+
+
+@pytest.mark.parametrize("kw", [{}, {"broadcast_bytes": -1}])
+def test_template_words_go(spark, kw, monkeypatch):
+    """Words that a host's pages repeat belong to its template, whatever their element is called."""
+    body = lambda i: f"<body><div><div>Read more of our stories below.</div><p>Story {i} begins with words of its own and goes on.</p><p>It ends so: {i * 7}.</p><div>Subscribe now for more.</div></div></body>"
+    rows = [(i, f"http://h/{i}", body(i)) for i in range(20)] + [(19, "http://h/19", body(19)), (50, "http://lone/", body(50))]
+    rows += [(60 + i, f"http://copies/{i}", body(60).replace("Subscribe", "Subscribe" + "!" * i)) for i in range(5)]  # near copies are no template
+    rows += [(70 + i, f"http://order/{i}", body(70 + i) if i < 6 else body(70 + i).replace("<div>Read more of our stories below.</div>", "").replace("Subscribe now for more.</div>", "Subscribe now for more.</div><div>Read more of our stories below.</div>")) for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract(df, **kw).collect()}
+    assert all(got[i] == [f"Story {i} begins with words of its own and goes on.", f"It ends so: {i * 7}."] for i in range(20))
+    assert len(got[50]) == 4 and all(len(got[60 + i]) == 4 for i in range(5)) and all(len(got[70 + i]) == 2 for i in range(6))
+    assert got[76][-1] == "Read more of our stories below."  # out of the template's order
+    monkeypatch.setattr(html_extract, "templates", lambda p, **k: p.select("host", F.lit(None).cast("array<struct<path:string,chars:long,links:long>>").alias("slots"), F.lit(None).cast("array<long>").alias("words")).distinct())
+    assert all(len(r.text.split("\n")) == 4 for r in html_extract.extract(df, **kw).collect())
+
+
+def test_long_and_broken_pages(spark):
+    deep = "<div>" * 200_000 + "deep" + "</div>" * 100_000 + "</section>" * 100_000
+    quotes = '<a title="' * 200_000 + "x" * 1000
+    open_tags = "<video> " * 100_000 + "<b <p " * 100_000 + "<![CDATA[" * 100_000
+    many = "".join(f"<div class=q{chr(97 + i // 26 ** 3)}{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}>t{i}</div>" for i in range(100_000))
+    rows = [(1, "http://a/1", deep), (2, "http://a/2", quotes), (3, "http://a/3", open_tags), (4, "http://b/1", many), (5, "http://b/2", many + "<p>end</p>"), (6, "http://c/1", "<p>said</p>" * 500_000)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_bytes=1 << 20).collect()}
+    assert got[1].text == "deep" and got[2].n_chars > 1000 and got[4].text.count("\n") == 99_999 and got[6].text == "\n".join(["said"] * 500_000)
 
 
 @pytest.fixture(scope="module")
