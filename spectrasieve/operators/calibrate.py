@@ -90,37 +90,27 @@ def calibrate(spectra: DataFrame, config: model.Config | None = None, order: str
     estimates after the MAD filter, or the fallback with fewer than five. Only a bounded number of spectra is read.
     """
     config = config or model.Config()
-    head = spectra.orderBy(order).limit(config.n_calibration_spectra)
-    head = head.withColumn("filter_string", F.lit(None).cast("string")) if "filter_string" not in head.columns else head
-    rows = head.select(order, "ms_level", "mz", "intensity", peaks.filter_code_sigma(F.col("filter_string")).alias("code")).collect()
+    head = spectra.withColumn("filter_string", F.lit(None).cast("string")) if "filter_string" not in spectra.columns else spectra
+    head = head.select(F.col(order).cast("long").alias("scan_number"), "ms_level", "mz", "intensity", peaks.filter_code_sigma(F.col("filter_string")).alias("sigma")).orderBy("scan_number").limit(config.n_calibration_spectra).persist()
+    agreed = {r.ms_level: r.sigma for r in agreement(head).collect()}
+    gap = order_stats.upper_median(order_stats.gaps(F.col("mz")))
+    firsts = {r.ms_level: r for r in head.groupBy("ms_level").agg(F.count("*").alias("n"), F.min_by(gap, "scan_number").alias("gap")).collect()}
     out: dict = {}
     for level, default in ((1, 1 / 15), (2, 0.125)):
-        own = [r for r in rows if r.ms_level == level]
-        spacing = config.spacing()
+        first, spacing = firsts.get(level), config.spacing()
         if spacing is None:
-            gap = np.sort(np.diff(own[0].mz)) if own else np.zeros(0)
-            spacing = float(gap[len(gap) // 2]) if len(gap) else (0.125 if own else default)
-        codes = [r.code for r in own[:10] if r.code is not None]
+            spacing = (0.125 if first.gap is None else first.gap) if first else default
         sigma, n = config.sigma_for(level), 0
-        if sigma is None and not own:
+        if sigma is None and not first:
             sigma = model.FALLBACK_SIGMA
-        elif sigma is None and codes and max(codes) - min(codes) < 1e-6:
-            sigma, n = codes[0], len(own)
+        elif sigma is None and agreed[level] is not None:
+            sigma, n = agreed[level], first.n
         elif sigma is None:
-            found = []
-            for r in own:
-                y = np.asarray(r.intensity, np.float64)
-                if len(y) >= 3:
-                    best, scale = envelope(y)
-                    least = 0.1 * np.sort(best)[min(len(best) * 99 // 100, len(best) - 1)]
-                    if least > 0:
-                        found += (np.array(model.SCALES)[scale[isolated(best, least, round(1 / spacing))]] * model.SCALE_TO_SIGMA * spacing).tolist()
-            n, sigma = len(found), model.FALLBACK_SIGMA
+            found = sigma_estimates(head.where(F.col("ms_level") == level).withColumnRenamed("scan_number", KEY).drop("sigma"), spacing).persist()
+            n, sigma = found.count(), model.FALLBACK_SIGMA
             if n >= 5:
-                s = np.sort(found)
-                mid = s[n // 2]
-                mad = np.sort(np.abs(s - mid))[n // 2]
-                kept = [x for x in found if abs(x - mid) <= 2 * max(mad, 0.01 * mid)]
-                sigma, n = float(np.mean(kept)), len(kept)
+                n, sigma = mad_filter(found).agg(F.count("*"), F.avg("sigma")).first()
+            found.unpersist()
         out |= {f"sigma_ms{level}": float(sigma), f"grid_spacing_ms{level}": float(spacing), f"n_peaks_ms{level}": n}
+    head.unpersist()
     return out

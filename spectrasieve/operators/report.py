@@ -65,10 +65,32 @@ def nearest(centroids: DataFrame, targets: DataFrame, tolerance: float = 0.5) ->
     return best.select(KEY, "target", "b.mz", "b.intensity", "b.delta")
 
 
-def delta_summary(deltas: DataFrame, by: list[str]) -> DataFrame:
-    """n, mean, median and MAD of delta by the columns, with subtotals and a total (null keys)."""
-    stats = deltas.rollup(*by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"), F.percentile("delta", 0.5).alias("median"), F.percentile(F.abs("delta"), 0.5).alias("median_abs"))
-    return stats
+def median(rows: DataFrame, key: str, value: str, width: float) -> DataFrame:
+    """(key, median): the exact median of a column by key, the mean of both middle values if their number is even.
+
+    Equal values are counted before the shuffle. Counts in bins of ``width`` tell which bin holds the middle, and
+    only that bin's values are put in order, so that no task takes all values of a large group.
+    """
+    values = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.col("v") / width))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("bin")) - F.col("n")
+    bins = values.groupBy(key, "bin").agg(F.sum("c").alias("n")).withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy(key))})
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = bins.where((F.col("before") <= high) & (F.col("before") + F.col("n") > low)).select(key, "bin", "before", low.alias("low"), high.alias("high"))
+    end = F.col("before") + F.sum("c").over(Window.partitionBy(key, "bin").orderBy("v"))
+    ranked = values.join(middle, [key, "bin"]).withColumn("end", end)
+    at = lambda r: F.max(F.when((F.col("end") > F.col(r)) & (F.col("end") - F.col("c") <= F.col(r)), F.col("v")))
+    return ranked.groupBy(key).agg(((at("low") + at("high")) / 2).alias("median"))
+
+
+def delta_summary(deltas: DataFrame, by: list[str], width: float = 1e-3) -> DataFrame:
+    """n, mean, median and MAD (the median distance from the median) of delta by the columns, with subtotals and a total (null keys)."""
+    kinds = deltas.schema
+    sets = [F.struct(F.lit(i).alias("depth"), *[(F.col(c) if k < len(by) - i else F.lit(None).cast(kinds[c].dataType)).alias(c) for k, c in enumerate(by)]) for i in range(len(by) + 1)]
+    rows = deltas.select("delta", F.explode(F.array(*sets)).alias("g")).select("delta", F.to_json("g").alias("key"), *[F.col(f"g.{c}").alias(c) for c in by])
+    one = rows.groupBy("key", *by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
+    mid = median(rows, "key", "delta", width)
+    away = rows.join(mid, "key").select("key", F.abs(F.col("delta") - F.col("median")).alias("away"))
+    return one.join(mid, "key", "left").join(median(away, "key", "away", width).withColumnRenamed("median", "mad"), "key", "left").drop("key")
 
 
 def compare_methods(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
@@ -81,9 +103,21 @@ def compare_methods(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
 def centroid_gaps(centroids: DataFrame, edges: tuple[float, float, int]) -> DataFrame:
     """(bucket, n, least): histogram of the distances of neighbouring centroids."""
     lo, hi, n = edges
+    return _gaps(centroids).groupBy(F.width_bucket("gap", F.lit(float(lo)), F.lit(float(hi)), F.lit(n)).alias("bucket")).agg(F.count("*").alias("n"), F.min("gap").alias("least"))
+
+
+def _gaps(centroids: DataFrame) -> DataFrame:
     gap = F.col("mz") - F.lag("mz").over(Window.partitionBy(KEY).orderBy("mz"))
-    rows = centroids.select(gap.alias("gap")).where("gap is not null")
-    return rows.groupBy(F.width_bucket("gap", F.lit(float(lo)), F.lit(float(hi)), F.lit(n)).alias("bucket")).agg(F.count("*").alias("n"), F.min("gap").alias("least"))
+    return centroids.select(KEY, gap.alias("gap")).where("gap is not null")
+
+
+def gap_summary(centroids: DataFrame) -> DataFrame:
+    """(spectrum_id, n, median_gap, least_gap, most_intensity): a spectrum's centroids and the distances of neighbours.
+
+    A spectrum's gaps are few, so their exact percentile fits the aggregate; one centroid has no gap.
+    """
+    gaps = _gaps(centroids).groupBy(KEY).agg(F.percentile("gap", 0.5).alias("median_gap"), F.min("gap").alias("least_gap"))
+    return centroids.groupBy(KEY).agg(F.count("*").alias("n"), F.max("intensity").alias("most_intensity")).join(gaps, KEY, "left").select(KEY, "n", "median_gap", "least_gap", "most_intensity")
 
 
 def top_ions(centroids: DataFrame, k: int = 10) -> DataFrame:

@@ -341,9 +341,9 @@ CWT = f"""{RICKER}, {{points}},
 res AS (SELECT a.spectrum_id, scale_idx, a.idx, sum(b.intensity * v) AS response FROM p a JOIN p b ON a.spectrum_id = b.spectrum_id JOIN ker ON ker.i = b.idx - a.idx GROUP BY ALL)"""
 
 
-@query(f"WITH {CWT} SELECT spectrum_id, CAST(scale_idx AS INTEGER) AS scale_idx, idx, round(response, 3) AS response FROM res WHERE scale_idx = 2", **EMB)
+@query(f"WITH {CWT} SELECT spectrum_id, CAST(scale_idx AS INTEGER) AS scale_idx, idx, round(response, 3) AS response FROM res", **EMB)
 def cwt_response(spark, sf_dir, view):
-    return cwt(views.spectra(spark, sf_dir, view)).where("scale_idx = 2").withColumn("response", F.round("response", 3))
+    return cwt(views.spectra(spark, sf_dir, view)).withColumn("response", F.round("response", 3))
 
 
 ENVELOPE = f"""{CWT}, env AS (SELECT spectrum_id, idx, greatest(max(response), 0) AS best, arg_max(scale_idx, struct_pack(r := greatest(response, 0), k := -scale_idx)) AS scale_idx FROM res GROUP BY 1, 2),
@@ -382,8 +382,8 @@ def greedy_merge(spark, sf_dir):
     return rows.select("spectrum_id", "centroid_idx", F.round("c.mz", 6).alias("mz"), F.round("c.intensity", 3).alias("intensity"))
 
 
-def _centroided(spark, sf_dir, view):
-    config = model.Config(noise_window_da=2.0, noise_step_da=0.5)
+def _centroided(spark, sf_dir, view, k=3.0):
+    config = model.Config(noise_window_da=2.0, noise_step_da=0.5, signal_threshold_sigma=k)
     return centroid.centroid(views.spectra(spark, sf_dir, view), config, (SIGMA, SIGMA), (SPACING, SPACING))
 
 
@@ -392,9 +392,10 @@ def centroids(spark, sf_dir):
     return centroid.rows(_centroided(spark, sf_dir, "emb"))
 
 
-@query(evt={"view": "evt"}, li={"view": "li"})
-def centroids_of(spark, sf_dir, view):
-    return centroid.rows(_centroided(spark, sf_dir, view))
+@query(evt={"view": "evt"}, li={"view": "li", "k": 1.5})
+def centroids_of(spark, sf_dir, view, k=3.0):
+    """``k`` is the threshold in sigma: prices spread evenly, and none lies three above the rest."""
+    return centroid.rows(_centroided(spark, sf_dir, view, k))
 
 
 @query(**TWO)
@@ -402,10 +403,21 @@ def spectrum_stats(spark, sf_dir, view):
     return _centroided(spark, sf_dir, view).select("spectrum_id", "stats.*")
 
 
-@query(**EMB)
+@query(f"""WITH {ENVELOPE}, fst AS (SELECT DISTINCT spectrum_id FROM p ORDER BY 1 LIMIT {model.Config().n_calibration_spectra}), it AS (SELECT sigma FROM iso JOIN fst USING (spectrum_id)),
+md AS (SELECT list_sort(list(sigma))[count(*) // 2 + 1] AS median FROM it),
+dv AS (SELECT median, list_sort(list(abs(sigma - median)))[count(*) // 2 + 1] AS mad FROM it, md GROUP BY median)
+SELECT {model.FALLBACK_SIGMA}::DOUBLE AS sigma_ms1, round(1 / 15::DOUBLE, 9) AS grid_spacing_ms1, 0 AS n_peaks_ms1, round(avg(sigma), 9) AS sigma_ms2, 0.125::DOUBLE AS grid_spacing_ms2, count(*) AS n_peaks_ms2
+FROM it, dv WHERE abs(sigma - median) <= 2 * greatest(mad, 0.01 * median)""", **EMB)
 def calibration(spark, sf_dir, view):
     got = calibrate.calibrate(views.spectra(spark, sf_dir, view), order="spectrum_id")
-    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} {'long' if k[0] == 'n' else 'double'}" for k in got))
+    return spark.createDataFrame([tuple(round(x, 9) for x in got.values())], ", ".join(f"{k} {'long' if k[0] == 'n' else 'double'}" for k in got))
+
+
+@query(f"WITH {REGIONS}, c AS (SELECT spectrum_id, count(*) AS n_regions FROM r GROUP BY 1) SELECT spectrum_id, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_regions, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_lasso, 0.34::DOUBLE AS sigma_used, round(3 * noise_sigma, 6) AS lambda_rough FROM z LEFT JOIN c USING (spectrum_id) WHERE n >= 3", **TWO)
+def spectrum_stats_rough(spark, sf_dir, view):
+    """What the kernel tells of its first pass."""
+    got = _centroided(spark, sf_dir, view).select("spectrum_id", "stats.*").where("lambda_rough > 0")
+    return got.select("spectrum_id", "n_regions", "n_lasso", "sigma_used", F.round("lambda_rough", 6).alias("lambda_rough"))
 
 
 TARGETS = (201.0, 202.5, 203.9, 205.25, 207.1)
@@ -430,18 +442,33 @@ def nearest_target(spark, sf_dir):
     return _nearest(spark, sf_dir)
 
 
-@query(f"""WITH {NEAREST}, g AS (SELECT spectrum_id % 3 AS rate, target, delta FROM nt)
-SELECT rate, target, count(*) AS n, round(avg(delta), 9) AS mean, median(delta) AS median, median(abs(delta)) AS median_abs FROM g GROUP BY ROLLUP (rate, target)""")
+@query(f"""WITH {NEAREST}, g AS (SELECT spectrum_id % 3 AS rate, target, delta FROM nt),
+e AS (SELECT 0 AS depth, rate, target, delta FROM g UNION ALL SELECT 1, rate, NULL, delta FROM g UNION ALL SELECT 2, NULL, NULL, delta FROM g),
+m AS (SELECT *, median(delta) OVER (PARTITION BY depth, rate, target) AS med FROM e)
+SELECT rate, target, count(*) AS n, round(avg(delta), 9) AS mean, round(any_value(med), 9) AS median, round(median(abs(delta - med)), 9) AS mad FROM m GROUP BY depth, rate, target""")
 def delta_summary(spark, sf_dir):
     d = _nearest(spark, sf_dir).withColumn("rate", F.col("spectrum_id") % 3)
-    return report.delta_summary(d, ["rate", "target"]).withColumn("mean", F.round("mean", 9))
+    return report.delta_summary(d, ["rate", "target"]).withColumns({c: F.round(c, 9) for c in ("mean", "median", "mad")})
 
 
-@query(f"""WITH {NEAREST}, a AS (SELECT target, spectrum_id, delta FROM nt WHERE spectrum_id % 4 <> 0), b AS (SELECT target, spectrum_id, delta / 2 AS delta FROM nt WHERE spectrum_id % 5 <> 0)
-SELECT target, spectrum_id, a.delta AS delta_a, b.delta AS delta_b, abs(a.delta) - abs(b.delta) AS gain FROM a FULL JOIN b USING (target, spectrum_id)""")
+@query(f"""WITH {NEAREST}, b AS (SELECT spectrum_id, target, delta FROM nt), v AS (SELECT spectrum_id, mz - (ln(y2) - ln(y0)) / (2 * (ln(y0) - 2 * ln(intensity) + ln(y2))) * (mz - x0) AS mz, intensity, (ln(y0) - 2 * ln(intensity) + ln(y2)) AS c, mz AS apex, x0 FROM mx WHERE y0 > 0 AND y2 > 0),
+w AS (SELECT spectrum_id, mz, intensity FROM v WHERE c < 0 AND abs(mz - apex) <= 0.5 * (apex - x0)),
+a0 AS (SELECT spectrum_id, target, mz - target AS delta, row_number() OVER (PARTITION BY spectrum_id, target ORDER BY abs(mz - target), mz, intensity) AS k FROM w JOIN tg ON abs(mz - target) <= 0.5), a AS (SELECT * FROM a0 WHERE k = 1)
+SELECT target, spectrum_id, round(a.delta, 6) AS delta_a, round(b.delta, 6) AS delta_b, round(abs(a.delta) - abs(b.delta), 6) AS gain FROM a FULL JOIN b USING (target, spectrum_id)""")
 def method_deltas(spark, sf_dir):
-    d = _nearest(spark, sf_dir)
-    return report.compare_methods(d.where("spectrum_id % 4 <> 0"), d.where("spectrum_id % 5 <> 0").withColumn("delta", F.col("delta") / 2), ["target", "spectrum_id"])
+    """Vertices of log-parabolas beside local maxima."""
+    t = report.triples(views.spectra(spark, sf_dir, "emb")).where("y0 > 0 and y2 > 0")
+    v = peaks.log_parabola(F.col("x1"), F.col("x1") - F.col("x0"), F.col("y0"), F.col("y1"), F.col("y2"))
+    targets = spark.createDataFrame([(x,) for x in TARGETS], "target double")
+    vertices = report.nearest(t.select("spectrum_id", v.alias("mz"), F.col("y1").alias("intensity")), targets)
+    got = report.compare_methods(vertices, _nearest(spark, sf_dir), ["target", "spectrum_id"])
+    return got.select("target", "spectrum_id", *[F.round(c, 6).alias(c) for c in ("delta_a", "delta_b", "gain")])
+
+
+@query(f"""WITH {MAXIMA}, g AS (SELECT *, mz - lag(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) AS gap FROM mx)
+SELECT spectrum_id, count(*) AS n, median(gap) AS median_gap, min(gap) AS least_gap, max(intensity) AS most_intensity FROM g GROUP BY 1""")
+def centroid_gap_summary(spark, sf_dir):
+    return report.gap_summary(report.local_maxima(views.spectra(spark, sf_dir, "emb")))
 
 
 @query(f"""WITH {MAXIMA}, g AS (SELECT mz - lag(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) AS gap FROM mx)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,33 +46,6 @@ def cv_rule_failures(spark, sf_dir):
     return failed.groupBy("file", "parent", "label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) FILTER (WHERE n_chars IS NOT NULL) AS declared, count(*) AS actual, count(DISTINCT doc_id) AS indexed, count(*) FILTER (WHERE n_chars IS NOT NULL) <> count(*) OR count(*) <> count(DISTINCT doc_id) AS mismatch FROM documents GROUP BY source")
-def count_mismatch(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").agg(F.count("n_chars").alias("declared"), F.count("*").alias("actual"), F.countDistinct("doc_id").alias("indexed"))
-    return d.withColumn("mismatch", (F.col("declared") != F.col("actual")) | (F.col("actual") != F.col("indexed")))
-
-
-SHORT = "s AS (SELECT doc_id, source, n_chars, n_chars < 200 AS gone FROM documents)"
-
-
-@query("SELECT doc_id, source FROM documents WHERE coalesce(n_chars, 0) < 200")
-def empty_spectra(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.coalesce("n_chars", F.lit(0)) < 200).select("doc_id", "source")
-
-
-@query("SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS new_index FROM documents WHERE n_chars >= 200")
-def renumber(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars >= 200")
-    return d.select("doc_id", "source", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("new_index"))
-
-
-@query("SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS BIGINT) AS byte_offset FROM documents")
-def byte_offsets(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("doc_id", "source", (F.sum("n_chars").over(w) - F.col("n_chars")).alias("byte_offset"))
-
-
 RANGES = "rg AS (SELECT l_suppkey AS file, l_orderkey AS begin, l_orderkey + CAST(l_quantity AS BIGINT) AS \"end\" FROM lineitem)"
 
 
@@ -109,10 +83,12 @@ def matched_sources(spark, sf_dir):
 SPECTRA = 500  # consecutive ids a document
 
 
-def _documents(spark, sf_dir) -> str:
-    """The embedding view as mzML files of at most ``SPECTRA`` consecutive ids each in a new folder."""
+def _documents(spark, sf_dir, empty: str | None = None) -> str:
+    """The embedding view as mzML files of at most ``SPECTRA`` consecutive ids each in a new folder; spectra for which ``empty`` holds have no points."""
     folder = shared.new_files(spark)
     rows = views.spectra(spark, sf_dir, "emb")
+    if empty:
+        rows = rows.withColumns({c: F.when(F.expr(empty), F.slice(c, 1, 0)).otherwise(F.col(c)) for c in ("mz", "intensity")})
 
     def write(table):
         import pyarrow as pa
@@ -126,6 +102,68 @@ def _documents(spark, sf_dir) -> str:
     return folder
 
 
+def _each(spark, folder: str, found, schema: str):
+    """The rows (part, ...) that ``found`` gives for each file, a task a file."""
+
+    def task(batches):
+        import pandas as pd
+
+        for b in batches:
+            for path in b["path"]:
+                part = int(re.search(r"part(\d+)", path)[1])
+                yield pd.DataFrame([(part, *r) for r in found(path, part)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    paths = mzml.files_of(folder)
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInPandas(task, schema)
+
+
+PARTS = "sp AS (SELECT vec_id, vec_id // 500 AS part, vec_id % 7 = 3 AS gone FROM embeddings WHERE vec_id IS NOT NULL)"
+
+
+@query(f"WITH {PARTS} SELECT part, count(*) + (part + 1) % 2 AS declared, count(*) AS actual, count(*) AS indexed, part % 2 = 0 AS mismatch FROM sp GROUP BY part")
+def count_mismatch(spark, sf_dir):
+    """Documents of which every second declares one spectrum too many."""
+
+    def found(path, part):
+        have = verify.counts(path)
+        repair.declare(path, have["actual"] + (part + 1) % 2)
+        c = verify.counts(path)
+        yield c["declared"], c["actual"], c["indexed"], c["declared"] != c["actual"]
+
+    return _each(spark, _documents(spark, sf_dir), found, "part long, declared long, actual long, indexed long, mismatch boolean")
+
+
+@query(f"WITH {PARTS}, n AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS number FROM sp) SELECT part, number, 'scan=' || vec_id AS id FROM n WHERE gone")
+def empty_spectra(spark, sf_dir):
+    return _each(spark, _documents(spark, sf_dir, "spectrum_id % 7 = 3"), lambda path, _: [r[:2] for r in verify.empty_spectra(path)], "part long, number long, id string")
+
+
+@query(f"WITH {PARTS} SELECT part, 'scan=' || vec_id AS id, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS new_index FROM sp WHERE NOT gone")
+def renumber(spark, sf_dir):
+    """The numbers of spectra after the empty ones were removed."""
+
+    def found(path, _):
+        repair.remove_empty(path)
+        for _, raw in mzml.elements(path, 0, os.path.getsize(path)):
+            head = raw[: raw.index(b">")]
+            yield re.search(rb'\sid="([^"]*)"', head)[1].decode(), int(re.search(rb'\sindex="(\d+)"', head)[1])
+
+    return _each(spark, _documents(spark, sf_dir, "spectrum_id % 7 = 3"), found, "part long, id string, new_index long")
+
+
+@query(f"WITH {PARTS} SELECT part, 'scan=' || vec_id AS id, true AS holds FROM sp")
+def byte_offsets(spark, sf_dir):
+    """Whether each offset of an index is where its spectrum begins."""
+
+    def found(path, _):
+        with open(path, "rb") as f:
+            data = f.read()
+        for i, at in verify.index_of(path)["spectrum"]:
+            yield i, data.startswith(b"<spectrum ", at) and f'id="{i}"'.encode() in data[at : data.index(b">", at)]
+
+    return _each(spark, _documents(spark, sf_dir), found, "part long, id string, holds boolean")
+
+
 def _key(df):
     return df.withColumn("spectrum_id", F.regexp_extract("native_id", "scan=(.*)", 1).cast("long"))
 
@@ -133,11 +171,11 @@ def _key(df):
 CONFIG = model.Config(noise_window_da=2.0, noise_step_da=0.5)
 
 
-@query()
+@query(f"WITH {views.points_sql('emb')} SELECT spectrum_id, 2 AS ms_level, CAST(count(*) AS INTEGER) AS n, round(sum(intensity), 3) AS total FROM p GROUP BY 1")
 def mzml_scan(spark, sf_dir):
     """What was written as mzML, read again."""
     got = _key(mzml.read(spark, _documents(spark, sf_dir), block=1 << 18))
-    return got.select("spectrum_id", "ms_level", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"))
+    return got.select("spectrum_id", "ms_level", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")).withColumn("total", F.round("total", 3))
 
 
 @query()
