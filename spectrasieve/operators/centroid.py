@@ -101,8 +101,8 @@ class _Region:
     __slots__ = ("area", "aty", "beta", "end", "grid", "mz", "owner", "penalty", "residual", "start", "y")
 
 
-def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool) -> None:
-    """Solve regions together, in groups of like width."""
+def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool, direct: bool) -> None:
+    """Solve regions together, in groups of like width; ``direct``: sweeps begin where solved active blocks end."""
     batch.sort(key=lambda r: len(r.grid))
     at = 0
     while at < len(batch):
@@ -117,7 +117,10 @@ def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool)
             aty[i, : len(r.aty)] = r.aty
             if warm:
                 start[i, : len(r.beta)] = r.beta
-        beta, _, _ = lasso.solve(aty, np.array([len(r.grid) for r in part]), basis.gram, np.array([r.penalty for r in part]), start, config.max_lasso_iter, config.lasso_tol)
+        size, penalty = np.array([len(r.grid) for r in part]), np.array([r.penalty for r in part])
+        if direct:
+            start = lasso.direct(aty, size, basis.gram, penalty, start)
+        beta, _, _ = lasso.solve(aty, size, basis.gram, penalty, start, config.max_lasso_iter, config.lasso_tol)
         for i, r in enumerate(part):
             r.beta = beta[i, : len(r.grid)]
             r.mz, amplitude = lasso.refine(r.beta, r.grid)
@@ -125,8 +128,8 @@ def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool)
         at = end
 
 
-def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray], bases: tuple[Basis, Basis], config: model.Config) -> list[tuple]:
-    """(centroid m/z, area, statistics) of each spectrum. ``bases`` are those of level 1 and of all others."""
+def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray], bases: tuple[Basis, Basis], config: model.Config, direct: bool = True) -> list[tuple]:
+    """(centroid m/z, area, statistics) of each spectrum. ``bases`` are those of level 1 and of all others; see :func:`centroid` for ``direct``."""
     state, todo = [], ([], [])
     for s, (level, mz, y) in enumerate(zip(levels, mzs, ys, strict=True)):
         which = 0 if level == 1 else 1
@@ -151,7 +154,7 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
             r.beta, r.mz, r.area, r.residual = np.zeros(len(r.grid)), np.zeros(0), np.zeros(0), None
         state.append((which, sigma, penalty, own))
     for which in (0, 1):
-        _solve(todo[which], bases[which], config, False)
+        _solve(todo[which], bases[which], config, False, direct)
 
     again = ([], [])
     first: list[list] = []
@@ -184,7 +187,7 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
                 refits[s] += 1
     moved = [{id(r) for r in a} for a in again]
     for which in (0, 1):
-        _solve(again[which], bases[which], config, True)
+        _solve(again[which], bases[which], config, True, direct)
 
     out = []
     for s, known in enumerate(state):
@@ -209,11 +212,12 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
     return out
 
 
-def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float], spacing: tuple[float, float], keys: tuple[str, ...] = ("spectrum_id",), batch: int = 256) -> DataFrame:
+def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float], spacing: tuple[float, float], keys: tuple[str, ...] = ("spectrum_id",), batch: int = 256, direct: bool = True) -> DataFrame:
     """Centroids and statistics of each spectrum: keys, centroids array<struct<mz, intensity>>, stats struct.
 
     ``spectra`` holds the keys, ms_level, mz and intensity; ``sigma`` and ``spacing`` are those of level 1 and of all
-    others. No shuffle; memory is ``batch`` spectra. Spectra with null or fewer than three points have no centroids.
+    others. With ``direct`` the LASSO's sweeps begin near the optimum, from solved active blocks, and confirm it; without, they begin at 0 and
+    may end at the limit of sweeps before it. No shuffle; memory is ``batch`` spectra. Spectra with null or fewer than three points have no centroids.
     """
     bases = tuple(Basis.of(s, h, config.grid_offset or 0.0) for s, h in zip(sigma, spacing, strict=True))
     named = [f for f in spectra.schema.fields if f.name in keys]
@@ -229,7 +233,7 @@ def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float
             for at in range(0, len(whole), batch):
                 b = whole.slice(at, batch)
                 arrays = [[np.asarray(v.values if v.is_valid else [], np.float64) for v in b.column(c)] for c in ("mz", "intensity")]
-                got = centroid_batch([v or 2 for v in b.column("ms_level").to_pylist()], *arrays, bases, config)
+                got = centroid_batch([v or 2 for v in b.column("ms_level").to_pylist()], *arrays, bases, config, direct)
                 flat = [np.concatenate([np.asarray(g[i], np.float64) for g in got] or [np.zeros(0)]) for i in (0, 1)]
                 offsets = np.cumsum([0, *(len(g[0]) for g in got)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f) for f in flat], fields=list(pair)))

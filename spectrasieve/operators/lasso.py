@@ -26,8 +26,7 @@ def solve(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarr
     live = np.flatnonzero(~converged)
     if not width or not len(live):
         return beta, iterations, converged
-    dist = np.abs(np.arange(width)[:, None] - np.arange(width))
-    full = np.where(dist < len(gram), gram[np.minimum(dist, len(gram) - 1)], 0.0)
+    full = _full(gram, width)
     real = np.arange(width) < size[:, None]
     active = real & ((beta > 0) | (aty > penalty[:, None]))
     order, count = np.argsort(~active, axis=1, kind="stable"), active.sum(1)
@@ -95,6 +94,79 @@ def _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol)
     return done
 
 
+def _full(gram: np.ndarray, width: int) -> np.ndarray:
+    """The banded Toeplitz matrix of ``width`` whose first row begins with ``gram``."""
+    dist = np.abs(np.arange(width)[:, None] - np.arange(width))
+    return np.where(dist < len(gram), gram[np.minimum(dist, len(gram) - 1)], 0.0)
+
+
+def direct(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarray, warm: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+    """Coefficients near the optimum of each problem, by solving the active blocks of many problems at once.
+
+    A round solves each problem's active block by compiled linear algebra. Where a coefficient would turn negative the step ends
+    at the first that reaches zero, which leaves; else the coefficients whose optimality condition fails most within their
+    neighbourhood enter (one alone, once entering several has failed). Problems that take more than ``rounds`` stay as they are: sweeps
+    finish all of them, so this only saves sweeps.
+    """
+    many, width = aty.shape
+    full = _full(gram, width)
+    drive = np.where(np.arange(width) < size[:, None], aty - penalty[:, None], -np.inf)
+    least = 1e-9 * np.maximum(np.abs(aty).max(1, initial=0), 1e-300)
+    x = np.zeros((many, width)) if warm is None else np.maximum(warm, 0.0)
+    on, single = x > 0, np.zeros(many, bool)
+    live = np.flatnonzero(size > 0)
+    for _ in range(rounds):
+        if not len(live):
+            break
+        count = on[live].sum(1)
+        order = np.argsort(count, kind="stable")
+        live, count = live[order], count[order]
+        settled = np.ones(len(live), bool)
+        at = int(np.searchsorted(count, 1))
+        while at < len(live):
+            k = int(count[at] * 1.3) + 1
+            end = min(int(np.searchsorted(count, k, "right")), at + max(16, BLOCK // (k * k)))
+            part, k = live[at:end], int(count[end - 1])
+            settled[at:end] = _step(part, k, x, on, single, drive, full)
+            at = end
+        done = live[settled]
+        slope = np.where(on[done], -np.inf, drive[done] - x[done] @ full)
+        most = slope.argmax(1)
+        open_ = slope[np.arange(len(done)), most] > least[done]
+        edge = np.pad(slope, ((0, 0), (1, 1)), constant_values=-np.inf)
+        enter = (slope > least[done][:, None]) & (slope >= edge[:, :-2]) & (slope > edge[:, 2:]) & ~single[done][:, None]
+        enter[np.flatnonzero(open_), most[open_]] = True
+        enter &= open_[:, None]
+        on[done] |= enter
+        live = np.concatenate([live[~settled], done[open_]])
+    return x
+
+
+def _step(part, k, x, on, single, drive, full) -> np.ndarray:
+    """One step of the problems ``part``, whose active sets have at most k members; whether each reached its block's solution."""
+    at = np.argsort(~on[part], axis=1, kind="stable")[:, :k]
+    here = np.take_along_axis(on[part], at, 1)
+    block = full[at[:, :, None], at[:, None, :]]
+    block *= here[:, :, None] & here[:, None, :]
+    block[:, np.arange(k), np.arange(k)] = full[0, 0]
+    aim = np.where(here, np.take_along_axis(drive[part], at, 1), 0.0)
+    z = np.linalg.solve(block, aim[:, :, None])[:, :, 0]
+    now = np.take_along_axis(x[part], at, 1)
+    low = here & (z <= 0)
+    good = ~low.any(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        reach = np.where(low, now / (now - z), np.inf).min(1)
+    single[part] |= ~good & (reach <= 0)
+    move = np.where(good, 1.0, np.clip(reach, 0.0, 1.0))[:, None]
+    new = np.where(here, now + move * (z - now), 0.0)
+    stay = here & ~(low & (new <= 1e-12 * np.abs(now).max(1, initial=0)[:, None]))
+    new[~stay] = 0.0
+    rows = part[:, None]
+    x[rows, at] = np.where(here, new, x[rows, at])
+    on[rows, at] = stay
+    return good
+
+
 def refine(beta: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(m/z, amplitude) of the non-zero coefficients of one problem.
 

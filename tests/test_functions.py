@@ -162,6 +162,29 @@ def test_lasso_batch_equals_plain(at, lam):
         assert abs(int(it[i]) - n) <= 2 and np.allclose(b[i, : len(p)], want, rtol=1e-3, atol=1e-2)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.floats(498.5, 504), st.floats(100, 1e5)), min_size=1, max_size=6), st.floats(5, 300), st.integers(0, 9))
+def test_direct_start_is_the_optimum(at, lam, seed):
+    g = peaks.gram_row(0.34, 0.125)
+    mz, y = spectrum(498, 60, at, 1)
+    y = y + np.random.default_rng(seed).normal(0, 20, 60)
+    aty = np.stack([y @ design(mz, mz, 0.34), np.zeros(60)])
+    aty[1, :24] = y[:24] @ design(mz[:24], mz[:24], 0.34)
+    size, pen = np.array([60, 24]), np.array([lam, lam])
+    full = lasso._full(g, 60)
+    loss = lambda b: 0.5 * np.einsum("ij,ij->i", b @ full, b) - np.einsum("ij,ij->i", aty - pen[:, None], b)
+    swept, _, done = lasso.solve(aty, size, g, pen)
+    for warm in (None, swept):
+        start = lasso.direct(aty, size, g, pen, warm)
+        assert (start >= 0).all() and not start[1, 24:].any()
+        b, sweeps, ok = lasso.solve(aty, size, g, pen, start)
+        slope = aty - pen[:, None] - b @ full
+        top = np.abs(aty).max() + 1
+        assert ok.all() and (sweeps <= 11).all() and (slope[0] < 1e-6 * top).all() and (slope[1, :24] < 1e-6 * top).all()
+        assert (loss(b) <= loss(swept) + 1e-9 * np.abs(loss(swept)) + 1e-6).all()
+        assert np.allclose(b[done].sum(1), swept[done].sum(1), rtol=1e-2, atol=1)
+
+
 def test_refine_beats_the_grid():
     x = 499.875 + 0.125 * np.arange(5)
     b = 1000 * np.exp(-((x - 500.05) ** 2) / (2 * 0.34**2))
