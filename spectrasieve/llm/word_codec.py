@@ -40,7 +40,7 @@ def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
         seen.discard("")
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
 
-    return docs.select(text_col).mapInArrow(task, "word string").where("word <> ''").distinct()
+    return common.by_batch(docs.select(text_col), task, "word string").where("word <> ''").distinct()
 
 
 def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
@@ -56,7 +56,7 @@ def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
             h = hashing.word_hashes(*hashing.raw(b.column(0)), _SPACE)[0].view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(ids, pa.binary())], ["word", "hash", "ids"])
 
-    return words.mapInArrow(task, "word string, hash long, ids binary")
+    return common.by_batch(words, task, "word string, hash long, ids binary", bpe.owner(tokenizer))
 
 
 def pieces(tokenizer: str) -> dict[int, str]:
@@ -116,7 +116,7 @@ def _packed(known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashed, n.astype(np.min_scalar_type(n.max(initial=0))), ids.astype(np.min_scalar_type(ids.max(initial=0)))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, broadcast_bytes: int = 256 << 20, block_rows: int = 20_000) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, broadcast_bytes: int = 16 << 20, block_rows: int = 20_000) -> DataFrame:
     """Ids of every whole text and their decoding, through a table of distinct words.
 
     Words are split from all texts, made distinct, and each is encoded once. If the table,
@@ -140,11 +140,11 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         del packed
 
         def task(batches):
-            if slot not in _TABLES:
-                _TABLES.clear()
+            held = common.held(slot)
+            if not held:
                 word, count, ids, piece_of = table.value
-                _TABLES[slot] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, _Pieces(piece_of))
-            word, begin, count, ids, decode = _TABLES[slot]
+                held["table"] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, _Pieces(piece_of))
+            word, begin, count, ids, decode = held["table"]
             for b in batches:
                 for at, part in hashing.slices(b.column(1)):
                     h, _, _, edges = hashing.word_hashes(*hashing.raw(part), _SPACE)
@@ -154,7 +154,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
                     take = np.arange(ends[-1]) + np.repeat(begin[w] - ends[:-1], n)
                     yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), ids[take].astype(np.uint32), ends[edges], full)
 
-        return d.mapInArrow(task, SCHEMA)
+        return common.by_batch(d, task, SCHEMA, slot)
 
     blocks = max(1, -(-d.count() // block_rows))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
@@ -162,16 +162,22 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     def needed(batches):
         import pyarrow as pa
 
-        seen: set[tuple[int, str]] = set()
+        seen: dict[int, set[str]] = {}
+
+        def rows():
+            blocks = pa.array([k for k, w in seen.items() for _ in w], pa.int64())
+            made = pa.RecordBatch.from_arrays([blocks, pa.array([x for w in seen.values() for x in w], pa.string())], ["block", "word"])
+            seen.clear()
+            return made
+
         for b in batches:
             for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.update((k, w) for w in _words(t or "") if w)
-            if len(seen) > 150_000:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.int64(), pa.string()))], ["block", "word"])
-                seen = set()
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], t) for i, t in enumerate((pa.int64(), pa.string()))], ["block", "word"])
+                seen.setdefault(k, set()).update(_words(t or ""))
+            if sum(map(len, seen.values())) > 150_000:
+                yield rows()
+        yield rows()
 
-    words = d.select("block", "text").mapInArrow(needed, "block long, word string").distinct().join(known, "word").select("block", "word", "ids")
+    words = common.by_batch(d.select("block", "text"), needed, "block long, word string").where("word <> ''").distinct().join(known.select("word", "ids"), "word").select("block", "word", "ids")
 
     def block(left, right):
         import pyarrow as pa
@@ -186,9 +192,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             ids, n = table.gather(np.fromiter((table.index[w] for t in texts for w in t), np.int64))
             edges = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, texts)])]
             out.append(decode.rows(part.column(0).to_pylist(), ids, edges, full))
+        common.trim()
         return pa.Table.from_batches(out)
 
     return d.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(block, SCHEMA)
 
-
-_TABLES: dict = {}
