@@ -24,45 +24,43 @@ def _words(text: str) -> list[str]:
 
 
 def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """Every distinct word of all texts, each task sending its own distinct words only."""
+    """(word, hash, times): every distinct word of all texts and how many sets of words, each of a part of a task, hold it."""
 
     def task(batches):
         import pyarrow as pa
 
         seen: set[str] = set()
+
+        def rows():
+            seen.discard("")
+            words = pa.array(seen, pa.string())
+            seen.clear()
+            h = hashing.word_hashes(*hashing.raw(words), _SPACE)[0].view(np.int64)
+            return pa.RecordBatch.from_arrays([words, pa.array(h)], ["word", "hash"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(_words(t))
             if len(seen) > 150_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
-                seen = set()
-        seen.discard("")
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], ["word"])
+                yield rows()
+        yield rows()
 
-    return common.by_batch(docs.select(text_col), task, "word string").where("word <> ''").distinct()
+    return common.by_batch(docs.select(text_col), task, "word string, hash long").groupBy("word", "hash").agg(F.count("*").alias("times"))
 
 
 def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, hash, ids): each distinct word encoded once, ids as little-endian unsigned 32-bit."""
+    """(hash, ids) of (word, hash): each word encoded once, ids as little-endian unsigned 32-bit."""
 
     def task(batches):
         import pyarrow as pa
 
         tok = bpe.load(tokenizer)
         for b in batches:
-            w = b.column(0).to_pylist()
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(w, add_special_tokens=False)]
-            h = hashing.word_hashes(*hashing.raw(b.column(0)), _SPACE)[0].view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h), pa.array(ids, pa.binary())], ["word", "hash", "ids"])
+            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(b.column("word").to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(ids, pa.binary())], ["hash", "ids"])
 
-    return common.by_batch(words, task, "word string, hash long, ids binary", bpe.owner(tokenizer))
-
-
-def pieces(tokenizer: str) -> dict[int, str]:
-    """The id-to-piece relation; its size is the vocabulary's, which is fixed."""
-    tok = bpe.load(tokenizer)
-    return {i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}
+    return common.by_batch(words.select("word", "hash"), task, "hash long, ids binary", bpe.owner(tokenizer))
 
 
 class _Pieces:
@@ -116,84 +114,77 @@ def _packed(known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashed, n.astype(np.min_scalar_type(n.max(initial=0))), ids.astype(np.min_scalar_type(ids.max(initial=0)))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, broadcast_bytes: int = 16 << 20, block_rows: int = 20_000) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, table_bytes: int = 64 << 20) -> DataFrame:
     """Ids of every whole text and their decoding, through a table of distinct words.
 
-    Words are split from all texts, made distinct, and each is encoded once. If the table,
-    packed as word hashes and ids, measures at most ``broadcast_bytes`` and no two of its words share a hash, every
-    task looks ids up by position in a copy of it; else documents are dealt into
-    blocks of about ``block_rows``, and each block is joined with only the words it
-    holds. Ids are decoded through the id-to-piece relation.
+    Words are split from all texts, made distinct and counted by the sets of words that hold them. Those of two sets or more are
+    encoded once and form the table, the most frequent ones up to ``table_bytes`` (by an estimate of 16 bytes and the word's length); it is broadcast, and ids are
+    looked up by position. A word that is not in the table, as it stands in one set alone or is rare, is encoded where it stands, once
+    in each half MB of text. Hashes of 64 bits stand for words; the few that two distinct words share are never looked up. So
+    nothing that grows reaches the driver, texts never move, and the result is that of encoding the whole text. Ids are decoded through the
+    id-to-piece relation.
 
     A null or empty text has no ids and decodes to an empty text; a null id stays null;
     repeated rows give repeated results; other columns are ignored; an empty table gives
     no rows. ``full=False`` leaves the columns ids and decoded null and keeps the digests.
     """
+    spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = common.cut(word_table(distinct_words(d, "text"), tokenizer))
-    rows, size, hashes = known.agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0)), F.countDistinct("hash")).first()
-    piece = pieces(tokenizer)
-    if 16 * rows + size <= broadcast_bytes and rows == hashes:
-        packed = _packed(known, rows)
-        slot = uuid.uuid4().hex
-        table = docs.sparkSession.sparkContext.broadcast((*packed, piece))
-        del packed
-
-        def task(batches):
-            held = common.held(slot)
-            if not held:
-                word, count, ids, piece_of = table.value
-                held["table"] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, _Pieces(piece_of))
-            word, begin, count, ids, decode = held["table"]
-            for b in batches:
-                for at, part in hashing.slices(b.column(1)):
-                    h, _, _, edges = hashing.word_hashes(*hashing.raw(part), _SPACE)
-                    w = np.searchsorted(word, h.view(np.int64))
-                    n = count[w].astype(np.int64)
-                    ends = np.concatenate([[0], np.cumsum(n)])
-                    take = np.arange(ends[-1]) + np.repeat(begin[w] - ends[:-1], n)
-                    yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), ids[take].astype(np.uint32), ends[edges], full)
-
-        return common.by_batch(d, task, SCHEMA, slot)
-
-    blocks = max(1, -(-d.count() // block_rows))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(blocks)))
-
-    def needed(batches):
-        import pyarrow as pa
-
-        seen: dict[int, set[str]] = {}
-
-        def rows():
-            blocks = pa.array([k for k, w in seen.items() for _ in w], pa.int64())
-            made = pa.RecordBatch.from_arrays([blocks, pa.array([x for w in seen.values() for x in w], pa.string())], ["block", "word"])
-            seen.clear()
-            return made
+    with common.scratch(spark):
+        counted = common.cut(distinct_words(d, "text"))
+        clashes = [r.hash for r in counted.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").limit(100_001).collect()]
+        if len(clashes) > 100_000:
+            raise ValueError("too many words share a hash")
+        # Words by powers of two of their count, the most frequent first, while their estimate fits.
+        rank, room, least = F.floor(F.log2("times")), table_bytes, 99
+        for r in sorted(counted.where("times > 1").groupBy(rank.alias("rank")).agg(F.sum(F.octet_length("word") + 16).alias("size")).collect(), reverse=True):
+            room -= r.size
+            if room < 0:
+                break
+            least = r.rank
+        known = common.cut(word_table(counted.where((F.col("times") > 1) & (rank >= least)), tokenizer))
+        packed = _packed(known, known.count())
+    slot = uuid.uuid4().hex
+    table = spark.sparkContext.broadcast((*packed, np.array(sorted(clashes), np.int64)))
+    del packed
+    owner = f"{bpe.owner(tokenizer)} {slot}"
 
+    def task(batches):
+        held = common.held(owner)
+        if not held:
+            word, count, ids, clash = table.value
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(tokenizer)
+            tok.no_truncation()
+            tok.no_padding()
+            held["table"] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, clash, _Pieces({i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}), tok)
+        word, begin, count, ids, clash, decode, tok = held["table"]
         for b in batches:
-            for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
-                seen.setdefault(k, set()).update(_words(t or ""))
-            if sum(map(len, seen.values())) > 150_000:
-                yield rows()
-        yield rows()
-
-    words = common.by_batch(d.select("block", "text"), needed, "block long, word string").where("word <> ''").distinct().join(known.select("word", "ids"), "word").select("block", "word", "ids")
-
-    def block(left, right):
-        import pyarrow as pa
-
-        words, found = right.column("word").to_pylist(), right.column("ids").to_pylist()
-        table = bpe.ChunkTable(0)
-        table.add(table.places(["", *words])[0], np.array([0, *(len(x) // 4 for x in found)], np.int64), np.frombuffer(b"".join(found), "<u4"))
-        decode = _Pieces(piece)
-        out = []
-        for part in left.select(["doc_id", "text"]).to_batches(max_chunksize=500):
-            texts = [_words(t) if t else [] for t in part.column(1).to_pylist()]
-            ids, n = table.gather(np.fromiter((table.index[w] for t in texts for w in t), np.int64))
-            edges = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, texts)])]
-            out.append(decode.rows(part.column(0).to_pylist(), ids, edges, full))
-        common.trim()
-        return pa.Table.from_batches(out)
-
-    return d.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(block, SCHEMA)
-
+            for at, part in hashing.slices(b.column(1)):
+                buf, rows = hashing.raw(part)
+                h, starts, ends, edges = hashing.word_hashes(buf, rows, _SPACE)
+                h = h.view(np.int64)
+                w = np.searchsorted(word, h)
+                w[w == len(word)] = 0
+                there = (word[w] == h) & ~np.isin(h, clash) if len(word) else np.zeros(len(h), bool)
+                n, first = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+                n[there], first[there] = count[w[there]], begin[w[there]]
+                own = np.zeros(0, np.uint32)
+                if not there.all():
+                    rest = np.flatnonzero(~there)
+                    data = buf.tobytes()
+                    index: dict[bytes, int] = {}
+                    place = np.array([index.setdefault(data[i:j], len(index)) for i, j in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], np.int64)
+                    made = [e.ids for e in tok.encode_batch_fast([x.decode() for x in index], add_special_tokens=False)]
+                    size = np.fromiter(map(len, made), np.int64, len(made))
+                    own = np.fromiter((i for e in made for i in e), np.uint32)
+                    n[rest], first[rest] = size[place], (np.cumsum(size) - size)[place]
+                upto = np.concatenate([[0], np.cumsum(n)])
+                take = np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)
+                of = np.repeat(there, n)
+                out = np.empty(len(take), np.uint32)
+                out[of], out[~of] = ids[take[of]], own[take[~of]]
+                yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), out, upto[edges], full)
+
+    return common.by_batch(d, task, SCHEMA, owner)

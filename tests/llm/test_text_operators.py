@@ -36,7 +36,7 @@ def test_byte_encoder_equals_the_library(given_texts):
     assert [int(size[np.array(w, int)].sum()) for w in want] == [len(t.encode()) for t in given_texts]
 
 
-@pytest.mark.parametrize("kw", [{}, {"broadcast_bytes": -1, "block_rows": 4}])
+@pytest.mark.parametrize("kw", [{}, {"table_bytes": 100}, {"table_bytes": 0}])
 def test_word_codec(spark, odd, kw):
     tok = bpe.load(WORD)
     got = word_codec.encode_decode(odd, WORD, **kw).collect()
@@ -48,6 +48,15 @@ def test_word_codec(spark, odd, kw):
     assert word_codec.encode_decode(odd.limit(0), WORD, **kw).count() == 0
 
 
+def test_word_codec_never_looks_up_shared_hashes(spark, odd, monkeypatch):
+    """Words that share a hash are encoded where they stand."""
+    tok = bpe.load(WORD)
+    made = word_codec.distinct_words
+    monkeypatch.setattr(word_codec, "distinct_words", lambda *a: made(*a).withColumn("times", F.lit(2)).unionAll(spark.createDataFrame([(x, None, 2) for x in "pq"], "word string, hash long, times int").withColumn("hash", F.lit(int(word_codec.hashing.word_hashes(np.frombuffer(b"b", np.uint8), np.array([0, 1]), word_codec._SPACE)[0].view(np.int64)[0])))))
+    got = {r.doc_id: r.ids for r in word_codec.encode_decode(odd.where("doc_id = 101"), WORD).collect()}
+    assert got[101] == tok.encode("a  b", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, odd, rule):
     tok = bpe.load(BYTE)
