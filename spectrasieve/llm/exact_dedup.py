@@ -119,8 +119,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns they came with; rows that repeat an id and a text stay together."""
-    with common.scratch(docs.sparkSession):
-        gone = common.keep(common.cut(deduplicate(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha")).distinct()))
+    """One row of each group of equal texts, with the columns it came with: that of the largest id, any one of rows that repeat it or that all lack an id."""
+    key = F.col(id_col).cast("long")
     sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    return docs.join(common.sized(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (sha == F.col("__sha")), "left_anti")
+    with common.scratch(docs.sparkSession):
+        found = common.cut(deduplicate(docs, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"))
+        gone = common.keep(common.cut(found.where("not kept").select("__id", "__sha").distinct()))
+        again = common.keep(common.cut(found.where("kept").groupBy("__id", "__sha").agg(F.count("*").alias("c")).where("c > 1").drop("c")))
+        repeats = not again.isEmpty()
+    same = key.eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
+    left = docs.join(common.sized(gone), same, "left_anti")
+    if not repeats:
+        return left
+    one = left.join(common.sized(again), same, "inner").dropDuplicates(["__id", "__sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.join(common.sized(again), same, "left_anti").unionByName(one)

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -50,3 +51,32 @@ def test_queries_cover_their_tables(spark, data, name):
     source, key = ("pages", "page_id") if name.startswith("op1_") else ("documents", "doc_id")
     want = {r[0] for r in spark.read.parquet(f"{data}/{source}.parquet").select(key).collect()}
     assert {r[0] for r in __spark_entry__.queries()[name](spark, data).select(key).collect()} == want
+
+
+def test_pipeline_with_odd_rows(spark, data, tmp_path):
+    """Null and empty texts, null and repeated ids and rows, a very long text, clashing names and empty tables."""
+    base = spark.read.parquet(f"{data}/documents.parquet").limit(40).select("doc_id", "text", "lang")
+    long = " ".join(f"word{i}" for i in range(60_000))
+    odd = spark.createDataFrame([(9001, None, "x"), (9002, "", None), (9003, long, "y"), (9003, long, "y"), (9004, long + " end", None), (None, "no id at all but words", None), (None, "no id at all but words", None), (None, None, None)], "doc_id long, text string, lang string")
+    docs = base.unionByName(base.limit(5)).unionByName(odd)
+    for c in ("label", "score", "key", "n", "component_id", "kept", "times"):
+        docs = docs.withColumn(c, F.lit(1))
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    for name, rows in (("odd", docs), ("none", docs.limit(0))):
+        at = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+    made = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    size: dict = {}
+    for r in made:
+        size.setdefault(r.doc_id, set()).add(r.doc_tokens)
+    assert all(len(v) == 1 for i, v in size.items() if i is not None)
+    assert {9003, 9004} & set(size) in ({9003}, set()) and {9001, 9002} & set(size) in ({9002}, set())
+    for i, n in size.items():
+        if i is not None:
+            assert sum(r.length for r in made if r.doc_id == i) == n.pop()  # each document is packed once
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/odd")
+        assert kept.columns == docs.columns, name

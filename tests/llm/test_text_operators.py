@@ -75,6 +75,10 @@ def test_token_counts(spark, odd, rule):
             for begin, _ in ids.offsets:
                 want[next(k for k, r in enumerate(rows) if r.start_char <= begin < r.end_char)] += 1
             assert [r.n_tokens for r in rows] == want
+    null_ids = sorted((r.start_char, r.end_char, r.n_tokens) for r in got[None])
+    assert null_ids == sorted([(0, 0, 0), (0, 7, len(tok.encode("null id", add_special_tokens=False).ids))])
+    assert sorted((r.end_char, r.n_tokens) for r in got[3]) == sorted([(4, len(tok.encode("a  b", add_special_tokens=False).ids))] * 2)  # repeated rows
+    assert token_counts.section_counts(odd.limit(0), BYTE, rule=rule).count() == 0
     with pytest.raises(ValueError, match="rule"):
         token_counts.section_counts(odd, BYTE, rule="all")
 
@@ -129,6 +133,27 @@ def test_packer_places_every_id_once(sizes):
     assert seen == [(i, k) for i, n in enumerate(sizes) for k in range(n)]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=50))
+def test_packer_takes_the_level_of_least_squares(sizes):
+    """After each document the sum of squares is the least that any placement of its remainder gives."""
+    p, w = packing.Packer(16, 0), 16
+    for i, n in enumerate(sizes):
+        before = p.count[1:w].copy()
+        p.add(i, np.arange(n, dtype=np.uint32))
+        r, options = n % w, []
+        for h in range(w - r + 1) if r else ():
+            if h and not before[h - 1]:
+                continue
+            after = before.copy()
+            if h:
+                after[h - 1] -= 1
+            if h + r < w:
+                after[h + r - 1] += 1
+            options.append(int((after**2).sum()))
+        assert int((p.count[1:w] ** 2).sum()) == min(options, default=int((before**2).sum()))
+
+
 def test_exact_dedup(spark, odd):
     long = "Lorem ipsum dolor sit amet. " * 2000
     df = odd.unionByName(texts(spark, [(200, long), (201, long), (202, long + "x"), (203, "x" + long), (204, long[:-1]), (205, ""), (206, None)]))
@@ -142,7 +167,9 @@ def test_exact_dedup(spark, odd):
         want += [(i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
     assert got == sorted(want, key=str)
     kept = exact_dedup.keep_one(df)
-    assert kept.columns == df.columns and {(r.doc_id, r.text or "") for r in kept.collect()} == {(w[0], t) for t, ids in groups.items() for w in want if w[3] and w[0] in ids and w[4] == hashlib.sha256(t.encode()).hexdigest()}
+    rows = kept.collect()
+    assert kept.columns == df.columns and len(rows) == len(groups)  # one of each group
+    assert {(r.doc_id, r.text or "") for r in rows} == {(w[0], t) for t, ids in groups.items() for w in want if w[3] and w[0] in ids and w[4] == hashlib.sha256(t.encode()).hexdigest()}
     assert exact_dedup.deduplicate(df.limit(0)).count() == 0
 
 
