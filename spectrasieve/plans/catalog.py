@@ -406,7 +406,7 @@ def spectrum_stats(spark, sf_dir, view):
 @query(f"""WITH {ENVELOPE}, fst AS (SELECT DISTINCT spectrum_id FROM p ORDER BY 1 LIMIT {model.Config().n_calibration_spectra}), it AS (SELECT sigma FROM iso JOIN fst USING (spectrum_id)),
 md AS (SELECT list_sort(list(sigma))[count(*) // 2 + 1] AS median FROM it),
 dv AS (SELECT median, list_sort(list(abs(sigma - median)))[count(*) // 2 + 1] AS mad FROM it, md GROUP BY median)
-SELECT {model.FALLBACK_SIGMA}::DOUBLE AS sigma_ms1, round(1 / 15::DOUBLE, 9) AS grid_spacing_ms1, 0 AS n_peaks_ms1, round(avg(sigma), 9) AS sigma_ms2, 0.125::DOUBLE AS grid_spacing_ms2, count(*) AS n_peaks_ms2
+SELECT {model.FALLBACK_SIGMA}::DOUBLE AS sigma_ms1, round(1 / 15::DOUBLE, 9) AS grid_spacing_ms1, CAST(0 AS BIGINT) AS n_peaks_ms1, round(avg(sigma), 9) AS sigma_ms2, 0.125::DOUBLE AS grid_spacing_ms2, count(*) AS n_peaks_ms2
 FROM it, dv WHERE abs(sigma - median) <= 2 * greatest(mad, 0.01 * median)""", **EMB)
 def calibration(spark, sf_dir, view):
     got = calibrate.calibrate(views.spectra(spark, sf_dir, view), order="spectrum_id")
