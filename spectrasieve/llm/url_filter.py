@@ -119,18 +119,19 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], block_globs: lis
     def task(batches):
         import pyarrow as pa
 
-        machine = Automaton(globs + block_globs)
+        rule_machine, glob_machine = Automaton(globs), Automaton(block_globs)
+        step = max(16, min(4096, (4 << 20) // max(rule_machine.words, glob_machine.words)))  # states of at most 32 MB
         names = pa.array([r for r, _ in rules] + [None], pa.string())
         verdicts = np.array([v for _, v in rules] + [default], object)
         k = len(rules)
         for b in batches:
-            for at in range(0, len(b), 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, len(b), step):
+                part = b.slice(at, step)
                 hosts, paths, tails = (part.column(c).to_pylist() for c in ("host", "path", "tail"))
                 texts = [f".{h}{p}{t}".encode() if h or p else b"" for h, p, t in zip(hosts, paths, tails, strict=True)]
                 heads = [f".{h}{p}".encode() if h or p else b"" for h, p in zip(hosts, paths, strict=True)]
-                rule_fit = machine.run(heads)[:, :k]
-                glob_fit = machine.run(texts)[:, k:]
+                rule_fit = rule_machine.run(heads)
+                glob_fit = glob_machine.run(texts)
                 first = np.where(rule_fit.any(1), rule_fit.argmax(1) if k else 0, k)
                 verdict = verdicts[first]
                 verdict[(first == k) & glob_fit.any(1)] = "block"
