@@ -1,11 +1,14 @@
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import meeting, simhash
+from spectrasieve.llm import meeting, simhash, spelling
 
 DOCS = "doc_id long, text string, fp string, label long, component_id string, node int"
 
@@ -106,3 +109,70 @@ def test_dealt_rows_of_a_key_always_meet(spark):
         ids = {r.id for r in got if r.key == key}
         assert all(any({a, b} <= c for (k, _), c in cells.items() if k == key) for a in ids for b in ids)
     assert sum(r.key == 7 for r in got) == 1
+
+
+def edits(word, alphabet):
+    """All words one edit away."""
+    out = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    for c in alphabet:
+        out |= {word[:i] + c + word[i + 1 :] for i in range(len(word))} | {word[:i] + c + word[i:] for i in range(len(word) + 1)}
+    return out - {word}
+
+
+def plain_variants(rows):
+    count = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    count = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+    alphabet = sorted({c for w in count for c in w})
+    near = {w: edits(w, alphabet) & count.keys() for w in count}
+    form = {}
+    for w, others in near.items():
+        if others and count[best := min(others, key=lambda x: (-count[x], x))] >= 10 * count[w]:
+            form[w] = best
+    out = []
+    for w, n in count.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), count[form[w]] if w in form else None))
+    return sorted(out, key=str)
+
+
+def test_spelling_equals_brute_force(spark):
+    rnd = random.Random(3)
+    stems = ["aaaaaaaa", "abababab", "straße\u00ffx", "\u00c9lan\u00d7\u00f7vital", "mississippi", "recognise", "wordlike", "z" * 3000]
+    stems += ["".join(rnd.choices("abcdefgh", k=rnd.randint(7, 9))) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        words = []
+        for s in rnd.choices(stems, weights=[1 + 400 // (k + 1) for k in range(len(stems))], k=30):
+            for _ in range(rnd.choice([0] * 8 + [1, 1, 2])):
+                if len(s) < 100:
+                    s = rnd.choice(sorted(edits(s, "abz\u00e9")))
+            words.append(s.upper() if rnd.random() < 0.1 and s.isascii() else s)
+        rows.append((i, rnd.choice([" ", "\n", "1", "-"]).join(words)))
+    rows += [(400, None), (401, ""), (402, "1 2"), (None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1]), (405, "\u4e2dwordlike\u0100wordlike x")]
+    want = plain_variants(rows)
+    got = spelling.variants(texts(spark, rows)).collect()
+    assert got[0].__fields__ == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert sorted(map(tuple, got), key=str) == want
+    assert any(r[1] and r[1] != r[2] for r in want) and any(r[4] > 3 for r in want)
+    assert spelling.variants(texts(spark, []).where("false")).count() == 0
+    with pytest.raises(ValueError):
+        spelling.variants(texts(spark, []), least=3)
+
+
+def test_near_words_with_heavy_lists(spark):
+    rnd = random.Random(9)
+    words = {"".join(rnd.choices("ab", k=rnd.randint(7, 9))) for _ in range(400)}
+    df = spark.createDataFrame([(w, 1) for w in words], "word string, n long")
+    want = {(w, x) for w in words for x in edits(w, "ab") & words}
+    for hot, per_part in ((8_192, 400_000), (20, 300)):
+        got = [(r.word, r.near) for r in spelling.near_pairs(df, hot, per_part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
