@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import bpe, exact_dedup, html_extract, ngram_join, packing, quality, simhash, spelling, token_counts, url_filter, vector_search, warc_audit, word_codec
+from spectrasieve.llm import alignment, bpe, exact_dedup, html_extract, ngram_join, packing, quality, simhash, spelling, token_counts, url_filter, vector_search, warc_audit, word_codec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,13 +81,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every whole text."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), bpe.tokenizer_path("byte_bpe_50k.json"), bpe.tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components that 4 differing bits or fewer link."""
     return simhash.link(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op7_ngram_join, op8_warc_audit, op9_vector_search, op10_quality, op11_spelling, op13_simhash)}
+    return {f.__name__: f for f in (op1_html_extract, op2_bpe_codec, op3_token_counts, op4_exact_dedup, op5_url_filter, op6_packing, op7_ngram_join, op8_warc_audit, op9_vector_search, op10_quality, op11_spelling, op12_alignment, op13_simhash)}
 
 
 OP4_SQL = """
