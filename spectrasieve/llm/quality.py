@@ -162,15 +162,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``max_rows`` labelled rows that are not held out, picked by a hash of the id.
 
     Labels other than 0 and 1 are left out; equal rows of labels count once. The picked labels, of
-    bounded number, are broadcast to the documents; only statistics reach the driver.
+    bounded number, are broadcast to the documents. Of documents that repeat an id the one of the least text hash counts, so
+    statistics of at most ``max_rows`` rows reach the driver.
     """
     picked = labels.select(F.col(id_col).cast("long").alias("key"), F.col(label_col).cast("double").alias("y"))
     picked = picked.where(F.col("y").isin(0.0, 1.0) & F.col("key").isNotNull() & ~held_out(F.col("key"))).distinct()
     picked = picked.orderBy(F.xxhash64("key"), "key", "y").limit(max_rows)
     stats = statistics(F.col(text_col))
     rows = docs.withColumn("key", F.col(id_col).cast("long")).select("key", text_col).join(F.broadcast(picked), "key")
-    got = rows.select("key", "y", *[c.alias(k) for k, c in stats.items()]).toPandas().sort_values(["key", "y"], kind="stable")
-    got = got.sort_values(list(got.columns), kind="stable").iloc[:max_rows]
+    one = F.min(F.struct(F.xxhash64(text_col).alias("__hash"), *[c.alias(k) for k, c in stats.items()]))
+    got = rows.groupBy("key", "y").agg(one.alias("one")).select("key", "y", *[f"one.{k}" for k in stats]).toPandas()
+    got = got.sort_values(list(got.columns), kind="stable")
     return fit(got[list(stats)].to_numpy(float), got["y"].to_numpy(float), list(stats))
 
 

@@ -399,6 +399,16 @@ def test_quality(spark, labelled, odd):
     assert [(w, r) for w, r in quality.train(docs, flipped).rules] == [(w, r) for w, r in model.rules]  # held-out labels teach nothing
 
 
+def test_quality_training_reaches_the_driver_with_bounded_rows(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, names: seen.append((x.shape[0], len(y))))
+    many = docs.unionByName(docs.where("doc_id = 1").drop("text").crossJoin(spark.range(10_000).select(F.concat(F.lit("word "), "id").alias("text"))).select(docs.columns))
+    quality.train(many, labels, max_rows=7)
+    quality.train(many, labels.where("doc_id = 1"), max_rows=2)
+    assert seen[0] == (7, 7) and seen[1][0] <= 2
+
+
 def test_rule_column_equals_rules(spark, labelled):
     docs, labels = labelled
     model = quality.train(docs, labels)
