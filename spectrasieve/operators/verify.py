@@ -208,8 +208,9 @@ def byte_findings(path: str) -> list[tuple]:
         wrong = [i for i, o in index.get("spectrum", []) if real.get(i) != o]
         if wrong:
             add(ERROR, "index-offset", f"{len(wrong)} offsets are wrong, first of {wrong[0]}")
-    for n, i, begin, _ in empty_spectra(path)[:20]:
-        add(INFO, "empty-spectrum", f"spectrum {n} ({i}) is empty", f"byte {begin}")
+    if empty := empty_spectra(path):
+        first = ", ".join(f"{n} ({i})" for n, i, _, _ in empty[:3])
+        add(WARNING, "empty-spectrum", f"{len(empty)} spectra are empty, first {first}", f"byte {empty[0][2]}")
     try:
         found = {r[2] for r in element_rows(path)}
         for p in REQUIRED:
