@@ -61,6 +61,15 @@ def gram_row(sigma: float, spacing: float, eps: float = 2.0**-52) -> np.ndarray:
         top *= 2
 
 
+def grid_range(lo: np.ndarray, hi: np.ndarray, spacing: float, offset: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last numbers k of the grid points offset + k spacing of :func:`grid_positions`, for many ranges at once."""
+    first, last = (np.floor((lo - offset) / spacing) - 1).astype(np.int64), (np.ceil((hi - offset) / spacing) + 2).astype(np.int64)
+    for _ in range(3):
+        first += offset + first * spacing < lo - spacing
+        last -= offset + last * spacing > hi + spacing
+    return first, last
+
+
 def grid_positions(lo: float, hi: float, spacing: float, offset: float = 0.0) -> np.ndarray:
     """Grid points from one spacing below ``lo`` to one above ``hi``."""
     k = np.arange(math.floor((lo - offset) / spacing) - 1, math.ceil((hi - offset) / spacing) + 3)

@@ -53,31 +53,28 @@ def regions(y: np.ndarray, threshold: float, gap: int, extension: int, least: in
     return start[wide], end[wide]
 
 
-def noise_knots(mz, y, outside, centers, residuals, floor, window, step) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the refined noise: root mean square of gap points and residuals in sliding windows, smoothed by a median of three."""
+def noise_knots(mz, y, outside, centers, squares, counts, floor, window, step) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the refined noise: root mean square of gap points and residuals in sliding windows, smoothed by a median of three.
+
+    ``squares`` and ``counts`` are the sums of squares and the numbers of the residuals of the regions at ``centers``.
+    """
     if not len(mz):
         return np.zeros(0), np.zeros(0)
     gx, gy = mz[outside], y[outside]
     square = np.concatenate([[0.0], np.cumsum(gy * gy)])
     order = np.argsort(centers, kind="stable")
     cx = centers[order]
-    rs = np.concatenate([[0.0], np.cumsum([float(residuals[i] @ residuals[i]) for i in order])])
-    rn = np.concatenate([[0], np.cumsum([len(residuals[i]) for i in order])])
-    at, value = [], []
-    center = mz[0] + window / 2
-    while center <= mz[-1] - window / 2:
-        lo, hi = center - window / 2, center + window / 2
-        a, b = np.searchsorted(gx, lo, "left"), np.searchsorted(gx, hi, "right")
-        c, d = np.searchsorted(cx, lo, "left"), np.searchsorted(cx, hi, "right")
-        n = b - a + rn[d] - rn[c]
-        rms = np.sqrt(max(square[b] - square[a] + rs[d] - rs[c], 0.0) / n) if n >= 5 else 0.0
-        if rms > 0:
-            at.append(center)
-            value.append(max(rms, floor * 0.1))
-        center += step
-    x, v = np.array(at), np.array(value)
+    rs, rn = (np.concatenate([[0], np.cumsum(np.asarray(c)[order])]) for c in (squares, counts))
+    center = np.cumsum([mz[0] + window / 2, *[step] * max(0, int((mz[-1] - mz[0] - window) / step) + 2)])  # one sum after the other
+    center = center[center <= mz[-1] - window / 2]
+    a, b = np.searchsorted(gx, center - window / 2, "left"), np.searchsorted(gx, center + window / 2, "right")
+    c, d = np.searchsorted(cx, center - window / 2, "left"), np.searchsorted(cx, center + window / 2, "right")
+    n = b - a + rn[d] - rn[c]
+    rms = np.where(n >= 5, np.sqrt(np.maximum(square[b] - square[a] + rs[d] - rs[c], 0.0) / np.maximum(n, 1)), 0.0)
+    x, v = center[rms > 0], np.maximum(rms[rms > 0], floor * 0.1)
     if len(v) >= 3:
-        inner = np.median(np.stack([v[:-2], v[1:-1], v[2:]]), axis=0)
+        low, high = np.minimum(v[:-2], v[1:-1]), np.maximum(v[:-2], v[1:-1])
+        inner = np.maximum(low, np.minimum(high, v[2:]))
         v = np.concatenate([[max(v[0], v[1])], inner, [max(v[-2], v[-1])]])
     return x, v
 
@@ -97,35 +94,100 @@ def merge(mz: np.ndarray, area: np.ndarray, least: float) -> tuple[list[float],
     return out_m, out_a
 
 
+_NONE = np.zeros(0)
+
+
 class _Region:
-    __slots__ = ("area", "aty", "beta", "end", "grid", "mz", "owner", "penalty", "residual", "start", "y")
+    __slots__ = ("area", "aty", "beta", "end", "first", "mz", "owner", "penalty", "size", "square", "start", "x", "y")
 
 
-def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool, direct: bool) -> None:
-    """Solve regions together, in groups of like width; ``direct``: sweeps begin where solved active blocks end."""
-    batch.sort(key=lambda r: len(r.grid))
+def _groups(batch: list[_Region], ratio: float, most: int, points: bool):
+    """Regions in order of their grids' sizes, in groups of at most ``most`` entries (of grid or grid by points) and sizes alike by ``ratio``."""
     at = 0
     while at < len(batch):
-        width = len(batch[at].grid)
-        end = at
-        while end < len(batch) and len(batch[end].grid) <= width * 2 + 8 and (end - at) * len(batch[end].grid) < 4_000_000:
+        width, end, tall = batch[at].size, at, 1
+        while end < len(batch) and batch[end].size <= width * ratio + 8:
+            tall = max(tall, len(batch[end].x)) if points else 1
+            if end > at and (end - at + 1) * tall * batch[end].size > most:
+                break
             end += 1
-        part = batch[at:end]
-        m = max(len(r.grid) for r in part)
-        aty, start = np.zeros((len(part), m)), np.zeros((len(part), m)) if warm else None
-        for i, r in enumerate(part):
-            aty[i, : len(r.aty)] = r.aty
-            if warm:
-                start[i, : len(r.beta)] = r.beta
-        size, penalty = np.array([len(r.grid) for r in part]), np.array([r.penalty for r in part])
+        yield batch[at:end]
+        at = end
+
+
+def _padded(arrays: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(arrays), width))
+    for i, a in enumerate(arrays):
+        out[i, : len(a)] = a
+    return out
+
+
+def _grid(part: list[_Region], basis: Basis) -> np.ndarray:
+    return basis.offset + (np.array([r.first for r in part])[:, None] + np.arange(max(r.size for r in part))) * basis.spacing
+
+
+def _gaussians(x: np.ndarray, at: np.ndarray, sigma: float) -> np.ndarray:
+    """[region, point, Gaussian]: the value at each point of a unit Gaussian around each place."""
+    d = x[:, :, None] - at[:, None, :]
+    d *= d
+    d *= -1 / (2 * sigma**2)
+    return np.exp(d, out=d)
+
+
+def _project(batch: list[_Region], basis: Basis) -> None:
+    """The inner products of each region's intensities with its Gaussians.
+
+    From one grid point to the next a Gaussian's value changes by a factor that itself changes by a constant one; exponentials are
+    taken anew every eight sigma, so neither rounding nor underflow adds up.
+    """
+    h, width = basis.spacing / basis.sigma, max(1, int(8 * basis.sigma / basis.spacing))
+    for part in _groups(batch, 1.5, 1 << 20, True):
+        points, grid = max(len(r.x) for r in part), _grid(part, basis)
+        x, y = _padded([r.x for r in part], points), _padded([r.y for r in part], points)
+        aty = np.empty_like(grid)
+        for k0 in range(0, grid.shape[1], width):
+            d = (x - grid[:, k0, None]) / basis.sigma
+            e, ratio = np.exp(-0.5 * d * d), np.exp(np.clip(d, -40, 40) * h - 0.5 * h * h) if width > 1 else None
+            for k in range(k0, min(k0 + width, grid.shape[1])):
+                aty[:, k] = np.einsum("ij,ij->i", e, y)
+                if width > 1:
+                    e *= ratio
+                    ratio *= np.exp(-h * h)
+        for r, row in zip(part, aty, strict=True):
+            r.aty = row[: r.size]
+
+
+def _solve(batch: list[_Region], basis: Basis, config: model.Config, warm: bool, direct: bool) -> None:
+    """Solve regions together; ``direct``: sweeps begin where solved active blocks end."""
+    batch.sort(key=lambda r: (r.size, len(r.x)))
+    if not warm:
+        _project(batch, basis)
+    for part in _groups(batch, 4.0, 4_000_000, False):
+        size, penalty, grid = np.array([r.size for r in part]), np.array([r.penalty for r in part]), _grid(part, basis)
+        aty, start = _padded([r.aty for r in part], grid.shape[1]), _padded([r.beta for r in part], grid.shape[1]) if warm else None
         if direct:
             start = lasso.direct(aty, size, basis.gram, penalty, start)
         beta, _, _ = lasso.solve(aty, size, basis.gram, penalty, start, config.max_lasso_iter, config.lasso_tol)
+        row, mz, amplitude = lasso.refine(beta, grid)
+        cuts = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+        area = amplitude * basis.scale()
         for i, r in enumerate(part):
-            r.beta = beta[i, : len(r.grid)]
-            r.mz, amplitude = lasso.refine(r.beta, r.grid)
-            r.area = amplitude * basis.scale()
-        at = end
+            r.mz, r.area, r.beta = mz[cuts[i] : cuts[i + 1]], area[cuts[i] : cuts[i + 1]], beta[i, : r.size]
+    if not warm:
+        _leave(batch, basis)
+
+
+def _leave(batch: list[_Region], basis: Basis) -> None:
+    """The sum of squares of what the fitted Gaussians leave of each region's intensities."""
+    for part in _groups(batch, 1.5, 1 << 20, True):
+        points, width = max(len(r.x) for r in part), max(r.size for r in part)
+        x, y, beta = _padded([r.x for r in part], points), _padded([r.y for r in part], points), _padded([r.beta for r in part], width)
+        on = beta > 0
+        at = np.argsort(~on, axis=1, kind="stable")[:, : max(1, int(on.sum(1).max()))]
+        fit = np.matmul(_gaussians(x, np.take_along_axis(_grid(part, basis), at, 1), basis.sigma), np.take_along_axis(beta, at, 1)[:, :, None])[:, :, 0]
+        rest = np.where(np.arange(points) < np.array([len(r.x) for r in part])[:, None], y - fit, 0.0)
+        for r, v in zip(part, np.einsum("ij,ij->i", rest, rest).tolist(), strict=True):
+            r.square = v
 
 
 def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray], bases: tuple[Basis, Basis], config: model.Config, direct: bool = True) -> list[tuple]:
@@ -140,18 +202,16 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
         baseline, sigma = rough_noise(y)
         penalty = config.lambda_factor * sigma
         start, end = regions(y, baseline + config.signal_threshold_sigma * sigma, config.merge_gap_points, config.extension_points, config.min_region_width)
+        first, last = peaks.grid_range(mz[start], mz[end], basis.spacing, basis.offset)
         own = []
-        for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        for a, b, lo, hi in zip(start.tolist(), end.tolist(), first.tolist(), last.tolist(), strict=True):
             r = _Region()
             r.owner, r.start, r.end, r.penalty = s, a, b, penalty
-            x, r.y = mz[a : b + 1], y[a : b + 1]
-            r.grid = peaks.grid_positions(x[0], x[-1], basis.spacing, basis.offset) if len(x) >= 2 else np.zeros(0)
-            design = np.exp(-((x[:, None] - r.grid) ** 2) / (2 * basis.sigma**2))
-            r.aty = r.y @ design
+            r.x, r.y = mz[a : b + 1], y[a : b + 1]
+            r.first, r.size = lo, hi - lo + 1 if b > a else 0
+            r.beta = r.mz = r.area = _NONE
             own.append(r)
-        todo[which].extend(r for r in own if len(r.grid))
-        for r in own:
-            r.beta, r.mz, r.area, r.residual = np.zeros(len(r.grid)), np.zeros(0), np.zeros(0), None
+        todo[which].extend(r for r in own if r.size > 0)
         state.append((which, sigma, penalty, own))
     for which in (0, 1):
         _solve(todo[which], bases[which], config, False, direct)
@@ -165,19 +225,15 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
             continue
         which, sigma, penalty, own = known
         basis, mz, y = bases[which], mzs[s], ys[s]
-        solved = [r for r in own if r.beta.any()]
+        solved = [r for r in own if len(r.mz)]
         first[-1] = [(r.mz, r.area) for r in solved]
         if not solved:
             continue
         outside = np.ones(len(mz), bool)
         for r in own:
             outside[r.start : r.end + 1] = False
-        for r in solved:
-            x = mz[r.start : r.end + 1]
-            on = np.flatnonzero(r.beta)
-            r.residual = r.y - np.exp(-((x[:, None] - r.grid[on]) ** 2) / (2 * basis.sigma**2)) @ r.beta[on]
         centers = np.array([(mz[r.start] + mz[r.end]) / 2 for r in solved])
-        knots, value = noise_knots(mz, y, outside, centers, [r.residual for r in solved], sigma, config.noise_window_da, config.noise_step_da)
+        knots, value = noise_knots(mz, y, outside, centers, [r.square for r in solved], [len(r.x) for r in solved], sigma, config.noise_window_da, config.noise_step_da)
         noise = np.interp(centers, knots, value) if len(knots) else np.full(len(centers), sigma)
         for r, v in zip(solved, noise, strict=True):
             new = config.lambda_factor * float(v)

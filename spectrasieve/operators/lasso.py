@@ -59,7 +59,7 @@ def solve(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarr
 def _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol) -> np.ndarray:
     """Sweep the first k active coefficients of the problems ``part``; for each the sweep it converged in, or 0.
 
-    A problem that has converged is swept on with the others to the end of the cycle.
+    Problems that have converged leave when they are a quarter of all; until then they are swept on with the others.
     """
     n = len(part)
     done = np.zeros(n, np.int64)
@@ -73,6 +73,16 @@ def _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol)
     g = full[at[:, None, :], at[None, :, :]] / g0
     g[np.arange(k), np.arange(k)] = 0.0
     on = here.astype(float)
+
+    def store(rows):
+        mine = part[rows]
+        p, r = np.nonzero(here[:, rows])
+        beta[mine[r], at[:, rows][p, r]] = b[:, rows][p, r]
+        active[mine[r], at[:, rows][p, r]] = on[:, rows][p, r] > 0
+        order[mine, :k] = np.take_along_axis(at[:, rows], np.argsort(on[:, rows] <= 0, axis=0, kind="stable"), 0).T
+        count[mine] = (on[:, rows] > 0).sum(0)
+
+    whole = np.arange(n)
     for s in range(sweeps):
         before = b.copy()
         for p in range(k):
@@ -82,15 +92,14 @@ def _sweep(part, k, beta, order, count, active, aty, penalty, full, sweeps, tol)
             b[p] = t
             on[p] = t > 0
         still = np.abs(b - before).max(0) < tol
-        done[still & (done == 0)] = s + 1
-        if done.all():
+        done[whole[still & (done[whole] == 0)]] = s + 1
+        left = np.flatnonzero(done[whole] == 0)
+        if not len(left):
             break
-    on = on > 0
-    p, r = np.nonzero(here)
-    beta[part[r], at[p, r]] = b[p, r]
-    active[part[r], at[p, r]] = on[p, r]
-    order[part, :k] = np.take_along_axis(at, np.argsort(~on, axis=0, kind="stable"), 0).T
-    count[part] = on.sum(0)
+        if 4 * len(left) < 3 * len(whole):  # go on with those that have not converged
+            store(np.flatnonzero(done[whole] > 0))
+            part, whole, at, here, b, aim, g, on = part[left], whole[left], at[:, left], here[:, left], b[:, left], aim[:, left], g[:, :, left], on[:, left]
+    store(np.arange(len(whole)))
     return done
 
 
@@ -100,21 +109,23 @@ def _full(gram: np.ndarray, width: int) -> np.ndarray:
     return np.where(dist < len(gram), gram[np.minimum(dist, len(gram) - 1)], 0.0)
 
 
-def direct(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarray, warm: np.ndarray | None = None, rounds: int = 60) -> np.ndarray:
+def direct(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndarray, warm: np.ndarray | None = None, rounds: int = 60, bold: int = 10) -> np.ndarray:
     """Coefficients near the optimum of each problem, by solving the active blocks of many problems at once.
 
-    A round solves each problem's active block by compiled linear algebra. Where a coefficient would turn negative the step ends
-    at the first that reaches zero, which leaves; else the coefficients whose optimality condition fails most within their
-    neighbourhood enter (one alone, once entering several has failed). Problems that take more than ``rounds`` stay as they are: sweeps
-    finish all of them, so this only saves sweeps.
+    Active sets begin with the peaks of ``aty`` and their greater neighbours (or with ``warm``). In each of the first ``bold`` rounds
+    all coefficients that turn negative leave, and those whose optimality condition fails most within their neighbourhood enter; most
+    problems end there. The others go on from their last feasible solution by steps that end where the first coefficient
+    reaches zero, which leaves (one alone enters once entering several has failed), so their loss falls in every round.
+    Problems that take more than ``rounds`` stay as they are: sweeps finish all of them, so this only saves sweeps.
     """
     many, width = aty.shape
     full = _full(gram, width)
     drive = np.where(np.arange(width) < size[:, None], aty - penalty[:, None], -np.inf)
     least = 1e-9 * np.maximum(np.abs(aty).max(1, initial=0), 1e-300)
     x = np.zeros((many, width)) if warm is None else np.maximum(warm, 0.0)
-    on, single = x > 0, np.zeros(many, bool)
-    live = np.flatnonzero(size > 0)
+    on = x > 0 if warm is not None else _seeds(drive)
+    live = _bold(np.flatnonzero(size > 0), x, on, drive, least, full, bold)
+    on[live], single = x[live] > 0, np.zeros(many, bool)
     for _ in range(rounds):
         if not len(live):
             break
@@ -124,24 +135,92 @@ def direct(aty: np.ndarray, size: np.ndarray, gram: np.ndarray, penalty: np.ndar
         settled = np.ones(len(live), bool)
         at = int(np.searchsorted(count, 1))
         while at < len(live):
-            k = int(count[at] * 1.3) + 1
+            k = int(count[at] * 1.3) + 4
             end = min(int(np.searchsorted(count, k, "right")), at + max(16, BLOCK // (k * k)))
             part, k = live[at:end], int(count[end - 1])
             settled[at:end] = _step(part, k, x, on, single, drive, full)
             at = end
         done = live[settled]
-        slope = np.where(on[done], -np.inf, drive[done] - x[done] @ full)
-        most = slope.argmax(1)
-        open_ = slope[np.arange(len(done)), most] > least[done]
-        edge = np.pad(slope, ((0, 0), (1, 1)), constant_values=-np.inf)
-        enter = (slope > least[done][:, None]) & (slope >= edge[:, :-2]) & (slope > edge[:, 2:]) & ~single[done][:, None]
-        enter[np.flatnonzero(open_), most[open_]] = True
-        enter &= open_[:, None]
+        enter, open_ = _entering(done, x, on, drive, least, full)
+        alone = single[done]
+        if alone.any():
+            enter[alone] = False
+            slope = drive[done] - x[done] @ full
+            enter[np.flatnonzero(alone & open_), np.where(on[done], -np.inf, slope).argmax(1)[alone & open_]] = True
         on[done] |= enter
         live = np.concatenate([live[~settled], done[open_]])
     return x
 
 
+def _peaks(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The peaks of each row, and the values on their left and right."""
+    edge = np.pad(v, ((0, 0), (1, 1)), constant_values=-np.inf)
+    left, right = edge[:, :-2], edge[:, 2:]
+    return (v >= left) & (v > right), left, right
+
+
+def _seeds(drive: np.ndarray) -> np.ndarray:
+    peak, left, right = _peaks(drive)
+    peak &= drive > 0
+    on = peak.copy()
+    on[:, 1:] |= (peak & (right > left) & (right > 0))[:, :-1]
+    on[:, :-1] |= (peak & (left >= right) & (left > 0))[:, 1:]
+    return on
+
+
+def _entering(rows, x, on, drive, least, full) -> tuple[np.ndarray, np.ndarray]:
+    """Of the problems ``rows`` the coefficients that enter, and whether any does."""
+    slope = np.where(on[rows], -np.inf, drive[rows] - x[rows] @ full)
+    most = slope.argmax(1) if slope.shape[1] else np.zeros(len(rows), np.int64)
+    open_ = slope[np.arange(len(rows)), most] > least[rows]
+    enter = _peaks(slope)[0] & (slope > least[rows][:, None])
+    enter[np.flatnonzero(open_), most[open_]] = True
+    return enter & open_[:, None], open_
+
+
+def _bold(live, x, on, drive, least, full, rounds: int) -> np.ndarray:
+    """The problems that exchanging many coefficients at once does not solve; ``x`` holds the others' solutions and these ones' last feasible ones."""
+    for _ in range(rounds):
+        if not len(live):
+            break
+        row, col = np.nonzero(on[live])
+        count = np.bincount(row, minlength=len(live))
+        k = int(count.max(initial=0))
+        if k * k * len(live) > 8 * BLOCK:
+            break
+        at, here = np.zeros((k, len(live)), np.int64), np.arange(k)[:, None] < count
+        at[np.arange(len(row)) - (np.cumsum(count) - count)[row], row] = col
+        block = full[at[:, None], at[None]]
+        block *= here[:, None] & here
+        block[np.arange(k), np.arange(k)] = full[0, 0]
+        z = _eliminate(block, np.where(here, drive[live, at], 0.0))
+        low = here & (z <= 0)
+        bad = low.any(0)
+        p, i = np.nonzero(low)
+        on[live[i], at[p, i]] = False
+        good = live[~bad]
+        x[good] = 0.0
+        p, i = np.nonzero(here & ~bad)
+        x[live[i], at[p, i]] = z[p, i]
+        enter, open_ = _entering(good, x, on, drive, least, full)
+        on[good] |= enter
+        live = np.concatenate([live[bad], good[open_]])
+    return live
+
+
+def _eliminate(block: np.ndarray, aim: np.ndarray) -> np.ndarray:
+    """Solve symmetric systems [place, place, problem] at once; the last axis is contiguous."""
+    k = len(aim)
+    for j in range(k - 1):
+        ratio = block[j + 1 :, j] / block[j, j]
+        block[j + 1 :, j + 1 :] -= ratio[:, None] * block[j, j + 1 :]
+        aim[j + 1 :] -= ratio * aim[j]
+    for j in range(k - 1, -1, -1):
+        aim[j] -= np.einsum("qr,qr->r", block[j, j + 1 :], aim[j + 1 :])
+        aim[j] /= block[j, j]
+    return aim
+
+
 def _step(part, k, x, on, single, drive, full) -> np.ndarray:
     """One step of the problems ``part``, whose active sets have at most k members; whether each reached its block's solution."""
     at = np.argsort(~on[part], axis=1, kind="stable")[:, :k]
@@ -167,24 +246,23 @@ def _step(part, k, x, on, single, drive, full) -> np.ndarray:
     return good
 
 
-def refine(beta: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(m/z, amplitude) of the non-zero coefficients of one problem.
+def refine(beta: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(problem, m/z, amplitude) of the non-zero coefficients [problem, coefficient] on their grids, in order.
 
     Where both neighbours are non-zero the vertex of the parabola through the logarithms replaces
     the grid point, if it opens downward and lies within half a step.
     """
-    at = np.flatnonzero(beta > 0)
-    mz = grid[at].copy()
-    inner = (at > 0) & (at < len(beta) - 1)
-    k = at[inner]
-    inner[inner] = (beta[k - 1] > 0) & (beta[k + 1] > 0)
-    k = at[inner]
+    row, at = np.nonzero(beta > 0)
+    mz = grid[row, at]
+    edged = np.pad(beta, ((0, 0), (1, 1)))
+    inner = (edged[row, at] > 0) & (edged[row, at + 2] > 0)
+    i, k = row[inner], at[inner]
     if len(k):
-        y0, y1, y2 = np.log(beta[k - 1]), np.log(beta[k]), np.log(beta[k + 1])
-        h = grid[k] - grid[k - 1]
+        y0, y1, y2 = np.log(beta[i, k - 1]), np.log(beta[i, k]), np.log(beta[i, k + 1])
+        h = grid[i, k] - grid[i, k - 1]
         with np.errstate(divide="ignore", invalid="ignore"):
             a = (y0 - 2 * y1 + y2) / (2 * h * h)
             off = -((y2 - y0) / (2 * h)) / (2 * a)
             ok = (h > 1e-9) & (a < 0) & (np.abs(off) <= 0.5 * h)
-        mz[inner] = np.where(ok, grid[k] + np.where(ok, off, 0.0), grid[k])
-    return mz, beta[at]
+        mz[inner] += np.where(ok, off, 0.0)
+    return row, mz, beta[row, at]

@@ -185,10 +185,19 @@ def test_direct_start_is_the_optimum(at, lam, seed):
         assert np.allclose(b[done].sum(1), swept[done].sum(1), rtol=1e-2, atol=1)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(100, 2000), st.floats(0, 20)), min_size=1, max_size=6), st.sampled_from([0.125, 1 / 15, 0.3]), st.floats(0, 0.2))
+def test_grid_ranges_equal_grid_positions(at, spacing, offset):
+    lo = np.array([a for a, _ in at])
+    hi = lo + np.array([w for _, w in at])
+    for x, y, a, b in zip(lo, hi, *peaks.grid_range(lo, hi, spacing, offset), strict=True):
+        assert (peaks.grid_positions(x, y, spacing, offset) == offset + np.arange(a, b + 1) * spacing).all()
+
+
 def test_refine_beats_the_grid():
     x = 499.875 + 0.125 * np.arange(5)
     b = 1000 * np.exp(-((x - 500.05) ** 2) / (2 * 0.34**2))
-    mz, a = lasso.refine(b, x)
+    _, mz, a = lasso.refine(b[None], x[None])
     i = int(a.argmax())
     assert abs(mz[i] - 500.05) < abs(x[i] - 500.05)
 
