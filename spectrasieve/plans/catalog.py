@@ -244,10 +244,11 @@ def filter_code_agreement(spark, sf_dir):
     return calibrate.agreement(_filters(spark, sf_dir).withColumn("scan_number", F.col("event_id")))
 
 
-GRID = own("emb", REGIONS) + """,
+GRID_STEPS = """,
 gr AS (SELECT spectrum_id, region_idx, start_idx, end_idx, mz_start, mz_end, unnest(range(CAST(floor(mz_start / 0.125::DOUBLE) AS BIGINT) - 1, CAST(ceil(mz_end / 0.125::DOUBLE) AS BIGINT) + 3)) AS i FROM r),
 grid AS (SELECT *, CAST(row_number() OVER (PARTITION BY spectrum_id, region_idx ORDER BY i) - 1 AS INTEGER) AS j, i * 0.125::DOUBLE AS grid_mz FROM gr WHERE i * 0.125::DOUBLE BETWEEN mz_start - 0.125::DOUBLE AND mz_end + 0.125::DOUBLE),
 dot AS (SELECT grid.spectrum_id, region_idx, j, grid_mz, sum(intensity * exp(-((mz - grid_mz) ** 2) / (2 * 0.34::DOUBLE ** 2))) AS aty FROM grid JOIN p ON p.spectrum_id = grid.spectrum_id AND idx BETWEEN start_idx AND end_idx GROUP BY ALL)"""
+GRID = own("emb", REGIONS) + GRID_STEPS
 
 
 @query(f"WITH {GRID} SELECT spectrum_id, region_idx, j, grid_mz FROM grid")
@@ -403,6 +404,91 @@ def spectrum_stats(spark, sf_dir, view):
     return _centroided(spark, sf_dir, view).select("spectrum_id", "stats.*")
 
 
+SWEEPS = 20
+
+
+def swept_sql(name: str, constants: str) -> str:
+    """Coordinate descent as recursion: a step updates one coefficient of every region, or ends its sweep.
+
+    ``constants`` has a row a region: aty, lam, g (the Gram matrix's first row) and the start beta0. After every tenth sweep coefficients
+    that the optimality condition admits are appended to the order; those that are zero have left it.
+    """
+    admitted = "list_filter(range(1, len(beta) + 1), lambda i: NOT list_contains(kept, i) AND aty[i] - list_sum(list_transform(beta, lambda y, k: y * g[abs(i - k) + 1])) + g[1] * beta[i] > lam)"
+    return f"""{name} AS (
+  SELECT spectrum_id, region_idx, 0 AS s, 1 AS p, list_filter(range(1, len(beta0) + 1), lambda i: beta0[i] > 0 OR aty[i] > lam) AS ord, beta0 AS beta FROM {constants}
+  UNION ALL
+  SELECT spectrum_id, region_idx, CASE WHEN p > len(ord) THEN s + 1 ELSE s END, CASE WHEN p > len(ord) THEN 1 ELSE p + 1 END,
+    CASE WHEN p <= len(ord) THEN ord WHEN (s + 1) % 10 = 0 THEN list_concat(kept, {admitted}) ELSE kept END,
+    list_transform(beta, lambda x, i: CASE WHEN i = j THEN greatest((rho - lam) / g[1], CAST(0 AS DOUBLE)) ELSE x END)
+  FROM (SELECT q.*, c.aty, c.lam, c.g, ord[p] AS j, list_filter(ord, lambda o: beta[o] > 0) AS kept,
+      aty[ord[p]] - list_sum(list_transform(beta, lambda y, k: y * g[abs(ord[p] - k) + 1])) + g[1] * beta[ord[p]] AS rho
+    FROM {name} q JOIN {constants} c ON c.spectrum_id = q.spectrum_id AND c.region_idx = q.region_idx WHERE s < {SWEEPS}))"""
+
+
+def fitted_sql(name: str, swept: str, constants: str) -> str:
+    """(spectrum_id, region_idx, mz, area) of the coefficients that are not zero, refined by the parabola through their neighbours' logarithms."""
+    return f"""{name}_b AS (SELECT c.spectrum_id, c.region_idx, beta, gm FROM {swept} q JOIN {constants} c ON c.spectrum_id = q.spectrum_id AND c.region_idx = q.region_idx WHERE s = {SWEEPS}),
+{name}_n AS (SELECT spectrum_id, region_idx, unnest(beta) AS b, unnest(gm) AS x, unnest(list_prepend(CAST(0 AS DOUBLE), beta[:-2])) AS b0, unnest(list_append(beta[2:], CAST(0 AS DOUBLE))) AS b2 FROM {name}_b),
+{name}_a AS (SELECT *, CASE WHEN b0 > 0 AND b2 > 0 THEN (ln(b0) - 2 * ln(b) + ln(b2)) / (2 * 0.125::DOUBLE ** 2) END AS a, CASE WHEN b0 > 0 AND b2 > 0 THEN (ln(b2) - ln(b0)) / (2 * 0.125::DOUBLE) END AS d FROM {name}_n WHERE b > 0),
+{name} AS (SELECT spectrum_id, region_idx, x + CASE WHEN a < 0 AND abs(d / (2 * a)) <= 0.5 * 0.125::DOUBLE THEN -d / (2 * a) ELSE 0 END AS mz, b * (0.34::DOUBLE * sqrt(2 * pi()) / 0.125::DOUBLE) AS area FROM {name}_a)"""
+
+
+SWEPT = REGIONS + GRID_STEPS + f""",
+gk AS (SELECT k, 0.34::DOUBLE * sqrt(pi()) / 0.125::DOUBLE * exp(-((k * 0.125::DOUBLE) ** 2) / (4 * 0.34::DOUBLE ** 2)) AS v FROM range(0, 2000) t(k)),
+gm AS (SELECT list(CASE WHEN k < 33 THEN v ELSE 0 END ORDER BY k) AS g FROM gk),
+c1 AS (SELECT dot.spectrum_id, region_idx, list(aty ORDER BY j) AS aty, list(grid_mz ORDER BY j) AS gm, any_value(3 * noise_sigma) AS lam, any_value(g) AS g, list(CAST(0 AS DOUBLE) ORDER BY j) AS beta0 FROM dot JOIN z USING (spectrum_id), gm WHERE z.n >= 3 GROUP BY ALL),
+{swept_sql("sw1", "c1")},
+{fitted_sql("f1", "sw1", "c1")},
+so AS (SELECT DISTINCT spectrum_id, region_idx FROM f1),
+res AS (SELECT r.spectrum_id, r.region_idx, (mz_start + mz_end) / 2 AS center_mz, sum((intensity - fit) ** 2) AS squares, count(*) AS m FROM
+  (SELECT spectrum_id, region_idx, idx, intensity, list_sum(list_transform(range(1, len(beta) + 1), lambda k: beta[k] * exp(-((mz - gm[k]) ** 2) / (2 * 0.34::DOUBLE ** 2)))) AS fit
+   FROM r JOIN so USING (spectrum_id, region_idx) JOIN f1_b USING (spectrum_id, region_idx) JOIN p USING (spectrum_id) WHERE idx BETWEEN start_idx AND end_idx) y JOIN r USING (spectrum_id, region_idx) GROUP BY ALL),
+gp AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.spectrum_id = p.spectrum_id AND idx BETWEEN start_idx AND end_idx)),
+ends AS (SELECT spectrum_id, min(mz) AS first, max(mz) AS last FROM p GROUP BY 1),
+cen AS (SELECT spectrum_id, w, first + CAST(1 AS DOUBLE) + w * CAST(0.5 AS DOUBLE) AS center FROM ends, range(0, 1000) t(w) WHERE first + CAST(1 AS DOUBLE) + w * CAST(0.5 AS DOUBLE) <= last - 1),
+parts AS (SELECT spectrum_id, mz AS place, intensity ** 2 AS squares, 1 AS m FROM gp UNION ALL SELECT spectrum_id, center_mz, squares, m FROM res),
+win AS (SELECT cen.spectrum_id, w, center, sqrt(sum(squares) / sum(m)) AS rms FROM cen JOIN parts ON parts.spectrum_id = cen.spectrum_id AND place BETWEEN center - 1 AND center + 1 GROUP BY ALL HAVING sum(m) >= 5 AND sum(squares) > 0),
+k AS (SELECT win.spectrum_id, center, greatest(rms, noise_sigma * CAST(0.1 AS DOUBLE)) AS noise FROM win JOIN z USING (spectrum_id)),
+s0 AS (SELECT *, list_sort(list(noise) OVER (PARTITION BY spectrum_id ORDER BY center ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS near, count(*) OVER (PARTITION BY spectrum_id) AS kn FROM k),
+kt AS (SELECT spectrum_id, center, CASE WHEN kn < 3 THEN noise ELSE near[len(near) // 2 + 1] END AS smooth FROM s0),
+v AS (SELECT res.spectrum_id, region_idx, center_mz, (SELECT arg_max(struct_pack(c := center, v := smooth), center) FROM kt WHERE kt.spectrum_id = res.spectrum_id AND center < center_mz) AS a,
+  (SELECT arg_min(struct_pack(c := center, v := smooth), center) FROM kt WHERE kt.spectrum_id = res.spectrum_id AND center >= center_mz) AS b FROM res),
+n2 AS (SELECT v.spectrum_id, region_idx, noise_sigma, CASE WHEN a IS NULL AND b IS NULL THEN noise_sigma WHEN a IS NULL THEN b.v WHEN b IS NULL THEN a.v ELSE a.v + (b.v - a.v) * ((center_mz - a.c) / (b.c - a.c)) END AS noise FROM v JOIN z USING (spectrum_id)),
+rf AS (SELECT spectrum_id, region_idx, 3 * noise AS lam FROM n2 WHERE abs(3 * noise - 3 * noise_sigma) / (3 * noise_sigma) > 0.2),
+c2 AS (SELECT c1.spectrum_id, c1.region_idx, aty, c1.gm, rf.lam, g, beta AS beta0 FROM c1 JOIN rf USING (spectrum_id, region_idx) JOIN f1_b USING (spectrum_id, region_idx)),
+{swept_sql("sw2", "c2")},
+{fitted_sql("f2", "sw2", "c2")},
+rg AS (SELECT rf.spectrum_id, rf.region_idx, mz_start, mz_end FROM rf JOIN r USING (spectrum_id, region_idx)),
+al AS (SELECT spectrum_id, region_idx, mz, area, false AS again FROM f1 UNION ALL SELECT spectrum_id, region_idx, mz, area, true FROM f2),
+kp AS (SELECT * FROM al WHERE NOT EXISTS (SELECT 1 FROM rg WHERE rg.spectrum_id = al.spectrum_id AND mz BETWEEN mz_start AND mz_end AND (NOT again OR rg.region_idx > al.region_idx))),
+o AS (SELECT spectrum_id, mz, area, row_number() OVER (PARTITION BY spectrum_id ORDER BY mz, again, region_idx) AS i FROM kp),
+fo AS (SELECT spectrum_id, i, mz, area, CAST(0 AS BIGINT) AS c FROM o WHERE i = 1 UNION ALL
+  SELECT fo.spectrum_id, o.i, CASE WHEN o.mz - fo.mz < 0.34::DOUBLE THEN (fo.mz * fo.area + o.mz * o.area) / (fo.area + o.area) ELSE o.mz END,
+    CASE WHEN o.mz - fo.mz < 0.34::DOUBLE THEN fo.area + o.area ELSE o.area END, CASE WHEN o.mz - fo.mz < 0.34::DOUBLE THEN fo.c ELSE fo.c + 1 END FROM fo JOIN o ON o.spectrum_id = fo.spectrum_id AND o.i = fo.i + 1),
+ct AS (SELECT spectrum_id, CAST(c AS INTEGER) AS centroid_idx, arg_max(mz, i) AS mz, arg_max(area, i) AS intensity FROM fo GROUP BY spectrum_id, c)"""
+
+
+def _swept_config() -> model.Config:
+    """A set number of sweeps from zero in the first pass, from its coefficients in the second, so that SQL can follow them."""
+    return model.Config(noise_window_da=2.0, noise_step_da=0.5, max_lasso_iter=SWEEPS, lasso_tol=0.0)
+
+
+def _swept(spark, sf_dir, view):
+    return centroid.centroid(views.spectra(spark, sf_dir, view), _swept_config(), (SIGMA, SIGMA), (SPACING, SPACING), direct=False)
+
+
+@query(f"WITH RECURSIVE {SWEPT} SELECT spectrum_id, centroid_idx, round(mz, 6) AS mz, round(intensity, 3) AS intensity FROM ct", **TWO)
+def centroids_swept(spark, sf_dir, view):
+    return centroid.rows(_swept(spark, sf_dir, view)).withColumns({"mz": F.round("mz", 6), "intensity": F.round("intensity", 3)})
+
+
+@query(f"""WITH RECURSIVE {SWEPT}, n AS (SELECT spectrum_id, (SELECT count(*) FROM r WHERE r.spectrum_id = z.spectrum_id) AS n_regions, (SELECT count(*) FROM rf WHERE rf.spectrum_id = z.spectrum_id) AS n_refits, (SELECT count(*) FROM ct WHERE ct.spectrum_id = z.spectrum_id) AS n_centroids, noise_sigma FROM z WHERE n >= 3)
+SELECT spectrum_id, CAST(n_regions AS INTEGER) AS n_regions, CAST(n_regions AS INTEGER) AS n_lasso, CAST(n_refits AS INTEGER) AS n_pass2_refits, CAST(n_centroids AS INTEGER) AS n_centroids, 0.34::DOUBLE AS sigma_used, round(3 * noise_sigma, 6) AS lambda_rough FROM n""", **TWO)
+def spectrum_stats_swept(spark, sf_dir, view):
+    got = _swept(spark, sf_dir, view).select("spectrum_id", "stats.*").where("lambda_rough > 0")
+    return got.withColumn("lambda_rough", F.round("lambda_rough", 6))
+
+
 @query(f"""WITH {ENVELOPE}, fst AS (SELECT DISTINCT spectrum_id FROM p ORDER BY 1 LIMIT {model.Config().n_calibration_spectra}), it AS (SELECT sigma FROM iso JOIN fst USING (spectrum_id)),
 md AS (SELECT list_sort(list(sigma))[count(*) // 2 + 1] AS median FROM it),
 dv AS (SELECT median, list_sort(list(abs(sigma - median)))[count(*) // 2 + 1] AS mad FROM it, md GROUP BY median)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spectrasieve import model, shared
 from spectrasieve.operators import centroid, repair, verify
+from spectrasieve.plans import catalog
 from spectrasieve.plans.catalog import query
 from spectrasieve.sources import mzml, mzml_sink, views
 from spectrasieve.streaming import stream
@@ -178,16 +179,30 @@ def mzml_scan(spark, sf_dir):
     return got.select("spectrum_id", "ms_level", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")).withColumn("total", F.round("total", 3))
 
 
-@query()
-def mzml_round_trip(spark, sf_dir):
-    """Centroids written back over their documents and read again."""
+def _round_trip(spark, sf_dir, config, **kw):
     folder = _documents(spark, sf_dir)
-    found = centroid.centroid(mzml.read(spark, folder), CONFIG, (0.34, 0.34), (0.125, 0.125), ("file", "scan_number"))
+    found = centroid.centroid(mzml.read(spark, folder), config, (0.34, 0.34), (0.125, 0.125), ("file", "scan_number"), **kw)
     targets = [r.target for r in mzml_sink.write_centroided(found, shared.new_files(spark)).collect()]
     back = _key(mzml.read(spark, targets, mode="any"))
     return back.select("spectrum_id", "mode", F.posexplode(F.arrays_zip("mz", "intensity")).alias("centroid_idx", "c")).select("spectrum_id", "mode", "centroid_idx", "c.mz", "c.intensity")
 
 
+@query()
+def mzml_round_trip(spark, sf_dir):
+    """Centroids written back over their documents and read again."""
+    return _round_trip(spark, sf_dir, CONFIG)
+
+
+SWEPT = catalog.own("emb", catalog.SWEPT)
+
+
+@query(f"WITH RECURSIVE {SWEPT} SELECT spectrum_id, 'centroid' AS mode, centroid_idx, round(mz, 6) AS mz, round(CAST(intensity AS FLOAT), 2) AS intensity FROM ct")
+def mzml_round_trip_swept(spark, sf_dir):
+    """The same with a set number of sweeps, which SQL can follow."""
+    got = _round_trip(spark, sf_dir, catalog._swept_config(), direct=False)
+    return got.withColumns({"mz": F.round("mz", 6), "intensity": F.round(F.col("intensity").cast("float"), 2)})
+
+
 @query()
 def mzml_verify(spark, sf_dir):
     return verify.verify(spark, _documents(spark, sf_dir)).select("bytes", "ok", "null_offset", "null_length")
@@ -226,9 +241,20 @@ def mzml_repair(spark, sf_dir):
     return each.mapInArrow(task, ", ".join(f"{c} long" for c in REPAIRED))
 
 
+def _streamed(spark, sf_dir, config, **kw):
+    folder = shared.new_files(spark)
+    views.spectra(spark, sf_dir, "emb").write.mode("overwrite").parquet(f"{folder}/in")
+    return stream.centroid_all(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", config, (0.34, 0.34), (0.125, 0.125), **kw)
+
+
 @query()
 def stream_centroids(spark, sf_dir):
     """The embedding view centroided as a stream of files."""
-    folder = shared.new_files(spark)
-    views.spectra(spark, sf_dir, "emb").write.mode("overwrite").parquet(f"{folder}/in")
-    return stream.centroid_all(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", CONFIG, (0.34, 0.34), (0.125, 0.125))
+    return _streamed(spark, sf_dir, CONFIG)
+
+
+@query(f"WITH RECURSIVE {SWEPT} SELECT spectrum_id, centroid_idx, round(mz, 6) AS mz, round(intensity, 3) AS intensity FROM ct")
+def stream_centroids_swept(spark, sf_dir):
+    """The same with a set number of sweeps, which SQL can follow."""
+    got = _streamed(spark, sf_dir, catalog._swept_config(), direct=False)
+    return got.withColumns({"mz": F.round("mz", 6), "intensity": F.round("intensity", 3)})

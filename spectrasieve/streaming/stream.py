@@ -9,18 +9,18 @@ from spectrasieve.operators import calibrate, centroid
 from spectrasieve.sources import mzml
 
 
-def centroid_stream(spectra: DataFrame, config: model.Config, sigma, spacing, keys=("spectrum_id",)) -> DataFrame:
+def centroid_stream(spectra: DataFrame, config: model.Config, sigma, spacing, keys=("spectrum_id",), **kw) -> DataFrame:
     """A stream of centroids. Every spectrum stands alone, so there is no state and no watermark."""
-    return centroid.centroid(spectra, config, sigma, spacing, keys)
+    return centroid.centroid(spectra, config, sigma, spacing, keys, **kw)
 
 
-def centroid_all(spark: SparkSession, source: str, target: str, state: str, config: model.Config, sigma, spacing, keys=("spectrum_id",)) -> DataFrame:
+def centroid_all(spark: SparkSession, source: str, target: str, state: str, config: model.Config, sigma, spacing, keys=("spectrum_id",), **kw) -> DataFrame:
     """Centroid all spectra (parquet) that have arrived at ``source`` since the last call; the target table.
 
     Source and target offsets live in ``state``, so each file is taken once, also after a failure.
     """
     schema = spark.read.parquet(source).schema
-    made = centroid_stream(spark.readStream.schema(schema).parquet(source), config, sigma, spacing, keys)
+    made = centroid_stream(spark.readStream.schema(schema).parquet(source), config, sigma, spacing, keys, **kw)
     query = made.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     return centroid.rows(spark.read.parquet(target))
