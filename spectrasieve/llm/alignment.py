@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from spectrasieve.llm import blocks, bpe, common
 
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _MARK = "▁"  # how pieces write a space
-_SEGMENTS = "unit string, times long, n_a long, n_b long, n_groups long, groups binary, pairs array<long>"
+_SEGMENTS = "unit string, times long, id long, n_a long, groups binary, pairs array<long>"
 
 
 def _pieces(path: str):
@@ -83,8 +85,8 @@ def segmenter(white: str, odd: str, window: int = 1 << 20):
     return split
 
 
-def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[int, str, list[tuple[int, int]]]:
-    """Groups of tokens between the places where both end (their number and text), and the pairs whose bytes overlap."""
+def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[str, list[tuple[int, int]]]:
+    """Groups of tokens between the places where both end, as text, and the pairs whose bytes overlap."""
     i = j = 0
     first_a = first_b = 0
     groups, pairs = [], []
@@ -96,11 +98,11 @@ def align(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> t
         if x == y:
             groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
             first_a, first_b = i, j
-    return len(groups), ";".join(groups), pairs
+    return ";".join(groups), pairs
 
 
 def aligned_segments(segments: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(unit, times) with each segment's tokens counted, its groups as text and its links as a * 2^32 + b."""
+    """(unit, times) with an id, each segment's tokens of A counted, its groups as text and its links as a * 2^32 + b."""
 
     def task(batches):
         import pyarrow as pa
@@ -123,7 +125,7 @@ def aligned_segments(segments: DataFrame, byte_path: str, piece_path: str) -> Da
             held["sizes"] = size, [1 if model.is_byte(i) else len(model.id_to_piece(i).replace(_MARK, " ").encode()) for i in range(model.vocab_size())]
         tok, model = held["made"]
         size_a, size_b = (np.array(s) for s in held["sizes"])
-        space = model.piece_to_id(_MARK)
+        space, number = model.piece_to_id(_MARK), TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
@@ -132,34 +134,62 @@ def aligned_segments(segments: DataFrame, byte_path: str, piece_path: str) -> Da
                 # A model adds a space in front; a segment that begins with one hands its own in.
                 b = model.encode([s[1:] if s[0] == " " else s for s in names], num_threads=1)
                 b = [([space] if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(names, b, strict=True)]
-                cols = [[] for _ in range(5)]
+                cols = [[] for _ in range(4)]
                 for name, x, y in zip(names, a, b, strict=True):
                     ends_x, ends_y = np.cumsum(size_a[x]).tolist(), np.cumsum(size_b[y]).tolist()
                     if not x or not y or not ends_x[-1] == ends_y[-1] == len(name.encode()):
                         raise ValueError(f"tokens do not give {name[:100]!r} back")
-                    n, text, pairs = align(x, y, ends_x, ends_y)
-                    for c, v in zip(cols, (len(x), len(y), n, text.encode(), [p << 32 | q for p, q in pairs]), strict=True):
+                    text, pairs = align(x, y, ends_x, ends_y)
+                    for c, v in zip(cols, (number, len(x), text.encode(), [p << 32 | q for p, q in pairs]), strict=True):
                         c.append(v)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                    number += 1
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("unit"), part.column("times"), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], [f.split()[0] for f in _SEGMENTS.split(", ")])
 
     return common.by_batch(segments, task, _SEGMENTS, f"alignment {byte_path} {piece_path}")
 
 
 def _weighed(segments: DataFrame) -> DataFrame:
-    """(unit, n_links, n_best, count_sum): of each segment's links, those whose pair no other of the same b exceeds, and the sum of the counts."""
-    linked = segments.select("unit", "times", F.explode("pairs").alias("pair"))
-    counts = common.cut(linked.groupBy("pair").agg(F.sum("times").alias("c")))
-    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
+    """(id, n_best, count_sum): of each segment's links those whose pair no other of the same b exceeds, and the sum of the counts.
+
+    Links of segments are composed in the same way as segments of documents: a block's distinct pairs are counted, joined with
+    the counts over all blocks and looked up by position.
+    """
+    made = blocks.cut_blocks(segments.select(F.col("id").alias("doc_id"), F.col("pairs").alias("text"), F.col("times").alias("weight")), lambda pairs: [list(map(str, pairs))])
+    counts = common.cut(blocks.units(made).groupBy("unit").agg(F.sum("times").alias("c")))
+    b = F.col("unit").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     top = counts.groupBy(b.alias("b")).agg(F.max("c").alias("most"))  # a row for each id of b's vocabulary at most
-    counts = counts.join(F.broadcast(top), b == F.col("b")).select("pair", "c", (F.col("c") == F.col("most")).cast("long").alias("is_best"))
-    got = linked.select("unit", "pair").join(counts.hint("merge"), "pair")
-    return got.groupBy("unit").agg(F.count("*").alias("n_links"), F.sum("is_best").alias("n_best"), F.sum("c").alias("count_sum"))
+    counts = counts.join(F.broadcast(top), b == F.col("b")).select("unit", "c", (F.col("c") == F.col("most")).cast("long").alias("is_best"))
+    return blocks.compose(made, counts, lambda t: np.stack([t.column(c).to_numpy() for c in ("is_best", "c")], 1), lambda ready, key, codes: (key, *ready[codes].sum(0).tolist()), "id long, n_best long, count_sum long")
+
+
+_TAIL, _TAIL_BYTES = "<IIq", 16  # n_a, n_best, count_sum behind a segment's groups
+
+
+def _payload(segments: DataFrame) -> DataFrame:
+    """(unit, payload) of segments with their weights: what documents are composed of, as bytes."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("groups", "n_a", "n_best", "count_sum")), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([g + struct.pack(_TAIL, *numbers) for g, *numbers in rows], pa.binary())], ["unit", "payload"])
+
+    return common.by_batch(segments.select("unit", "groups", "n_a", "n_best", "count_sum"), task, "unit string, payload binary")
 
 
 def _prepare(table):
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    return np.stack([table.column(c).to_numpy() for c in names], 1).reshape(-1, 6), table.column("groups").to_pylist()
+    """The numbers of a block's segments (n_a, n_b, n_groups, n_links, n_best, count_sum) and their groups."""
+    groups, numbers = [], []
+    for data in table.column("payload").to_pylist():
+        text = data[:-_TAIL_BYTES]
+        n_a, n_best, count_sum = struct.unpack(_TAIL, data[-_TAIL_BYTES:])
+        n_groups = text.count(b"|")
+        tokens = text.count(b",") + 2 * n_groups
+        groups.append(text)
+        numbers.append((n_a, tokens - n_a, n_groups, tokens - n_groups, n_best, count_sum))
+    return np.array(numbers, np.int64).reshape(-1, 6), groups
 
 
 def _document(ready, doc_id, codes: np.ndarray):
@@ -168,7 +198,7 @@ def _document(ready, doc_id, codes: np.ndarray):
     return doc_id, *numbers[codes].sum(0).tolist(), hashlib.sha256(text).hexdigest() if len(codes) else ""
 
 
-def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 400_000) -> DataFrame:
+def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A is the byte-level tokenizer over space + text, B the piece model over the text; neither adds special tokens, and strings
@@ -187,7 +217,6 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
     with common.scratch(docs.sparkSession):
         made = common.keep(blocks.cut_blocks(d, segmenter(*cutting(byte_path, piece_path)), most))
         distinct = blocks.units(made).groupBy("unit").agg(F.sum("times").alias("times"))
-        segments = common.keep(common.cut(aligned_segments(distinct, byte_path, piece_path)))
-        weighed = common.keep(common.cut(_weighed(segments)))
-    table = segments.select("unit", "n_a", "n_b", "n_groups", "groups").join(weighed, "unit")
+        segments = common.cut(aligned_segments(distinct, byte_path, piece_path), "zstd")
+        table = common.keep(common.cut(_payload(segments.join(_weighed(segments), "id")), "zstd"))
     return blocks.compose(made, table, _prepare, _document, SCHEMA)

@@ -26,27 +26,32 @@ _FIELDS = ["block", "doc_id", "n", "codes", "at", "unit", "times"]
 _SCHEMA = "block long, doc_id long, n long, codes binary, at long, unit string, times long"
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 _ROWS = 50_000  # units of a batch that a task hands on
+_FEW = 16  # numbers that are not worth compression
 
 
 def pack(codes: np.ndarray) -> bytes:
-    """Numbers below 2^32, compressed: their first bytes, then their second ones and so on."""
-    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True) if len(codes) else b""
+    """Numbers below 2^32, many of them compressed: their first bytes, then their second ones and so on."""
+    codes = codes.astype("<u4")
+    if len(codes) < _FEW:
+        return codes.tobytes()
+    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint32)
+    if n < _FEW:
+        return np.frombuffer(data, "<u4")
     planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], most: int = 400_000) -> DataFrame:
-    """The blocks of (doc_id, text), written: rows of documents (unit null) and rows of units.
+def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], most: int = 1_000_000) -> DataFrame:
+    """The blocks of (doc_id, text) or (doc_id, text, weight), written: rows of documents (unit null) and rows of units.
 
-    ``split`` gives a text's units in lists, in order; a null text has none. A block ends with the document
-    after which it holds ``most`` distinct units or more.
+    ``split`` gives a text's units in lists, in order; a null text has none. An occurrence counts ``weight`` times (once without
+    that column). A block ends with the document after which it holds ``most`` distinct units or more.
     """
+    weighted = "weight" in docs.columns
 
     def task(batches):
         base, made = TaskContext.get().partitionId() << 32, 0
@@ -69,7 +74,8 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
 
         for b in batches:
             ids, n, codes, held = [], [], [], 0
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            weights = b.column("weight").to_pylist() if weighted else [1] * len(b)
+            for key, text, weight in zip(b.column("doc_id").to_pylist(), b.column("text"), weights, strict=True):
                 own = [np.zeros(0, np.uint32)]
                 for found in split(text.as_py() or ""):
                     own.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
@@ -77,7 +83,7 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
                 if len(index) > len(times):
                     times = np.concatenate([times, np.zeros(len(index), np.int64)])
                 if len(own):
-                    np.add.at(times, own, 1)
+                    np.add.at(times, own, weight)
                 ids.append(key)
                 n.append(len(own))
                 codes.append(pack(own))
@@ -91,7 +97,7 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
                 yield batch(block=np.full(len(ids), base + made), doc_id=ids, n=n, codes=codes)
         yield from units()
 
-    return common.cut(common.by_batch(docs.select("doc_id", "text"), task, _SCHEMA))
+    return common.cut(common.by_batch(docs.select("doc_id", "text", *["weight"] * weighted), task, _SCHEMA), "zstd")
 
 
 def units(blocks: DataFrame) -> DataFrame:

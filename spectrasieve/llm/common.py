@@ -15,15 +15,15 @@ _SCOPES: list[list[str]] = []
 _HELD: dict[str, dict] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again.
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (by Parquet's ``codec``, if given) and read it again.
 
     This cuts the lineage: what follows survives lost executors without recomputing,
     and a frame that is used more than once is computed once.
     """
     spark = df.sparkSession
     at = f"{shared.folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=codec)
     if _SCOPES:
         _SCOPES[-1].append(at)
     made = spark.read.schema(df.schema).parquet(at)

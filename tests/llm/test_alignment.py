@@ -66,7 +66,7 @@ def plain(rows):
     return [(k, a, b, len(g), len(x), sum(count[p] == best[p[1]] for p in x), sum(count[p] for p in x), hashlib.sha256(";".join(g).encode()).hexdigest() if g else "") for k, a, b, g, x in docs]
 
 
-@pytest.mark.parametrize("most", [400_000, 40])
+@pytest.mark.parametrize("most", [1_000_000, 40])
 def test_alignment_equals_whole_texts(spark, most):
     rnd = random.Random(1)
     alphabet = ["the ", "Zauber", "naïve\n", " ", "  ", "\t", "\r\n", "x_1", "::", "ß", "中", "'s", " ", "), ", "</s>", "\n    return x"]
