@@ -6,12 +6,13 @@ import argparse
 import os
 import sys
 import time
+import uuid
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from spectrasieve import model
+from spectrasieve import model, shared
 from spectrasieve.functions import peaks
 from spectrasieve.operators import calibrate, centroid, repair, report, verify
 from spectrasieve.sources import mzml, mzml_sink
@@ -22,19 +23,16 @@ def session() -> SparkSession:
 
 
 def run(spark: SparkSession, config: model.Config) -> list[str]:
-    """Centroid every input file, write it back and verify it; the files written."""
-    out = []
-    for path in mzml.files_of(list(config.input)):
-        cal = calibrate.calibrate(mzml.first(spark, path, config.n_calibration_spectra), config)
-        found = centroid.centroid(mzml.read(spark, path), config, (cal["sigma_ms1"], cal["sigma_ms2"]), (cal["grid_spacing_ms1"], cal["grid_spacing_ms2"]), ("file", "scan_number"))
-        if config.stats_output:
-            found.select("file", "scan_number", "stats.*").orderBy("file", "scan_number").write.mode("append").option("header", True).option("sep", "\t").csv(config.stats_output)
-        target = mzml_sink.write_centroided(found, config.output, config.keep_empty).first().target
-        bad = verify.null_runs(target)
-        if bad:
-            raise model.MzmlError(f"{target}: {bad[0][1]} null bytes at byte {bad[0][0]}")
-        out.append(target)
-    return out
+    """Centroid all input files as one job, each by its own calibration, write them back and verify them; the files written, in order of the input."""
+    files = mzml.files_of(list(config.input))
+    cal = calibrate.calibrate_files(mzml.first(spark, files, config.n_calibration_spectra), config)
+    found = centroid.centroid_files(mzml.read(spark, files), cal, config, ("file", "scan_number", "start"))
+    if config.stats_output:  # the kernel runs once for the documents and the statistics
+        found.write.parquet(at := f"{shared.folder(spark)}/centroids-{uuid.uuid4().hex}")
+        found = spark.read.parquet(at)
+        found.select("file", "scan_number", "stats.*").orderBy("file", "scan_number").write.mode("append").option("header", True).option("sep", "\t").csv(config.stats_output)
+    of = {r.file: r.target for r in mzml_sink.write_centroided(found, config.output, config.keep_empty, files=files).collect()}
+    return [of[f] for f in files]
 
 
 def show_calibration(spark: SparkSession, path: str, n: int) -> dict:

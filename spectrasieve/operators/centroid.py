@@ -268,14 +268,16 @@ def centroid_batch(levels: list[int], mzs: list[np.ndarray], ys: list[np.ndarray
     return out
 
 
-def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float], spacing: tuple[float, float], keys: tuple[str, ...] = ("spectrum_id",), batch: int = 256, direct: bool = True) -> DataFrame:
+def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float] | None, spacing: tuple[float, float] | None, keys: tuple[str, ...] = ("spectrum_id",), batch: int = 256, direct: bool = True) -> DataFrame:
     """Centroids and statistics of each spectrum: keys, centroids array<struct<mz, intensity>>, stats struct.
 
     ``spectra`` holds the keys, ms_level, mz and intensity; ``sigma`` and ``spacing`` are those of level 1 and of all
-    others. With ``direct`` the LASSO's sweeps begin near the optimum, from solved active blocks, and confirm it; without, they begin at 0 and
+    others, or None: then each spectrum's columns sigma and spacing hold its own, see :func:`centroid_files`. With ``direct`` the LASSO's sweeps begin near the optimum, from solved active blocks, and confirm it; without, they begin at 0 and
     may end at the limit of sweeps before it. No shuffle; memory is ``batch`` spectra. Spectra with null or fewer than three points have no centroids.
     """
-    bases = tuple(Basis.of(s, h, config.grid_offset or 0.0) for s, h in zip(sigma, spacing, strict=True))
+    offset = config.grid_offset or 0.0
+    bases = tuple(Basis.of(s, h, offset) for s, h in zip(sigma, spacing, strict=True)) if sigma else None
+    own = [] if sigma else ["sigma", "spacing"]
     named = [f for f in spectra.schema.fields if f.name in keys]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in named] + [f"centroids array<struct<{model.CENTROID.replace(' ', ':')}>>".replace(",:", ","), "stats struct<" + ", ".join(x.replace(" ", ":", 1) for x in model.STATS.split(", ")) + ">"])
 
@@ -289,17 +291,36 @@ def centroid(spectra: DataFrame, config: model.Config, sigma: tuple[float, float
             for at in range(0, len(whole), batch):
                 b = whole.slice(at, batch)
                 arrays = [[np.asarray(v.values if v.is_valid else [], np.float64) for v in b.column(c)] for c in ("mz", "intensity")]
-                got = centroid_batch([v or 2 for v in b.column("ms_level").to_pylist()], *arrays, bases, config, direct)
+                levels = [v or 2 for v in b.column("ms_level").to_pylist()]
+                if bases:
+                    got = centroid_batch(levels, *arrays, bases, config, direct)
+                else:
+                    got = [None] * len(b)
+                    pairs = list(zip(*(b.column(c).to_pylist() for c in own), strict=True))
+                    for width in set(pairs):
+                        mine = [i for i, p in enumerate(pairs) if p == width]
+                        made = centroid_batch([levels[i] for i in mine], *([a[i] for i in mine] for a in arrays), (Basis.of(*width, offset),) * 2, config, direct)
+                        for i, g in zip(mine, made, strict=True):
+                            got[i] = g
                 flat = [np.concatenate([np.asarray(g[i], np.float64) for g in got] or [np.zeros(0)]) for i in (0, 1)]
                 offsets = np.cumsum([0, *(len(g[0]) for g in got)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(f) for f in flat], fields=list(pair)))
                 stats = pa.array([dict(zip(counts, g[2], strict=True)) for g in got], stat)
                 yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in named), lists, stats], [*(f.name for f in named), "centroids", "stats"])
 
-    rows = spectra.select(*(f.name for f in named), "ms_level", F.col("mz"), F.col("intensity"))
+    rows = spectra.select(*(f.name for f in named), "ms_level", F.col("mz"), F.col("intensity"), *own)
     return rows.mapInArrow(task, schema)
 
 
+def centroid_files(spectra: DataFrame, calibrations: DataFrame, config: model.Config, keys: tuple[str, ...] = ("file", "scan_number"), key: str = "file", direct: bool = True) -> DataFrame:
+    """Centroids of the spectra of many files as one job, each file's by its own row of ``calibrations`` (see calibrate.calibrate_files)."""
+    first = F.col("ms_level") == 1
+    cal = calibrations.withColumnRenamed(key, "__key")
+    rows = spectra.join(cal, F.col(key).eqNullSafe(F.col("__key")))
+    rows = rows.withColumns({c: F.when(first, F.col(f"{n}_ms1")).otherwise(F.col(f"{n}_ms2")) for c, n in (("sigma", "sigma"), ("spacing", "grid_spacing"))})
+    return centroid(rows, config, None, None, keys, direct=direct)
+
+
 def rows(centroided: DataFrame) -> DataFrame:
     """A row a centroid: keys, centroid_idx, mz, intensity."""
     keys = [c for c in centroided.columns if c not in ("centroids", "stats")]

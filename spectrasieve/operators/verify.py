@@ -96,20 +96,7 @@ def counts(path: str) -> dict | None:
     if declared is None and b"<spectrumList" not in mzml.head_of(path):
         return None
     actual = sum(1 for _ in mzml.elements(path, 0, os.path.getsize(path)))
-    return {"declared": declared, "actual": actual, "indexed": len(index_of(path).get("spectrum", [])) or None}
-
-
-def index_of(path: str) -> dict[str, list[tuple[str, int]]]:
-    """A document's index: (id, offset) by list name; empty if there is none."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        f.seek(max(0, size - (1 << 16)))
-        m = re.search(rb"<indexListOffset>\s*(\d+)\s*<", f.read())
-        if not m or int(m[1]) >= size:
-            return {}
-        f.seek(int(m[1]))
-        data = f.read()
-    return {k[1].decode(): [(o[1].decode(), int(o[2])) for o in re.finditer(rb'<offset\s+idRef="([^"]*)"[^>]*>\s*(\d+)\s*</offset>', k[2])] for k in re.finditer(rb'<index\s+name="([^"]*)"\s*>(.*?)</index>', data, re.S)}
+    return {"declared": declared, "actual": actual, "indexed": len(mzml.index_of(path).get("spectrum", [])) or None}
 
 
 def empty_spectra(path: str) -> list[tuple[int, str, int, int]]:
@@ -195,7 +182,7 @@ def byte_findings(path: str) -> list[tuple]:
             if c[name] is not None and c[name] != c["actual"]:
                 add(ERROR, "count-mismatch", f"{name} {c[name]}, found {c['actual']}")
     if sniffed["indexed"]:
-        index, real = index_of(path), {}
+        index, real = mzml.index_of(path), {}
         if "spectrum" not in index:
             add(ERROR, "index-offset", "there is no index where indexListOffset tells")
         for start, raw in mzml.elements(path, 0, os.path.getsize(path)):

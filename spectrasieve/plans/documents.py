@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def byte_offsets(spark, sf_dir):
     def found(path, _):
         with open(path, "rb") as f:
             data = f.read()
-        for i, at in verify.index_of(path)["spectrum"]:
+        for i, at in mzml.index_of(path)["spectrum"]:
             yield i, data.startswith(b"<spectrum ", at) and f'id="{i}"'.encode() in data[at : data.index(b">", at)]
 
     return _each(spark, _documents(spark, sf_dir), found, "part long, id string, holds boolean")
@@ -179,6 +180,43 @@ def mzml_scan(spark, sf_dir):
     return got.select("spectrum_id", "ms_level", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")).withColumn("total", F.round("total", 3))
 
 
+@query(f"WITH {views.points_sql('emb')}, n AS (SELECT *, spectrum_id % 500 AS number FROM p) SELECT spectrum_id, CAST(number AS BIGINT) AS scan_number, CAST(count(*) AS INTEGER) AS n, round(sum(intensity), 3) AS total FROM n WHERE number BETWEEN 120 AND 131 AND mz BETWEEN 201 AND 205 GROUP BY 1, 2")
+def mzml_seek(spark, sf_dir):
+    """A range of spectra of each document, sought by its index, and of their points a range of m/z."""
+    got = _key(mzml.read(spark, _documents(spark, sf_dir), scans=(120, 131), window=(201.0, 205.0)))
+    return got.select("spectrum_id", F.col("scan_number").cast("long"), F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")).withColumn("total", F.round("total", 3))
+
+
+@query("SELECT vec_id AS spectrum_id, 2 AS ms_level, CAST(vec_id AS DOUBLE) / 60 AS retention_time_min, 'ITMS + p NSI t Full ms2' AS filter_string, 'profile' AS mode FROM embeddings WHERE vec_id IS NOT NULL AND vec_id % 7 <> 3")
+def mzml_headers(spark, sf_dir):
+    """What spectra tell besides their arrays, read without them."""
+    folder = _documents(spark, sf_dir, "spectrum_id % 7 = 3")
+    got = _key(mzml.read(spark, folder, mode="any", columns=["native_id", "ms_level", "retention_time_min", "filter_string", "mode"]))
+    return got.where("spectrum_id % 7 <> 3").select("spectrum_id", "ms_level", "retention_time_min", "filter_string", "mode")
+
+
+@query("SELECT vec_id AS spectrum_id FROM embeddings WHERE vec_id IS NOT NULL AND vec_id % 7 <> 3 AND vec_id % 500 < 40")
+def mzml_first(spark, sf_dir):
+    """The first spectra with points of each document that has them."""
+    got = _key(mzml.first(spark, _documents(spark, sf_dir, "spectrum_id % 7 = 3"), 40))
+    return got.where("spectrum_id % 500 < 40").select("spectrum_id")
+
+
+@query(f"WITH {views.points_sql('emb')} SELECT spectrum_id, CAST(count(*) AS INTEGER) AS n, round(sum(intensity), 3) AS total FROM p GROUP BY 1")
+def mzml_stream(spark, sf_dir):
+    """Documents read as a stream: half of them arrive, then the rest; each is read once."""
+    folder, work = _documents(spark, sf_dir), shared.new_files(spark)
+    os.makedirs(f"{work}/landing")
+    names = mzml.files_of(folder)
+    for part in (names[::2], names[1::2]):
+        for name in part:
+            os.rename(name, f"{work}/landing/{os.path.basename(name)}")
+        made = mzml.arriving(spark, f"{work}/landing", settle=0.1)
+        time.sleep(0.2)
+        stream.drain(made.select("native_id", F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")), f"{work}/out", f"{work}/state")
+    return _key(spark.read.parquet(f"{work}/out")).select("spectrum_id", "n", F.round("total", 3).alias("total"))
+
+
 def _round_trip(spark, sf_dir, config, **kw):
     folder = _documents(spark, sf_dir)
     found = centroid.centroid(mzml.read(spark, folder), config, (0.34, 0.34), (0.125, 0.125), ("file", "scan_number"), **kw)

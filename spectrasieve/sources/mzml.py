@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from spectrasieve import model
 
@@ -88,16 +88,26 @@ def _number(p: dict | None) -> float | None:
         return None
 
 
+def arrays_of(e: ET.Element, groups: dict) -> dict[str | None, np.ndarray | None]:
+    """The values of a spectrum's arrays by the accession of their kind; None where they cannot be decoded."""
+    return dict(decode(a, groups) for a in e.iterfind("binaryDataArrayList/binaryDataArray"))
+
+
 def record(raw: bytes, groups: dict, file: str = "", start: int = 0) -> dict:
     """One spectrum element as a row of SCHEMA. Arrays are None where missing or not decodable."""
     e = ET.fromstring(raw)
+    arrays = arrays_of(e, groups)
+    return described(e, groups, file, start, len(raw)) | {"mz": arrays.get(MZ), "intensity": arrays.get(INTENSITY)}
+
+
+def described(e: ET.Element, groups: dict, file: str = "", start: int = 0, length: int = 0) -> dict:
+    """What a spectrum element of ``length`` bytes tells besides its arrays, which are None."""
     p = params(e, groups)
     scan = e.find("scanList/scan")
     s = params(scan, groups) if scan is not None else {}
     time = _number(s.get(START_TIME))
     if time is not None and s[START_TIME].get("unitAccession") not in (MINUTE, None):
         time /= 60
-    arrays = dict(decode(a, groups) for a in e.iterfind("binaryDataArrayList/binaryDataArray"))
     precursor = None
     if (pre := e.find("precursorList/precursor")) is not None:
         ion = pre.find("selectedIonList/selectedIon")
@@ -116,11 +126,11 @@ def record(raw: bytes, groups: dict, file: str = "", start: int = 0) -> dict:
         "ms_level": int(_number(p.get(LEVEL)) or 0),
         "retention_time_min": time,
         "filter_string": s[FILTER].get("value") if FILTER in s else None,
-        "mz": arrays.get(MZ),
-        "intensity": arrays.get(INTENSITY),
+        "mz": None,
+        "intensity": None,
         "mode": "centroid" if CENTROID in p else "profile" if PROFILE in p else "unknown",
         "start": start,
-        "length": len(raw),
+        "length": length,
         "precursor": precursor,
         "injection_time": _number(s.get("MS:1000927")),
         "scan_windows": windows,
@@ -128,12 +138,13 @@ def record(raw: bytes, groups: dict, file: str = "", start: int = 0) -> dict:
 
 
 def head_of(path: str, most: int = 16 << 20) -> bytes:
-    """A document's bytes before its first spectrum."""
+    """A document's bytes before its first spectrum; more than ``most`` are an error."""
     with open(path, "rb") as f:
-        data = f.read(1 << 20)
-        while not _OPEN.search(data) and len(data) < most and (more := f.read(1 << 20)):
+        data, m = f.read(1 << 20), None
+        while not (m := _OPEN.search(data)) and (more := f.read(1 << 20)):
             data += more
-    m = _OPEN.search(data)
+            if len(data) > most:
+                raise model.MzmlError(f"{path}: no spectrum within the first {most} bytes")
     return data[: m.start()] if m else data
 
 
@@ -143,7 +154,7 @@ def elements(path: str, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
         f.seek(lo)
         data, base = b"", lo
         while True:
-            more = f.read(4 << 20)
+            more = f.read(min(4 << 20, max(1 << 16, hi - lo)))
             data += more
             at = 0
             for m in SPECTRUM.finditer(data):
@@ -160,6 +171,46 @@ def elements(path: str, lo: int, hi: int) -> Iterator[tuple[int, bytes]]:
             data, base = data[keep:], base + keep
 
 
+def index_of(path: str) -> dict[str, list[tuple[str, int]]]:
+    """A document's index: (id, offset) by list name; empty if there is none."""
+    size = os.path.getsize(path)
+    with open(path, "rb") as f:
+        f.seek(max(0, size - (1 << 16)))
+        m = re.search(rb"<indexListOffset>\s*(\d+)\s*<", f.read())
+        if not m or int(m[1]) >= size:
+            return {}
+        f.seek(int(m[1]))
+        data = f.read()
+    return {k[1].decode(): [(o[1].decode(), int(o[2])) for o in re.finditer(rb'<offset\s+idRef="([^"]*)"[^>]*>\s*(\d+)\s*</offset>', k[2])] for k in re.finditer(rb'<index\s+name="([^"]*)"\s*>(.*?)</index>', data, re.S)}
+
+
+def _index_at(path: str, offset: int) -> int | None:
+    """The index attribute of the spectrum that begins at an offset; None if none begins there."""
+    with open(path, "rb") as f:
+        f.seek(offset)
+        m = re.match(rb"<spectrum\s[^>]*?\bindex=\"(\d+)\"", f.read(4096))
+    return int(m[1]) if m else None
+
+
+def seek(path: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The bytes of the spectra with indices lo to hi by the document's own index; None if that cannot be trusted.
+
+    It is trusted if its offsets ascend and the first and the last of the range lead to spectra of those indices.
+    """
+    offsets = [o for _, o in index_of(path).get("spectrum", [])]
+    if not offsets or offsets != sorted(offsets):
+        return None
+    lo, hi = max(lo, 0), min(hi, len(offsets) - 1)
+    if lo > hi:
+        return 0, 0
+    if _index_at(path, offsets[lo]) != lo or _index_at(path, offsets[hi]) != hi or _index_at(path, offsets[-1]) != len(offsets) - 1:
+        return None
+    return offsets[lo], offsets[hi] + 1  # elements that begin within
+
+
+_TESTS = {EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v, LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v}
+
+
 @dataclass
 class Piece(InputPartition):
     path: str
@@ -169,50 +220,161 @@ class Piece(InputPartition):
 
 class MzmlReader(DataSourceReader):
     def __init__(self, options: dict, schema):
-        self.files = files_of(options["path"].split(";"))
+        self.options, self.schema = dict(options), schema
         self.mode = options.get("mode", "profile")
         self.most = int(options["max_spectra"]) if "max_spectra" in options else None
         self.block = int(options.get("block", BLOCK))
-        self.columns = [f.name for f in schema.fields]
-        self.types = {f.name: f.dataType for f in schema.fields}
+        self.window = tuple(float(options.get(k, d)) for k, d in (("mz_lo", -np.inf), ("mz_hi", np.inf)))
+        self.tests: list[tuple[str, type, object]] = [(c, kind, int(options[k])) for k, c, kind in (("scan_lo", "scan_number", GreaterThanOrEqual), ("scan_hi", "scan_number", LessThanOrEqual), ("ms_level", "ms_level", EqualTo)) if k in options]
+
+    def wanted(self) -> tuple[int, float]:
+        """The least and greatest scan numbers that the filters let pass."""
+        lo, hi = 0, np.inf
+        for column, kind, v in self.tests:
+            if column == "scan_number":
+                some = list(v) if kind is In else [v]
+                if kind in (EqualTo, In, GreaterThan, GreaterThanOrEqual):
+                    lo = max(lo, min(some) + (kind is GreaterThan))
+                if kind in (EqualTo, In, LessThan, LessThanOrEqual):
+                    hi = min(hi, max(some) - (kind is LessThan))
+        return lo, hi
+
+    def passes(self, r: dict) -> bool:
+        return all(r[c] is not None and _TESTS[kind](r[c], v) for c, kind, v in self.tests)
+
+    def pieces_of(self, path: str) -> list[Piece]:
+        if any(c == "file" and not _TESTS[kind](path, v) for c, kind, v in self.tests):
+            return []
+        begin, end = 0, os.path.getsize(path)
+        step = end + 1 if self.most is not None else self.block
+        lo, hi = self.wanted()
+        if self.most is None and (lo > 0 or hi < np.inf):
+            begin, end = seek(path, lo, int(min(hi, 1 << 62))) or (begin, end)
+        return [Piece(path, at, min(at + step, end)) for at in range(begin, end, step)]
 
     def partitions(self):
-        out = []
-        for path in self.files:
-            size = os.path.getsize(path)
-            step = size + 1 if self.most is not None else self.block
-            out += [Piece(path, lo, min(lo + step, size)) for lo in range(0, max(size, 1), step)]
-        return out
+        out = [p for path in files_of(self.options["path"].split(";")) for p in self.pieces_of(path)]
+        return out or [Piece("", 0, 0)]
 
-    def read(self, piece: Piece):
+    def rows(self, piece: Piece) -> Iterator[dict]:
+        """The records of a piece that pass; arrays are decoded for those alone, and not at all if no column needs them."""
         groups = param_groups(head_of(piece.path))
-        seen = 0
+        decoded = self.mode == "profile" or {"mz", "intensity"} & set(self.schema.names)
+        seen, (lo, hi) = 0, self.window
         for start, raw in elements(piece.path, piece.lo, piece.hi):
             if self.most is not None and seen >= self.most:
                 return
             try:
-                r = record(raw, groups, piece.path, start)
-            except ET.ParseError as e:
-                raise model.MzmlError(f"{piece.path}: spectrum at byte {start} is not well formed: {e}") from e
-            empty = r["mz"] is None or not len(r["mz"]) or r["intensity"] is None
+                e = ET.fromstring(raw)
+            except ET.ParseError as error:
+                raise model.MzmlError(f"{piece.path}: spectrum at byte {start} is not well formed: {error}") from error
+            r = described(e, groups, piece.path, start, len(raw))
+            passed = self.passes(r)
+            if not passed and self.most is None:
+                continue
+            if decoded:
+                arrays = arrays_of(e, groups)
+                r["mz"], r["intensity"] = arrays.get(MZ), arrays.get(INTENSITY)
             if self.mode == "profile":
-                if empty:
+                if r["mz"] is None or not len(r["mz"]) or r["intensity"] is None:
                     continue
                 if r["mode"] == "centroid":
                     raise model.NotProfileError(f"{piece.path}: spectrum {r['native_id']} is centroided")
             seen += 1
-            r["mz"] = [] if r["mz"] is None else r["mz"].tolist()
-            r["intensity"] = [] if r["intensity"] is None else r["intensity"].astype(np.float32).tolist()
-            r["precursor"] = tuple(r["precursor"].values()) if r["precursor"] else None
-            r["scan_windows"] = [tuple(w.values()) for w in r["scan_windows"]]
-            yield tuple(r[c] for c in self.columns)
+            if not passed:
+                continue
+            mz, y = (np.zeros(0) if r[c] is None else r[c] for c in ("mz", "intensity"))
+            if (lo > -np.inf or hi < np.inf) and len(mz) == len(y):
+                keep = (mz >= lo) & (mz <= hi)
+                mz, y = mz[keep], y[keep]
+            r["mz"], r["intensity"] = mz, y.astype(np.float32)
+            yield r
+
+    def read(self, piece: Piece):
+        import pyarrow as pa
+
+        target = to_arrow_schema(self.schema)
+        held: list[dict] = []
+        size = 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([_column([r[f.name] for r in held], f.type) for f in target], schema=target)
+
+        for r in self.rows(piece) if piece.path else ():
+            held.append(r)
+            size += 12 * len(r["mz"]) + 200
+            if size > 4 << 20:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
+
+
+def _column(values: list, kind):
+    """An Arrow column; lists of numbers are taken from numpy without a detour."""
+    import pyarrow as pa
+
+    if pa.types.is_list(kind) and pa.types.is_floating(kind.value_type):
+        offsets = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values), kind.value_type), type=kind)
+    return pa.array(values, kind)
+
+
+class MzmlFilterReader(MzmlReader):
+    """Takes filters on what a spectrum tells besides its arrays; a range of scan numbers is sought by a document's own index."""
+
+    def pushFilters(self, filters: list[Filter]):
+        simple = {"file", "scan_number", "ms_level", "retention_time_min", "native_id", "mode", "injection_time"} & set(self.schema.names)
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column in simple and type(f) in _TESTS:
+                self.tests.append((column, type(f), f.value))
+            if not (column in simple and (type(f) in _TESTS or isinstance(f, IsNotNull) and any(c == column for c, *_ in self.tests))):
+                yield f
+
+
+class MzmlStreamReader(MzmlReader, DataSourceStreamReader):
+    """Documents as they arrive in folders. The offset is the change time and the path of the last document taken.
+
+    A document counts as arrived once it has not changed for ``settle`` seconds (1), so that no other can
+    appear before an offset already taken; it must not change after. Documents are split by bytes as in a batch.
+    """
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0, "path": ""}
+
+    def _arrived(self) -> list[tuple[int, str]]:
+        import time
+
+        until = time.time_ns() - int(1e9 * float(self.options.get("settle", 1)))
+        out = []
+        for p in self.options["path"].split(";"):
+            for name in glob.glob(os.path.join(p, "*.mzML")) if os.path.isdir(p) else glob.glob(p):
+                if (changed := os.stat(name).st_ctime_ns) <= until:
+                    out.append((changed, name))
+        return sorted(out)
+
+    def latestOffset(self) -> dict:
+        found = self._arrived()
+        return {"changed": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict):
+        lo, hi = ((o["changed"], o["path"]) for o in (start, end))
+        return [p for x in self._arrived() if lo < x <= hi for p in self.pieces_of(x[1])] or [Piece("", 0, 0)]
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for offsets that are done."""
 
 
 class Mzml(DataSource):
-    """format("mzml"): options path (";" between), mode (profile or any), max_spectra (a file), block (bytes a task).
+    """format("mzml"): options path (";" between), mode (profile or any), max_spectra (a file), block (bytes a task), scan_lo and scan_hi (scan numbers
+    within, sought by a document's index), ms_level, mz_lo and mz_hi (points within).
 
     Large files are split by bytes, a task reading the elements that begin in its range. In mode ``profile`` spectra that are
-    empty or cannot be decoded are skipped and centroided ones are an error; ``any`` keeps all.
+    empty or cannot be decoded are skipped and centroided ones are an error; ``any`` keeps all. A schema of fewer columns reads only
+    these, without arrays if it names none (and the mode is ``any``). With option ``pushdown`` a frame's filters reach the reader, if
+    spark.sql.python.filterPushdown.enabled is set; such a frame is good for one query, as Spark 4.1 keeps what a query pushed
+    for the next query on the same frame. The same format is read as a stream of arriving documents.
     """
 
     @classmethod
@@ -223,14 +385,36 @@ class Mzml(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return MzmlReader(self.options, schema)
+        kind = MzmlFilterReader if self.options.get("pushdown", "false") == "true" else MzmlReader
+        return kind(self.options, schema)
+
+    def streamReader(self, schema):
+        return MzmlStreamReader(self.options, schema)
 
 
-def read(spark: SparkSession, paths, mode: str = "profile", max_spectra: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Spectra of mzML files (paths or globs on storage that all executors mount)."""
+def read(spark: SparkSession, paths, mode: str = "profile", max_spectra: int | None = None, block: int = BLOCK, columns: list[str] | None = None, scans: tuple[int, int] | None = None, ms_level: int | None = None, window: tuple[float, float] | None = None) -> DataFrame:
+    """Spectra of mzML files (paths or globs on storage that all executors mount).
+
+    ``columns`` reads those alone, ``scans`` a range of scan numbers (both ends included; only their bytes, where a document has an index),
+    ``ms_level`` spectra of that level, ``window`` the points of a range of m/z.
+    """
     spark.dataSource.register(Mzml)
     r = spark.read.format("mzml").option("path", ";".join(files_of(paths))).option("mode", mode).option("block", block)
-    return (r.option("max_spectra", max_spectra) if max_spectra is not None else r).load()
+    lo, hi = scans or (None, None)
+    for name, value in (("max_spectra", max_spectra), ("scan_lo", lo), ("scan_hi", hi), ("ms_level", ms_level), *zip(("mz_lo", "mz_hi"), window or (), strict=False)):
+        r = r if value is None else r.option(name, value)
+    if columns:
+        from pyspark.sql.types import StructType
+
+        whole = StructType.fromDDL(SCHEMA)
+        r = r.schema(StructType([whole[c] for c in columns]))
+    return r.load()
+
+
+def arriving(spark: SparkSession, folder: str, mode: str = "profile", settle: float = 1.0) -> DataFrame:
+    """A stream of the spectra of mzML files that arrive in a folder."""
+    spark.dataSource.register(Mzml)
+    return spark.readStream.format("mzml").option("path", folder).option("mode", mode).option("settle", settle).load()
 
 
 def first(spark: SparkSession, paths, n: int) -> DataFrame:
@@ -238,8 +422,9 @@ def first(spark: SparkSession, paths, n: int) -> DataFrame:
     return read(spark, paths, max_spectra=n)
 
 
-def by_index(spectra: DataFrame, index: int) -> DataFrame:
-    return spectra.where(F.col("scan_number") == index)
+def by_index(spark: SparkSession, paths, index: int, mode: str = "profile") -> DataFrame:
+    """The spectrum of an index of each file, read without the rest of the file where it has an index."""
+    return read(spark, paths, mode, scans=(index, index))
 
 
 def count_hint(path: str) -> int | None:

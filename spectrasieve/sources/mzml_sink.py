@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import shutil
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import quoteattr
@@ -134,37 +135,129 @@ def copy(source: str, target: str) -> None:
     shutil.copyfile(source, target)
 
 
-def write_centroided(centroided: DataFrame, folder: str | None = None, keep_empty: bool = True) -> DataFrame:
-    """Write (file, scan_number, centroids) back over each source document; (file, target, spectra) of what was written.
+_MANIFEST = "file string, piece long, path string, spectra long, first long, last long"
 
-    Files are written in parallel; a file's rows meet in one task, which stitches the document in order: its offsets and checksum
-    allow no other. Spectra without a row are written empty, so their number stays, unless ``keep_empty`` is off.
-    """
-    rows = centroided.select("file", F.col("scan_number").cast("long"), F.col("centroids"))
 
-    def stitch(table):
-        import pyarrow as pa
+def write_centroided(centroided: DataFrame, folder: str | None = None, keep_empty: bool = True, block: int = mzml.BLOCK, files: list[str] | None = None) -> DataFrame:
+    """Write (file, scan_number, centroids and, if there, start) back over each source document; (file, target, spectra) of what was written.
 
-        source = table.column("file")[0].as_py()
-        of = {k: c for k, c in zip(table.column("scan_number").to_pylist(), table.column("centroids"), strict=True)}
-        groups = mzml.param_groups(mzml.head_of(source))
+    Tasks rewrite ranges of ``block`` bytes of a document side by side, each with the centroids of the spectra that begin there,
+    into files beside the target; then a task a document only strings them together, counts offsets, hashes and looks for null bytes, and renames
+    the whole to its target. So no task holds a document, and one that fails leaves no target. Spectra without
+    a row are written empty, so their number stays, unless ``keep_empty`` is off. ``files`` names the documents (else those that have rows).
+    This runs at once; a row a document reaches the driver.
+    """
+    spark = centroided.sparkSession
+    files = files or [r.file for r in centroided.select("file").distinct().collect()]
+    work = f".parts-{uuid.uuid4().hex}"
+    rows = centroided.select("file", F.col("scan_number").cast("long"), "centroids", *["start"] * ("start" in centroided.columns))
+    if "start" not in rows.columns and files:
+        rows = rows.join(mzml.read(spark, files, "any", columns=["file", "scan_number", "start"]), ["file", "scan_number"])
+    rows = rows.select("file", F.floor(F.col("start") / block).cast("long").alias("piece"), "scan_number", "centroids")
+    ranges = [(f, k) for f in files for k in range(-(-os.path.getsize(f) // block))]
+    every = spark.createDataFrame(ranges, "file string, piece long").select("file", "piece", F.lit(None).cast("long").alias("scan_number"), F.lit(None).cast(dict(rows.dtypes)["centroids"]).alias("centroids"))
 
-        def replace(number, raw):
+    def stitch(table):
+        return _rewritten(table, work, folder, keep_empty, block)
+
+    made = rows.unionByName(every).groupBy("file", "piece").applyInArrow(stitch, _MANIFEST)
+    try:
+        out = made.groupBy("file").applyInArrow(lambda table: _strung(table, folder, keep_empty), "file string, target string, spectra long").collect()
+    finally:
+        for f in files:
+            shutil.rmtree(_work(f, folder, work), ignore_errors=True)
+    return spark.createDataFrame(out, "file string, target string, spectra long")
+
+
+def _work(source: str, folder: str | None, name: str) -> str:
+    return os.path.join(os.path.dirname(output_name(source, folder)), name + os.path.basename(source))
+
+
+def _rewritten(table, work: str, folder: str | None, keep_empty: bool, block: int):
+    """The manifest row of a range: its spectra rewritten into a file, with the bytes between them, and their ids and offsets in another."""
+    import pyarrow as pa
+
+    source, piece = table.column("file")[0].as_py(), table.column("piece")[0].as_py()
+    of = {k: c for k, c in zip(table.column("scan_number").to_pylist(), table.column("centroids"), strict=True) if k is not None}
+    groups = mzml.param_groups(mzml.head_of(source))
+    os.makedirs(at := _work(source, folder, work), exist_ok=True)
+    path = os.path.join(at, f"{piece}-{uuid.uuid4().hex}")  # a task that runs again writes another file
+    first, last, n, place = -1, -1, 0, 0
+    with open(source, "rb") as f, open(path, "wb") as out, open(path + ".ids", "w") as ids:
+        for start, raw in mzml.elements(source, piece * block, (piece + 1) * block):
+            if first < 0:
+                first = start
+            else:
+                f.seek(last)
+                place += out.write(f.read(start - last))
             m = re.search(rb'\bindex="(\d+)"', raw[: raw.index(b">")])
-            c = of.get(int(m[1]) if m else number)
+            c = of.get(int(m[1])) if m else None
             c = c.values if c is not None and c.is_valid else None
             mz, y = (c.field(i).to_numpy() if c is not None else np.zeros(0) for i in (0, 1))
-            return None if not len(mz) and not keep_empty else rewrite(raw, mz, y, groups)
-
-        target = output_name(source, folder)
-        n = passthrough(source, target, replace)
+            if len(mz) or keep_empty:
+                new = rewrite(raw, mz, y, groups)
+                ids.write(f"{place}\t{_native_id(new)}\n")
+                place += out.write(new)
+                n += 1
+            last = start + len(raw)
+        if first >= 0:
+            out.write(_until_next(f, last))
+    return pa.table({"file": [source], "piece": pa.array([piece], pa.int64()), "path": [path], "spectra": pa.array([n], pa.int64()), "first": pa.array([first], pa.int64()), "last": pa.array([last], pa.int64())})
+
+
+def _until_next(f, at: int) -> bytes:
+    """The bytes from ``at`` to the next spectrum; none if no other follows."""
+    f.seek(at)
+    data = b""
+    while more := f.read(1 << 16):
+        data += more
+        m = re.search(rb"<spectrum\s|</spectrumList", data)
+        if m:
+            return data[: m.start()] if m[0][:2] == b"<s" else b""
+    return b""
+
+
+def _strung(table, folder: str | None, keep_empty: bool):
+    """A document of its rewritten ranges: (file, target, spectra)."""
+    import pyarrow as pa
+
+    from spectrasieve import model
+    from spectrasieve.operators import verify
+
+    parts = sorted((r for r in table.to_pylist() if r["first"] >= 0), key=lambda r: r["piece"])
+    source = table.column("file")[0].as_py()
+    target, total = output_name(source, folder), sum(r["spectra"] for r in parts)
+    half, number = f"{target}.{uuid.uuid4().hex}.part", 0
+    with open(source, "rb") as f, open(half, "wb") as out:
+        w = IndexedWriter(out)
+        head = f.read(parts[0]["first"]) if parts else f.read()
         if not keep_empty:
-            from spectrasieve.operators import repair
-
-            repair.renumber_file(target)
-        return pa.table({"file": [source], "target": [target], "spectra": pa.array([n], pa.int64())})
-
-    return rows.groupBy("file").applyInArrow(stitch, "file string, target string, spectra long")
+            head = re.sub(rb'(<spectrumList\s[^>]*?\bcount=)"\d+"', rb'\1"%d"' % total, head, count=1)
+        if parts:
+            w.write(head)
+        for r in parts:
+            with open(r["path"] + ".ids") as ids:
+                entries = [line.rstrip("\n").split("\t", 1) for line in ids]
+            edges = [int(o) for o, _ in entries] + [os.path.getsize(r["path"])]
+            with open(r["path"], "rb") as part:
+                w.write(part.read(edges[0]))
+                for (_, native), lo, hi in zip(entries, edges, edges[1:], strict=False):
+                    raw = part.read(hi - lo)
+                    if not keep_empty:
+                        raw = re.sub(rb'(<spectrum\b[^>]*?\bindex=)"\d*"', rb'\1"%d"' % number, raw, count=1)
+                    w.spectrum(raw, native)
+                    number += 1
+        f.seek(parts[-1]["last"] if parts else 0)
+        tail = f.read()
+        m = re.search(rb"<indexList\b|</indexedmzML>", tail) if mzml.sniff(source)["indexed"] else None
+        w.write(tail[: m.start()] if m else tail)
+        if m:
+            w.finish()
+    if bad := verify.null_runs(half):
+        os.remove(half)
+        raise model.MzmlError(f"{target}: {bad[0][1]} null bytes at byte {bad[0][0]}")
+    os.replace(half, target)
+    return pa.table({"file": [source], "target": [target], "spectra": pa.array([total], pa.int64())})
 
 
 _HEAD = """<?xml version="1.0" encoding="UTF-8"?>

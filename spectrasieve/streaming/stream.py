@@ -21,24 +21,26 @@ def centroid_all(spark: SparkSession, source: str, target: str, state: str, conf
     """
     schema = spark.read.parquet(source).schema
     made = centroid_stream(spark.readStream.schema(schema).parquet(source), config, sigma, spacing, keys, **kw)
-    query = made.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+    drain(made, target, state)
     return centroid.rows(spark.read.parquet(target))
 
 
-def landing(spark: SparkSession, folder: str, target: str, state: str, config: model.Config | None = None):
-    """Start a query over a landing folder of mzML files: each arriving file is calibrated by its own first spectra, then centroided.
+def drain(frame: DataFrame, target: str, state: str) -> None:
+    """Write what has arrived on a stream since the last call to a parquet table. Offsets live in ``state``."""
+    frame.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-    Calibration belongs to a file, so a batch's files are handled one after the other inside foreachBatch.
+
+def landing(spark: SparkSession, folder: str, target: str, state: str, config: model.Config | None = None, settle: float = 1.0):
+    """Start a query over a landing folder of mzML files: the spectra of all that have arrived are one job, each file's by its own calibration.
+
+    A file's spectra are all in one batch. A batch is written to a folder of its number, so one that runs again replaces it.
     """
     config = config or model.Config()
 
-    def batch(names: DataFrame, number: int) -> None:
-        for r in names.select("path").distinct().toLocalIterator():
-            path = r.path.removeprefix("file://").removeprefix("file:")
-            cal = calibrate.calibrate(mzml.first(spark, path, config.n_calibration_spectra), config)
-            found = centroid.centroid(mzml.read(spark, path), config, (cal["sigma_ms1"], cal["sigma_ms2"]), (cal["grid_spacing_ms1"], cal["grid_spacing_ms2"]), ("file", "scan_number"))
-            found.write.mode("append").parquet(target)
+    def batch(spectra: DataFrame, number: int) -> None:
+        spectra.persist()
+        cal = calibrate.calibrate_files(spectra, config)
+        centroid.centroid_files(spectra, cal, config).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spectra.unpersist()
 
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.mzML").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
-    return files.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+    return mzml.arriving(spark, folder, settle=settle).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
