@@ -499,6 +499,18 @@ def calibration(spark, sf_dir, view):
     return spark.createDataFrame([tuple(round(x, 9) for x in got.values())], ", ".join(f"{k} {'long' if k[0] == 'n' else 'double'}" for k in got))
 
 
+@query(f"""WITH {ENVELOPE}, fst AS (SELECT spectrum_id, spectrum_id // 100 AS part FROM (SELECT DISTINCT spectrum_id FROM p) QUALIFY row_number() OVER (PARTITION BY spectrum_id // 100 ORDER BY spectrum_id) <= {model.Config().n_calibration_spectra}),
+it AS (SELECT part, sigma FROM fst LEFT JOIN iso USING (spectrum_id)), md AS (SELECT part, count(sigma) AS found, list_sort(list(sigma) FILTER (WHERE sigma IS NOT NULL))[count(sigma) // 2 + 1] AS median FROM it GROUP BY part),
+dv AS (SELECT part, found, median, list_sort(list(abs(sigma - median)) FILTER (WHERE sigma IS NOT NULL))[count(sigma) // 2 + 1] AS mad FROM it JOIN md USING (part) GROUP BY ALL)
+SELECT part, {model.FALLBACK_SIGMA}::DOUBLE AS sigma_ms1, CAST(0 AS BIGINT) AS n_peaks_ms1, CASE WHEN found < 5 THEN {model.FALLBACK_SIGMA}::DOUBLE ELSE round(avg(sigma) FILTER (WHERE abs(sigma - median) <= 2 * greatest(mad, 0.01 * median)), 9) END AS sigma_ms2, 0.125::DOUBLE AS grid_spacing_ms2,
+  CASE WHEN found < 5 THEN found ELSE count(*) FILTER (WHERE abs(sigma - median) <= 2 * greatest(mad, 0.01 * median)) END AS n_peaks_ms2 FROM it JOIN dv USING (part) GROUP BY part, found""", **EMB)
+def calibration_parts(spark, sf_dir, view):
+    """The calibration of each hundred of consecutive spectra, as of a file each."""
+    s = views.spectra(spark, sf_dir, view).withColumn("part", F.floor(F.col("spectrum_id") / 100))
+    got = calibrate.calibrate_files(s, key="part", order="spectrum_id")
+    return got.select("part", "sigma_ms1", "n_peaks_ms1", F.round("sigma_ms2", 9).alias("sigma_ms2"), F.round("grid_spacing_ms2", 9).alias("grid_spacing_ms2"), "n_peaks_ms2")
+
+
 @query(f"WITH {REGIONS}, c AS (SELECT spectrum_id, count(*) AS n_regions FROM r GROUP BY 1) SELECT spectrum_id, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_regions, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_lasso, 0.34::DOUBLE AS sigma_used, round(3 * noise_sigma, 6) AS lambda_rough FROM z LEFT JOIN c USING (spectrum_id) WHERE n >= 3", **TWO)
 def spectrum_stats_rough(spark, sf_dir, view):
     """What the kernel tells of its first pass."""

@@ -187,19 +187,18 @@ def mzml_seek(spark, sf_dir):
     return got.select("spectrum_id", F.col("scan_number").cast("long"), F.size("mz").alias("n"), F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")).withColumn("total", F.round("total", 3))
 
 
-@query("SELECT vec_id AS spectrum_id, 2 AS ms_level, CAST(vec_id AS DOUBLE) / 60 AS retention_time_min, 'ITMS + p NSI t Full ms2' AS filter_string, 'profile' AS mode FROM embeddings WHERE vec_id IS NOT NULL AND vec_id % 7 <> 3")
+@query("SELECT vec_id AS spectrum_id, 2 AS ms_level, CAST(vec_id AS DOUBLE) / 60 AS retention_time_min, 'ITMS + p NSI t Full ms2' AS filter_string, 'profile' AS mode FROM embeddings WHERE vec_id IS NOT NULL")
 def mzml_headers(spark, sf_dir):
-    """What spectra tell besides their arrays, read without them."""
+    """What spectra tell besides their arrays, read without them, also of spectra without points."""
     folder = _documents(spark, sf_dir, "spectrum_id % 7 = 3")
     got = _key(mzml.read(spark, folder, mode="any", columns=["native_id", "ms_level", "retention_time_min", "filter_string", "mode"]))
-    return got.where("spectrum_id % 7 <> 3").select("spectrum_id", "ms_level", "retention_time_min", "filter_string", "mode")
+    return got.select("spectrum_id", "ms_level", "retention_time_min", "filter_string", "mode")
 
 
-@query("SELECT vec_id AS spectrum_id FROM embeddings WHERE vec_id IS NOT NULL AND vec_id % 7 <> 3 AND vec_id % 500 < 40")
+@query(f"WITH {PARTS} SELECT vec_id AS spectrum_id FROM sp WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 40")
 def mzml_first(spark, sf_dir):
-    """The first spectra with points of each document that has them."""
-    got = _key(mzml.first(spark, _documents(spark, sf_dir, "spectrum_id % 7 = 3"), 40))
-    return got.where("spectrum_id % 500 < 40").select("spectrum_id")
+    """The first 40 spectra with points of each document."""
+    return _key(mzml.first(spark, _documents(spark, sf_dir, "spectrum_id % 7 = 3"), 40)).select("spectrum_id")
 
 
 @query(f"WITH {views.points_sql('emb')} SELECT spectrum_id, CAST(count(*) AS INTEGER) AS n, round(sum(intensity), 3) AS total FROM p GROUP BY 1")
