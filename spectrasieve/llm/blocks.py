@@ -106,14 +106,20 @@ def units(blocks: DataFrame) -> DataFrame:
 
 
 def compose(blocks: DataFrame, table: DataFrame, prepare: Callable, each: Callable, schema: str, owner: str = "") -> DataFrame:
-    """One row of ``schema`` per document, composed of rows of ``table`` (unit and other columns; every unit once) by position.
+    """One row of ``schema`` per document, composed of rows of ``table`` (unit and other columns; every unit once) by position."""
+    columns = [c for c in table.columns if c != "unit"]
+    return assemble(blocks, units(blocks).join(table, "unit").select("block", "at", *columns), prepare, each, schema, owner)
 
-    ``prepare(batch)`` turns the rows of a block's units, an Arrow table in order of their numbers, into what
-    ``each(prepared, doc_id, codes)`` takes to return a row. A task holds the units of one block at a time.
+
+def assemble(blocks: DataFrame, found: DataFrame, prepare: Callable, each: Callable, schema: str, owner: str = "") -> DataFrame:
+    """One row of ``schema`` per document, of what ``found`` (block, at and other columns) holds for its block.
+
+    ``prepare(table)`` turns a block's rows of ``found``, an Arrow table in order of ``at``, into what
+    ``each(prepared, doc_id, codes)`` takes to return a row. A task holds the rows of one block at a time.
     """
-    columns, target = [c for c in table.columns if c != "unit"], to_arrow_schema(StructType.fromDDL(schema))
-    kinds = dict(table.dtypes)
-    found = units(blocks).join(table, "unit").select("block", "at", *columns, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"))
+    columns, target = [c for c in found.columns if c not in ("block", "at")], to_arrow_schema(StructType.fromDDL(schema))
+    kinds = dict(found.dtypes)
+    found = found.select("block", "at", *columns, F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("codes"))
     docs = blocks.where("unit is null").select("block", F.lit(None).cast("long").alias("at"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns], "doc_id", "n", "codes")
     rows = found.unionByName(docs).repartition("block").sortWithinPartitions("block", F.col("at").asc_nulls_last())
 

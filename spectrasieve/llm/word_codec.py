@@ -1,66 +1,91 @@
-"""Encoding and decoding through a table of distinct words."""
+"""Encoding and decoding through distinct words."""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import bpe, common, hashing
+from spectrasieve.llm import blocks, bpe, common
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 # White space that every tokenizer here drops and never looks across. Other white space
 # stays inside a word, where the tokenizer itself treats it.
 _SPACES = str.maketrans("\t\n\r\f\v", "     ")
-_SPACE = hashing.spaces(b" \t\n\r\f\v")
 
 
 def _words(text: str) -> list[str]:
-    return text.translate(_SPACES).split(" ")
+    return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
-def distinct_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, hash, times): every distinct word of all texts and how many sets of words, each of a part of a task, hold it."""
+def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
+    """(block, at, ids) of blocks.units: every distinct word encoded once, its ids packed for the blocks that hold it.
+
+    The rows of a word meet in one place, one after the other, so it is encoded with the first of them and its ids go to all. ``counter``
+    (an accumulator) counts encoded words. A row holds many words of a block, see :func:`_pack`.
+    """
 
     def task(batches):
         import pyarrow as pa
 
-        seen: set[str] = set()
+        tok = bpe.load(tokenizer)
+        last, last_ids = None, np.zeros(0, np.uint32)
+        held: list[tuple] = []
+        size = 0
 
         def rows():
-            seen.discard("")
-            words = pa.array(seen, pa.string())
-            seen.clear()
-            h = hashing.word_hashes(*hashing.raw(words), _SPACE)[0].view(np.int64)
-            return pa.RecordBatch.from_arrays([words, pa.array(h)], ["word", "hash"])
+            block, at, n, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(block, kind="stable")
+            ends = np.cumsum(n)
+            ids = ids[np.arange(len(ids)) + np.repeat((ends - n)[order] - (np.cumsum(n[order]) - n[order]), n[order])]
+            block, at, n = block[order], at[order], n[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            to = np.concatenate([[0], np.cumsum(n)])[cuts]
+            blobs = [_pack(at[i:j], n[i:j], ids[k:m]) for i, j, k, m in zip(cuts, cuts[1:], to, to[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(at[cuts[:-1]]), pa.array(blobs, pa.binary())], ["block", "at", "ids"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(_words(t))
-            if len(seen) > 150_000:
+            if not len(b):
+                continue
+            coded = b.column("unit").dictionary_encode()
+            words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            known = words[0] == last
+            made = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(words[known:], add_special_tokens=False)]
+            if counter is not None:
+                counter.add(len(made))
+            made = [last_ids, *made] if known else made
+            last, last_ids = words[-1], made[-1]
+            n = np.fromiter(map(len, made), np.int64, len(made))
+            flat, begin = np.concatenate(made), np.cumsum(n) - n
+            n, begin = n[place], begin[place]
+            held.append((b.column("block").to_numpy(), b.column("at").to_numpy(), n, flat[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]))
+            size += len(b)
+            if size > 500_000:
                 yield rows()
-        yield rows()
+                held, size = [], 0
+        if held:
+            yield rows()
 
-    return common.by_batch(docs.select(text_col), task, "word string, hash long").groupBy("word", "hash").agg(F.count("*").alias("times"))
+    together = units.select("unit", "block", "at").repartition("unit").sortWithinPartitions("unit")
+    return common.by_batch(together, task, "block long, at long, ids binary", bpe.owner(tokenizer))
 
 
-def word_table(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(hash, ids) of (word, hash): each word encoded once, ids as little-endian unsigned 32-bit."""
+def _pack(at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> bytes:
+    """Numbers of words, how many ids each has, and all ids; many of them compressed."""
+    order = np.argsort(at, kind="stable")  # words come by their letters; in order of numbers the steps are small
+    ends = np.cumsum(n)
+    ids = ids[np.arange(len(ids)) + np.repeat((ends - n)[order] - (np.cumsum(n[order]) - n[order]), n[order])]
+    parts = [blocks.pack(x) for x in (np.diff(at[order], prepend=0), n[order], ids)]
+    return np.array([len(at), len(ids), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
 
-    def task(batches):
-        import pyarrow as pa
-
-        tok = bpe.load(tokenizer)
-        for b in batches:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(b.column("word").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("hash"), pa.array(ids, pa.binary())], ["hash", "ids"])
 
-    return common.by_batch(words.select("word", "hash"), task, "hash long, ids binary", bpe.owner(tokenizer))
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    words, many, *sizes = np.frombuffer(data, "<u4", 5).tolist()
+    edges = np.cumsum([20, *sizes]).tolist()
+    step, n, ids = (blocks.unpack(data[i:j], k) for i, j, k in zip(edges, edges[1:], (words, words, many), strict=False))
+    return np.cumsum(step, dtype=np.int64), n.astype(np.int64), ids
 
 
 class _Pieces:
@@ -72,119 +97,50 @@ class _Pieces:
         self.start = np.cumsum(self.size) - self.size
         self.text = np.frombuffer(b"".join(text), np.uint8)
 
-    def rows(self, keys: list, ids: np.ndarray, edges: np.ndarray, full: bool):
-        """The result for rows whose ids are ids[edges[r]:edges[r + 1]]."""
-        import pyarrow as pa
+    def row(self, ids: np.ndarray, full: bool) -> tuple:
+        """What SCHEMA holds for a document's ids."""
+        n = self.size[ids]
+        ends = np.cumsum(n)
+        decoded = self.text[np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.start[ids] - ends + n, n)].tobytes()[:-1]
+        digests = (hashlib.sha256(x).hexdigest() for x in (ids.astype("<u4").tobytes(), decoded))
+        return len(ids), *digests, ids.astype(np.int32) if full else None, decoded.decode() if full else None
 
-        cols = [[] for _ in range(6)]
-        for r, key in enumerate(keys):
-            own = ids[edges[r] : edges[r + 1]]
-            n = self.size[own]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(own) else 0
-            decoded = self.text[np.arange(total) + np.repeat(self.start[own] - ends + n, n)].tobytes()[:-1]
-            cols[0].append(key)
-            cols[1].append(len(own))
-            cols[2].append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-            cols[3].append(hashlib.sha256(decoded).hexdigest())
-            cols[4].append(own.astype(np.int32) if full else None)
-            cols[5].append(decoded.decode() if full else None)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
+def _look_up(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each of a block's words begins in all their ids, how many it has, and the ids."""
+    at, n, ids = (np.concatenate(c) for c in zip(*map(_unpack, table.column("ids").to_pylist()), strict=True)) if len(table) else (np.zeros(0, np.int64),) * 3
+    begin, count = np.zeros((2, int(at.max(initial=-1)) + 1), np.int64)
+    begin[at], count[at] = np.cumsum(n) - n, n
+    return begin, count, ids
 
-def _packed(known: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted word hashes, the number of ids of each and all their ids, packed by tasks."""
 
-    def task(batches):
-        import pyarrow as pa
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, most: int = 1_000_000, counter=None) -> DataFrame:
+    """Ids of every whole text and their decoding, through distinct words.
 
-        for b in batches:
-            n = pc.binary_length(b.column("ids")).to_numpy().astype(np.int64) // 4
-            ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")
-            blobs = (b.column("hash").to_numpy().tobytes(), n.astype("<u4").tobytes(), ids.tobytes())
-            least = b.column("hash")[0].as_py() if len(b) else 0
-            yield pa.RecordBatch.from_arrays([pa.array([least]), *[pa.array([x], pa.binary()) for x in blobs]], ["least", "hash", "n", "ids"])
-
-    parts = max(1, rows // 200_000)
-    got = known.select("hash", "ids").repartitionByRange(parts, "hash").sortWithinPartitions("hash").mapInArrow(task, "least long, hash binary, n binary, ids binary").toArrow()
-    got = got.sort_by("least")
-    hashed, n, ids = (np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), t) for x in got.column(c))]) for c, t in (("hash", np.int64), ("n", "<u4"), ("ids", "<u4")))
-    # Signed order: the hashes are compared as signed numbers here and in the lookup.
-    return hashed, n.astype(np.min_scalar_type(n.max(initial=0))), ids.astype(np.min_scalar_type(ids.max(initial=0)))
-
-
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, table_bytes: int = 64 << 20) -> DataFrame:
-    """Ids of every whole text and their decoding, through a table of distinct words.
-
-    Words are split from all texts, made distinct and counted by the sets of words that hold them. Those of two sets or more are
-    encoded once and form the table, the most frequent ones up to ``table_bytes`` (by an estimate of 16 bytes and the word's length); it is broadcast, and ids are
-    looked up by position. A word that is not in the table, as it stands in one set alone or is rare, is encoded where it stands, once
-    in each half MB of text. Hashes of 64 bits stand for words; the few that two distinct words share are never looked up. So
-    nothing that grows reaches the driver, texts never move, and the result is that of encoding the whole text. Ids are decoded through the
-    id-to-piece relation.
+    Texts are split into words in blocks of documents (``most`` distinct words or little more each), where documents become sequences of the numbers of their words. Every
+    distinct word of all blocks is encoded once; its ids return to the blocks that hold it, by the number it has there, and documents
+    gather the ids by position. Ids are decoded by a look-up in the id-to-piece table, which is as small as the vocabulary. Neither texts nor anything
+    that grows reaches the driver; see :mod:`spectrasieve.llm.blocks`.
 
     A null or empty text has no ids and decodes to an empty text; a null id stays null;
     repeated rows give repeated results; other columns are ignored; an empty table gives
     no rows. ``full=False`` leaves the columns ids and decoded null and keeps the digests.
     """
-    spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    with common.scratch(spark):
-        counted = common.cut(distinct_words(d, "text"))
-        clashes = [r.hash for r in counted.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").limit(100_001).collect()]
-        if len(clashes) > 100_000:
-            raise ValueError("too many words share a hash")
-        # Words by powers of two of their count, the most frequent first, while their estimate fits.
-        rank, room, least = F.floor(F.log2("times")), table_bytes, 99
-        for r in sorted(counted.where("times > 1").groupBy(rank.alias("rank")).agg(F.sum(F.octet_length("word") + 16).alias("size")).collect(), reverse=True):
-            room -= r.size
-            if room < 0:
-                break
-            least = r.rank
-        known = common.cut(word_table(counted.where((F.col("times") > 1) & (rank >= least)), tokenizer))
-        packed = _packed(known, known.count())
-    slot = uuid.uuid4().hex
-    table = spark.sparkContext.broadcast((*packed, np.array(sorted(clashes), np.int64)))
-    del packed
-    owner = f"{bpe.owner(tokenizer)} {slot}"
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with common.scratch(docs.sparkSession):
+        made = common.keep(blocks.cut_blocks(d, lambda t: [_words(t)], most))
+    owner = f"pieces of {tokenizer}"
 
-    def task(batches):
+    def each(ready, doc_id, codes):
         held = common.held(owner)
         if not held:
-            word, count, ids, clash = table.value
             from tokenizers import Tokenizer
 
-            tok = Tokenizer.from_file(tokenizer)
-            tok.no_truncation()
-            tok.no_padding()
-            held["table"] = (word, (np.cumsum(count, dtype=np.int64) - count).astype(np.uint32), count, ids, clash, _Pieces({i: p for p, i in tok.get_vocab(with_added_tokens=True).items()}), tok)
-        word, begin, count, ids, clash, decode, tok = held["table"]
-        for b in batches:
-            for at, part in hashing.slices(b.column(1)):
-                buf, rows = hashing.raw(part)
-                h, starts, ends, edges = hashing.word_hashes(buf, rows, _SPACE)
-                h = h.view(np.int64)
-                w = np.searchsorted(word, h)
-                w[w == len(word)] = 0
-                there = (word[w] == h) & ~np.isin(h, clash) if len(word) else np.zeros(len(h), bool)
-                n, first = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-                n[there], first[there] = count[w[there]], begin[w[there]]
-                own = np.zeros(0, np.uint32)
-                if not there.all():
-                    rest = np.flatnonzero(~there)
-                    data = buf.tobytes()
-                    index: dict[bytes, int] = {}
-                    place = np.array([index.setdefault(data[i:j], len(index)) for i, j in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], np.int64)
-                    made = [e.ids for e in tok.encode_batch_fast([x.decode() for x in index], add_special_tokens=False)]
-                    size = np.fromiter(map(len, made), np.int64, len(made))
-                    own = np.fromiter((i for e in made for i in e), np.uint32)
-                    n[rest], first[rest] = size[place], (np.cumsum(size) - size)[place]
-                upto = np.concatenate([[0], np.cumsum(n)])
-                take = np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)
-                of = np.repeat(there, n)
-                out = np.empty(len(take), np.uint32)
-                out[of], out[~of] = ids[take[of]], own[take[~of]]
-                yield decode.rows(b.column(0).slice(at, len(part)).to_pylist(), out, upto[edges], full)
-
-    return common.by_batch(d, task, SCHEMA, owner)
+            held["pieces"] = _Pieces({i: p for p, i in Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).items()})
+        begin, count, ids = ready
+        n = count[codes]
+        ends = np.cumsum(n)
+        own = ids[np.arange(ends[-1] if len(n) else 0) + np.repeat(begin[codes] - ends + n, n)]
+        return doc_id, *held["pieces"].row(own, full)
+
+    return blocks.assemble(made, encoded_words(blocks.units(made), tokenizer, counter), _look_up, each, SCHEMA, owner)

@@ -36,7 +36,7 @@ def test_byte_encoder_equals_the_library(given_texts):
     assert [int(size[np.array(w, int)].sum()) for w in want] == [len(t.encode()) for t in given_texts]
 
 
-@pytest.mark.parametrize("kw", [{}, {"table_bytes": 100}, {"table_bytes": 0}])
+@pytest.mark.parametrize("kw", [{}, {"most": 3}])
 def test_word_codec(spark, odd, kw):
     tok = bpe.load(WORD)
     got = word_codec.encode_decode(odd, WORD, **kw).collect()
@@ -48,13 +48,16 @@ def test_word_codec(spark, odd, kw):
     assert word_codec.encode_decode(odd.limit(0), WORD, **kw).count() == 0
 
 
-def test_word_codec_never_looks_up_shared_hashes(spark, odd, monkeypatch):
-    """Words that share a hash are encoded where they stand."""
+@pytest.mark.parametrize("parts", [1, 50])
+def test_word_codec_encodes_each_distinct_word_once(spark, parts):
+    rows = [(i, f"common Words {i % 9} \t and\u00a0more{i} ideas end") for i in range(400)] + [(900, "long words " * 200_000)]
+    docs, counter = texts(spark, rows).repartition(parts), spark.sparkContext.accumulator(0)
     tok = bpe.load(WORD)
-    made = word_codec.distinct_words
-    monkeypatch.setattr(word_codec, "distinct_words", lambda *a: made(*a).withColumn("times", F.lit(2)).unionAll(spark.createDataFrame([(x, None, 2) for x in "pq"], "word string, hash long, times int").withColumn("hash", F.lit(int(word_codec.hashing.word_hashes(np.frombuffer(b"b", np.uint8), np.array([0, 1]), word_codec._SPACE)[0].view(np.int64)[0])))))
-    got = {r.doc_id: r.ids for r in word_codec.encode_decode(odd.where("doc_id = 101"), WORD).collect()}
-    assert got[101] == tok.encode("a  b", add_special_tokens=False).ids
+    got = {r.doc_id: (r.ids, r.decoded) for r in word_codec.encode_decode(docs, WORD, most=20, counter=counter).collect()}
+    for i, t in rows:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert got[i] == (ids, tok.decode(ids, skip_special_tokens=False))
+    assert counter.value == len({w for _, t in rows for w in re.split("[ \t]+", t) if w})
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
