@@ -7,6 +7,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark import TaskContext
@@ -124,7 +125,7 @@ def aligned_segments(segments: DataFrame, byte_path: str, piece_path: str) -> Da
             model = held["made"][1]
             held["sizes"] = size, [1 if model.is_byte(i) else len(model.id_to_piece(i).replace(_MARK, " ").encode()) for i in range(model.vocab_size())]
         tok, model = held["made"]
-        size_a, size_b = (np.array(s) for s in held["sizes"])
+        size_a, size_b = (s.__getitem__ for s in held["sizes"])
         space, number = model.piece_to_id(_MARK), TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), 2000):
@@ -136,7 +137,7 @@ def aligned_segments(segments: DataFrame, byte_path: str, piece_path: str) -> Da
                 b = [([space] if s == " " else ids) if s[0] == " " else ids[1:] for s, ids in zip(names, b, strict=True)]
                 cols = [[] for _ in range(4)]
                 for name, x, y in zip(names, a, b, strict=True):
-                    ends_x, ends_y = np.cumsum(size_a[x]).tolist(), np.cumsum(size_b[y]).tolist()
+                    ends_x, ends_y = list(accumulate(map(size_a, x))), list(accumulate(map(size_b, y)))
                     if not x or not y or not ends_x[-1] == ends_y[-1] == len(name.encode()):
                         raise ValueError(f"tokens do not give {name[:100]!r} back")
                     text, pairs = align(x, y, ends_x, ends_y)
@@ -181,15 +182,19 @@ def _payload(segments: DataFrame) -> DataFrame:
 
 def _prepare(table):
     """The numbers of a block's segments (n_a, n_b, n_groups, n_links, n_best, count_sum) and their groups."""
-    groups, numbers = [], []
-    for data in table.column("payload").to_pylist():
-        text = data[:-_TAIL_BYTES]
-        n_a, n_best, count_sum = struct.unpack(_TAIL, data[-_TAIL_BYTES:])
-        n_groups = text.count(b"|")
-        tokens = text.count(b",") + 2 * n_groups
-        groups.append(text)
-        numbers.append((n_a, tokens - n_a, n_groups, tokens - n_groups, n_best, count_sum))
-    return np.array(numbers, np.int64).reshape(-1, 6), groups
+    begin, size, values = blocks.spread(table.column("entries"), False)
+    data, end = values.tobytes(), begin + size - _TAIL_BYTES
+    n_a, n_best, count_sum = _tails(values, end)
+    bars, commas = (np.concatenate([[0], np.cumsum(values == ord(c))]) for c in "|,")
+    n_groups = bars[end] - bars[begin]
+    tokens = commas[end] - commas[begin] + 2 * n_groups
+    return np.stack([n_a, tokens - n_a, n_groups, tokens - n_groups, n_best, count_sum], 1), [data[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def _tails(values: np.ndarray, end: np.ndarray):
+    """The numbers behind each segment's groups."""
+    tails = np.ascontiguousarray(values[end[:, None] + np.arange(_TAIL_BYTES)]).view([("n_a", "<u4"), ("n_best", "<u4"), ("count_sum", "<i8")])[:, 0]
+    return (tails[c].astype(np.int64) for c in ("n_a", "n_best", "count_sum"))
 
 
 def _document(ready, doc_id, codes: np.ndarray):
@@ -219,4 +224,5 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, id_col: st
         distinct = blocks.units(made).groupBy("unit").agg(F.sum("times").alias("times"))
         segments = common.cut(aligned_segments(distinct, byte_path, piece_path), "zstd")
         table = common.keep(common.cut(_payload(segments.join(_weighed(segments), "id")), "zstd"))
-    return blocks.compose(made, table, _prepare, _document, SCHEMA)
+    found = blocks.packed(blocks.units(made).join(table, "unit").select("block", "at", "payload"), "payload")
+    return blocks.assemble(made, found, _prepare, _document, SCHEMA)

@@ -45,11 +45,85 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Bytes as they are or, many of them, compressed; numbers by :func:`pack`."""
+    if values.dtype != np.uint8:
+        return pack(values)
+    return values.tobytes() if len(values) < 4 * _FEW else pa.Codec("zstd", 1).compress(values.tobytes(), asbytes=True)
+
+
+def _spread(data: bytes, n: int, numbers: bool) -> np.ndarray:
+    if numbers:
+        return unpack(data, n)
+    return np.frombuffer(data if n < 4 * _FEW else pa.Codec("zstd").decompress(data, n, asbytes=True), np.uint8)
+
+
+def _reordered(order: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``n`` values each in another order."""
+    ends = np.cumsum(n)
+    new = n[order]
+    return new, values[np.arange(len(values)) + np.repeat((ends - n)[order] - (np.cumsum(new) - new), new)]
+
+
+def entries(block: np.ndarray, at: np.ndarray, n: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """(block, at, entries): a row a block for stretches of ``n`` values (bytes or 32-bit numbers) each, of the units ``at`` of blocks."""
+    order = np.lexsort((at, block))
+    n, values = _reordered(order, n, values)
+    block, at = block[order], at[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+    to = np.concatenate([[0], np.cumsum(n)])[cuts]
+    blobs = []
+    for i, j, k, m in zip(cuts, cuts[1:], to, to[1:], strict=False):
+        parts = [pack(np.diff(at[i:j], prepend=0)), pack(n[i:j]), _squeezed(values[k:m])]
+        blobs.append(np.array([j - i, m - k, *map(len, parts)], "<u4").tobytes() + b"".join(parts))
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(at[cuts[:-1]], pa.int64()), pa.array(blobs, pa.binary())], ["block", "at", "entries"])
+
+
+def spread(column, numbers: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each unit's values begin, by its number, how many they are, and all values, of a block's column of entries."""
+    found = []
+    for data in column.to_pylist():
+        count, many, *sizes = np.frombuffer(data, "<u4", 5).tolist()
+        edges = np.cumsum([20, *sizes]).tolist()
+        parts = [data[i:j] for i, j in itertools.pairwise(edges)]
+        found.append((np.cumsum(unpack(parts[0], count), dtype=np.int64), unpack(parts[1], count).astype(np.int64), _spread(parts[2], many, numbers)))
+    at, n, values = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    begin, size = np.zeros((2, int(at.max(initial=-1)) + 1), np.int64)
+    begin[at], size[at] = np.cumsum(n) - n, n
+    return begin, size, values
+
+
+def packed(found: DataFrame, column: str, rows: int = 300_000) -> DataFrame:
+    """(block, at, entries) of (block, at, a binary column): a task's rows of a block together, ``rows`` rows at a time."""
+
+    def task(batches):
+        held, size = [], 0
+
+        def out():
+            data = pa.Table.from_batches(held).combine_chunks()
+            bytes_ = data.column(column).combine_chunks().cast(pa.large_binary())
+            bytes_ = bytes_.chunk(0) if isinstance(bytes_, pa.ChunkedArray) else bytes_
+            edges = np.frombuffer(bytes_.buffers()[1], np.int64)[bytes_.offset : bytes_.offset + len(bytes_) + 1]
+            values = np.frombuffer(bytes_.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+            return entries(data.column("block").to_numpy(), data.column("at").to_numpy(), np.diff(edges), values)
+
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= rows:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return common.by_batch(found.select("block", "at", column), task, "block long, at long, entries binary")
+
+
 def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], most: int = 1_000_000) -> DataFrame:
     """The blocks of (doc_id, text) or (doc_id, text, weight), written: rows of documents (unit null) and rows of units.
 
     ``split`` gives a text's units in lists, in order; a null text has none. An occurrence counts ``weight`` times (once without
-    that column). A block ends with the document after which it holds ``most`` distinct units or more.
+    that column). A block ends with the stretch of documents (of a million units at most, and a document) after which it holds ``most`` distinct units or more.
     """
     weighted = "weight" in docs.columns
 
@@ -72,29 +146,33 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
             index = defaultdict(itertools.count().__next__)
             times[:] = 0
 
+        def documents(ids, n, flat, weights):
+            nonlocal times
+            codes = np.fromiter(map(index.__getitem__, flat), np.uint32, len(flat))
+            if len(index) > len(times):
+                times = np.concatenate([times, np.zeros(len(index), np.int64)])
+            own = np.bincount(codes, None if weights is None else np.repeat(weights, n).astype(float), len(index))
+            times[: len(index)] += own.astype(np.int64)
+            raw, ends = codes.tobytes(), np.cumsum(n).tolist()
+            packed = [raw[4 * (e - k) : 4 * e] if k < _FEW else pack(codes[e - k : e]) for k, e in zip(n, ends, strict=True)]
+            return batch(block=np.full(len(ids), base + made), doc_id=ids, n=n, codes=packed)
+
         for b in batches:
-            ids, n, codes, held = [], [], [], 0
-            weights = b.column("weight").to_pylist() if weighted else [1] * len(b)
-            for key, text, weight in zip(b.column("doc_id").to_pylist(), b.column("text"), weights, strict=True):
-                own = [np.zeros(0, np.uint32)]
+            ids, n, flat = [], [], []
+            weights = b.column("weight").to_numpy() if weighted else None
+            done = 0
+            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                before = len(flat)
                 for found in split(text.as_py() or ""):
-                    own.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
-                own = np.concatenate(own)
-                if len(index) > len(times):
-                    times = np.concatenate([times, np.zeros(len(index), np.int64)])
-                if len(own):
-                    np.add.at(times, own, weight)
+                    flat += found
                 ids.append(key)
-                n.append(len(own))
-                codes.append(pack(own))
-                held += len(codes[-1])
-                if len(index) >= most or held > 4 << 20:
-                    yield batch(block=np.full(len(ids), base + made), doc_id=ids, n=n, codes=codes)
-                    ids, n, codes, held = [], [], [], 0
-                if len(index) >= most:
-                    yield from units()
-            if ids:
-                yield batch(block=np.full(len(ids), base + made), doc_id=ids, n=n, codes=codes)
+                n.append(len(flat) - before)
+                if len(flat) >= min(most, 20 * _ROWS) or done + len(ids) == len(b):
+                    yield documents(ids, n, flat, None if weights is None else weights[done : done + len(ids)])
+                    done += len(ids)
+                    ids, n, flat = [], [], []
+                    if len(index) >= most:
+                        yield from units()
         yield from units()
 
     return common.cut(common.by_batch(docs.select("doc_id", "text", *["weight"] * weighted), task, _SCHEMA), "zstd")

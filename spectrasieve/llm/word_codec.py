@@ -21,10 +21,10 @@ def _words(text: str) -> list[str]:
 
 
 def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
-    """(block, at, ids) of blocks.units: every distinct word encoded once, its ids packed for the blocks that hold it.
+    """(block, at, entries) of blocks.units: every distinct word encoded once, its ids packed for the blocks that hold it.
 
     The rows of a word meet in one place, one after the other, so it is encoded with the first of them and its ids go to all. ``counter``
-    (an accumulator) counts encoded words. A row holds many words of a block, see :func:`_pack`.
+    (an accumulator) counts encoded words. A row holds the words of a block that a task has at hand, see blocks.entries.
     """
 
     def task(batches):
@@ -36,15 +36,7 @@ def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
         size = 0
 
         def rows():
-            block, at, n, ids = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(block, kind="stable")
-            ends = np.cumsum(n)
-            ids = ids[np.arange(len(ids)) + np.repeat((ends - n)[order] - (np.cumsum(n[order]) - n[order]), n[order])]
-            block, at, n = block[order], at[order], n[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
-            to = np.concatenate([[0], np.cumsum(n)])[cuts]
-            blobs = [_pack(at[i:j], n[i:j], ids[k:m]) for i, j, k, m in zip(cuts, cuts[1:], to, to[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(at[cuts[:-1]]), pa.array(blobs, pa.binary())], ["block", "at", "ids"])
+            return blocks.entries(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
         for b in batches:
             if not len(b):
@@ -69,23 +61,7 @@ def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
             yield rows()
 
     together = units.select("unit", "block", "at").repartition("unit").sortWithinPartitions("unit")
-    return common.by_batch(together, task, "block long, at long, ids binary", bpe.owner(tokenizer))
-
-
-def _pack(at: np.ndarray, n: np.ndarray, ids: np.ndarray) -> bytes:
-    """Numbers of words, how many ids each has, and all ids; many of them compressed."""
-    order = np.argsort(at, kind="stable")  # words come by their letters; in order of numbers the steps are small
-    ends = np.cumsum(n)
-    ids = ids[np.arange(len(ids)) + np.repeat((ends - n)[order] - (np.cumsum(n[order]) - n[order]), n[order])]
-    parts = [blocks.pack(x) for x in (np.diff(at[order], prepend=0), n[order], ids)]
-    return np.array([len(at), len(ids), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    words, many, *sizes = np.frombuffer(data, "<u4", 5).tolist()
-    edges = np.cumsum([20, *sizes]).tolist()
-    step, n, ids = (blocks.unpack(data[i:j], k) for i, j, k in zip(edges, edges[1:], (words, words, many), strict=False))
-    return np.cumsum(step, dtype=np.int64), n.astype(np.int64), ids
+    return common.by_batch(together, task, "block long, at long, entries binary", bpe.owner(tokenizer))
 
 
 class _Pieces:
@@ -106,14 +82,6 @@ class _Pieces:
         return len(ids), *digests, ids.astype(np.int32) if full else None, decoded.decode() if full else None
 
 
-def _look_up(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each of a block's words begins in all their ids, how many it has, and the ids."""
-    at, n, ids = (np.concatenate(c) for c in zip(*map(_unpack, table.column("ids").to_pylist()), strict=True)) if len(table) else (np.zeros(0, np.int64),) * 3
-    begin, count = np.zeros((2, int(at.max(initial=-1)) + 1), np.int64)
-    begin[at], count[at] = np.cumsum(n) - n, n
-    return begin, count, ids
-
-
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True, most: int = 1_000_000, counter=None) -> DataFrame:
     """Ids of every whole text and their decoding, through distinct words.
 
@@ -143,4 +111,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         own = ids[np.arange(ends[-1] if len(n) else 0) + np.repeat(begin[codes] - ends + n, n)]
         return doc_id, *held["pieces"].row(own, full)
 
-    return blocks.assemble(made, encoded_words(blocks.units(made), tokenizer, counter), _look_up, each, SCHEMA, owner)
+    return blocks.assemble(made, encoded_words(blocks.units(made), tokenizer, counter), lambda table: blocks.spread(table.column("entries"), True), each, SCHEMA, owner)
