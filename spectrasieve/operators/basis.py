@@ -62,3 +62,14 @@ def reconstruct(axis: DataFrame, centroids: DataFrame, sigma: float, reach: floa
     right = centroids.select(KEY, F.col("mz").alias("c"), "intensity").withColumn("bin", F.explode(F.array(*[F.floor(F.col("c") / width) + k for k in (-1, 0, 1)])))
     value = F.when(F.abs(F.col("x") - F.col("c")) <= width, F.col("intensity") * F.exp(-F.pow((F.col("x") - F.col("c")) / sigma, 2) / 2))
     return left.join(right, [KEY, "bin"], "left").groupBy(KEY, F.col("x").alias("mz")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("value"))
+
+
+def residuals(spectra: DataFrame, centroids: DataFrame, sigma: float, reach: float = 6.0, **parameters) -> DataFrame:
+    """(spectrum_id, region_idx, mz, squares, n): the sum of squares of what the Gaussians of ``centroids`` leave of each region's points, their number, and the region's centre."""
+    found = regions.exploded(regions.with_regions(spectra, **parameters), KEY, "mz", "intensity")
+    part = lambda c: F.slice(F.col(c), F.col("r.start_idx") + 1, F.col("r.end_idx") - F.col("r.start_idx") + 1)
+    center = (F.get("mz", F.col("r.start_idx")) + F.get("mz", F.col("r.end_idx"))) / 2
+    points = found.select(KEY, "region_idx", center.alias("center"), F.inline(F.arrays_zip(part("mz").alias("mz"), part("intensity").alias("y"))))
+    fit = reconstruct(points.select(KEY, "mz").distinct(), centroids, sigma, reach)
+    rest = F.col("y").cast("double") - F.col("value")
+    return points.join(fit, [KEY, "mz"]).groupBy(KEY, "region_idx", F.col("center").alias("mz")).agg(F.sum(rest * rest).alias("squares"), F.count("*").alias("n"))

@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 KEY = "spectrum_id"
 
 
-def windows(spectra: DataFrame, gap: DataFrame, window: float, step: float, least: int = 5) -> DataFrame:
-    """(spectrum_id, w, center, n, rms): root mean square of gap points in windows sliding over m/z.
+def windows(spectra: DataFrame, gap: DataFrame, window: float, step: float, least: int = 5, residuals: DataFrame | None = None) -> DataFrame:
+    """(spectrum_id, w, center, n, rms): root mean square of gap points in windows sliding over m/z, with the residuals of regions
+    (spectrum_id, mz, squares, n; see basis.residuals), each of which counts where its centre lies.
 
     A point lies in at most window / step + 1 windows; their numbers follow from its m/z, so a point is
     exploded to them and no range join is needed. Windows of fewer than ``least`` points or without signal are left out.
     """
     ends = spectra.select(KEY, F.get("mz", F.lit(0)).alias("first"), F.get("mz", F.size("mz") - 1).alias("last")).where("first is not null")
-    p = gap.join(ends, KEY)
+    parts = gap.select(KEY, "mz", (F.col("intensity") * F.col("intensity")).alias("squares"), F.lit(1).cast("long").alias("n"))
+    p = (parts if residuals is None else parts.unionByName(residuals.select(KEY, "mz", "squares", "n"))).join(ends, KEY)
     lo = F.greatest(F.lit(0), F.ceil((F.col("mz") - F.col("first") - window) / step) - 1)
     hi = F.floor((F.col("mz") - F.col("first")) / step) + 1
     center = F.col("first") + F.lit(window / 2) + F.col("w") * F.lit(step)
     each = p.withColumn("w", F.explode(F.sequence(lo, F.greatest(lo, hi)))).withColumn("center", center)
     inside = each.where((F.col("center") <= F.col("last") - window / 2) & F.col("mz").between(F.col("center") - window / 2, F.col("center") + window / 2))
-    got = inside.groupBy(KEY, "w", "center").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("intensity") * F.col("intensity"))).alias("rms"))
+    got = inside.groupBy(KEY, "w", "center").agg(F.sum("n").alias("n"), F.sqrt(F.sum("squares") / F.sum("n")).alias("rms"))
     return got.where((F.col("n") >= least) & (F.col("rms") > 0))
 
 

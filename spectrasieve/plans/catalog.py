@@ -11,8 +11,8 @@ import math
 from pyspark.sql import functions as F
 
 from spectrasieve import model
-from spectrasieve.functions import order_stats, peaks
-from spectrasieve.operators import basis, calibrate, centroid, noise, regions, report
+from spectrasieve.functions import order_stats, peaks, table_functions
+from spectrasieve.operators import basis, blocked, calibrate, centroid, noise, regions, report
 from spectrasieve.sources import views
 
 QUERIES: dict = {}
@@ -109,6 +109,25 @@ def signal_regions(spark, sf_dir, view, k=3.0):
     return regions.detect(views.spectra(spark, sf_dir, view), k)
 
 
+BLOCK = 16  # points a row of the blocked form
+
+
+@query(f"WITH {NOISE} SELECT spectrum_id, CAST(n AS INTEGER) AS n, baseline, noise_sigma FROM z", evt={"view": "evt"}, li={"view": "li"})
+def rough_noise_blocked(spark, sf_dir, view):
+    """Of spectra whose points span many rows."""
+    return blocked.noise_table(blocked.blocks(views.row_points(spark, sf_dir, view), BLOCK))
+
+
+@query(SQL["signal_regions_evt"].replace(views.points_sql("evt"), "{points}"), evt={"view": "evt"})
+def signal_regions_blocked(spark, sf_dir, view, k=3.0):
+    return blocked.detect(blocked.blocks(views.row_points(spark, sf_dir, view), BLOCK), BLOCK, k)
+
+
+@query(SQL["signal_regions_li"])
+def signal_regions_blocked_li(spark, sf_dir):
+    return signal_regions_blocked(spark, sf_dir, "li", 1.5)
+
+
 @query(f"WITH {REGIONS} SELECT spectrum_id, region_idx, end_idx - start_idx + 1 AS width_points, mz_end - mz_start AS width_mz, (mz_start + mz_end) / 2 AS center_mz FROM r", **EMB)
 def region_shape(spark, sf_dir, view):
     return regions.with_shape(regions.detect(views.spectra(spark, sf_dir, view))).select("spectrum_id", "region_idx", "width_points", "width_mz", "center_mz")
@@ -187,6 +206,33 @@ def needs_refit(spark, sf_dir):
     return rows.select("spectrum_id", "region_idx", noise.needs_refit(3 * F.col("noise_sigma"), 3 * F.col("noise")).alias("refit"))
 
 
+RESIDUALS = KNOTS + """,
+mx AS (SELECT * FROM p QUALIFY intensity > lag(intensity) OVER (PARTITION BY spectrum_id ORDER BY idx) AND intensity > lead(intensity) OVER (PARTITION BY spectrum_id ORDER BY idx)),
+inr AS (SELECT r.spectrum_id, region_idx, (mz_start + mz_end) / 2 AS center_mz, mz, intensity FROM r JOIN p ON p.spectrum_id = r.spectrum_id AND idx BETWEEN start_idx AND end_idx),
+fit AS (SELECT inr.spectrum_id, region_idx, center_mz, inr.mz, any_value(inr.intensity) - coalesce(sum(CASE WHEN abs(inr.mz - mx.mz) <= 6 * 0.34::DOUBLE THEN mx.intensity * exp(-(((inr.mz - mx.mz) / 0.34::DOUBLE) ** 2) / 2) END), 0) AS rest FROM inr LEFT JOIN mx ON mx.spectrum_id = inr.spectrum_id GROUP BY ALL),
+res AS (SELECT spectrum_id, region_idx, center_mz, sum(rest ** 2) AS squares, count(*) AS m FROM fit GROUP BY ALL),
+parts AS (SELECT spectrum_id, mz AS place, intensity ** 2 AS squares, 1 AS m FROM gp UNION ALL SELECT spectrum_id, center_mz, squares, m FROM res),
+tw AS (SELECT cen.spectrum_id, w, center, CAST(sum(m) AS BIGINT) AS n, sqrt(sum(squares) / sum(m)) AS rms FROM cen JOIN parts ON parts.spectrum_id = cen.spectrum_id AND place BETWEEN center - 1 AND center + 1 WHERE center <= last - 1 GROUP BY ALL HAVING sum(m) >= 5 AND sum(squares) > 0)"""
+
+
+def _residuals(spark, sf_dir):
+    s = views.spectra(spark, sf_dir, "evt")
+    return s, basis.residuals(s, report.local_maxima(s), SIGMA)
+
+
+@query(f"WITH {RESIDUALS} SELECT spectrum_id, region_idx, center_mz AS mz, round(squares, 3) AS squares, m AS n FROM res")
+def region_residuals(spark, sf_dir):
+    """What Gaussians at the local maxima leave of each region."""
+    return _residuals(spark, sf_dir)[1].withColumn("squares", F.round("squares", 3))
+
+
+@query(f"WITH {RESIDUALS} SELECT spectrum_id, CAST(w AS BIGINT) AS w, center, n, round(rms, 6) AS rms FROM tw")
+def refined_noise_windows(spark, sf_dir):
+    """Windows over gap points and residuals together."""
+    s, rest = _residuals(spark, sf_dir)
+    return noise.windows(s, regions.gaps(s), 2.0, 0.5, residuals=rest).withColumn("rms", F.round("rms", 6))
+
+
 @query("""WITH RECURSIVE s(sigma, h) AS (VALUES (CAST(0.34 AS DOUBLE), CAST(0.125 AS DOUBLE)), (CAST(0.255 AS DOUBLE), CAST(1 AS DOUBLE) / 15), (CAST(0.212 AS DOUBLE), CAST(1 AS DOUBLE) / 30)),
 g AS (SELECT sigma, h, k, sigma * sqrt(pi()) / h * exp(-((k * h) ** 2) / (4 * sigma ** 2)) AS v, sigma * sqrt(pi()) / h AS g0 FROM s, range(0, 200) t(k))
 SELECT sigma, CAST(k AS INTEGER) AS k, round(v, 9) AS g FROM g x WHERE k <= (SELECT min(k) FROM g y WHERE y.sigma = x.sigma AND k > 0 AND v < g0 * 2.220446049250313e-16) - 1""")
@@ -511,6 +557,21 @@ def calibration_parts(spark, sf_dir, view):
     return got.select("part", "sigma_ms1", "n_peaks_ms1", F.round("sigma_ms2", 9).alias("sigma_ms2"), F.round("grid_spacing_ms2", 9).alias("grid_spacing_ms2"), "n_peaks_ms2")
 
 
+@query(f"WITH {REGIONS} SELECT * FROM r", **TWO)
+def sql_signal_regions(spark, sf_dir, view):
+    """By SQL text and a table function on each row's arrays."""
+    table_functions.register(spark)
+    return spark.sql("SELECT s.spectrum_id, r.* FROM {s} s, LATERAL signal_regions(s.mz, s.intensity, 3.0D) r", s=views.spectra(spark, sf_dir, view))
+
+
+@query(f"WITH RECURSIVE {SWEPT} SELECT spectrum_id, centroid_idx, round(mz, 6) AS mz, round(intensity, 3) AS intensity FROM ct", evt={"view": "evt"})
+def sql_centroids(spark, sf_dir, view):
+    """By SQL text and a table function on points, which Spark deals out by spectrum."""
+    table_functions.register(spark)
+    text = f"SELECT spectrum_id, centroid_idx, round(mz, 6) AS mz, round(intensity, 3) AS intensity FROM centroids_of_points(TABLE(SELECT spectrum_id, mz, intensity FROM {{p}}), sigma => 0.34D, spacing => 0.125D, window => 2.0D, step => 0.5D, sweeps => {SWEEPS})"
+    return spark.sql(text, p=views.row_points(spark, sf_dir, view))
+
+
 @query(f"WITH {REGIONS}, c AS (SELECT spectrum_id, count(*) AS n_regions FROM r GROUP BY 1) SELECT spectrum_id, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_regions, CAST(coalesce(n_regions, 0) AS INTEGER) AS n_lasso, 0.34::DOUBLE AS sigma_used, round(3 * noise_sigma, 6) AS lambda_rough FROM z LEFT JOIN c USING (spectrum_id) WHERE n >= 3", **TWO)
 def spectrum_stats_rough(spark, sf_dir, view):
     """What the kernel tells of its first pass."""

@@ -6,7 +6,7 @@ a point. The m/z axis is 200 + idx / 8.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VIEWS = ("emb", "evt", "li")
@@ -18,20 +18,31 @@ def with_axis(df: DataFrame) -> DataFrame:
     return df.select(F.col("spectrum_id").cast("long"), F.lit(2).cast("short").alias("ms_level"), mz.alias("mz"), "intensity")
 
 
+def _rows(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, str, list[str], Column]:
+    """The table of a view with a row a point, its key, the columns that order a key's rows, and the value."""
+    if view == "evt":
+        t = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+        return t, "user_id", ["ts", "event_id"], F.col("value")
+    if view == "li":
+        t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey is not null")
+        return t, "l_suppkey", [c for c in t.columns if c != "l_suppkey"], F.col("l_extendedprice")
+    raise ValueError(f"views are {VIEWS}")
+
+
+def row_points(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """The points of ``evt`` or ``li`` without gathering a key's rows in an array."""
+    t, key, order, value = _rows(spark, sf_dir, view)
+    y = value.cast("float")
+    idx = F.row_number().over(Window.partitionBy(key).orderBy(*order, y)) - 1
+    return t.select(F.col(key).cast("long").alias("spectrum_id"), idx.alias("idx"), (F.lit(200.0) + idx * F.lit(0.125)).alias("mz"), y.cast("double").alias("intensity"))
+
+
 def spectra(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """A row a spectrum. ``evt`` and ``li`` gather a key's rows in order, ``emb`` reads arrays without a shuffle."""
     if view == "emb":
         t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
         return with_axis(t.select(F.col("vec_id").alias("spectrum_id"), F.transform("embedding", lambda x: (F.greatest(x.cast("double"), F.lit(0.0)) * 1000).cast("float")).alias("intensity")))
-    if view == "evt":
-        t = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
-        key, order, value = "user_id", ["ts", "event_id"], F.col("value")
-    elif view == "li":
-        t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey is not null")
-        key, value = "l_suppkey", F.col("l_extendedprice")
-        order = [c for c in t.columns if c != "l_suppkey"]
-    else:
-        raise ValueError(f"views are {VIEWS}")
+    t, key, order, value = _rows(spark, sf_dir, view)
     rows = t.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, value.cast("float").alias("y")))).alias("r"))
     return with_axis(rows.select(F.col(key).alias("spectrum_id"), F.transform("r", lambda r: r.y).alias("intensity")))
 
