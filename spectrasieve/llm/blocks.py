@@ -93,7 +93,7 @@ def spread(column, numbers: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, size, values
 
 
-def packed(found: DataFrame, column: str, rows: int = 300_000) -> DataFrame:
+def packed(found: DataFrame, column: str, rows: int = 100_000) -> DataFrame:
     """(block, at, entries) of (block, at, a binary column): a task's rows of a block together, ``rows`` rows at a time."""
 
     def task(batches):
@@ -123,7 +123,7 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
     """The blocks of (doc_id, text) or (doc_id, text, weight), written: rows of documents (unit null) and rows of units.
 
     ``split`` gives a text's units in lists, in order; a null text has none. An occurrence counts ``weight`` times (once without
-    that column). A block ends with the stretch of documents (of a million units at most, and a document) after which it holds ``most`` distinct units or more.
+    that column). A block ends with the stretch of documents (of a hundred thousand units, and a document) after which it holds ``most`` distinct units or more.
     """
     weighted = "weight" in docs.columns
 
@@ -167,7 +167,7 @@ def cut_blocks(docs: DataFrame, split: Callable[[str], Iterable[list[str]]], mos
                     flat += found
                 ids.append(key)
                 n.append(len(flat) - before)
-                if len(flat) >= min(most, 20 * _ROWS) or done + len(ids) == len(b):
+                if len(flat) >= min(most, 2 * _ROWS) or done + len(ids) == len(b):
                     yield documents(ids, n, flat, None if weights is None else weights[done : done + len(ids)])
                     done += len(ids)
                     ids, n, flat = [], [], []

@@ -54,7 +54,7 @@ def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
             n, begin = n[place], begin[place]
             held.append((b.column("block").to_numpy(), b.column("at").to_numpy(), n, flat[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]))
             size += len(b)
-            if size > 500_000:
+            if size > 150_000:
                 yield rows()
                 held, size = [], 0
         if held:
