@@ -45,6 +45,15 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def squeeze(data: bytes) -> bytes:
+    """Bytes compressed, behind their length."""
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
 def _squeezed(values: np.ndarray) -> bytes:
     """Bytes as they are or, many of them, compressed; numbers by :func:`pack`."""
     if values.dtype != np.uint8:

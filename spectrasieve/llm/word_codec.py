@@ -3,65 +3,88 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import blocks, bpe, common
+from spectrasieve.llm import blocks, bpe, common, hashing
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
 # White space that every tokenizer here drops and never looks across. Other white space
 # stays inside a word, where the tokenizer itself treats it.
 _SPACES = str.maketrans("\t\n\r\f\v", "     ")
+_SPACE = hashing.spaces(b" \t\n\r\f\v")
 
 
 def _words(text: str) -> list[str]:
     return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
-def encoded_words(units: DataFrame, tokenizer: str, counter=None) -> DataFrame:
-    """(block, at, entries) of blocks.units: every distinct word encoded once, its ids packed for the blocks that hold it.
-
-    The rows of a word meet in one place, one after the other, so it is encoded with the first of them and its ids go to all. ``counter``
-    (an accumulator) counts encoded words. A row holds the words of a block that a task has at hand, see blocks.entries.
-    """
+def _parcels(units: DataFrame, parts: int, rows: int = 100_000) -> DataFrame:
+    """(part, n, words, at, block) of blocks.units: a task's words of a part of the hash space together, compressed; words hold no newline."""
 
     def task(batches):
         import pyarrow as pa
 
-        tok = bpe.load(tokenizer)
-        last, last_ids = None, np.zeros(0, np.uint32)
-        held: list[tuple] = []
-        size = 0
-
-        def rows():
-            return blocks.entries(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        held, size = [], 0
+
+        def out():
+            t = pa.Table.from_batches(held).combine_chunks()
+            words = t.column("unit").combine_chunks()
+            part = (hashing.word_hashes(*hashing.raw(words), _SPACE)[0] % np.uint64(parts)).astype(np.int64)
+            block, at = t.column("block").to_numpy(), t.column("at").to_numpy()
+            order = np.lexsort((at, block, part))
+            part, names = part[order], words.take(pa.array(order)).to_pylist()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+            pairs = list(itertools.pairwise(cuts))
+            block, at = block[order], at[order]
+            columns = [part[cuts[:-1]], [j - i for i, j in pairs], [blocks.squeeze("\n".join(names[i:j]).encode()) for i, j in pairs], [blocks.pack(at[i:j]) for i, j in pairs], [blocks.squeeze(block[i:j].tobytes()) for i, j in pairs]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["part", "n", "words", "at", "block"])
 
         for b in batches:
-            if not len(b):
-                continue
-            coded = b.column("unit").dictionary_encode()
-            words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            known = words[0] == last
-            made = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(words[known:], add_special_tokens=False)]
-            if counter is not None:
-                counter.add(len(made))
-            made = [last_ids, *made] if known else made
-            last, last_ids = words[-1], made[-1]
-            n = np.fromiter(map(len, made), np.int64, len(made))
-            flat, begin = np.concatenate(made), np.cumsum(n) - n
-            n, begin = n[place], begin[place]
-            held.append((b.column("block").to_numpy(), b.column("at").to_numpy(), n, flat[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)]))
+            held.append(b)
             size += len(b)
-            if size > 150_000:
-                yield rows()
+            if size >= rows:
+                yield out()
                 held, size = [], 0
-        if held:
-            yield rows()
+        if size:
+            yield out()
+
+    return common.by_batch(units.select("unit", "block", "at"), task, "part long, n long, words binary, at binary, block binary")
+
+
+def encoded_words(units: DataFrame, tokenizer: str, counter=None, per_part: int = 500_000) -> DataFrame:
+    """(block, at, entries) of blocks.units: every distinct word encoded once, its ids packed for the blocks that hold it.
+
+    All rows of a word meet in one part of the hash space, of about ``per_part`` rows, where distinct words are encoded and their ids go to all rows; a block holds
+    a word once, so no word has many. ``counter`` (an accumulator) counts encoded words. A row of the result holds the words of a block that a part has, see blocks.entries.
+    """
+
+    def task(table):
+        import pyarrow as pa
 
-    together = units.select("unit", "block", "at").repartition("unit").sortWithinPartitions("unit")
-    return common.by_batch(together, task, "block long, at long, entries binary", bpe.owner(tokenizer))
+        rows = table.to_pylist()
+        words = pa.array([w for r in rows for w in blocks.unsqueeze(r["words"]).decode().split("\n")], pa.string()).dictionary_encode()
+        at = np.concatenate([blocks.unpack(r["at"], r["n"]) for r in rows])
+        block = np.concatenate([np.frombuffer(blocks.unsqueeze(r["block"]), np.int64) for r in rows])
+        tok, made = bpe.load(tokenizer), []
+        distinct = words.dictionary.to_pylist()
+        for k in range(0, len(distinct), 5000):
+            made += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(distinct[k : k + 5000], add_special_tokens=False)]
+        if counter is not None:
+            counter.add(len(made))
+        place = words.indices.to_numpy()
+        n = np.fromiter(map(len, made), np.int64, len(made))
+        flat, begin = np.concatenate(made), (np.cumsum(n) - n)[place]
+        n = n[place]
+        got = blocks.entries(block, at.astype(np.int64), n, flat[np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)])
+        common.trim()
+        return pa.Table.from_batches([got])
+
+    parts = max(1, -(-units.count() // per_part))
+    return _parcels(units, parts).groupBy("part").applyInArrow(task, "block long, at long, entries binary")
 
 
 class _Pieces:
