@@ -185,15 +185,17 @@ def _prepare(table):
     begin, size, values = blocks.spread(table.column("entries"), False)
     data, end = values.tobytes(), begin + size - _TAIL_BYTES
     n_a, n_best, count_sum = _tails(values, end)
-    bars, commas = (np.concatenate([[0], np.cumsum(values == ord(c))]) for c in "|,")
-    n_groups = bars[end] - bars[begin]
-    tokens = commas[end] - commas[begin] + 2 * n_groups
+    bars, commas = (np.searchsorted(places, end) - np.searchsorted(places, begin) for c in b"|," for places in [np.flatnonzero(values == c)])
+    n_groups, tokens = bars, commas + 2 * bars
     return np.stack([n_a, tokens - n_a, n_groups, tokens - n_groups, n_best, count_sum], 1), [data[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 def _tails(values: np.ndarray, end: np.ndarray):
     """The numbers behind each segment's groups."""
-    tails = np.ascontiguousarray(values[end[:, None] + np.arange(_TAIL_BYTES)]).view([("n_a", "<u4"), ("n_best", "<u4"), ("count_sum", "<i8")])[:, 0]
+    tails = np.empty((len(end), _TAIL_BYTES), np.uint8)
+    for k in range(_TAIL_BYTES):
+        tails[:, k] = values[end + k]
+    tails = tails.view([("n_a", "<u4"), ("n_best", "<u4"), ("count_sum", "<i8")])[:, 0]
     return (tails[c].astype(np.int64) for c in ("n_a", "n_best", "count_sum"))
 
 
