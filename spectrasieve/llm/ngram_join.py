@@ -60,15 +60,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _scan(docs: DataFrame, words: int, n_orders: int, n_first: int) -> DataFrame:
+def _scan(docs: DataFrame, words: int, n_orders: int) -> DataFrame:
     """Document rows (kind 0) and, from each task, parts of the counters of its tokens (kind 1)."""
 
     def task(batches):
         import pyarrow as pa
         import xxhash
 
-        fields = ("kind", "doc_id", "n", "key", "first", "part", "counts")
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        fields = ("kind", "doc_id", "n", "key", "part", "counts")
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
         total = np.zeros((n_orders, 1 << _BITS), np.uint32)
         for b in batches:
             for at, part in hashing.slices(b.column(1)):
@@ -76,20 +76,17 @@ def _scan(docs: DataFrame, words: int, n_orders: int, n_first: int) -> DataFrame
                 held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 for k in range(n_orders):
                     total[k] += np.bincount((mix(held ^ _SEEDS[k]) >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS).astype(np.uint32)
-                firsts = [mix(held ^ _SEEDS[8 + k]) for k in range(n_first)]
-                edges = np.cumsum([0, *map(len, sets)]).tolist()
                 n = len(sets)
-                first = [[int(f[lo:hi].min()) - (1 << 63) for f in firsts] if hi > lo else None for lo, hi in zip(edges, edges[1:], strict=False)]
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * n, b.column(0).slice(at, n).to_pylist(), list(map(len, sets)), keys, first, [None] * n, [None] * n), types, strict=True)], fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * n, b.column(0).slice(at, n).to_pylist(), list(map(len, sets)), keys, [None] * n, [None] * n), types, strict=True)], fields)
         for k in range(n_orders):
             for p in range((1 << _BITS) // _PART):
                 c = total[k, p * _PART : (p + 1) * _PART]
                 if c.any():
                     blob = bytes([kind := np.min_scalar_type(c.max()).itemsize]) + c.astype(f"<u{kind}").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((1, None, None, None, None, k * (1 << _BITS) + p * _PART, blob), types, strict=True)], fields)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((1, None, None, None, k * (1 << _BITS) + p * _PART, blob), types, strict=True)], fields)
 
-    return common.by_batch(docs, task, "kind int, doc_id long, n long, key binary, first array<long>, part long, counts binary")
+    return common.by_batch(docs, task, "kind int, doc_id long, n long, key binary, part long, counts binary")
 
 
 def _sketch(scanned: DataFrame, n_orders: int) -> np.ndarray:
@@ -184,24 +181,6 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int, group:
         return common.keep(common.cut(common.by_batch(rows, task, "a long, b long")))
 
 
-def _centrality(docs: DataFrame, sketch, words: int) -> DataFrame:
-    """(doc_id, score): the mean logarithm of the counts of a document's tokens, as a whole number.
-
-    Among near copies the one whose tokens most others share has the highest score.
-    """
-
-    def task(batches):
-        import pyarrow as pa
-
-        row = sketch.value[0]
-        for b in batches:
-            for at, part in hashing.slices(b.column("text")):
-                score = [int(1000 * np.log2(1.0 + row[mix(s ^ _SEEDS[0]) >> np.uint64(64 - _BITS)]).mean()) if len(s) else 0 for s in shingle_sets(part, words)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(score, pa.int64())], ["doc_id", "score"])
-
-    return common.by_batch(docs.select("doc_id", "text"), task, "doc_id long, score long")
-
-
 def _grid(excess: np.ndarray, doc: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """(which token, cell): the cells of each token's list that a document goes to.
 
@@ -221,8 +200,9 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
 
     A very frequent token's list is split into cells, see :func:`_grid`.
 
-    A row holds (part, tokens, docs, labels, sizes, places in the order) as arrays; within a part 32 bits stand for a token,
-    so different tokens may meet, which adds candidates but loses none.
+    A row holds (part, tokens, docs, labels, sizes, places in the order, scores) as arrays; within a part 32 bits stand for a token,
+    so different tokens may meet, which adds candidates but loses none. Tokens that tie with the last of a prefix belong to it, at
+    the first place that any order of the tie gives them. A document's score is the mean logarithm of its tokens' counts: among near copies the one whose tokens most others share has the highest.
     """
 
     def task(batches):
@@ -238,7 +218,7 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
             part = part[order]
             cuts = np.flatnonzero(np.diff(part)) + 1
             cols = [[int(p) for p in part[np.concatenate([[0], cuts])]]] + [[x.tobytes() for x in np.split(c[order], cuts)] for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 5), strict=True)], ["part", "tokens", "docs", "labels", "sizes", "places"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.binary()] * 6), strict=True)], ["part", "tokens", "docs", "labels", "sizes", "places", "scores"])
 
         for b in batches:
             ids, labels = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("label").to_numpy(zero_copy_only=False)
@@ -252,16 +232,19 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
                             continue
                         p = prefix_length(len(s), percent)
                         r = ranks[edges[i] : edges[i + 1]]
-                        at_rank = np.argpartition(r, p - 1)[:p] if p < len(s) else np.arange(p)
+                        own = counts[edges[i] : edges[i + 1]]
+                        at_rank = np.flatnonzero(r <= np.partition(r, p - 1)[p - 1])
                         at_rank = at_rank[np.argsort(r[at_rank])]
-                        t, place = mix(s[at_rank]), np.arange(p, dtype="<u4")
-                        excess = counts[edges[i] : edges[i + 1]][at_rank] - usual[k]
+                        r, p = r[at_rank], len(at_rank)
+                        t, place = mix(s[at_rank]), np.searchsorted(r, r).astype("<u4")
+                        score = int(1000 * np.log2(1.0 + own).mean())
+                        excess = own[at_rank] - usual[k]
                         if int(excess.max()) > hot:
                             which, cell = _grid(excess, int(ids[at + i]), hot)
                             dealt = excess[which] > hot  # others keep the key that documents without a frequent token give them
                             t, place, p = np.where(dealt, mix(t[which] ^ mix(cell.astype(np.uint64))), t[which]), place[which], len(which)
                         part = k * parts + ((t >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), place))
+                        held.append((part, t.astype(np.uint32), np.full(p, ids[at + i], "<i8"), np.full(p, labels[at + i], "<i8"), np.full(p, len(s), "<u4"), place, np.full(p, score, "<u4")))
                         size += p
                 if size > 250_000:
                     yield flush()
@@ -269,25 +252,37 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
         if held:
             yield flush()
 
-    return common.by_batch(docs.select("doc_id", "label", "text"), task, "part long, tokens binary, docs binary, labels binary, sizes binary, places binary")
+    return common.by_batch(docs.select("doc_id", "label", "text"), task, "part long, tokens binary, docs binary, labels binary, sizes binary, places binary, scores binary")
+
+
+def _part(table, parts: int):
+    """A part's order and its entries of lists with more than one label, in order of token, size and document: token, document, label, size, place, score."""
+    k = table.column("part")[0].as_py() // parts if len(table) else 0
+    token, doc, label, n, place, score = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)] or [np.zeros(0, t)]) for c, t in (("tokens", "<u4"), ("docs", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("places", "<u4"), ("scores", "<u4")))
+    order = np.argsort(token, kind="stable")
+    by, of = token[order], label[order]
+    begin = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
+    if len(begin):  # lists whose documents all have one label are settled
+        mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+        order = order[np.repeat(mixed, np.diff(np.append(begin, len(by))))]
+    order = order[np.lexsort((doc[order], n[order], token[order]))]
+    return k, token[order], doc[order], label[order], n[order].astype(np.int64), place[order].astype(np.int64), score[order].astype(np.int64)
+
+
+def _room(n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the entries x and y, which share a token, can be of documents that link: by their sizes, and by the tokens left after the places of this one."""
+    both, lo, hi = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    least = -(-percent * both // (100 + percent))
+    return (100 * lo >= percent * hi) & (n[x] - place[x] >= least) & (n[y] - place[y] >= least)
 
 
 def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
-    """(a, b, order): pairs with different labels that share a prefix token and whose sizes allow the threshold."""
+    """(a, b, k): pairs with different labels that share a token of their prefixes under order k and whose sizes allow the threshold."""
 
     def task(table):
         import pyarrow as pa
 
-        k = table.column("part")[0].as_py() // parts if len(table) else 0
-        token, doc, label, n, place = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)] or [np.zeros(0, t)]) for c, t in (("tokens", "<u4"), ("docs", "<i8"), ("labels", "<i8"), ("sizes", "<u4"), ("places", "<u4")))
-        order = np.argsort(token, kind="stable")
-        by, of = token[order], label[order]
-        begin = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
-        if len(begin):  # lists whose documents all have one label are settled
-            mixed = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
-            order = order[np.repeat(mixed, np.diff(np.append(begin, len(by))))]
-        order = order[np.lexsort((doc[order], n[order], token[order]))]
-        token, doc, label, n, place = token[order], doc[order], label[order], n[order].astype(np.int64), place[order].astype(np.int64)
+        k, token, doc, label, n, place, _ = _part(table, parts)
         left = np.arange(len(token))
         found, size, d = [], 0, 0
         done = []
@@ -296,10 +291,7 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
             left = left[left + d < len(token)]
             left = left[(token[left] == token[left + d]) & (100 * n[left] >= percent * n[left + d])]
             hit = left[label[left] != label[left + d]]
-            # The first token that a pair shares leaves room for the overlap that the threshold asks of both.
-            both = n[hit] + n[hit + d]
-            least = -(-percent * both // (100 + percent))
-            hit = hit[(n[hit] - place[hit] >= least) & (n[hit + d] - place[hit + d] >= least)]
+            hit = hit[_room(n, place, hit, hit + d, percent)]
             a, b = doc[hit], doc[hit + d]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             size += len(hit)
@@ -313,21 +305,32 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
     return postings.groupBy("part").applyInArrow(task, "a long, b long, k long")
 
 
-def _hub_links(docs: DataFrame, classes: DataFrame, sketch, words: int, percent: int, n_first: int) -> DataFrame:
-    """Verified links of representatives with the hub that most of their least-token values name."""
-    shared = classes.select("rep", F.posexplode("first").alias("k", "token"))
-    lists = common.cut(shared.groupBy("k", "token").agg(F.count("*").alias("c")).where("c > 1").select("k", "token"))
-    listed = common.cut(shared.join(lists.hint("merge"), ["k", "token"]))
-    scores = _centrality(_fetch(docs, common.cut(listed.select(F.col("rep").alias("doc_id")).distinct())), sketch, words)
-    scores = common.cut(scores.groupBy(F.col("doc_id").alias("rep")).agg(F.max("score").alias("score")))
-    listed = listed.join(scores, "rep")
-    hubs = common.cut(listed.groupBy("k", "token").agg(F.max(F.struct("score", (-F.col("rep")).alias("h"))).alias("m")).select("k", "token", F.col("m.score").alias("hub_score"), (-F.col("m.h")).alias("hub")))
-    votes = listed.join(hubs.hint("merge"), ["k", "token"]).where("hub <> rep").groupBy("rep", "hub", "hub_score").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("rep").agg(F.max(F.struct("votes", "hub_score", (-F.col("hub")).alias("h"))).alias("best")).where(f"best.votes >= {max(1, n_first * 3 // 8)}")
-    return verified(docs, common.cut(chosen.select((-F.col("best.h")).alias("a"), F.col("rep").alias("b"))), words, percent)
+def _stars(postings: DataFrame, parts: int, percent: int, n_orders: int) -> DataFrame:
+    """(a, b): for each document b the candidate a, of those that are the most central of a list of b's prefix tokens under every order, that most lists name.
+
+    These are candidates of the prefix filters, one a list and document instead of all pairs of a list.
+    """
+
+    def task(table):
+        import pyarrow as pa
+
+        k, token, doc, _, n, place, score = _part(table, parts)
+        order = np.lexsort((doc, -score, token))  # of each list the most central first
+        token, doc, n, place, score = token[order], doc[order], n[order], place[order], score[order]
+        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        hub = np.repeat(begin, np.diff(np.append(begin, len(token))))
+        x = np.flatnonzero(doc != doc[hub])
+        x = x[_room(n, place, x, hub[x], percent)]
+        pairs, first, votes = np.unique(np.stack([doc[hub[x]], doc[x]], 1), axis=0, return_index=True, return_counts=True) if len(x) else (np.zeros((0, 2), np.int64), x, x)
+        common.trim()
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64()), "k": pa.array(np.full(len(pairs), k), pa.int64()), "score": pa.array(score[hub[x]][first], pa.int64()), "votes": pa.array(votes, pa.int64())})
+
+    named = postings.groupBy("part").applyInArrow(task, "a long, b long, k long, score long, votes long")
+    named = named.groupBy("a", "b").agg(F.countDistinct("k").alias("k"), F.max("score").alias("score"), F.sum("votes").alias("votes")).where(F.col("k") == n_orders)
+    return named.groupBy("b").agg(F.max(F.struct("votes", "score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, n_first: int = 8, hot: int = 50_000, per_part: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, hot: int = 16_384, per_part: int = 500_000, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words over the whole text (fewer words: the whole sequence; no words
@@ -336,39 +339,46 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
 
     1. One scan gives each document's set key and counts all tokens in sketches of fixed size.
     2. Equal sets become one representative.
-    3. Representatives that share several of ``n_first`` least-token values are verified against the
-       most central of them, their hub; what links is contracted to a component. This only saves work.
-    4. Under each of ``n_orders`` global orders (rarest token first, ties and counters of their own),
-       documents of different components that share a token of their prefixes are candidates; candidates of
-       all orders are intersected, then verified on the whole texts.
-       A pair that links shares a prefix token under every order, so no link is lost. The list of a token that more
-       than ``hot`` documents may hold is dealt over a grid of cells.
-    5. Components of all links are spread back to the documents.
-
-    Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
+    3. Under each of ``n_orders`` global orders (rarest token first, counters of their own) documents are listed by the tokens of their
+       prefixes. A pair that links shares a prefix token under every order, so candidates of all orders are intersected. The
+       list of a token that more than ``hot`` documents may hold is dealt over a grid of cells.
+    4. First each list gives the pairs of its most central document alone; one candidate a document is verified on the whole
+       texts, and what links is contracted to a component. So a large group of near copies does not give all its pairs.
+    5. Then lists give all pairs of documents of different components, and all candidates are verified, so no link is lost.
+    6. Components of all links are spread back to the documents.
+
+    ``report`` takes the numbers of candidates and links of steps 4 and 5. Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
     one node; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with common.scratch(spark):
-        scanned = common.keep(common.cut(_scan(d, words, n_orders, n_first)))
+        scanned = common.keep(common.cut(_scan(d, words, n_orders)))
         sketch = spark.sparkContext.broadcast(_sketch(scanned, n_orders))
         rows = scanned.where("kind = 0")
-        classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("first").alias("first")).where("rep is not null"))
-        links = _hub_links(d, classes, sketch, words, percent, n_first)
-        first = components(links)
-
-        # What a document's row does not carry: whether it stands for its set, and its label so far.
-        copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
-        marks = common.cut(copies.distinct().unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
-        marked = common.sized(marks.withColumn("marked", F.lit(True)))
-        kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+        classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"))
         tokens = classes.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-tokens * (100 - percent) // 100 // per_part))
-        pairs = _candidates(_postings(kept, sketch, words, percent, parts, hot), parts, percent)
+
+        def listed(marks: DataFrame) -> DataFrame:
+            """Lists of the documents that ``marks`` (doc_id, label) do not drop (label null), by the labels it gives or their ids."""
+            marked = common.sized(marks.withColumn("marked", F.lit(True)))
+            kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
+            return _postings(kept, sketch, words, percent, parts, hot)
+
+        # What a document's row does not carry: whether another stands for its set, and its label so far.
+        copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
+        copies = common.cut(copies.distinct())
+        stars = common.cut(_stars(listed(copies), parts, percent, n_orders))
+        links = verified(d, stars, words, percent)
+        first = components(links)
+        marks = common.cut(copies.unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
+        pairs = _candidates(listed(marks), parts, percent)
         pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
         sketch.destroy()
         more = verified(d, pairs, words, percent)
+        if report is not None:
+            report |= {"first candidates": stars.count(), "first links": links.count(), "candidates": pairs.count(), "links": more.count()}
 
         label = first.select(F.col("node").alias("x"), "label")
         named = more.join(label, more.a == label.x, "left").select(F.coalesce("label", "a").alias("a"), "b")

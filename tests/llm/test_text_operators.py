@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -247,16 +248,34 @@ def test_ngram_join(spark, seed):
 
 
 def test_ngram_join_without_contraction(spark, monkeypatch):
-    """The prefix filters alone lose no link either."""
-    monkeypatch.setattr(ngram_join, "_centrality", lambda docs, *a: docs.select("doc_id", F.lit(0).cast("long").alias("score")).where("false"))
+    """All pairs of the lists lose no link either, where no component was contracted before."""
+    monkeypatch.setattr(ngram_join, "_stars", lambda postings, *a: spark.createDataFrame([], "a long, b long"))
     docs = near_copies(3)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs)).collect()} == brute(docs)
 
 
+def test_ngram_join_finds_its_links_by_the_prefix_filters(spark):
+    docs, report = near_copies(5), {}
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), report=report).collect()}
+    assert got == brute(docs)
+    assert report["first candidates"] < len(docs) and 0 < report["first links"] <= report["first candidates"] and report["links"] <= report["candidates"] < 8 * 12 * 11 / 2
+    links = {(a, b) for a, _, x in got for b, _, y in got if x == y and a < b}
+    assert report["first links"] + report["links"] < len(links)  # a group of copies does not give all its pairs
+
+
+def test_ngram_join_keeps_tokens_that_tie(spark, monkeypatch):
+    """Where all tokens of a document have one rank, all belong to its prefix."""
+    monkeypatch.setattr(ngram_join, "orders", lambda sketch, s: [(np.zeros(len(s), np.uint64), np.ones(len(s), np.int64))] * len(sketch))
+    sets = ngram_join.shingle_sets(pa.array(["a b c d e f g h i j"]), 5)
+    sketch = spark.sparkContext.broadcast(np.zeros((2, 1 << 20), np.uint32))
+    rows = ngram_join._postings(texts(spark, [(1, "a b c d e f g h i j")]).withColumn("label", F.col("doc_id")), sketch, 5, 75, 1, 9).collect()
+    assert len(sets[0]) == 6 and [len(r.tokens) // 4 for r in rows] == [6, 6] and all(not any(np.frombuffer(r.places, "<u4")) for r in rows)
+
+
 def test_ngram_join_grid(spark):
     """Lists that are dealt over a grid lose no link."""
     docs = near_copies(4)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), hot=2, n_first=1).collect()} == brute(docs)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), hot=2).collect()} == brute(docs)
     for a in range(40):
         which, cell = ngram_join._grid(np.array([0, 9, 3]), a, 3)
         assert which.tolist() == [0, 1, 1, 1, 2]
@@ -266,7 +285,7 @@ def test_ngram_join_grid(spark):
 
 def test_ngram_join_grid_where_one_prefix_holds_the_token(spark, monkeypatch):
     """Ordinary tokens keep their key in a document whose prefix holds a dealt token too."""
-    monkeypatch.setattr(ngram_join, "_centrality", lambda docs, *a: docs.select("doc_id", F.lit(0).cast("long").alias("score")).where("false"))
+    monkeypatch.setattr(ngram_join, "_stars", lambda postings, *a: spark.createDataFrame([], "a long, b long"))
     passage = [f"p{i}" for i in range(35)]
     short = passage + [f"s{i}" for i in range(9)]  # 9 rare shingles in a prefix of 11; the longer copy has 14 for its 12
     docs = [(1, " ".join(short)), (2, " ".join(short + [f"x{i}" for i in range(5)]))]
