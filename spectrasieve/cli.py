@@ -91,6 +91,7 @@ def parser() -> argparse.ArgumentParser:
     v = sub.add_parser("validate")
     v.add_argument("paths", nargs="+")
     v.add_argument("--level", choices=("minimal", "standard", "strict"), default="standard")
+    v.add_argument("--vocabulary", help="an OBO file")
     f = sub.add_parser("repair")
     f.add_argument("path")
     f.add_argument("--source")
@@ -121,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(r.file, "ok" if r.ok else f"{r.null_length} null bytes at byte {r.null_offset}")
             return int(not all(r.ok for r in rows))
         elif command == "validate":
-            rows = verify.validate(session(), a["paths"], a["level"]).orderBy(F.desc("severity"), "file", "check").collect()
+            rows = verify.validate(session(), a["paths"], a["level"], a["vocabulary"]).orderBy(F.desc("severity"), "file", "check").collect()
             for r in rows:
                 print(("info", "warning", "error")[r.severity], r.file, r.check, r.message, r.location)
             return int(any(r.severity == verify.ERROR for r in rows))

@@ -9,6 +9,7 @@ import xml.etree.ElementTree as ET
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spectrasieve.operators import ontology, schema
 from spectrasieve.sources import mzml
 
 INFO, WARNING, ERROR = 0, 1, 2
@@ -208,10 +209,18 @@ def byte_findings(path: str) -> list[tuple]:
     return out
 
 
-def validate(spark: SparkSession, paths, level: str = "standard") -> DataFrame:
-    """Findings of mzML files: minimal checks bytes and structure, standard and strict also vocabulary rules.
+def schema_findings(faults: DataFrame, k: int = 3) -> DataFrame:
+    """A finding a file, element name, kind of fault and subject: how many elements have it and the first k of them."""
+    w = Window.partitionBy("file", "name", "fault", "subject").orderBy("element")
+    got = faults.withColumn("r", F.row_number().over(w)).groupBy("file", "name", "fault", "subject").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= k, F.col("element")))).alias("first"))
+    return got.select("file", F.lit(ERROR).alias("severity"), F.lit("schema").alias("check"), F.format_string("%d times %s: %s, first in element %s", "n", "fault", "subject", F.concat_ws(", ", "first")).alias("message"), F.col("name").alias("location"))
 
-    A task checks a file; elements then meet rules as relations.
+
+def validate(spark: SparkSession, paths, level: str = "standard", vocabulary: str | None = None) -> DataFrame:
+    """Findings of mzML files: minimal checks bytes and structure, standard and strict also vocabulary rules, strict the schema's too.
+
+    A task checks a file; elements then meet rules as relations. ``vocabulary`` names an OBO file whose closure tells which
+    terms are below a rule's; without it a table of common terms does.
     """
     files = mzml.files_of(paths)
     at = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files))
@@ -240,7 +249,14 @@ def validate(spark: SparkSession, paths, level: str = "standard") -> DataFrame:
     rows = at.mapInPandas(listed, "file string, element long, path string, own array<string>, refs array<string>")
     group = F.col("path").startswith("group:")
     groups = rows.where(group).select("file", F.expr("substring(path, 7)").alias("id"), F.col("own").alias("terms"))
-    return found.unionByName(samples(rule_failures(accessions(rows.where(~group), groups), rules(spark, level))))
+    resolved = accessions(rows.where(~group), groups)
+    if vocabulary:
+        ancestors = ontology.closure(ontology.read(spark, vocabulary)[1].where("relation = 'is_a'").select("child", "parent"))
+        failed = ontology.failures(resolved, rules(spark, level), ancestors)
+    else:
+        failed = rule_failures(resolved, rules(spark, level))
+    found = found.unionByName(samples(failed))
+    return found.unionByName(schema_findings(schema.faults(schema.elements_of(spark, files)))) if level == "strict" else found
 
 
 def verify(spark: SparkSession, paths) -> DataFrame:

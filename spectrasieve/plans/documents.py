@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spectrasieve import model, shared
-from spectrasieve.operators import centroid, repair, verify
+from spectrasieve.operators import centroid, ontology, repair, schema, verify
 from spectrasieve.plans import catalog
 from spectrasieve.plans.catalog import query
 from spectrasieve.sources import mzml, mzml_sink, views
@@ -295,3 +295,72 @@ def stream_centroids_swept(spark, sf_dir):
     """The same with a set number of sweeps, which SQL can follow."""
     got = _streamed(spark, sf_dir, catalog._swept_config(), direct=False)
     return got.withColumns({"mz": F.round("mz", 6), "intensity": F.round("intensity", 3)})
+
+
+KINDS = {"spectrum": ("cvParam", "scanList", "precursorList", "productList", "binaryDataArrayList", "extra"), "precursor": ("isolationWindow", "selectedIonList", "activation", "activation", "cvParam", "isolationWindow")}
+_PICK = {k: "[" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in KINDS.items()}
+_RULES = ", ".join(f"('{p}', '{name}', {i}, {least}, {'NULL' if most is None else most})" for p in KINDS for i, (name, least, most) in enumerate(map(schema.bounds, schema.CONTENT[p].split())))
+TREE = f"""par AS (SELECT DISTINCT o_orderkey AS parent, 'f' || o_orderkey % 4 AS file, CASE WHEN o_orderkey % 3 = 0 THEN 'precursor' ELSE 'spectrum' END AS parent_name FROM orders),
+kid0 AS (SELECT l_orderkey AS parent, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 5 END AS turn, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) - 1 AS position FROM lineitem),
+kid AS (SELECT par.*, position, CASE WHEN parent_name = 'precursor' THEN {_PICK['precursor']} ELSE {_PICK['spectrum']} END[(l_linenumber + turn - 1) % 6 + 1] AS name FROM kid0 JOIN par USING (parent)),
+ru AS (SELECT * FROM (VALUES {_RULES}) t(parent_name, name, place, least, most)),
+pl AS (SELECT kid.*, place, lag(place) OVER (PARTITION BY parent ORDER BY position) AS last FROM kid LEFT JOIN ru USING (parent_name, name)),
+ct AS (SELECT par.file, parent, ru.parent_name, ru.name, least, most, (SELECT count(*) FROM kid WHERE kid.parent = par.parent AND kid.name = ru.name) AS n FROM par JOIN ru USING (parent_name)),
+fa AS (SELECT DISTINCT file, parent, parent_name, 'unknown child' AS fault, name FROM pl WHERE place IS NULL
+  UNION ALL SELECT file, parent, parent_name, 'order', name FROM pl WHERE place < last
+  UNION ALL SELECT file, parent, parent_name, 'too few', name FROM ct WHERE n < least UNION ALL SELECT file, parent, parent_name, 'too many', name FROM ct WHERE n > most)"""
+
+
+def _tree(spark, sf_dir):
+    """Orders as elements and their lines as children, of kinds that are often out of order."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("element"), "o_orderstatus", "o_totalprice")
+    name = F.when(F.col("element") % 3 == 0, "precursor").otherwise("spectrum")
+    file = F.concat(F.lit("f"), (F.col("element") % 4).cast("string"))
+    price = F.col("o_totalprice")
+    attributes = F.map_filter(F.create_map(F.lit("index"), F.when(price > 200_000, F.lit("-1")).otherwise(F.col("element").cast("string")), F.lit("id"), F.when(F.col("o_orderstatus") != "F", F.lit("x")), F.lit("defaultArrayLength"), F.lit(" 12 "), F.lit("level"), F.when(price < 50_000, F.lit("2"))), lambda _, v: v.isNotNull())
+    top = o.groupBy("element").agg(F.min("o_orderstatus").alias("o_orderstatus"), F.min("o_totalprice").alias("o_totalprice"))
+    top = top.select(file.alias("file"), "element", F.lit(None).cast("long").alias("parent"), name.alias("name"), F.lit(0).cast("long").alias("position"), attributes.alias("attributes"))
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")) - 1
+    kind = (F.col("l_linenumber") + F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(5) - 1) % 6
+    pick = F.when(F.col("l_orderkey") % 3 == 0, F.get(F.array(*map(F.lit, KINDS["precursor"])), kind)).otherwise(F.get(F.array(*map(F.lit, KINDS["spectrum"])), kind))
+    kids = li.select(F.concat(F.lit("f"), (F.col("l_orderkey") % 4).cast("string")).alias("file"), (-F.col("l_orderkey") * 1000 - place).alias("element"), F.col("l_orderkey").alias("parent"), pick.alias("name"), place.cast("long").alias("position"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    return top.unionByName(kids)
+
+
+@query(f"WITH {TREE} SELECT file, parent AS element, parent_name AS name, fault, name AS subject FROM fa")
+def schema_content_faults(spark, sf_dir):
+    return schema.content_faults(_tree(spark, sf_dir), schema.content_rules(spark, {k: schema.CONTENT[k] for k in KINDS}))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS element, min(o_orderstatus) AS st, min(o_totalprice) AS price FROM orders GROUP BY 1), s AS (SELECT *, 'f' || element % 4 AS file FROM o WHERE element % 3 <> 0)
+SELECT file, element, 'spectrum' AS name, 'attribute type' AS fault, 'index' AS subject FROM s WHERE price > 200000 OR element < 0
+UNION ALL SELECT file, element, 'spectrum', 'missing attribute', 'id' FROM s WHERE st = 'F' UNION ALL SELECT file, element, 'spectrum', 'unknown attribute', 'level' FROM s WHERE price < 50000""")
+def schema_attribute_faults(spark, sf_dir):
+    return schema.attribute_faults(_tree(spark, sf_dir).where("name = 'spectrum' and attributes is not null"), schema.attribute_rules(spark))
+
+
+VOCABULARY = """e AS (SELECT DISTINCT p_partkey AS child, p_partkey // 3 AS parent FROM part WHERE p_partkey > 2 UNION SELECT p_partkey, p_partkey - p_size FROM part WHERE p_partkey > p_size AND p_size > 0 AND p_partkey % 5 = 0),
+c AS (SELECT child, parent AS ancestor FROM e UNION SELECT c.child, e.parent FROM c JOIN e ON c.ancestor = e.child)"""
+
+
+def _vocabulary(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tree = p.where("p_partkey > 2").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 3).alias("parent"))
+    return tree.unionByName(p.where("p_partkey > p_size and p_size > 0 and p_partkey % 5 = 0").select(F.col("p_partkey").alias("child"), (F.col("p_partkey") - F.col("p_size")).alias("parent"))).distinct()
+
+
+@query(f"WITH RECURSIVE {VOCABULARY} SELECT child, ancestor FROM c")
+def vocabulary_closure(spark, sf_dir):
+    return ontology.closure(_vocabulary(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {VOCABULARY}, el AS (SELECT DISTINCT l_orderkey AS element, l_partkey AS term FROM lineitem), ids AS (SELECT DISTINCT element FROM el), ru AS (SELECT * FROM (VALUES (5, 'five'), (12, 'twelve')) t(parent, label))
+SELECT 'x' AS file, element, 'spectrum' AS path, CAST(parent AS VARCHAR) AS parent, label FROM ids, ru WHERE NOT EXISTS (SELECT 1 FROM el WHERE el.element = ids.element AND (term = parent OR EXISTS (SELECT 1 FROM c WHERE child = term AND ancestor = parent)))""")
+def vocabulary_failures(spark, sf_dir):
+    """Orders as elements with their parts as terms, of which one must be below a rule's."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    elements = li.groupBy(F.col("l_orderkey").alias("element")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("accessions")).select(F.lit("x").alias("file"), "element", F.lit("spectrum").alias("path"), "accessions")
+    rules = spark.createDataFrame([("spectrum", "5", "five"), ("spectrum", "12", "twelve")], "path string, parent string, label string")
+    ancestors = ontology.closure(_vocabulary(spark, sf_dir)).select(F.col("child").cast("string").alias("child"), F.col("ancestor").cast("string").alias("ancestor"))
+    return ontology.failures(elements, rules, ancestors)
