@@ -127,11 +127,11 @@ def heads(dim: int) -> list[int]:
     return sorted({max(1, dim * i // 4) for i in (1, 2, 3)})
 
 
-def search_block(q_ids, q, ids, sole, x, floor, rotate, k, step=2048, counts=None):
+def search_block(q_ids, q, ids, sole, x, floor, rotate, k, step=128, counts=None):
     """The k best of a block for each query, pruned by Cauchy-Schwarz bounds.
 
     ``floor`` holds scores that k candidates of each query are known to reach. The rows of ``x`` come by
-    descending length. A step of rows is skipped for a query if the product of lengths lies below
+    descending length, in steps of ``step`` rows, so that early rows raise the floors for later ones. A step of rows is skipped for a query if the product of lengths lies below
     its floor; of the rest a pair goes as soon as its sum over the first quarter, half or three quarters of the rotated
     components and the product of the residual lengths do. What remains is scored by its whole vectors. Bounds are
     widened by more than rounding can move them and equal scores are never pruned, so the result is exact; sums
@@ -220,7 +220,7 @@ def _ranked(qi, ci, score, ids, sole, k):
     return qi[keep], ci[keep], score[keep], np.where(alone, rank, -1)[keep]
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, block: int = 16_384) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, block: int = 16_384, seeds: int = 128) -> DataFrame:
     """For each row where ``queries`` holds, the k rows of highest score: query_id, rank, vec_id, score.
 
     The score is the inner product of the vectors of floor(scale * x), clipped to 64 bits. Ties go to the
@@ -230,7 +230,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
     highest score of any of their vectors. An empty table gives no rows; other columns are ignored.
 
     All rows are rotated by their singular vectors and packed into blocks by descending length. Each block of queries first meets
-    the block of the longest rows, which gives scores that k candidates reach; then it
+    the ``seeds`` longest rows, which give scores that k candidates reach; then it
     meets those blocks whose longest row could still reach them. Both sides move as packed blocks; a block of rows
     moves once for 64 blocks of queries. Blocks hold at most 8 MB (rows) and 2 MB (queries). The driver gets one matrix of dim x dim and nothing that grows.
     """
@@ -254,8 +254,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
 
             for b in batches:
                 for r in b.to_pylist():
-                    x, q = _unpacked(r["v"], r["n"], dim), _unpacked(r["q"], r["q_n"], dim)
-                    *_, best = search_block(np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["sole"], bool), x, np.full(len(q), -np.inf), rotate, k)
+                    x, q = _unpacked(r["v"], r["n"], dim)[:seeds], _unpacked(r["q"], r["q_n"], dim)
+                    *_, best = search_block(np.frombuffer(r["q_ids"], "<i8"), q, np.frombuffer(r["ids"], "<i8")[:seeds], np.frombuffer(r["sole"], bool)[:seeds], x, np.full(len(q), -np.inf), rotate, k)
                     yield pa.RecordBatch.from_arrays([pa.array([r["q_block"]]), pa.array([best[:, -1].tobytes()], pa.binary()), pa.array([float(best[:, -1].min())])], ["q_block", "floor", "least"])
 
         met = asks.withColumn("block", F.lit(first)).join(F.broadcast(cand.where(F.col("block") == first)), "block")
