@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectrasieve import shared
 from spectrasieve.functions import order_stats
 
 KEY = "spectrum_id"
@@ -65,13 +68,13 @@ def nearest(centroids: DataFrame, targets: DataFrame, tolerance: float = 0.5) ->
     return best.select(KEY, "target", "b.mz", "b.intensity", "b.delta")
 
 
-def median(rows: DataFrame, key: str, value: str, width: float) -> DataFrame:
-    """(key, median): the exact median of a column by key, the mean of both middle values if their number is even.
+def counted_median(values: DataFrame, key: str, width: float) -> DataFrame:
+    """(key, median): the exact median of v by key of (key, v, c), where c counts equal values; the mean of both middle values if the counts' sum is even.
 
-    Equal values are counted before the shuffle. Counts in bins of ``width`` tell which bin holds the middle, and
-    only that bin's values are put in order, so that no task takes all values of a large group.
+    Counts in bins of ``width`` tell which bin holds the middle, and only that bin's values are put in order, so that no task takes
+    all values of a large group.
     """
-    values = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("bin", F.floor(F.col("v") / width))
+    values = values.withColumn("bin", F.floor(F.col("v") / width))
     before = F.sum("n").over(Window.partitionBy(key).orderBy("bin")) - F.col("n")
     bins = values.groupBy(key, "bin").agg(F.sum("c").alias("n")).withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy(key))})
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
@@ -82,15 +85,29 @@ def median(rows: DataFrame, key: str, value: str, width: float) -> DataFrame:
     return ranked.groupBy(key).agg(((at("low") + at("high")) / 2).alias("median"))
 
 
+def median(rows: DataFrame, key: str, value: str, width: float) -> DataFrame:
+    """(key, median): the exact median of a column by key; equal values are counted before the shuffle."""
+    return counted_median(rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("c")), key, width)
+
+
 def delta_summary(deltas: DataFrame, by: list[str], width: float = 1e-3) -> DataFrame:
-    """n, mean, median and MAD (the median distance from the median) of delta by the columns, with subtotals and a total (null keys)."""
-    kinds = deltas.schema
+    """n, mean, median and MAD (the median distance from the median) of delta by the columns, with subtotals and a total (null keys).
+
+    Deltas are counted once, by value and key, in a written table, of which all else is made.
+    """
+    kinds, spark = deltas.schema, deltas.sparkSession
     sets = [F.struct(F.lit(i).alias("depth"), *[(F.col(c) if k < len(by) - i else F.lit(None).cast(kinds[c].dataType)).alias(c) for k, c in enumerate(by)]) for i in range(len(by) + 1)]
-    rows = deltas.select("delta", F.explode(F.array(*sets)).alias("g")).select("delta", F.to_json("g").alias("key"), *[F.col(f"g.{c}").alias(c) for c in by])
-    one = rows.groupBy("key", *by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
-    mid = median(rows, "key", "delta", width)
-    away = rows.join(mid, "key").select("key", F.abs(F.col("delta") - F.col("median")).alias("away"))
-    return one.join(mid, "key", "left").join(median(away, "key", "away", width).withColumnRenamed("median", "mad"), "key", "left").drop("key")
+    rows = deltas.groupBy(*by, F.col("delta").alias("v")).agg(F.count("*").alias("c")).select("v", "c", F.explode(F.array(*sets)).alias("g"))
+    counted = rows.groupBy(F.to_json("g").alias("key"), "g", "v").agg(F.sum("c").alias("c"))
+    counted.write.parquet(at := f"{shared.folder(spark)}/deltas-{uuid.uuid4().hex}")
+    counted = spark.read.parquet(at)
+    mean = F.sum(F.col("v") * F.col("c")) / F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
+    one = counted.groupBy("key", "g").agg(F.sum("c").alias("n"), mean.alias("mean"))
+    known = counted.where("v is not null").select("key", "v", "c")
+    mid = counted_median(known, "key", width)
+    away = known.join(mid, "key").groupBy("key", F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("c").alias("c"))
+    got = one.join(mid, "key", "left").join(counted_median(away, "key", width).withColumnRenamed("median", "mad"), "key", "left")
+    return got.select(*[f"g.{c}" for c in by], "n", "mean", "median", "mad")
 
 
 def compare_methods(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
