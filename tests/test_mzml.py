@@ -1,6 +1,7 @@
 import hashlib
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -162,6 +163,43 @@ def test_landing_takes_each_file_once(spark, tmp_path):
     assert abs(one.stats.sigma_used - 0.3) < 0.1 and min(abs(c.mz - 410 - 1 / 9) for c in one.centroids) < 0.1
 
 
+def test_interleaved_files_are_calibrated_by_state(spark, tmp_path):
+    files = unlike(tmp_path)
+    config = model.Config(n_calibration_spectra=5)
+    rows = mzml.read(spark, files).select("file", "scan_number", "ms_level", "filter_string", "mz", "intensity").collect()
+    schema = mzml.read(spark, files).select("file", "scan_number", "ms_level", "filter_string", "mz", "intensity").schema
+    inbox = str(tmp_path / "in")
+    rows.sort(key=lambda r: (r.scan_number, r.file))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (rows[:7], rows[7:12], rows[12:]):  # each run goes on with the state of the one before
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+            stream.drain(stream.calibrated(spark.readStream.schema(schema).parquet(inbox), config), str(tmp_path / "out"), str(tmp_path / "state"))
+        short = [r for r in rows if r.file == files[2]]
+        spark.createDataFrame(short, schema).coalesce(1).write.parquet(str(tmp_path / "short"))
+        made = stream.calibrated(spark.readStream.schema(schema).parquet(str(tmp_path / "short")), config, wait_ms=1)
+        q = made.writeStream.format("parquet").option("path", str(tmp_path / "late")).option("checkpointLocation", str(tmp_path / "late_state")).start()
+        late = []
+        for _ in range(60):  # a file with too few spectra comes when none has followed
+            time.sleep(0.5)
+            late = spark.read.schema(made.schema).parquet(str(tmp_path / "late")).collect() if os.path.exists(tmp_path / "late" / "_spark_metadata") else []
+            if len(late) == len(short):
+                break
+        q.stop()
+    finally:
+        spark.conf.unset(name)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.file for r in got} == set(files[:2])  # the third still waits
+    got = {(r.file, r.scan_number): r for r in got + late}
+    cal = calibrate.calibrate_files(mzml.first(spark, files, 5), config)
+    want = centroid.centroid_files(mzml.read(spark, files), cal, config).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in want:
+        mine = got[r.file, r.scan_number]
+        assert np.allclose(mine.mz, [c.mz for c in r.centroids]) and np.allclose(mine.intensity, [c.intensity for c in r.centroids]) and mine.sigma == pytest.approx(r.stats.sigma_used)
+
+
 def test_skips_and_errors(spark, tmp_path, doc):
     p = str(tmp_path / "e.mzML")
     mzml_sink.write_clean(p, records(empty=(3,)), 6)
