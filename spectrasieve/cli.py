@@ -18,8 +18,10 @@ from spectrasieve.operators import calibrate, centroid, repair, report, verify
 from spectrasieve.sources import mzml, mzml_sink
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.appName("spectrasieve").config("spark.sql.execution.arrow.maxRecordsPerBatch", "256").getOrCreate()
+def session(threads: int | None = None) -> SparkSession:
+    """A session; ``threads`` bounds those of a local one (on a cluster the cluster's settings do)."""
+    made = SparkSession.builder.appName("spectrasieve").config("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    return (made.master(f"local[{threads}]") if threads else made).getOrCreate()
 
 
 def run(spark: SparkSession, config: model.Config) -> list[str]:
@@ -109,7 +111,13 @@ def main(argv: list[str] | None = None) -> int:
     command = a.pop("command")
     try:
         if command == "run":
-            print("\n".join(run(session(), model.Config.load(a.pop("config"), **a))))
+            config = model.Config.load(a.pop("config"), **a)
+            began = time.perf_counter()
+            written = run(session(config.threads), config)
+            if not config.quiet:
+                print("\n".join(written))
+            if config.verbose:
+                print(f"{len(written)} files in {time.perf_counter() - began:.1f} s, {config}", file=sys.stderr)
         elif command == "calibrate":
             show_calibration(session(), a["path"], a["n"])
         elif command == "inspect":

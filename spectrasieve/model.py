@@ -79,8 +79,11 @@ class Config:
     by_region: bool = False
     quiet: bool = False
     verbose: bool = False
+    threads: int | None = None
 
     def __post_init__(self):
+        if self.threads is not None and self.threads < 1:
+            raise ConfigError("threads must be positive")
         if self.noise_step_da <= 0 or self.noise_window_da <= 0 or self.lambda_factor < 0 or self.max_lasso_iter < 1:
             raise ConfigError("windows and iterations must be positive, lambda_factor not negative")
         if self.scan_rate is not None:

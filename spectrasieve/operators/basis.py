@@ -55,7 +55,8 @@ def first_sweep(products: DataFrame, noise: DataFrame, sigma: float, spacing: fl
 def reconstruct(axis: DataFrame, centroids: DataFrame, sigma: float, reach: float = 6.0) -> DataFrame:
     """(spectrum_id, mz, value): the sum of Gaussians of (spectrum_id, mz, intensity) at the axis' points.
 
-    A centroid beyond ``reach`` sigma adds nothing that counts, so both sides meet in m/z bins, by an equi-join.
+    A centroid counts within ``reach`` sigma, so both sides meet in m/z bins, by an equi-join; what is left out of each is below exp(-reach^2 / 2)
+    of its intensity (1.6e-8 for 6).
     """
     width = reach * sigma
     left = axis.select(KEY, F.col("mz").alias("x")).withColumn("bin", F.floor(F.col("x") / width))

@@ -343,6 +343,10 @@ def test_cli(spark, tmp_path, doc, capsys):
     assert cli.main(["run", "--input", *more, doc, "--output", str(tmp_path), "--stats-output", stats, "--no-quiet"]) == 0
     assert spark.read.option("header", True).option("sep", "\t").csv(stats).count() == 26
     assert capsys.readouterr().out.split() == [str(tmp_path / f"{os.path.basename(f)[:-5]}.centroid.mzML") for f in (*more, doc)]
+    assert cli.main(["run", "--input", doc, "--output", str(tmp_path), "--quiet", "--verbose", "--threads", "2"]) == 0
+    said = capsys.readouterr()
+    assert not said.out and "1 files in" in said.err
+    assert cli.main(["run", "--input", doc, "--threads", "0"]) == 2
     for args in (["calibrate", doc], ["inspect", doc], ["centroid-test", doc, "--n", "3"], ["verify", doc], ["validate", doc]):
         assert cli.main(args) == 0
     assert "MS2: sigma 0.3400" in capsys.readouterr().out
