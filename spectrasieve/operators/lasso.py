@@ -186,7 +186,7 @@ def _bold(live, x, on, drive, least, full, rounds: int) -> np.ndarray:
         row, col = np.nonzero(on[live])
         count = np.bincount(row, minlength=len(live))
         k = int(count.max(initial=0))
-        if k * k * len(live) > 8 * BLOCK:
+        if k * k * len(live) > 2 * BLOCK:
             break
         at, here = np.zeros((k, len(live)), np.int64), np.arange(k)[:, None] < count
         at[np.arange(len(row)) - (np.cumsum(count) - count)[row], row] = col
