@@ -195,9 +195,11 @@ def _grid(excess: np.ndarray, doc: int, hot: int) -> tuple[np.ndarray, np.ndarra
     return which, (np.minimum(r, j) << 32) + np.maximum(r, j)
 
 
-def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot: int) -> DataFrame:
+def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot: int, few: int = 0) -> DataFrame:
     """Prefix tokens of (doc_id, label, text) under each order, packed by part of the token space.
 
+    With ``few``, of longer prefixes those tokens alone whose hash is divisible by a power of two, the same ones in all documents, so that about ``few`` are left.
+
     A very frequent token's list is split into cells, see :func:`_grid`.
 
     A row holds (part, tokens, docs, labels, sizes, places in the order, scores) as arrays; within a part 32 bits stand for a token,
@@ -235,9 +237,15 @@ def _postings(docs: DataFrame, sketch, words: int, percent: int, parts: int, hot
                         own = counts[edges[i] : edges[i + 1]]
                         at_rank = np.flatnonzero(r <= np.partition(r, p - 1)[p - 1])
                         at_rank = at_rank[np.argsort(r[at_rank])]
-                        r, p = r[at_rank], len(at_rank)
+                        r = r[at_rank]
                         t, place = mix(s[at_rank]), np.searchsorted(r, r).astype("<u4")
                         score = int(1000 * np.log2(1.0 + own).mean())
+                        if few and len(t) >= 2 * few:
+                            some = np.flatnonzero((t >> np.uint64(16)) % np.uint64(1 << (len(t) // few).bit_length() - 1) == 0)
+                            t, place, at_rank = t[some], place[some], at_rank[some]
+                        if not len(t):
+                            continue
+                        p = len(t)
                         excess = own[at_rank] - usual[k]
                         if int(excess.max()) > hot:
                             which, cell = _grid(excess, int(ids[at + i]), hot)
@@ -306,7 +314,7 @@ def _candidates(postings: DataFrame, parts: int, percent: int) -> DataFrame:
 
 
 def _stars(postings: DataFrame, parts: int, percent: int, n_orders: int) -> DataFrame:
-    """(a, b): for each document b the candidate a, of those that are the most central of a list of b's prefix tokens under every order, that most lists name.
+    """(a, b): for each document b the candidate a of another label, of those that are the most central of a list of b's prefix tokens under every order, that most lists name.
 
     These are candidates of the prefix filters, one a list and document instead of all pairs of a list.
     """
@@ -314,12 +322,12 @@ def _stars(postings: DataFrame, parts: int, percent: int, n_orders: int) -> Data
     def task(table):
         import pyarrow as pa
 
-        k, token, doc, _, n, place, score = _part(table, parts)
-        order = np.lexsort((doc, -score, token))  # of each list the most central first
-        token, doc, n, place, score = token[order], doc[order], n[order], place[order], score[order]
+        k, *columns = _part(table, parts)
+        order = np.lexsort((columns[1], -columns[5], columns[0]))  # of each list the most central first
+        token, doc, label, n, place, score = (c[order] for c in columns)
         begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         hub = np.repeat(begin, np.diff(np.append(begin, len(token))))
-        x = np.flatnonzero(doc != doc[hub])
+        x = np.flatnonzero(label != label[hub])
         x = x[_room(n, place, x, hub[x], percent)]
         pairs, first, votes = np.unique(np.stack([doc[hub[x]], doc[x]], 1), axis=0, return_index=True, return_counts=True) if len(x) else (np.zeros((0, 2), np.int64), x, x)
         common.trim()
@@ -330,7 +338,7 @@ def _stars(postings: DataFrame, parts: int, percent: int, n_orders: int) -> Data
     return named.groupBy("b").agg(F.max(F.struct("votes", "score", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, hot: int = 16_384, per_part: int = 500_000, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
+def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2, hot: int = 16_384, few: int = 16, rounds: int = 2, per_part: int = 500_000, id_col: str = "doc_id", text_col: str = "text", report: dict | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A document's set holds its distinct shingles of ``words`` words over the whole text (fewer words: the whole sequence; no words
@@ -342,9 +350,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     3. Under each of ``n_orders`` global orders (rarest token first, counters of their own) documents are listed by the tokens of their
        prefixes. A pair that links shares a prefix token under every order, so candidates of all orders are intersected. The
        list of a token that more than ``hot`` documents may hold is dealt over a grid of cells.
-    4. First each list gives the pairs of its most central document alone; one candidate a document is verified on the whole
-       texts, and what links is contracted to a component. So a large group of near copies does not give all its pairs.
-    5. Then lists give all pairs of documents of different components, and all candidates are verified, so no link is lost.
+    4. First, ``rounds`` times, lists give the pairs of their most central document alone, and of long prefixes about ``few`` tokens do; one candidate a document is
+       verified on the whole texts, and what links is contracted to a component. So a large group of near copies does not give all its pairs.
+    5. Then all lists give all pairs of documents of different components, and all candidates are verified, so no link is lost.
     6. Components of all links are spread back to the documents.
 
     ``report`` takes the numbers of candidates and links of steps 4 and 5. Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
@@ -360,25 +368,29 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
         tokens = classes.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-tokens * (100 - percent) // 100 // per_part))
 
-        def listed(marks: DataFrame) -> DataFrame:
+        def listed(marks: DataFrame, few: int = 0) -> DataFrame:
             """Lists of the documents that ``marks`` (doc_id, label) do not drop (label null), by the labels it gives or their ids."""
             marked = common.sized(marks.withColumn("marked", F.lit(True)))
             kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
-            return _postings(kept, sketch, words, percent, parts, hot)
+            return _postings(kept, sketch, words, percent, parts if not few else max(1, parts // 4), hot, few)
 
         # What a document's row does not carry: whether another stands for its set, and its label so far.
         copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
         copies = common.cut(copies.distinct())
-        stars = common.cut(_stars(listed(copies), parts, percent, n_orders))
-        links = verified(d, stars, words, percent)
-        first = components(links)
-        marks = common.cut(copies.unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
+        marks, links, n_stars = copies, None, 0
+        for _ in range(rounds):
+            stars = common.cut(_stars(listed(marks, few), max(1, parts // 4), percent, n_orders))
+            more = verified(d, stars, words, percent)
+            links = more if links is None else links.unionByName(more)
+            n_stars += stars.count() if report is not None else 0
+            first = components(links)
+            marks = common.cut(copies.unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
         pairs = _candidates(listed(marks), parts, percent)
         pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
         sketch.destroy()
         more = verified(d, pairs, words, percent)
         if report is not None:
-            report |= {"first candidates": stars.count(), "first links": links.count(), "candidates": pairs.count(), "links": more.count()}
+            report |= {"first candidates": n_stars, "first links": links.count(), "candidates": pairs.count(), "links": more.count()}
 
         label = first.select(F.col("node").alias("x"), "label")
         named = more.join(label, more.a == label.x, "left").select(F.coalesce("label", "a").alias("a"), "b")
