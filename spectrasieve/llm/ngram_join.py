@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectrasieve.llm import common, hashing
+from spectrasieve.llm import blocks, common, hashing
 from spectrasieve.llm.hashing import mix
 
 _SPACE = hashing.spaces(b" \t\n\x0b\x0c\r")
@@ -15,6 +16,9 @@ _LOWER[65:91] += 32
 _STEP = np.uint64(0xA0761D6478BD642F)
 _BITS = 20  # log2 of the counters of a sketch row
 _PART = 1 << 14  # counters of a sketch row that travel together
+_DRAWN = 26_214  # of 2^16 tokens those that are counted exactly, two fifths
+_PARTS = 512  # parts of the token space in which they are counted
+_BLOCK, _DOCS = 500_000, 4096  # drawn tokens, and documents, of a block
 _SEEDS = [np.uint64(0x2545F4914F6CDD1D * (2 * i + 1) & (1 << 64) - 1) for i in range(16)]
 
 
@@ -60,48 +64,120 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _scan(docs: DataFrame, words: int, n_orders: int) -> DataFrame:
-    """Document rows (kind 0) and, from each task, parts of the counters of its tokens (kind 1)."""
+def _scan(docs: DataFrame, words: int) -> DataFrame:
+    """Document rows (kind 0: their place ``at`` in a block) and the drawn tokens of each block by part of the token space (kind 1: how many each document has).
+
+    The same ``_DRAWN`` of 2^16 of all tokens are drawn in all documents; within a part 32 bits stand for a token.
+    """
 
     def task(batches):
         import pyarrow as pa
         import xxhash
 
-        fields = ("kind", "doc_id", "n", "key", "part", "counts")
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
-        total = np.zeros((n_orders, 1 << _BITS), np.uint32)
+        fields = ("kind", "doc_id", "n", "key", "block", "at", "part", "tokens", "counts")
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        block, made, size, held = TaskContext.get().partitionId() << 32, 0, 0, []
+
+        def batch(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
+
+        def flush():
+            s, doc = np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held)))
+            part = ((s >> np.uint64(16)) % np.uint64(_PARTS)).astype(np.int64)
+            counts = np.bincount(part * len(held) + doc, minlength=_PARTS * len(held)).reshape(_PARTS, -1)
+            tokens = np.split((s >> np.uint64(32)).astype("<u4")[np.argsort(part, kind="stable")], np.cumsum(counts.sum(1))[:-1])
+            some = [k for k, t in enumerate(tokens) if len(t)]
+            none = [None] * len(some)
+            return batch([1] * len(some), none, [len(held)] * len(some), none, [block + made] * len(some), none, some, [tokens[k].tobytes() for k in some], [blocks.pack(counts[k]) for k in some])
+
         for b in batches:
-            for at, part in hashing.slices(b.column(1)):
+            for first, part in hashing.slices(b.column(1)):
                 sets = shingle_sets(part, words)
-                held = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                n, none = len(sets), [None] * len(sets)
+                at = []
+                for s in sets:
+                    if size > _BLOCK or len(held) == _DOCS:
+                        yield flush()
+                        made, size, held = made + 1, 0, []
+                    at.append((block + made, len(held)))
+                    held.append(s[(s & np.uint64(0xFFFF)) < np.uint64(_DRAWN)])
+                    size += len(held[-1])
+                if n:
+                    yield batch([0] * n, b.column(0).slice(first, n).to_pylist(), list(map(len, sets)), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], *map(list, zip(*at, strict=True)), none, none, none)
+        if size:
+            yield flush()
+
+    return common.by_batch(docs, task, "kind int, doc_id long, n long, key binary, block long, at long, part long, tokens binary, counts binary")
+
+
+def _shared(scanned: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n): documents that can link. Others hold so many drawn tokens that no other row holds, that what is left of their set cannot be shared enough."""
+
+    def singles(table):
+        import pyarrow as pa
+
+        tokens = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("tokens")])
+        order = np.argsort(tokens, kind="stable")
+        by = tokens[order]
+        differs = np.concatenate([[True], by[1:] != by[:-1], [True]])
+        single = np.zeros(len(tokens), bool)
+        single[order] = differs[1:] & differs[:-1]
+        found, lo = [], 0
+        for n, counts in zip(table.column("n").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            doc = np.repeat(np.arange(n), blocks.unpack(counts, n))
+            found.append(blocks.pack(np.bincount(doc[single[lo : lo + len(doc)]], minlength=n)))
+            lo += len(doc)
+        common.trim()
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "counts": pa.array(found, pa.binary())})
+
+    def left(table):
+        import pyarrow as pa
+
+        doc = table.column("counts").is_null().to_numpy()
+        rows, at = table.filter(pa.array(doc)), table.filter(pa.array(doc)).column("at").to_numpy()
+        own = np.zeros(len(rows), np.int64)
+        for n, counts in zip(*(table.filter(pa.array(~doc)).column(c).to_pylist() for c in ("n", "counts")), strict=True):
+            own[:n] += blocks.unpack(counts, n)
+        n = rows.column("n").to_numpy()
+        return rows.filter(pa.array((n > 0) & (own[at] < prefix_length(n, percent)))).select(["doc_id", "n"])
+
+    null = F.lit(None).cast
+    counted = scanned.where("kind = 1").select("part", "block", "n", "tokens", "counts").groupBy("part").applyInArrow(singles, "block long, n long, counts binary")
+    rows = scanned.where("kind = 0").select("block", "doc_id", "n", "at", null("binary").alias("counts"))
+    rows = rows.unionByName(counted.select("block", null("long").alias("doc_id"), "n", null("long").alias("at"), "counts"))
+    return rows.groupBy("block").applyInArrow(left, "doc_id long, n long").where("doc_id is not null")
+
+
+def _sketch(docs: DataFrame, words: int, n_orders: int) -> np.ndarray:
+    """The counters of the tokens of all documents (text); their number is fixed, whatever the corpus."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        total = np.zeros((n_orders, 1 << _BITS), np.uint32)
+        for b in batches:
+            for _, part in hashing.slices(b.column(0)):
+                held = np.concatenate(shingle_sets(part, words))
                 for k in range(n_orders):
                     total[k] += np.bincount((mix(held ^ _SEEDS[k]) >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS).astype(np.uint32)
-                n = len(sets)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([0] * n, b.column(0).slice(at, n).to_pylist(), list(map(len, sets)), keys, [None] * n, [None] * n), types, strict=True)], fields)
         for k in range(n_orders):
             for p in range((1 << _BITS) // _PART):
                 c = total[k, p * _PART : (p + 1) * _PART]
                 if c.any():
                     blob = bytes([kind := np.min_scalar_type(c.max()).itemsize]) + c.astype(f"<u{kind}").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((1, None, None, None, k * (1 << _BITS) + p * _PART, blob), types, strict=True)], fields)
-
-    return common.by_batch(docs, task, "kind int, doc_id long, n long, key binary, part long, counts binary")
-
-
-def _sketch(scanned: DataFrame, n_orders: int) -> np.ndarray:
-    """The counters over all documents; their number is fixed, whatever the corpus."""
+                    yield pa.RecordBatch.from_arrays([pa.array([k * (1 << _BITS) + p * _PART], pa.int64()), pa.array([pa.Codec("zstd", 1).compress(blob, asbytes=True)], pa.binary()), pa.array([len(blob)], pa.int64())], ["part", "counts", "size"])
 
     def add(table):
         import pyarrow as pa
 
         total = np.zeros(_PART, np.int64)
-        for blob in table.column("counts").to_pylist():
+        for data, size in zip(table.column("counts").to_pylist(), table.column("size").to_pylist(), strict=True):
+            blob = pa.Codec("zstd").decompress(data, size, asbytes=True)
             total += np.frombuffer(blob, f"<u{blob[0]}", offset=1)
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
 
     out = np.zeros(n_orders << _BITS, np.uint32)
-    for r in scanned.where("kind = 1").select("part", "counts").groupBy("part").applyInArrow(add, "part long, counts binary").collect():
+    for r in common.by_batch(docs.select("text"), task, "part long, counts binary, size long").groupBy("part").applyInArrow(add, "part long, counts binary").collect():
         out[r.part : r.part + _PART] = np.frombuffer(r.counts, "<u4")
     return out.reshape(n_orders, 1 << _BITS)
 
@@ -345,8 +421,8 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     or a null text: empty, linked with nothing). Two documents link when 100 * intersection >= percent * union;
     component_id is the least doc_id reachable by links. Shingles are compared by 64-bit hashes.
 
-    1. One scan gives each document's set key and counts all tokens in sketches of fixed size.
-    2. Equal sets become one representative.
+    1. One scan gives each document's set key and two fifths of the token space, whose tokens are counted exactly by a shuffle.
+    2. Equal sets become one representative. A document with so many tokens of its own that no other can reach the threshold is settled; tokens of the others are counted in sketches of fixed size.
     3. Under each of ``n_orders`` global orders (rarest token first, counters of their own) documents are listed by the tokens of their
        prefixes. A pair that links shares a prefix token under every order, so candidates of all orders are intersected. The
        list of a token that more than ``hot`` documents may hold is dealt over a grid of cells.
@@ -355,42 +431,42 @@ def link(docs: DataFrame, words: int = 5, percent: int = 75, n_orders: int = 2,
     5. Then all lists give all pairs of documents of different components, and all candidates are verified, so no link is lost.
     6. Components of all links are spread back to the documents.
 
-    ``report`` takes the numbers of candidates and links of steps 4 and 5. Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
+    ``report`` takes the number of documents that are listed, and those of candidates and links of steps 4 and 5. Null ids stay null and link through nothing but equal sets; rows that repeat an id count as
     one node; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with common.scratch(spark):
-        scanned = common.keep(common.cut(_scan(d, words, n_orders)))
-        sketch = spark.sparkContext.broadcast(_sketch(scanned, n_orders))
+        scanned = common.keep(common.cut(_scan(d, words)))
         rows = scanned.where("kind = 0")
         classes = common.cut(rows.where("n > 0").groupBy("n", "key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"))
-        tokens = classes.agg(F.sum("n")).first()[0] or 0
+        # For the rows of a set one document stands.
+        copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id")
+        copies = common.cut(copies.distinct())
+        near = common.cut(_shared(scanned, percent).join(common.sized(copies), "doc_id", "left_anti").groupBy("doc_id").agg(F.sum("n").alias("n")))
+        tokens = near.agg(F.sum("n")).first()[0] or 0
         parts = max(1, -(-tokens * (100 - percent) // 100 // per_part))
+        sketch = spark.sparkContext.broadcast(_sketch(_fetch(d, near.select("doc_id")), words, n_orders))
 
         def listed(marks: DataFrame, few: int = 0) -> DataFrame:
-            """Lists of the documents that ``marks`` (doc_id, label) do not drop (label null), by the labels it gives or their ids."""
-            marked = common.sized(marks.withColumn("marked", F.lit(True)))
-            kept = d.where("doc_id is not null").join(marked, "doc_id", "left").where("marked is null or label is not null").select("doc_id", F.coalesce("label", "doc_id").alias("label"), "text")
-            return _postings(kept, sketch, words, percent, parts if not few else max(1, parts // 4), hot, few)
+            """Lists of the documents of ``marks`` (doc_id, label)."""
+            return _postings(d.join(common.sized(marks), "doc_id"), sketch, words, percent, parts if not few else max(1, parts // 4), hot, few)
 
-        # What a document's row does not carry: whether another stands for its set, and its label so far.
-        copies = rows.where("n > 0").select("doc_id", "n", "key").join(classes.where("copies > 1").select("n", "key", "rep").hint("merge"), ["n", "key"]).where("doc_id <> rep").select("doc_id", F.lit(None).cast("long").alias("label"))
-        copies = common.cut(copies.distinct())
-        marks, links, n_stars = copies, None, 0
+        marks, links, n_stars = near.select("doc_id", F.col("doc_id").alias("label")), None, 0
         for _ in range(rounds):
             stars = common.cut(_stars(listed(marks, few), max(1, parts // 4), percent, n_orders))
             more = verified(d, stars, words, percent)
             links = more if links is None else links.unionByName(more)
             n_stars += stars.count() if report is not None else 0
             first = components(links)
-            marks = common.cut(copies.unionByName(first.where("node <> label").select(F.col("node").alias("doc_id"), "label")))
+            marks = near.select("doc_id").join(common.sized(first), F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("label", "doc_id").alias("label"))
+            marks = common.cut(marks)
         pairs = _candidates(listed(marks), parts, percent)
         pairs = common.cut(pairs.groupBy("a", "b").agg(F.countDistinct("k").alias("k")).where(F.col("k") == n_orders).select("a", "b"))
         sketch.destroy()
         more = verified(d, pairs, words, percent)
         if report is not None:
-            report |= {"first candidates": n_stars, "first links": links.count(), "candidates": pairs.count(), "links": more.count()}
+            report |= {"listed": near.count(), "first candidates": n_stars, "first links": links.count(), "candidates": pairs.count(), "links": more.count()}
 
         label = first.select(F.col("node").alias("x"), "label")
         named = more.join(label, more.a == label.x, "left").select(F.coalesce("label", "a").alias("a"), "b")

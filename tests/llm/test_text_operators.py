@@ -263,6 +263,17 @@ def test_ngram_join_finds_its_links_by_the_prefix_filters(spark):
     assert report["first links"] + report["links"] < len(links)  # a group of copies does not give all its pairs
 
 
+def test_ngram_join_lists_only_documents_that_can_link(spark):
+    """A passage that all documents hold lists none of them that has enough tokens of its own."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = [" ".join(f"d{d}w{i}" for i in range(240)) for d in range(60)]
+    docs, report = [(d, f"{t} {passage}") for d, t in enumerate(own)], {}
+    docs += [(100, f"{own[7]} {passage} end"), (101, " ".join(own[9].split(" ")[:203]))]  # 101 links with nothing: 199 of 296 shingles
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(texts(spark, docs), report=report).collect()}
+    assert got == brute(docs) and (100, 297, 7) in got and (101, 199, 101) in got
+    assert report["listed"] <= 6 and report["candidates"] + report["first candidates"] <= 4
+
+
 def test_ngram_join_keeps_tokens_that_tie(spark, monkeypatch):
     """Where all tokens of a document have one rank, all belong to its prefix."""
     monkeypatch.setattr(ngram_join, "orders", lambda sketch, s: [(np.zeros(len(s), np.uint64), np.ones(len(s), np.int64))] * len(sketch))
