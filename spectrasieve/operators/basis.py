@@ -52,17 +52,19 @@ def first_sweep(products: DataFrame, noise: DataFrame, sigma: float, spacing: fl
     return products.join(noise.select(KEY, "noise_sigma"), KEY).select(KEY, "region_idx", "j", "grid_mz", "aty", (F.greatest(F.col("aty") - lam, F.lit(0.0)) / g0).alias("beta"))
 
 
-def reconstruct(axis: DataFrame, centroids: DataFrame, sigma: float, reach: float = 6.0) -> DataFrame:
+def reconstruct(axis: DataFrame, centroids: DataFrame, sigma: float, reach: float = 6.0, near: float | None = None) -> DataFrame:
     """(spectrum_id, mz, value): the sum of Gaussians of (spectrum_id, mz, intensity) at the axis' points.
 
     A centroid counts within ``reach`` sigma, so both sides meet in m/z bins, by an equi-join; what is left out of each is below exp(-reach^2 / 2)
-    of its intensity (1.6e-8 for 6).
+    of its intensity (1.6e-8 for 6). Points without any centroid within ``near`` are left out, or have the value 0 if it is None.
     """
     width = reach * sigma
-    left = axis.select(KEY, F.col("mz").alias("x")).withColumn("bin", F.floor(F.col("x") / width))
-    right = centroids.select(KEY, F.col("mz").alias("c"), "intensity").withColumn("bin", F.explode(F.array(*[F.floor(F.col("c") / width) + k for k in (-1, 0, 1)])))
+    bins = max(width, near or 0.0) * 1.001  # a little wider, so that rounding parts no pair at the very end of the reach
+    left = axis.select(KEY, F.col("mz").alias("x")).withColumn("bin", F.floor(F.col("x") / bins))
+    right = centroids.select(KEY, F.col("mz").alias("c"), "intensity").withColumn("bin", F.explode(F.array(*[F.floor(F.col("c") / bins) + k for k in (-1, 0, 1)])))
     value = F.when(F.abs(F.col("x") - F.col("c")) <= width, F.col("intensity") * F.exp(-F.pow((F.col("x") - F.col("c")) / sigma, 2) / 2))
-    return left.join(right, [KEY, "bin"], "left").groupBy(KEY, F.col("x").alias("mz")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("value"))
+    met = left.join(right, [KEY, "bin"], "left") if near is None else left.join(right, [KEY, "bin"]).where(F.col("c").between(F.col("x") - near, F.col("x") + near))
+    return met.groupBy(KEY, F.col("x").alias("mz")).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("value"))
 
 
 def residuals(spectra: DataFrame, centroids: DataFrame, sigma: float, reach: float = 6.0, **parameters) -> DataFrame:

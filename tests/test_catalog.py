@@ -46,3 +46,17 @@ def test_documents_grow_in_number(spark, data, monkeypatch):
     assert len(ids) > 2 and documents.mzml_verify(spark, data).count() == len(ids)
     got = documents.mzml_repair(spark, data).collect()
     assert len(got) == len(ids) and all((r.restored, r.removed, r.errors) == (1, 0, 0) for r in got)
+
+
+def test_points_far_from_all_maxima_are_left_out(spark, tmp_path):
+    """One maximum in the middle, none on a slope, none without an id: as SQL has it."""
+    peak = [float(32 - abs(i - 32)) for i in range(64)]
+    made = [(1, peak), (2, [float(i) for i in range(64)]), (None, peak), (3, [0.0, 1.0] + [0.0] * 62)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.queries()["gaussian_reconstruction"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    rel = con.sql(catalog.oracle_sql()["gaussian_reconstruction"])
+    columns = ["spectrum_id", "mz", "value"]
+    assert rows(columns, got) == rows(columns, [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()])
+    assert {(r.spectrum_id, r.mz) for r in got} == {(1, 202 + i / 8) for i in range(33)} | {(3, 200 + i / 8) for i in range(18)}
