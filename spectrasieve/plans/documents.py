@@ -360,7 +360,7 @@ SELECT 'x' AS file, element, 'spectrum' AS path, CAST(parent AS VARCHAR) AS pare
 def vocabulary_failures(spark, sf_dir):
     """Orders as elements with their parts as terms, of which one must be below a rule's."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    elements = li.groupBy(F.col("l_orderkey").alias("element")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("accessions")).select(F.lit("x").alias("file"), "element", F.lit("spectrum").alias("path"), "accessions")
-    rules = spark.createDataFrame([("spectrum", "5", "five"), ("spectrum", "12", "twelve")], "path string, parent string, label string")
-    ancestors = ontology.closure(_vocabulary(spark, sf_dir)).select(F.col("child").cast("string").alias("child"), F.col("ancestor").cast("string").alias("ancestor"))
-    return ontology.failures(elements, rules, ancestors)
+    terms = li.select(F.col("l_orderkey").alias("element"), F.lit("spectrum").alias("path"), F.col("l_partkey").alias("accession"))
+    rules = spark.createDataFrame([("spectrum", 5, "five"), ("spectrum", 12, "twelve")], "path string, parent long, label string")
+    failed = ontology.failures_of_terms(terms, rules, ontology.below(_vocabulary(spark, sf_dir), rules), keys=("element",))
+    return failed.select(F.lit("x").alias("file"), "element", "path", F.col("parent").cast("string").alias("parent"), "label")

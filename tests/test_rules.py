@@ -1,8 +1,13 @@
+import glob
 import re
 
+import duckdb
+import pyarrow.parquet as pq
 import pytest
 
+from spectrasieve import shared
 from spectrasieve.operators import ontology, schema, verify
+from spectrasieve.plans import catalog
 from spectrasieve.sources import mzml, mzml_sink
 from tests.test_mzml import records
 
@@ -108,3 +113,44 @@ def test_validation_by_a_vocabulary_file(spark, tmp_path, doc):
     by_file = verify.validate(spark, doc, "standard", path).where("check = 'cv-term'").collect()
     assert level and {r.message.split(" (")[1] for r in by_table} <= {r.message.split(" (")[1] for r in by_file}
     assert not any("spectrum type" in r.message or "spectrum representation" in r.message for r in by_file)
+
+
+def test_what_is_below_the_terms_asked_for(spark):
+    edges = [(i, i // 2) for i in range(1, 40)] + [(i, i - 7) for i in range(10, 40, 3)] + [(3, 30), (50, None), (None, 4), (7, 3)]
+    df = spark.createDataFrame(edges, "child long, parent long")
+    for asked in ([3, 12, 99], [30], [99], []):
+        got = ontology.below(df, spark.createDataFrame([(a,) for a in asked * 2], "parent long")).collect()
+        assert sorted(map(tuple, got)) == sorted(tuple(r) for r in ontology.closure(df).collect() if r.ancestor in asked)
+
+
+@pytest.mark.parametrize("bits", [62, 2])
+def test_failures_by_sets_of_rules(spark, monkeypatch, bits):
+    """Of more rules than a set holds; elements without terms or keys fail all of their path."""
+    monkeypatch.setattr(ontology, "BITS", bits)
+    rules = [("p", f"X:{i}", f"r{i}") for i in range(5)] + [("q", "X:1", "r"), ("q", "X:1", "s"), ("q", None, "none"), ("unused", "X:2", "u")]
+    above = [("Y:1", "X:1"), ("Y:1", "X:3"), ("Y:4", "X:4")]
+    elements = [("f", 1, "p", ["Y:1", "Y:9", "Y:1"]), ("f", 2, "p", ["X:0", "Y:4", None]), ("g", 2, "p", []), ("g", 2, "q", ["Y:1"]), ("g", 3, "q", None), (None, 4, "q", ["X:1"]), ("f", None, "p", ["X:0"]), ("f", 5, "other", ["X:1"]), ("f", 6, None, [])]
+    resolved = spark.createDataFrame(elements, "file string, element long, path string, accessions array<string>")
+    met = lambda terms, parent: parent in terms or any((t, parent) in above for t in terms)
+    want = {(f, e, p, parent, label) for f, e, p, terms in elements for q, parent, label in rules if p == q and (f is None or e is None or parent is None or not met(terms or [], parent))}
+    got = ontology.failures(resolved, spark.createDataFrame(rules, "path string, parent string, label string"), spark.createDataFrame(above, "child string, ancestor string")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_failures_need_only_what_is_below_the_rules(spark, tmp_path):
+    """The query equals its SQL, and of its vocabulary it writes the steps and what is below the rules' terms, no more."""
+    part = [(i, i % 9 * 5 if i % 10 else 3) for i in range(1, 601)] + [(None, 5), (610, None)]
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, o * 37 % 620 + o % 3 * k) for o in range(150) for k in range(1 + o % 3)] + [(None, 5), (None, 12), (900, None), (901, 5), (901, 12)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = shared.folder(spark).removeprefix("file://")
+    files = lambda: set(glob.glob(f"{folder}/**/*.parquet", recursive=True))
+    before = files()
+    got = catalog.queries()["vocabulary_failures"](spark, str(tmp_path)).collect()
+    written = sum(pq.read_metadata(f).num_rows for f in files() - before)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(catalog.oracle_sql()["vocabulary_failures"]).fetchall()))
+    count = lambda what: con.sql(re.sub("SELECT 'x' AS file.*", what, catalog.oracle_sql()["vocabulary_failures"], flags=re.S)).fetchall()[0][0]
+    assert written == count("SELECT count(*) FROM e") + count("SELECT count(*) FROM c WHERE ancestor IN (5, 12)") and got
